@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .stats import failing_lines, per_text
-from .textblock import owner, pieces
+from .stats import Measured, failing_lines, per_text
+from .textblock import pieces
 
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_KEPT = 10, 20, 0.5
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -40,17 +40,16 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_k
 
 def _judged(ids: pa.Array, data: np.ndarray, off: np.ndarray, min_kept: float, with_text: bool) -> pa.RecordBatch:
     n = len(ids)
-    _, count = per_text(data, off)
-    start, end, words, code = failing_lines(data, off)
-    doc, bad = owner(off, start), code > 0
-    lost = np.bincount(doc[bad], words[bad], n).astype(np.int64)
+    m = Measured(data, off)
+    count, bad, doc = per_text(m), failing_lines(m) > 0, m.line_doc
+    lost = np.bincount(doc[bad], m.line_words[bad], n).astype(np.int64)
     base = (count["n_words"] < MIN_WORDS) | (100 * count["n_repeat_words"] > MAX_REPEAT_PERCENT * count["n_words"])
     kept = ~base & (count["n_words"] - lost >= min_kept * count["n_words"])
     columns = {"doc_id": ids} | {k: count[k] for k in BASE} | {"base_failed": base, "kept": kept, "n_lines_removed": np.bincount(doc[bad], minlength=n), "n_words_removed": lost}
     if with_text:
         raw = data.tobytes()
         parts: list[list[bytes]] = [[] for _ in range(n)]
-        for d, a, b in zip(doc[~bad].tolist(), start[~bad].tolist(), end[~bad].tolist(), strict=True):
+        for d, a, b in zip(doc[~bad].tolist(), m.line_start[~bad].tolist(), m.line_end[~bad].tolist(), strict=True):
             parts[d].append(raw[a:b])
         columns["cleaned"] = pa.array([b"\n".join(x).decode() for x in parts], pa.string())
     return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
-from .textblock import SPACE, U64, Words, between, covered, mix, owner, prefix, repeated, runs, spans, total
+from .textblock import LETTER, LOWER, SPACE, U64, Words, covered, mix, owner, prefix, repeated, runs, spans, within
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -27,91 +25,99 @@ NEWLINE = 10
 #: Ends of a sentence for a line's last character; the longer ones are the last byte of a closing quote or an ellipsis.
 TERMINAL = np.zeros(256, bool)
 TERMINAL[list(b".!?:;\"')]}\xbb\x9d\xa6")] = True
-BOILERPLATE = re.compile(
-    rb"all rights reserved|terms of (?:use|service)|privacy policy|cookie|enable javascript|javascript is (?:disabled|required)"
-    rb"|lorem ipsum|click here|sign up|subscribe to|skip to content|back to top|copyright \d|\xc2\xa9 ?\d{4}|powered by|share on",
-    re.I,
-)
-
-
-def per_text(data: np.ndarray, off: np.ndarray) -> tuple[Words, dict[str, np.ndarray]]:
+OTHER = ~LETTERS & ~SPACE & ~TAIL
+#: Phrases that only page furniture has, in lower case.
+BOILERPLATE = (
+    b"all rights reserved", b"terms of use", b"terms of service", b"privacy policy", b"cookie", b"enable javascript", b"lorem ipsum", b"click here",
+    b"subscribe to", b"skip to content", b"back to top", b"powered by", b"share on", "\u00a9 20".encode(), b"copyright 20",
+)
+
+
+class Tally:
+    """Where the bytes of each class stand, so that any range's counts are two binary searches. Dense classes are taken as complements of sparse ones."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = data
+        self._at: dict[str, np.ndarray] = {}
+
+    def __call__(self, kind: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if kind == "letters":
+            return end - start - sum(self(k, start, end) for k in ("space", "tail", "other"))
+        if kind == "word_chars":
+            return end - start - self("space", start, end) - self("tail", start, end)
+        if kind == "chars":
+            return end - start - self("tail", start, end)
+        if kind not in self._at:
+            self._at[kind] = np.flatnonzero(CLASSES[kind][self.data])
+        return within(self._at[kind], start, end)
+
+
+CLASSES = {"space": SPACE, "tail": TAIL, "other": OTHER, "symbol": SYMBOL, "upper": UPPER, "digit": DIGIT, "stop": STOP, "bar": BAR, "shout": np.arange(256) == 33}
+
+
+class Measured:
+    """Words, lines and byte classes of one piece, found once."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray):
+        self.data, self.off, self.n = data, off, len(off) - 1
+        self.words, self.tally = Words(data, off), Tally(data)
+        self.sums = prefix(LETTER[data])
+        self.hashes = spans(self.sums, self.words.start, self.words.end)
+        start, end = runs(data != NEWLINE, off)
+        words = within(self.words.start, start, end)
+        full = words > 0
+        self.line_start, self.line_end, self.line_words = start[full], end[full], words[full]
+        self.line_doc = owner(off, self.line_start)
+        key = spans(self.sums, self.line_start, self.line_end) + mix(self.line_doc.astype(U64) + U64(1))
+        self.line_again = np.ones(len(key), bool)
+        self.line_again[np.unique(key, return_index=True)[1]] = False
+
+
+def per_text(m: Measured) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and further counts of each text."""
-    n = len(off) - 1
-    words = Words(data, off)
-    inside = ~SPACE[data]
-    out = {
+    a, b, words = m.off[:-1], m.off[1:], m.words
+    salt = mix(words.doc.astype(U64) + U64(1))
+    at, window = words.windows(m.hashes, 5)
+    twice = repeated(window + salt[at])
+    again = np.flatnonzero(covered(len(words), at[twice], 5))
+    first = np.unique(m.hashes + salt, return_index=True)[1]
+    return {
         "n_words": words.counts(),
-        "word_chars": total(inside & ~TAIL[data], off),
-        "n_symbols": total(SYMBOL[data], off),
-        "n_upper": total(UPPER[data], off),
-        "n_letters": total(LETTERS[data], off),
-        "n_digits": total(DIGIT[data], off),
-        "n_stops": total(STOP[data], off),
-        "n_chars": total(~TAIL[data], off),
+        "word_chars": m.tally("word_chars", a, b),
+        "n_symbols": m.tally("symbol", a, b),
+        "n_upper": m.tally("upper", a, b),
+        "n_letters": m.tally("letters", a, b),
+        "n_digits": m.tally("digit", a, b),
+        "n_stops": m.tally("stop", a, b),
+        "n_bars": m.tally("bar", a, b),
+        "n_shouts": m.tally("shout", a, b),
+        "n_chars": m.tally("chars", a, b),
+        "n_lines": np.bincount(m.line_doc, minlength=m.n),
+        "n_dup_lines": np.bincount(m.line_doc[m.line_again], minlength=m.n),
+        "n_repeat_words": within(again, words.at[:-1], words.at[1:]),
+        "n_distinct": np.bincount(words.doc[first], minlength=m.n),
     }
-    start, end = lines(data, off)
-    doc = owner_of_lines(off, start, end)
-    full = between(inside, start, end) > 0
-    key = spans(prefix_bytes(data), start[full], end[full]) + mix(doc[full].astype(U64) + U64(1))
-    _, first = np.unique(key, return_index=True)
-    held = np.bincount(doc[full], minlength=n)
-    out["n_lines"] = held
-    out["n_dup_lines"] = held - np.bincount(doc[full][first], minlength=n)
-    hashes = words.hashes()
-    at, window = words.windows(hashes, 5)
-    twice = repeated(window + mix(words.doc[at].astype(U64) + U64(1)))
-    out["n_repeat_words"] = total(covered(len(words), at[twice], 5), words.at)
-    key = hashes + mix(words.doc.astype(U64) + U64(1))
-    _, first = np.unique(key, return_index=True)
-    out["n_distinct"] = np.bincount(words.doc[first], minlength=n)
-    return words, out
-
-
-def prefix_bytes(data: np.ndarray) -> np.ndarray:
-    from .textblock import LETTER
-
-    return prefix(LETTER[data])
-
-
-def lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the \\n-split lines that hold a byte, in order."""
-    return runs(data != NEWLINE, off)
-
-
-def owner_of_lines(off: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return owner(off, start)
-
-
-def failing_lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and word counts of the lines with words, and a code: 0 good, 1 navigation, 2 symbols, 3 shouting, 4 fragment, 5 boilerplate, 6 repeated."""
-    start, end = lines(data, off)
-    inside = ~SPACE[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    at = off[:-1][off[:-1] < len(data)]
-    first[at] = inside[at]
-    n_words = between(first, start, end)
-    keep = n_words > 0
-    start, end, n_words = start[keep], end[keep], n_words[keep]
+
+
+def failing_lines(m: Measured) -> np.ndarray:
+    """A code for each line with words: 0 good, 1 navigation, 2 symbols, 3 shouting, 4 fragment, 5 boilerplate, 6 repeated."""
+    start, end, n_words = m.line_start, m.line_end, m.line_words
     code = np.zeros(len(start), np.int8)
     if not len(start):
-        return start, end, n_words, code
-    bars, symbols = between(BAR[data], start, end), between(SYMBOL[data], start, end)
-    letters, upper = between(LETTERS[data], start, end), between(UPPER[data], start, end)
-    stops, marks = between(STOP[data], start, end), between(data == 33, start, end)
-    place = np.flatnonzero(inside)
-    last = data[place[np.searchsorted(place, end) - 1]]
-    doc = owner(off, start)
-    key = spans(prefix_bytes(data), start, end) + mix(doc.astype(U64) + U64(1))
-    again = np.ones(len(start), bool)
-    again[np.unique(key, return_index=True)[1]] = False
-    code[again] = 6
-    for m in BOILERPLATE.finditer(data.tobytes()):
-        i = int(np.searchsorted(start, m.start(), "right")) - 1
-        if i >= 0 and m.start() < end[i]:
-            code[i] = 5
+        return code
+    bars, symbols, stops, shouts, letters, upper = (m.tally(k, start, end) for k in ("bar", "symbol", "stop", "shout", "letters", "upper"))
+    last = m.data[m.words.end[np.searchsorted(m.words.start, end) - 1] - 1]
+    code[m.line_again] = 6
+    low = LOWER[m.data].tobytes()
+    for phrase in BOILERPLATE:
+        at = low.find(phrase)
+        while at >= 0:
+            i = int(np.searchsorted(start, at, "right")) - 1
+            if i >= 0 and at + len(phrase) <= end[i]:
+                code[i] = 5
+            at = low.find(phrase, at + 1)
     code[(n_words < 4) & ~TERMINAL[last] & (stops == 0)] = 4
-    code[(n_words >= 4) & ((upper * 10 > letters * 7) & (letters > 0) | (marks * 2 > n_words))] = 3
+    code[(n_words >= 4) & ((upper * 10 > letters * 7) & (letters > 0) | (shouts * 2 > n_words))] = 3
     code[symbols * 5 > n_words] = 2
     code[(bars >= 3) & (bars * 5 > n_words)] = 1
-    return start, end, n_words, code
+    return code

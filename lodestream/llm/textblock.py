@@ -146,17 +146,9 @@ class Words:
         return at, spans(prefix(hashes), at, at + k)
 
 
-def total(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Sum of flags in each [off[i], off[i + 1])."""
-    c = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=c[1:])
-    return c[off[1:]] - c[off[:-1]]
-
-
-def between(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    c = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=c[1:])
-    return c[end] - c[start]
+def within(places: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many of the sorted places lie in each [start, end)."""
+    return np.searchsorted(places, end) - np.searchsorted(places, start)
 
 
 def covered(n: int, start: np.ndarray, length: int) -> np.ndarray:
@@ -180,9 +172,15 @@ def repeated(keys: np.ndarray) -> np.ndarray:
 
 
 def member(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Which keys are in the sorted array `of`."""
-    if not len(of):
-        return np.zeros(len(keys), bool)
-    at = np.searchsorted(of, keys)
+    """Which keys are in the sorted array `of`. A table of low bits settles most that are not."""
+    out = np.zeros(len(keys), bool)
+    if not len(of) or not len(keys):
+        return out
+    bits = U64((1 << max(10, min(26, (16 * len(of)).bit_length()))) - 1)
+    low = np.zeros(int(bits) + 1, bool)
+    low[of & bits] = True
+    maybe = np.flatnonzero(low[keys & bits])
+    at = np.searchsorted(of, keys[maybe])
     at[at == len(of)] = 0
-    return of[at] == keys
+    out[maybe] = of[at] == keys[maybe]
+    return out
