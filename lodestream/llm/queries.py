@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules, substring_dedup, suffix_dedup
+from . import bpe, html_text, language, quality_model, quality_rules, substring_dedup, suffix_dedup, url_filter
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,13 +21,58 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.apply(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.apply(table(spark, sf_dir, "pages"))
+
+
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def word_bpe() -> str:
+    """The public word-level vocabulary's file."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.apply(table(spark, sf_dir, "documents"), word_bpe())
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: their lang column is the declared language and their source the host; they have no address suffix."""
+    return language.apply(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source").withColumnRenamed("id", "doc_id")
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages: the markup's lang attribute, the address suffix and the host; the text is the extracted main text."""
+    pages = table(spark, sf_dir, "pages")
+    declared = F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z]+)", 1).alias("declared")
+    host = url_filter.parts(F.col("url"))[0].alias("host")
+    told = pages.select("page_id", host, declared).withColumn("suffix", F.regexp_extract("host", r"([^.]+)$", 1))
+    texts = html_text.apply(pages).select("page_id", "text").join(told, "page_id")
+    return language.apply(texts, "page_id", "text", "declared", "host", "suffix").withColumnRenamed("id", "page_id")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.apply(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op4_html_text": op4_html_text,
+    "op5_quality_model": op5_quality_model,
+    "op6_bpe": op6_bpe,
     "op7_quality_rules": op7_quality_rules,
+    "op8_language": op8_language,
+    "language_of_pages": language_of_pages,
+    "op10_url_filter": op10_url_filter,
 }
 ORACLE: dict[str, str] = {}
