@@ -125,14 +125,14 @@ def bucket_of(values: np.ndarray, n: int) -> np.ndarray:
 class Sender:
     """Gathers entries of many blocks and yields them sorted and cut by bucket. `extra` columns go along with each fingerprint."""
 
-    def __init__(self, n_buckets: int, extra: dict[str, type]):
-        self.n, self.extra, self.held, self.parts = n_buckets, extra, 0, []
+    def __init__(self, n_buckets: int, extra: dict[str, type], flush_at: int = FLUSH):
+        self.n, self.extra, self.flush_at, self.held, self.parts = n_buckets, extra, flush_at, 0, []
 
     def add(self, values: np.ndarray, **extra: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(values):
             self.parts.append((values, extra))
             self.held += len(values)
-            if self.held >= FLUSH:
+            if self.held >= self.flush_at:
                 yield self.flush()
 
     def flush(self) -> pa.RecordBatch:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, language, quality_model, quality_rules, substring_dedup, suffix_dedup, url_filter
+from . import bpe, decontaminate, html_text, jaccard_join, language, quality_model, quality_rules, substring_dedup, suffix_dedup, url_filter
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.apply(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.apply(table(spark, sf_dir, "documents"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.apply(table(spark, sf_dir, "pages"))
 
@@ -60,6 +64,10 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.apply(texts, "page_id", "text", "declared", "host", "suffix").withColumnRenamed("id", "page_id")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.apply(table(spark, sf_dir, "pages"))
 
@@ -67,12 +75,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_html_text": op4_html_text,
     "op5_quality_model": op5_quality_model,
     "op6_bpe": op6_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op8_language": op8_language,
     "language_of_pages": language_of_pages,
+    "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
 }
 ORACLE: dict[str, str] = {}
