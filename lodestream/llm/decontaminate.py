@@ -256,7 +256,19 @@ def _shards(rows: Iterator, size: int) -> Iterator[list[tuple]]:
         yield held
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents without the contaminated ones, with all their columns. A null id is never removed."""
-    found = apply(docs, items, **options).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """The documents without the contaminated ones, with all their columns; nothing is shuffled."""
+    spark = docs.sparkSession
+    for shard in _shards(items.select("item_id", "text").toLocalIterator(), shard_items):
+        index = spark.sparkContext.broadcast(Index(shard, threshold=threshold))
+
+        def drop(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(batch.schema.names.index(text_col))
+                for lo, hi, data, off in pieces(pc.utf8_lower(texts)):
+                    good = np.ones(hi - lo, bool)
+                    good[[t for t, *_ in search(index.value, *tokens(data, off), overlap)]] = False
+                    yield batch.slice(lo, hi - lo).filter(pa.array(good))
+
+        docs = docs.mapInArrow(drop, docs.schema)
+    return docs

@@ -316,3 +316,12 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     clean = lambda c: F.when(c != NO_ID, c)
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(clean(F.col("doc_id")).alias("doc_id"), "n_shingles", clean(alone).alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 80) -> DataFrame:
+    """One document of each component, that of the smallest id, with all its columns."""
+    found = keep(apply(docs, id_col, text_col, shingle, threshold), "found")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    out = docs.join(kept.withColumnRenamed("doc_id", "kept_id"), docs[id_col].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    twice = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return out.dropDuplicates([id_col]) if twice else out
