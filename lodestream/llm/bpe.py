@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lexicon import Lexicon, build
-from .tables import shared_dir
+from .tables import keep, shared_dir
 
-MAX_WORDS, MEMO, FLUSH = 1 << 16, 300_000, 400_000
+MAX_WORDS, MEMO, FLUSH = 1 << 16, 220_000, 400_000
 #: Characters for which Unicode composition changes nothing and lower case is one character.
 PLAIN = re.compile("[\x00-\x1b\x20-\x84\x86-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*")
 _LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -61,8 +61,9 @@ class Vocabulary:
         self.ids: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
-        self.none = len(pairs)
+        # a merge in numbers: ids of the pair in one key, its rank and the id of the result
+        self.merges = {self.ids[a] << 20 | self.ids[b]: (i << 20) + self.ids[a + b] for i, (a, b) in enumerate(pairs) if a in self.ids and b in self.ids and a + b in self.ids}
+        self.none = 1 << 60
         self.special = {t["content"]: t["id"] for t in read["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.tokens = {i: t for t, i in (self.ids | self.special).items()}
@@ -71,22 +72,24 @@ class Vocabulary:
 
     def merge(self, word: str) -> list[int]:
         """Merges a byte-level word: always the pair of the lowest rank, leftmost first."""
-        parts = [*word[:-1], word[-1] + self.end]
-        get, none = self.ranks.get, self.none
-        ranks = [get(p, none) for p in zip(parts, parts[1:], strict=False)]
+        ids = self.ids
+        parts = [ids[c] for c in word[:-1] if c in ids]
+        if (last := word[-1] + self.end) in ids:
+            parts.append(ids[last])
+        get, none = self.merges.get, self.none
+        ranks = [get(a << 20 | b, none) for a, b in zip(parts, parts[1:], strict=False)]
         while ranks:
             best = min(ranks)
             if best == none:
                 break
             i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
+            parts[i] = best & 0xFFFFF
+            del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get((parts[i - 1], parts[i]), none)
+                ranks[i - 1] = get(parts[i - 1] << 20 | parts[i], none)
             if i < len(ranks):
-                ranks[i] = get((parts[i], parts[i + 1]), none)
-        ids = self.ids
-        return [ids[p] for p in parts if p in ids]
+                ranks[i] = get(parts[i] << 20 | parts[i + 1], none)
+        return parts
 
     def bytes_of(self, piece: str) -> str:
         """A piece in byte letters."""
@@ -105,7 +108,7 @@ class Encoder(dict):
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, memo: int = MEMO):
         super().__init__()
-        self.vocabulary, self.lexicon, self.memo = vocabulary, lexicon, memo
+        self.vocabulary, self.lexicon, self.memo, self.old = vocabulary, lexicon, memo, {}
 
     def word(self, word: str) -> list[int]:
         """Ids of a byte-level word: from the lexicon, or merged."""
@@ -113,8 +116,13 @@ class Encoder(dict):
         return self.vocabulary.merge(word) if found is None else found
 
     def __missing__(self, chunk: str) -> tuple[str, str]:
-        if len(self) >= self.memo:
+        if len(self) >= self.memo:  # what was not asked for since the last change of generations goes
+            self.old = dict(self)
             self.clear()
+        value = self.old.get(chunk)
+        if value is not None:
+            self[chunk] = value
+            return value
         v = self.vocabulary
         ids = [i for piece in PIECE.findall(chunk) for i in self.word(v.bytes_of(piece))]
         value = " ".join(map(str, ids)), " ".join([v.tokens[i] for i in ids])
@@ -153,7 +161,7 @@ def words_of(vocabulary: Vocabulary, texts: Counter) -> Counter:
 
 
 def frequent(rows: DataFrame, max_words: int) -> list[str]:
-    """The most frequent words of all plain texts; ties go to the smaller word."""
+    """The most frequent words of all plain texts, at most `max_words`; words of about the same count are all in or all out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -173,8 +181,16 @@ def frequent(rows: DataFrame, max_words: int) -> list[str]:
         if held:
             yield out()
 
-    counted = rows.select("text").mapInArrow(count, "word string, n long").where(F.length("word") < 64).groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(max_words).select("word").collect()]
+    counted = keep(rows.select("text").mapInArrow(count, "word string, n long").where(F.length("word") < 64).groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # classes of counts, so that the driver sees a bounded histogram and then only the words it takes
+    step = F.floor(F.log2("n") * 64).cast("long")
+    least, held = None, 0
+    for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        held += r.words
+        if held > max_words:
+            break
+        least = r.step
+    return [] if least is None else [r.word for r in counted.where(step >= least).select("word").collect()]
 
 
 def compiled(vocabulary: Vocabulary, words: list[str]) -> bytes:
