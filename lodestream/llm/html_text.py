@@ -49,6 +49,7 @@ TABLE = (
     ((60, 0.0, 8, 0.0, 45, 0.0, 0.5, 0, 0), 1), ((45, 0.1, 60, 0.0, 50, 0.0, 0.5, 0, 0), 1), ((25, 0.0, 45, 0.0, 3, 1.0, 0.5, 0, 0), 1), ((12, 0.0, 45, 0.0, 40, 0.0, 0.5, 0, 0), 1), ((7, 0.0, 2, 1.0, 60, 0.0, 0.5, 0, 1), 1), ((16, 0.0, 0, 0.0, 0, 0.0, 0.5, 0, 0), 1),
     ((4, 0.0, 30, 0.0, 25, 0.0, 0.5, 0, 0), 1), ((3, 1.0, 3, 1.0, 3, 1.0, 0.5, 0, 0), 0), ((1, 1.0, 0, 0.0, 2, 1.0, 0.5, 0, 0), 0), ((8, 0.9, 40, 0.0, 3, 1.0, 0.5, 0, 0), 0), ((20, 0.8, 4, 1.0, 5, 1.0, 0.5, 0, 0), 0), ((3, 0.0, 2, 1.0, 2, 1.0, 0.5, 0, 0), 0),
     ((2, 0.0, 0, 0.0, 3, 1.0, 0.5, 0, 0), 0), ((6, 0.0, 40, 0.0, 0, 0.0, 0.5, 0, 0), 1), ((35, 0.0, 6, 1.0, 20, 0.0, 0.5, 0, 0), 1),
+    ((1, 1.0, 1, 1.0, 18, 0.0, 0.5, 0, 0), 0), ((2, 1.0, 3, 1.0, 60, 0.0, 0.5, 0, 0), 0), ((4, 1.0, 60, 0.0, 40, 0.0, 0.5, 0, 0), 0), ((3, 0.9, 0, 0.0, 30, 0.0, 0.5, 0, 0), 0), ((12, 1.0, 5, 0.0, 9, 0.0, 0.5, 0, 0), 0),
 )
 
 #: Furniture is dropped and article blocks are kept whatever their size and neighbours: the same labels on a grid of the other features.
