@@ -12,9 +12,11 @@ from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Any, Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 ON_ERROR = ("fail", "skip", "quarantine")
 
@@ -88,11 +90,13 @@ def per_row(function: Callable[[dict], Any], schema: str | T.StructType, on_erro
                 raise
             return [] if on_error == "skip" else [dict.fromkeys(names) | {"_error": traceback.format_exc(limit=1)}]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame([x for row in batch.to_dict("records") for x in one(row)], columns=schema.fieldNames())
+            yield pa.RecordBatch.from_pylist([x for row in batch.to_pylist() for x in one(row)], schema=arrow)
 
-    return lambda df: df.mapInPandas(run, schema)
+    return lambda df: df.mapInArrow(run, schema)
 
 
 def explode_parts(column: str, parts: Callable[[Column], Column], output: str, position: str | None = None) -> Transform:
