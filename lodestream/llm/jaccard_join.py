@@ -15,9 +15,10 @@ global order of n-grams. Texts with equal sets are one node. Two nodes link when
    unrelated pairs exactly.
 3. Verification: the candidates' sets are cut into `FRAGMENTS` vertical fragments; each fragment's
    overlap is counted on its own and the counts are summed per pair.
-4. A pair of two members that was never compared can only matter when one of them failed
-   against its pivot. Those go through their groups again, against every member whose distance
-   from the same pivot allows a link (the Jaccard distance is a metric).
+4. A pair that was never compared consists of two members of one pivot's groups, and can only
+   matter when one of them failed against that pivot. Those are compared with the other members of
+   their pivots that are outside their component and whose distance from the pivot allows a link
+   (the Jaccard distance is a metric); a pair with several common pivots is taken once.
 5. Connected components of all links.
 
 Copies are collapsed first, with a minimum per set that every task pre-aggregates, so a group of
@@ -40,10 +41,10 @@ from pyspark.sql import functions as F
 
 from .blocks import BUCKET_ENTRIES, NO_ID, Sender, unpack, unplanes
 from .components import components
-from .tables import keep
+from .tables import forget_shuffles, keep
 from .textblock import U64, Words, mix, pieces, prefix, spans
 
-SHINGLE, THRESHOLD, FRAGMENTS = 3, 90, 8
+SHINGLE, THRESHOLD, FRAGMENTS = 3, 90, 4
 SKETCH, FLUSH = ("k0", "k1"), 1 << 20
 SENT = {"ref": np.uint64, "n": np.uint32} | dict.fromkeys(SKETCH, np.uint64)
 
@@ -188,13 +189,12 @@ def grouped(sigs: np.ndarray) -> Iterator[tuple[int, int]]:
         yield int(cut[i]), int(cut[i + 1])
 
 
-def candidates(rows: DataFrame, entries: float, threshold: int, again: bool) -> DataFrame:
-    """Pairs (ref_a, ref_b) to verify; a reference is the first half of a key. `again`: only members that failed, against all others outside their component."""
-    sent = SENT | ({"component": np.int64, "failed": np.uint8, "pivot": np.uint64, "far": np.float64} if again else {})
+def candidates(rows: DataFrame, entries: float, threshold: int) -> DataFrame:
+    """Pairs (pivot, member) of references to verify; a reference is the first half of a key."""
     n_buckets = max(1, math.ceil(entries * 4 / BUCKET_ENTRIES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(n_buckets, sent, FLUSH)
+        sender = Sender(n_buckets, SENT, FLUSH)
         for batch in batches:
             name = batch.schema.names.index
             blobs = batch.column(name("sigs")).to_pylist()
@@ -204,51 +204,64 @@ def candidates(rows: DataFrame, entries: float, threshold: int, again: bool) ->
             blobs = [blobs[i] for i in take]
             count = np.array([len(x) // 8 for x in blobs], np.int64)
             sketch = np.frombuffer(b"".join(batch.column(name("sketch")).to_pylist()), U64).reshape(-1, 2)[take]
-            more = {"ref": np.frombuffer(b"".join(keys_[i][:8] for i in take), U64)} | {k: sketch[:, i] for i, k in enumerate(SKETCH)}
-            more |= {k: batch.column(name(k)).to_numpy(zero_copy_only=False)[take] for k in sent if k not in more}
+            more = {"ref": np.frombuffer(b"".join(keys_[i][:8] for i in take), U64), "n": batch.column(name("n")).to_numpy()[take]} | {k: sketch[:, i] for i, k in enumerate(SKETCH)}
             yield from sender.add(np.frombuffer(b"".join(blobs), U64), **{k: np.repeat(v, count) for k, v in more.items()})
         if sender.held:
             yield sender.flush()
 
     def pair(table: pa.Table) -> pa.Table:
         sigs = np.concatenate([unpack(x.as_py()) for x in table.column("fps")])
-        col = {k: np.concatenate([unplanes(x.as_py(), kind) for x in table.column(k)]) for k, kind in sent.items()}
+        col = {k: np.concatenate([unplanes(x.as_py(), kind) for x in table.column(k)]) for k, kind in SENT.items()}
         order = np.lexsort((col["ref"], col["n"], sigs))
         sigs, col = sigs[order], {k: v[order] for k, v in col.items()}
         new = np.ones(len(sigs), bool)
         new[1:] = (sigs[1:] != sigs[:-1]) | (col["ref"][1:] != col["ref"][:-1])
         sigs, col = sigs[new], {k: v[new] for k, v in col.items()}
         ref, sketch, n = col["ref"], np.stack([col[k] for k in SKETCH], 1), col["n"].astype(np.int64)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        pivot, member = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in grouped(sigs):
-            if not again:
-                for p, members in star(sketch[lo:hi], n[lo:hi], threshold):
-                    a.append(np.full(len(members), lo + p))
-                    b.append(lo + members)
-                continue
-            for f in np.flatnonzero(col["failed"][lo:hi]).tolist():
-                same_pivot = col["pivot"][lo:hi] == col["pivot"][lo + f]
-                too_far = same_pivot & (np.abs(col["far"][lo:hi] - col["far"][lo + f]) > (100 - threshold) / 100 + 1e-9)
-                members = np.flatnonzero(close(sketch[lo:hi], n[lo:hi], f, threshold) & (col["component"][lo:hi] != col["component"][lo + f]) & ~too_far)
-                a.append(np.full(len(members), lo + f))
-                b.append(lo + members)
-        a, b = np.concatenate(a), np.concatenate(b)
-        pairs = np.unique(np.stack([np.minimum(ref[a], ref[b]), np.maximum(ref[a], ref[b])], 1), axis=0)
+            for p, members in star(sketch[lo:hi], n[lo:hi], threshold):
+                pivot.append(np.full(len(members), lo + p))
+                member.append(lo + members)
+        pairs = np.unique(np.stack([ref[np.concatenate(pivot)], ref[np.concatenate(member)]], 1), axis=0)
         raw = [np.ascontiguousarray(pairs[:, i]).tobytes() for i in (0, 1)]
         return pa.table({k: pa.array([x[i : i + 8] for i in range(0, len(x), 8)], pa.binary()) for k, x in zip(("ref_a", "ref_b"), raw, strict=True)})
 
-    schema = "bucket long, fps binary, " + ", ".join(f"{k} binary" for k in sent)
+    schema = "bucket long, fps binary, " + ", ".join(f"{k} binary" for k in SENT)
     return rows.mapInArrow(send, schema).groupBy("bucket").applyInArrow(pair, "ref_a binary, ref_b binary").distinct()
 
 
+def uncompared(stars: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) with a common pivot, of which one failed against it, in different components.
+
+    `stars` has (pivot, key, far, linked), `members` (key, component, n, k0, k1).
+    """
+    told = stars.join(members, "key").join(stars.groupBy("key").agg(F.collect_set("pivot").alias("pivots")), "key")
+    fields = ("key", "component", "n", *SKETCH, "far", "linked", "pivots")
+    a, b = (told.select(F.col("pivot").alias(f"p_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in fields]) for x in "ab")
+    a = a.where("not linked_a")
+    total = F.col("n_a") + F.col("n_b")
+    least = F.greatest(sum((F.bit_count(F.col(f"{k}_a").bitwiseXOR(F.col(f"{k}_b"))) for k in SKETCH), F.lit(0)), F.abs(F.col("n_a") - F.col("n_b")))
+    near = (
+        (F.col("p_a") == F.col("p_b"))
+        & (F.col("component_a") != F.col("component_b"))
+        & (F.abs(F.col("far_a") - F.col("far_b")) <= (100 - threshold) / 100 + 1e-9)
+        & (least * (100 + threshold) <= (100 - threshold) * total)
+        & (F.col("linked_b") | (F.col("key_a") < F.col("key_b")))
+        & (F.array_min(F.array_intersect("pivots_a", "pivots_b")) == F.col("p_a"))
+    )
+    pairs = a.join(b, near)
+    return pairs.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
+
+
 def named(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     """Pairs of whole keys. Two sets whose references agree by chance only make a pair more to verify."""
     a, b = (firsts.select(F.col("key").alias(k), F.substring("key", 1, 8).alias(f"ref_{k}")) for k in "ab")
     return pairs.join(a, "ref_a").join(b, "ref_b").select("a", "b")
 
 
-def fragments(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(key, part, grams) of the wanted sets, each from the one text that stands for it."""
+def fragments(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, shingle: int, twice: bool) -> DataFrame:
+    """(key, part, grams) of the wanted sets, each from the one text that stands for it. `twice`: ids repeat."""
     rows = firsts.join(wanted, "key", "left_semi").select("key", "doc_id")
     texts = docs.join(rows, docs["doc_id"].eqNullSafe(rows["doc_id"])).select("key", "text")
 
@@ -259,7 +272,7 @@ def fragments(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, shingle: in
                 named = batch.column(0).slice(lo, hi - lo).to_pylist()
                 found = keys(grams, at)
                 doc = np.repeat(np.arange(hi - lo), np.diff(at))
-                cell = doc * FRAGMENTS + (grams >> U64(61)).astype(np.int64)
+                cell = doc * FRAGMENTS + ((grams >> U64(32)) * U64(FRAGMENTS) >> U64(32)).astype(np.int64)
                 start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
                 ok = [named[c // FRAGMENTS] == found[c // FRAGMENTS].tobytes() for c in cell[start].tolist()]
                 bounds = np.append(start, len(cell))
@@ -267,7 +280,8 @@ def fragments(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, shingle: in
                 batch_out = pa.RecordBatch.from_arrays([pa.array([named[c // FRAGMENTS] for c in cell[start].tolist()], pa.binary()), pa.array(cell[start] % FRAGMENTS, pa.int32()), values], names=["key", "part", "grams"])
                 yield batch_out.filter(pa.array(ok, pa.bool_()))
 
-    return texts.mapInArrow(cut, "key binary, part int, grams array<long>").dropDuplicates(["key", "part"])
+    out = texts.mapInArrow(cut, "key binary, part int, grams array<long>")
+    return out.dropDuplicates(["key", "part"]) if twice else out
 
 
 def verified(pairs: DataFrame, parts: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -281,15 +295,20 @@ def verified(pairs: DataFrame, parts: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
-    scheme = Scheme(threshold)
+    scheme, spark = Scheme(threshold), docs.sparkSession
     docs = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     rows = keep(described(docs, shingle, scheme), "sets")
     firsts = keep(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "firsts")
     entries = (rows.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0) / 8
-    pairs = keep(named(candidates(rows, entries, threshold, again=False), firsts), "pairs")
+    stars = keep(named(candidates(rows, entries, threshold), firsts), "stars")
+    forget_shuffles(spark)
+    pairs = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    twice = rows.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    parts = keep(fragments(docs, firsts, stars.select(F.explode(F.array("a", "b")).alias("key")).distinct(), shingle, twice), "fragments")
+    forget_shuffles(spark)
     linked = (F.col("common") * (100 + threshold) >= threshold * (F.col("na") + F.col("nb"))).alias("linked")
-    parts = keep(fragments(docs, firsts, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), shingle), "fragments")
     checked = keep(verified(pairs, parts, firsts).select("a", "b", linked, (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far")), "checked")
+    forget_shuffles(spark)
     ids = firsts.select("key", "doc_id")
 
     def graph(links: DataFrame) -> DataFrame:
@@ -299,15 +318,12 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     links = checked.where("linked").select("a", "b")
     grouped_ = keep(graph(links), "components")
     if checked.where("not linked").limit(1).count():
-        # what each set is known to be away from: the nearest set it was compared with
-        seen = checked.select(F.col("a").alias("key"), F.col("b").alias("other"), "linked", "far").unionByName(checked.select(F.col("b").alias("key"), F.col("a").alias("other"), "linked", "far"))
-        known = seen.groupBy("key").agg(F.max((~F.col("linked")).cast("int")).alias("failed"), F.min_by(F.struct(F.xxhash64("other").alias("pivot"), "far"), F.struct("far", "other")).alias("p"))
-        # a member that was compared with no pivot was a pivot of all its groups, and so was compared with everyone there
-        more = rows.join(firsts.join(known, "key").select("key", "doc_id", "failed", "p"), ["key", "doc_id"]).join(grouped_, F.col("doc_id") == grouped_["node"], "left")
-        more = more.select("key", "n", "sketch", "sigs", F.coalesce("component", "doc_id").alias("component"), "failed", "p.pivot", "p.far")
-        rest = keep(named(candidates(more, entries, threshold, again=True), firsts).join(checked, ["a", "b"], "left_anti"), "rest")
-        missing = rest.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(parts.select("key").distinct(), "key", "left_anti")
-        parts = parts.unionByName(keep(fragments(docs, firsts, missing, shingle), "fragments"))
+        both = checked.unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b"), "linked", "far"))
+        known = keep(stars.join(both, ["a", "b"]).select(F.col("a").alias("pivot"), F.col("b").alias("key"), "far", "linked"), "known")
+        word = lambda i: F.conv(F.hex(F.substring("sketch", i, 4)), 16, 10).cast("long")
+        sketch = rows.join(firsts, ["key", "doc_id"]).select("key", "doc_id", rows["n"], *[(F.shiftleft(word(8 * i + 1), 32).bitwiseOR(word(8 * i + 5))).alias(k) for i, k in enumerate(SKETCH)]).distinct()
+        members = sketch.join(grouped_, F.col("doc_id") == grouped_["node"], "left").select("key", F.coalesce("component", "doc_id").alias("component"), "n", *SKETCH)
+        rest = keep(uncompared(known, members, threshold).join(checked, ["a", "b"], "left_anti"), "rest")
         found = keep(verified(rest, parts, firsts).where(linked).select("a", "b"), "found")
         if found.limit(1).count():
             grouped_ = keep(graph(links.unionByName(found)), "components")
