@@ -4,21 +4,20 @@ A text's set is its distinct `shingle`-word shingles, as fingerprints; their num
 global order of n-grams. Texts with equal sets are one node. Two nodes link when
 100 * intersection >= threshold * union.
 
-1. Candidates. Linked sets of size n and m differ in at most h = (100 - threshold) / (100 +
-   threshold) * (n + m) n-grams. Sizes are cut into classes such that linked sets are in the same
-   class or in neighbouring ones, and for each class the order is cut into h + 1 + spare fragments:
-   linked sets agree exactly on more than `spare` fragments. Each set sends one signature per
-   fragment. Fragments with very few n-grams, which unrelated sets share by a common phrase, are
-   not sent while there are no more of them than `spare`, so that no link is lost.
-2. Members of a signature's group are compared with one pivot at a time, not with each other. A
-   parity sketch of 256 bits bounds the difference of two sets from below and drops most
-   unrelated pairs exactly.
-3. Verification: the candidates' sets are cut into `FRAGMENTS` vertical fragments; each fragment's
-   overlap is counted on its own and the counts are summed per pair.
+1. The global order puts n-grams that are seldom first: a table of `CELLS` counters, summed over
+   all texts, gives each n-gram a class of frequency, and fingerprints order a class. The table has
+   a fixed size; however full it is, the order is the same everywhere, which is all that
+   exactness needs. It only serves to keep n-grams of very common passages out of step 2.
+2. Candidates. Linked sets of n n-grams share one among the first n - ceil(n * threshold / 100) + 1
+   of each in this order, so only these prefixes are exchanged. Members of an n-gram's group are
+   paired with one pivot at a time, the smallest first, not with each other.
+3. Verification. A parity sketch of 1024 bits bounds the difference of two sets from below and
+   drops pairs that cannot link. The other sets are cut into `FRAGMENTS` vertical fragments of the
+   order of fingerprints; each fragment's overlap is counted on its own and summed per pair.
 4. A pair that was never compared consists of two members of one pivot's groups, and can only
    matter when one of them failed against that pivot. Those are compared with the other members of
-   their pivots that are outside their component and whose distance from the pivot allows a link
-   (the Jaccard distance is a metric); a pair with several common pivots is taken once.
+   their pivots that are outside their component, unless sketches or distances from the pivot (the
+   Jaccard distance is a metric) rule a link out; a pair with several pivots is taken once.
 5. Connected components of all links.
 
 Copies are collapsed first, with a minimum per set that every task pre-aggregates, so a group of
@@ -36,7 +35,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BUCKET_ENTRIES, NO_ID, Sender, unpack, unplanes
@@ -45,58 +45,9 @@ from .tables import forget_shuffles, keep
 from .textblock import U64, Words, mix, pieces, prefix, spans
 
 SHINGLE, THRESHOLD, FRAGMENTS = 3, 90, 4
-SKETCH, FLUSH = ("k0", "k1"), 1 << 20
-SENT = {"ref": np.uint64, "n": np.uint32} | dict.fromkeys(SKETCH, np.uint64)
-
-
-class Scheme:
-    """Size classes and their numbers of fragments."""
-
-    def __init__(self, threshold: int):
-        if not 50 <= threshold < 100:
-            raise ValueError("threshold must be a percentage from 50 to 99")
-        self.threshold = threshold
-        self.upper, self.parts, self.spare, self.weak = [], [], [], []
-        low = 1
-        while low < 1 << 31:
-            high = low * 100 // threshold
-            most = 2 * high * (100 - threshold) // (100 + threshold)
-            spare = 1 + (most + 1) // 10
-            parts = most + 1 + spare
-            self.upper.append(high)
-            self.parts.append(parts if most else 0)  # sets that must be equal need no signature
-            self.spare.append(spare)
-            self.weak.append(1 if low / parts < 8 else 3)
-            low = high + 1
-        self.upper, self.parts, self.spare, self.weak = (np.array(x, np.int64) for x in (self.upper, self.parts, self.spare, self.weak))
-
-    def signatures(self, grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """From the sorted n-grams of each set: signatures and the sets they belong to."""
-        size = np.diff(at)
-        own = np.searchsorted(self.upper, size)
-        out, of = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-        values, high = mix(grams ^ U64(0xA5A5A5A5A5A5A5A5)), grams >> U64(32)
-        for step in (0, 1):
-            level = own + step
-            parts = np.where(size > 0, self.parts[level], 0)
-            base = np.concatenate([[0], np.cumsum(parts)])
-            whose = np.repeat(np.arange(len(size)), size)
-            used = parts[whose] > 0
-            cell = base[whose[used]] + ((high[used] * parts[whose[used]].astype(U64)) >> U64(32)).astype(np.int64)
-            cut = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-            sums, counts = np.zeros(base[-1], U64), np.zeros(base[-1], np.int64)
-            if len(cut):
-                sums[cell[cut]] = np.add.reduceat(values[used], cut)
-                counts[cell[cut]] = np.diff(np.append(cut, len(cell)))
-            owner = np.repeat(np.arange(len(size)), parts)
-            weak = counts <= self.weak[level[owner]]
-            few = np.bincount(owner[weak], minlength=len(size)) <= self.spare[level]
-            send = ~(weak & few[owner])
-            number = np.arange(base[-1]) - base[owner]
-            salt = mix(level[owner].astype(U64) * U64(1_000_003) + number.astype(U64))
-            out.append(mix(sums + salt)[send])
-            of.append(owner[send])
-        return np.concatenate(out), np.concatenate(of)
+CELLS, GROUPS, WORDS = 1 << 22, 8, 16
+SENT = {"ref": np.uint64, "n": np.uint32}
+SKETCH = tuple(f"k{i}" for i in range(WORDS))
 
 
 def sets(data: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,14 +76,45 @@ def summed(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sketches(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Parity of the number of n-grams in each of 128 cells: a row of two words per set."""
-    word, bit = (grams >> U64(6)) & U64(1), U64(1) << (grams & U64(63))
-    out = np.zeros((len(at) - 1, 2), U64)
-    full = np.flatnonzero(np.diff(at))
-    for w in range(2):
-        if len(full):
-            out[full, w] = np.bitwise_xor.reduceat(np.where(word == U64(w), bit, U64(0)), at[full])
-    return out
+    """Parity of the number of n-grams in each of 1024 cells: a row of 16 words per set."""
+    cell = np.repeat(np.arange(len(at) - 1), np.diff(at)) * WORDS + ((grams >> U64(6)) & U64(WORDS - 1)).astype(np.int64)
+    out = np.zeros((len(at) - 1) * WORDS, U64)
+    np.bitwise_xor.at(out, cell, U64(1) << (grams & U64(63)))
+    return out.reshape(-1, WORDS)
+
+
+def prefixes(grams: np.ndarray, at: np.ndarray, classes: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n-grams of each set in the global order, as many as a linked set must share one of; and their bounds."""
+    size = np.diff(at)
+    length = np.where(size > 0, size + (-threshold * size) // 100 + 1, 0)
+    doc = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((grams, classes[(grams & U64(CELLS - 1)).astype(np.int64)], doc))
+    first = np.arange(len(grams)) - at[doc] < length[doc]
+    return grams[order][first], np.concatenate([[0], np.cumsum(length)])
+
+
+def frequency_classes(docs: DataFrame, shingle: int) -> np.ndarray:
+    """A class of frequency, 0 to 255, for each cell of fingerprints, from all texts. Partial tables are summed in GROUPS groups."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.uint32)
+        for batch in batches:
+            for _, _, data, off in pieces(batch.column(0)):
+                words = Words(data, off, lower=True)
+                cells, n = np.unique((words.windows(words.hashes(), shingle)[1] & U64(CELLS - 1)).astype(np.int64), return_counts=True)
+                counts[cells] += n.astype(np.uint32)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId() % GROUPS], pa.int64()), "sums": pa.array([pa.compress(counts.tobytes(), "zstd", asbytes=True)], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(CELLS, np.uint32)
+        for x in table.column("sums"):
+            total += np.frombuffer(pa.decompress(x.as_buffer(), CELLS * 4, "zstd"), np.uint32)
+        return pa.table({"sums": pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary())})
+
+    total = np.zeros(CELLS, np.float64)
+    for r in docs.select("text").mapInArrow(part, "part long, sums binary").groupBy("part").applyInArrow(add, "sums binary").collect():
+        total += np.frombuffer(pa.decompress(r.sums, CELLS * 4, "zstd"), np.uint32)
+    return np.minimum(8 * np.log2(1 + total), 255).astype(np.uint8)
 
 
 def keys(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -140,46 +122,38 @@ def keys(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([summed(mix(grams + U64(1)), at), summed(mix(grams ^ U64(0x5DEECE66D5DEECE6)), at)], 1)
 
 
-def described(docs: DataFrame, shingle: int, scheme: Scheme) -> DataFrame:
-    """doc_id, key, n, sketch and signatures of every text."""
+def described(docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """doc_id, key, n, sketch and prefix of every text."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, shingle))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = shared.value
         for batch in batches:
             for lo, hi, data, off in pieces(batch.column(1)):
                 grams, at = sets(data, off, shingle)
-                sigs, of = scheme.signatures(grams, at)
-                cut = np.searchsorted(np.sort(of), np.arange(len(off)))
-                sigs = sigs[np.argsort(of, kind="stable")]
-                key, sketch = keys(grams, at), sketches(grams, at)
+                first, cut = prefixes(grams, at, classes, threshold)
+                words = sketches(grams, at).view(np.int64)
                 binary = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), binary(key), pa.array(np.diff(at)), binary(sketch), pa.array([sigs[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())],
-                    names=["doc_id", "key", "n", "sketch", "sigs"],
+                    [batch.column(0).slice(lo, hi - lo), binary(keys(grams, at)), pa.array(np.diff(at)), binary(np.split(first, cut[1:-1])), *[pa.array(words[:, i]) for i in range(WORDS)]],
+                    names=["doc_id", "key", "n", "prefix", *SKETCH],
                 )
 
-    return docs.mapInArrow(describe, "doc_id long, key binary, n long, sketch binary, sigs binary")
+    return docs.mapInArrow(describe, "doc_id long, key binary, n long, prefix binary, " + ", ".join(f"{k} long" for k in SKETCH))
 
 
-def close(sketch: np.ndarray, n: np.ndarray, i: int, threshold: int) -> np.ndarray:
-    """Members that may link with member i: by size and by the bound from the sketches."""
-    total = n + n[i]
-    least = np.maximum(np.bitwise_count(sketch ^ sketch[i]).sum(1, dtype=np.int64), np.abs(n - n[i]))
-    out = least * (100 + threshold) <= (100 - threshold) * total
-    out[i] = False
-    return out
+def star(n: np.ndarray, threshold: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Pivots of a group sorted by size, each with all members of a fitting size.
 
-
-def star(sketch: np.ndarray, n: np.ndarray, threshold: int) -> list[tuple[int, np.ndarray]]:
-    """Pivots of a group, each with the members to compare it with. Only pairs of two non-pivots that are both near pivots stay uncompared."""
-    left, done, out = np.ones(len(n), bool), np.zeros(len(n), bool), []
-    while left.any():
-        p = int(np.argmax(left))
-        near = close(sketch, n, p, threshold) & ~done
-        if near.any():
-            out.append((p, np.flatnonzero(near)))
-        done[p], left[p] = True, False
-        left &= ~near
-    return out
+    A pivot is the first member that is too large for the pivot before it. Any two members that fit
+    each other both fit the pivot of the larger one, so they have a pivot in common.
+    """
+    p = 0
+    while p < len(n):
+        low, high = int(np.searchsorted(n, -(-n[p] * threshold // 100))), int(np.searchsorted(n, n[p] * 100 // threshold, "right"))
+        if high - low > 1:
+            yield p, np.concatenate([np.arange(low, p), np.arange(p + 1, high)])
+        p = high
 
 
 def grouped(sigs: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -191,36 +165,31 @@ def grouped(sigs: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def candidates(rows: DataFrame, entries: float, threshold: int) -> DataFrame:
     """Pairs (pivot, member) of references to verify; a reference is the first half of a key."""
-    n_buckets = max(1, math.ceil(entries * 4 / BUCKET_ENTRIES))
+    n_buckets = max(1, math.ceil(entries * 2 / BUCKET_ENTRIES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(n_buckets, SENT, FLUSH)
+        sender = Sender(n_buckets, SENT)
         for batch in batches:
             name = batch.schema.names.index
-            blobs = batch.column(name("sigs")).to_pylist()
-            keys_ = batch.column(name("key")).to_pylist()
-            # copies in one batch are sent once
-            take = list({k: i for i, k in enumerate(keys_) if blobs[i]}.values())
-            blobs = [blobs[i] for i in take]
-            count = np.array([len(x) // 8 for x in blobs], np.int64)
-            sketch = np.frombuffer(b"".join(batch.column(name("sketch")).to_pylist()), U64).reshape(-1, 2)[take]
-            more = {"ref": np.frombuffer(b"".join(keys_[i][:8] for i in take), U64), "n": batch.column(name("n")).to_numpy()[take]} | {k: sketch[:, i] for i, k in enumerate(SKETCH)}
-            yield from sender.add(np.frombuffer(b"".join(blobs), U64), **{k: np.repeat(v, count) for k, v in more.items()})
+            blobs, named_ = batch.column(name("prefix")).to_pylist(), batch.column(name("key")).to_pylist()
+            take = list({k: i for i, k in enumerate(named_) if blobs[i]}.values())  # copies in one batch are sent once
+            count = np.array([len(blobs[i]) // 8 for i in take], np.int64)
+            ref, n = np.frombuffer(b"".join(named_[i][:8] for i in take), U64), batch.column(name("n")).to_numpy()[take]
+            yield from sender.add(np.frombuffer(b"".join(blobs[i] for i in take), U64), ref=np.repeat(ref, count), n=np.repeat(n, count))
         if sender.held:
             yield sender.flush()
 
     def pair(table: pa.Table) -> pa.Table:
-        sigs = np.concatenate([unpack(x.as_py()) for x in table.column("fps")])
-        col = {k: np.concatenate([unplanes(x.as_py(), kind) for x in table.column(k)]) for k, kind in SENT.items()}
-        order = np.lexsort((col["ref"], col["n"], sigs))
-        sigs, col = sigs[order], {k: v[order] for k, v in col.items()}
-        new = np.ones(len(sigs), bool)
-        new[1:] = (sigs[1:] != sigs[:-1]) | (col["ref"][1:] != col["ref"][:-1])
-        sigs, col = sigs[new], {k: v[new] for k, v in col.items()}
-        ref, sketch, n = col["ref"], np.stack([col[k] for k in SKETCH], 1), col["n"].astype(np.int64)
+        grams = np.concatenate([unpack(x.as_py()) for x in table.column("fps")])
+        ref, n = (np.concatenate([unplanes(x.as_py(), SENT[k]) for x in table.column(k)]) for k in ("ref", "n"))
+        order = np.lexsort((ref, n, grams))
+        grams, ref, n = grams[order], ref[order], n[order].astype(np.int64)
+        new = np.ones(len(grams), bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (ref[1:] != ref[:-1])
+        grams, ref, n = grams[new], ref[new], n[new]
         pivot, member = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lo, hi in grouped(sigs):
-            for p, members in star(sketch[lo:hi], n[lo:hi], threshold):
+        for lo, hi in grouped(grams):
+            for p, members in star(n[lo:hi], threshold):
                 pivot.append(np.full(len(members), lo + p))
                 member.append(lo + members)
         pairs = np.unique(np.stack([ref[np.concatenate(pivot)], ref[np.concatenate(member)]], 1), axis=0)
@@ -231,26 +200,33 @@ def candidates(rows: DataFrame, entries: float, threshold: int) -> DataFrame:
     return rows.mapInArrow(send, schema).groupBy("bucket").applyInArrow(pair, "ref_a binary, ref_b binary").distinct()
 
 
+def may_link(threshold: int) -> Column:
+    """Whether sizes and sketches of sides a and b allow a link."""
+    differ = sum((F.bit_count(F.col(f"{k}_a").bitwiseXOR(F.col(f"{k}_b"))) for k in SKETCH), F.lit(0))
+    least = F.greatest(differ, F.abs(F.col("n_a") - F.col("n_b")))
+    return least * (100 + threshold) <= (100 - threshold) * (F.col("n_a") + F.col("n_b"))
+
+
+def sides(members: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(members.select(*[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", *SKETCH, *more)]) for x in "ab")
+
+
 def uncompared(stars: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) with a common pivot, of which one failed against it, in different components.
 
-    `stars` has (pivot, key, far, linked), `members` (key, component, n, k0, k1).
+    `stars` has (pivot, key, far, linked), with no distance where the sketches settled it; `members` (key, component, n, sketch).
     """
     told = stars.join(members, "key").join(stars.groupBy("key").agg(F.collect_set("pivot").alias("pivots")), "key")
-    fields = ("key", "component", "n", *SKETCH, "far", "linked", "pivots")
-    a, b = (told.select(F.col("pivot").alias(f"p_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in fields]) for x in "ab")
-    a = a.where("not linked_a")
-    total = F.col("n_a") + F.col("n_b")
-    least = F.greatest(sum((F.bit_count(F.col(f"{k}_a").bitwiseXOR(F.col(f"{k}_b"))) for k in SKETCH), F.lit(0)), F.abs(F.col("n_a") - F.col("n_b")))
+    a, b = sides(told, "pivot", "component", "far", "linked", "pivots")
     near = (
-        (F.col("p_a") == F.col("p_b"))
+        (F.col("pivot_a") == F.col("pivot_b"))
         & (F.col("component_a") != F.col("component_b"))
-        & (F.abs(F.col("far_a") - F.col("far_b")) <= (100 - threshold) / 100 + 1e-9)
-        & (least * (100 + threshold) <= (100 - threshold) * total)
         & (F.col("linked_b") | (F.col("key_a") < F.col("key_b")))
-        & (F.array_min(F.array_intersect("pivots_a", "pivots_b")) == F.col("p_a"))
+        & F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= (100 - threshold) / 100 + 1e-9, F.lit(True))
+        & may_link(threshold)
+        & (F.array_min(F.array_intersect("pivots_a", "pivots_b")) == F.col("pivot_a"))
     )
-    pairs = a.join(b, near)
+    pairs = a.where("not linked_a").join(b, near)
     return pairs.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
 
 
@@ -294,22 +270,28 @@ def verified(pairs: DataFrame, parts: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id."""
-    scheme, spark = Scheme(threshold), docs.sparkSession
+    """One row per input row: doc_id, n_shingles, component_id. `threshold` is a percentage."""
+    if not 0 < threshold <= 100:
+        raise ValueError("threshold must be a percentage")
+    spark = docs.sparkSession
     docs = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    rows = keep(described(docs, shingle, scheme), "sets")
+    rows = keep(described(docs, shingle, threshold), "sets")
     firsts = keep(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "firsts")
-    entries = (rows.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0) / 8
+    entries = (rows.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) / 8
     stars = keep(named(candidates(rows, entries, threshold), firsts), "stars")
     forget_shuffles(spark)
-    pairs = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ids = firsts.select("key", "doc_id")
+    used = stars.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    members = keep(rows.join(ids.join(used, "key", "left_semi"), ["key", "doc_id"], "left_semi").select("key", "doc_id", "n", *SKETCH).distinct(), "members")
     twice = rows.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    parts = keep(fragments(docs, firsts, stars.select(F.explode(F.array("a", "b")).alias("key")).distinct(), shingle, twice), "fragments")
+    left, right = sides(members)
+    pairs = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(left, F.col("a") == F.col("key_a")).join(right, F.col("b") == F.col("key_b")).where(may_link(threshold))
+    pairs = keep(pairs.select("a", "b"), "pairs")
     forget_shuffles(spark)
     linked = (F.col("common") * (100 + threshold) >= threshold * (F.col("na") + F.col("nb"))).alias("linked")
+    parts = _fragments_of(pairs, docs, firsts, shingle, twice)
     checked = keep(verified(pairs, parts, firsts).select("a", "b", linked, (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far")), "checked")
     forget_shuffles(spark)
-    ids = firsts.select("key", "doc_id")
 
     def graph(links: DataFrame) -> DataFrame:
         a, b = (ids.select(F.col("key").alias(k), F.col("doc_id").alias(f"id_{k}")) for k in "ab")
@@ -317,14 +299,13 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
 
     links = checked.where("linked").select("a", "b")
     grouped_ = keep(graph(links), "components")
-    if checked.where("not linked").limit(1).count():
-        both = checked.unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b"), "linked", "far"))
-        known = keep(stars.join(both, ["a", "b"]).select(F.col("a").alias("pivot"), F.col("b").alias("key"), "far", "linked"), "known")
-        word = lambda i: F.conv(F.hex(F.substring("sketch", i, 4)), 16, 10).cast("long")
-        sketch = rows.join(firsts, ["key", "doc_id"]).select("key", "doc_id", rows["n"], *[(F.shiftleft(word(8 * i + 1), 32).bitwiseOR(word(8 * i + 5))).alias(k) for i, k in enumerate(SKETCH)]).distinct()
-        members = sketch.join(grouped_, F.col("doc_id") == grouped_["node"], "left").select("key", F.coalesce("component", "doc_id").alias("component"), "n", *SKETCH)
-        rest = keep(uncompared(known, members, threshold).join(checked, ["a", "b"], "left_anti"), "rest")
-        found = keep(verified(rest, parts, firsts).where(linked).select("a", "b"), "found")
+    both = checked.unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b"), "linked", "far"))
+    known = keep(stars.join(both, ["a", "b"], "left").select(F.col("a").alias("pivot"), F.col("b").alias("key"), "far", F.coalesce("linked", F.lit(False)).alias("linked")), "known")
+    placed = members.join(grouped_, F.col("doc_id") == grouped_["node"], "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rest = keep(uncompared(known, placed, threshold).join(checked, ["a", "b"], "left_anti"), "rest")
+    forget_shuffles(spark)
+    if rest.limit(1).count():
+        found = keep(verified(rest, _fragments_of(rest, docs, firsts, shingle, twice), firsts).where(linked).select("a", "b"), "found")
         if found.limit(1).count():
             grouped_ = keep(graph(links.unionByName(found)), "components")
     labels = ids.join(grouped_, ids["doc_id"] == grouped_["node"], "left").select("key", F.coalesce("component", "doc_id").alias("component_id"))
@@ -334,6 +315,10 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     return out.select(clean(F.col("doc_id")).alias("doc_id"), "n_shingles", clean(alone).alias("component_id"))
 
 
+def _fragments_of(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, twice: bool) -> DataFrame:
+    return keep(fragments(docs, firsts, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), shingle, twice), "fragments")
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 80) -> DataFrame:
     """One document of each component, that of the smallest id, with all its columns."""
     found = keep(apply(docs, id_col, text_col, shingle, threshold), "found")

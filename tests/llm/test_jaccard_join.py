@@ -70,22 +70,31 @@ def test_second_round(spark, monkeypatch):
     assert sorted([tuple(r) for r in jaccard_join.apply(df).collect()], key=str) == brute(rows, 3, 90)
 
 
-def test_signatures_meet():
-    """Any two sets at the threshold share a signature."""
+def test_prefixes_meet():
+    """Any two sets at the threshold share an n-gram of their prefixes."""
     r = np.random.default_rng(3)
+    classes = r.integers(0, 4, jaccard_join.CELLS).astype(np.uint8)
     for threshold in (80, 90):
-        scheme = jaccard_join.Scheme(threshold)
-        for n in (5, 9, 19, 40, 120, 500):
+        for n in (1, 5, 9, 19, 40, 120, 500):
             for _ in range(40):
-                whole = r.integers(0, 2**63, 2 * n, dtype=np.uint64)
-                common = n
+                whole = r.integers(0, 2**63, 2 * n + 1, dtype=np.uint64)
                 extra = n * (100 - threshold) // threshold
                 cut = int(r.integers(0, extra + 1))
-                a, b = np.sort(whole[: common + cut]), np.sort(np.concatenate([whole[:common], whole[common + cut : common + extra]]))
-                if len(a) == len(b) == common:
-                    continue
-                sigs, of = scheme.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
-                assert set(sigs[of == 0].tolist()) & set(sigs[of == 1].tolist())
+                a, b = np.sort(whole[: n + cut]), np.sort(np.concatenate([whole[:n], whole[n + cut : n + extra]]))
+                first, at = jaccard_join.prefixes(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), classes, threshold)
+                assert set(first[: at[1]].tolist()) & set(first[at[1] :].tolist())
+
+
+def test_fitting_members_have_a_common_pivot():
+    r = np.random.default_rng(5)
+    for threshold in (80, 90):
+        for _ in range(60):
+            n = np.sort(r.integers(1, 120, r.integers(1, 40)))
+            stars = {p: set(m.tolist()) for p, m in jaccard_join.star(n, threshold)}
+            for i in range(len(n)):
+                for j in range(i):
+                    if n[j] * 100 >= threshold * n[i]:
+                        assert any({i, j} <= m | {p} for p, m in stars.items())
 
 
 def test_empty(spark):
