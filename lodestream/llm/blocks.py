@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import keep
+from .tables import forget_shuffles, keep
 from .textblock import U64
 
 BLOCK_BYTES = 2 << 20
@@ -47,6 +47,7 @@ def corpus(docs: DataFrame, id_col: str, text_col: str) -> Corpus:
     block = F.pmod(F.xxhash64("doc_id", "key"), F.lit(n_blocks)).alias("block")
     both = rows.select(block, "doc_id", "key", "text").unionByName(firsts.select(block, "doc_id", "key", F.lit(None).cast("string").alias("text")))
     blocks = keep(both.groupBy("block").applyInArrow(_pack, "block long, ids array<long>, keys binary, lens array<long>, size long, blob binary"), "blocks", "none")
+    forget_shuffles(docs.sparkSession)
     return Corpus(ids, firsts, blocks, n_blocks, n_bytes)
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, corpus, elsewhere, exchange, opened, told
-from .tables import keep
+from .tables import drop_kept, forget_shuffles, keep
 from .textblock import LETTER, PIECE, U64, member, owner, prefix, repeated, spans
 
 DEPTH, PERIOD = 200, 73
@@ -120,7 +120,10 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         raise ValueError(f"depth must be at least {2 * PERIOD}")
     held = corpus(docs, id_col, text_col)
     tied = keep(exchange(held.blocks, _emit_samples(depth), held.n_bytes * len(COVER) / PERIOD, elsewhere), "ranks")
+    forget_shuffles(docs.sparkSession)
     same = keep(exchange(told(held.blocks, tied), _emit_suffixes(depth), held.n_bytes / 4, _repeats, {"twice": np.uint8}), "suffixes")
+    drop_kept(tied)
+    forget_shuffles(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in opened(batches):
