@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, corpus, elsewhere, exchange, opened, told
-from .tables import keep
+from .tables import drop_kept, forget_shuffles, keep
 from .textblock import U64, Words, covered, member, repeated
 
 WINDOW, PHRASE = 20, 6
@@ -128,7 +128,10 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     held = corpus(docs, id_col, text_col)
     rate = 2 / (window - phrase + 2) / 5
     phrases = keep(exchange(held.blocks, _emit_phrases(window, phrase), held.n_bytes * rate, elsewhere), "phrases")
+    forget_shuffles(docs.sparkSession)
     lost = keep(exchange(told(held.blocks, phrases), _emit_windows(window, phrase), held.n_bytes / 20, _not_first, {"doc": np.int64}), "windows")
+    drop_kept(phrases)
+    forget_shuffles(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in opened(batches):
