@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .blocks import BUCKET_ENTRIES, NO_ID, Sender, unpack, unplanes
 from .components import components
-from .tables import forget_shuffles, keep
+from .tables import drop_kept, forget_shuffles, keep
 from .textblock import U64, Words, mix, pieces, prefix, spans
 
 SHINGLE, THRESHOLD, FRAGMENTS = 3, 90, 4
@@ -308,6 +308,9 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
         found = keep(verified(rest, _fragments_of(rest, docs, firsts, shingle, twice), firsts).where(linked).select("a", "b"), "found")
         if found.limit(1).count():
             grouped_ = keep(graph(links.unionByName(found)), "components")
+        drop_kept(found)
+    for used_up in (stars, members, pairs, parts, checked, known, rest):
+        drop_kept(used_up)
     labels = ids.join(grouped_, ids["doc_id"] == grouped_["node"], "left").select("key", F.coalesce("component", "doc_id").alias("component_id"))
     out = rows.select("doc_id", "key", F.col("n").alias("n_shingles")).join(labels, "key", "left")
     clean = lambda c: F.when(c != NO_ID, c)
