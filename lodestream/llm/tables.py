@@ -40,8 +40,11 @@ def drop_kept(df: DataFrame) -> None:
 
 
 def forget_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now: it does so when the driver's JVM finds them unreachable."""
+    """Lets Spark delete the shuffle files of finished steps now: it does so some time after the driver's JVM has found them unreachable."""
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.7)
