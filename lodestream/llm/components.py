@@ -27,6 +27,7 @@ def components(links: DataFrame) -> DataFrame:
         for old in (links, large):
             drop_kept(old)
         links = small
-        # no node has a link to a smaller and one to a larger node: every component is one star
-        if not links.join(links.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count():
+        # no node has a link to a smaller and one to a larger node, and none has two smaller ones: every component is one star
+        between = links.join(links.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
+        if not between and not links.groupBy("u").count().where("count > 1").limit(1).count():
             return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
