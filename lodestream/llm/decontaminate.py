@@ -12,7 +12,9 @@ answer (the lines before the last, and the last; the whole text if it has one li
 with the passage by `shingle`-word shingles.
 
 Items are indexed in shards of at most `shard_items`, so the broadcast index is bounded; a larger
-test set takes more passes. Texts are only read, never shuffled.
+test set takes more passes. Their number, mean length and the words' item counts are those of all
+items, counted first and kept on the driver, so scores do not depend on shards. Texts are only
+read, never shuffled.
 
 Words are maximal runs of ASCII letters, digits and bytes from 0x80 on, in lower case. Null and
 empty texts and items match nothing; an item with fewer words than a shingle is compared as one
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -61,10 +63,25 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(spans(prefix(words), at, at + k))
 
 
+class Statistics:
+    """What scores need to know of all items, whatever their shard."""
+
+    def __init__(self, items: Iterable[tuple[object, str]]):
+        self.n, self.df, self.longest = 0, Counter(), 1
+        total = 0
+        for _, text in items:
+            words = words_of(text or "")
+            if len(words):
+                self.n, total, self.longest = self.n + 1, total + len(words), max(self.longest, len(words))
+                self.df.update(np.unique(words).tolist())
+        self.mean = total / self.n if self.n else 1
+
+
 class Index:
     """Posting lists of normalised impacts, in blocks with their largest impact."""
 
-    def __init__(self, items: Sequence[tuple[object, str]], k1: float = K1, b: float = B, shingle: int = SHINGLE, threshold: float = THRESHOLD):
+    def __init__(self, items: Sequence[tuple[object, str]], k1: float = K1, b: float = B, shingle: int = SHINGLE, threshold: float = THRESHOLD, stats: Statistics | None = None):
+        stats = stats or Statistics(items)
         self.ids, self.threshold, self.shingle, self.parts = [], threshold, shingle, []
         bags = []
         for item, text in items:
@@ -76,9 +93,7 @@ class Index:
             self.ids.append(item)
             bags.append(Counter(words.tolist()))
             self.parts.append(tuple((len(words_of(p)), shingles(words_of(p), shingle)) for p in (question, answer, text)))
-        n = len(bags)
-        df = Counter(t for bag in bags for t in bag)
-        mean = sum(sum(bag.values()) for bag in bags) / n if n else 1
+        n, df, mean = stats.n, stats.df, stats.mean
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for i, bag in enumerate(bags):
             norm = k1 * (1 - b + b * sum(bag.values()) / mean)
@@ -98,7 +113,7 @@ class Index:
         # essential: outside the longest prefix by impact whose sum stays below half the threshold
         self.essential = np.ones(len(terms), bool)
         self.essential[order[: int(np.searchsorted(np.cumsum(self.most[order]), threshold / 2))]] = False
-        self.longest = max([sum(bag.values()) for bag in bags], default=1)
+        self.longest = stats.longest
         self.flat_at = np.concatenate([[0], np.cumsum([len(x) for x in self.items])]).astype(np.int64)
         self.flat_items = np.concatenate(self.items) if terms else np.zeros(0, np.int64)
         self.flat_impacts = np.concatenate(self.impacts) if terms else np.zeros(0)
@@ -223,8 +238,8 @@ def apply(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     kind, item_kind = rows.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double"
     out = None
-    for shard in _shards(items.select("item_id", "text").toLocalIterator(), shard_items):
-        index = spark.sparkContext.broadcast(Index(shard, threshold=threshold))
+    for made in _indexes(items, shard_items, threshold):
+        index = spark.sparkContext.broadcast(made)
 
         def match(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             found = index.value
@@ -245,6 +260,13 @@ def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string()}[kind]
 
 
+def _indexes(items: DataFrame, shard_items: int, threshold: float) -> Iterator[Index]:
+    rows = items.select("item_id", "text")
+    stats = Statistics(rows.toLocalIterator())
+    for shard in _shards(rows.toLocalIterator(), shard_items):
+        yield Index(shard, threshold=threshold, stats=stats)
+
+
 def _shards(rows: Iterator, size: int) -> Iterator[list[tuple]]:
     held: list[tuple] = []
     for r in rows:
@@ -259,8 +281,8 @@ def _shards(rows: Iterator, size: int) -> Iterator[list[tuple]]:
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """The documents without the contaminated ones, with all their columns; nothing is shuffled."""
     spark = docs.sparkSession
-    for shard in _shards(items.select("item_id", "text").toLocalIterator(), shard_items):
-        index = spark.sparkContext.broadcast(Index(shard, threshold=threshold))
+    for made in _indexes(items, shard_items, threshold):
+        index = spark.sparkContext.broadcast(made)
 
         def drop(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

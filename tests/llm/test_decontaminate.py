@@ -91,3 +91,13 @@ def test_empty_tables(spark):
     assert decontaminate.apply(docs, items).collect() == []
     assert decontaminate.clean(docs, items).count() == 1
     assert decontaminate.apply(docs.limit(0), spark.createDataFrame([(1, "a b c")], "item_id long, text string")).collect() == []
+
+
+def test_scores_do_not_depend_on_shards(spark):
+    docs, items = case()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    runs = []
+    for order, shard in ((items, 20_000), (items, 7), (items[::-1], 11)):
+        rows = decontaminate.apply(df, spark.createDataFrame(order, "item_id long, text string"), overlap=0.2, shard_items=shard).collect()
+        runs.append(sorted([(r.doc_id, r.item_id, round(r.score, 9)) for r in rows], key=str))
+    assert runs[0] == runs[1] == runs[2] and any(s < 0.99 for *_, s in runs[0])
