@@ -7,7 +7,9 @@ For each batch of texts, the terms that are too weak to reach the threshold toge
 non-essential ones) are set aside by their largest impact in the whole index; a passage is a
 candidate only if some item could reach the threshold through its essential terms, judged by exact
 essential impacts plus the bound on the others. Candidate passages run block-max WAND over the
-posting lists, which returns every item at or above the threshold. Each such item's question and
+posting lists, which returns every item at or above the threshold. Passages are at least twice as
+long as the items they are for: items of over `SHORT` words are indexed apart, by doubling length,
+and have longer passages of their own. Each such item's question and
 answer (the lines before the last, and the last; the whole text if it has one line) are compared
 with the passage by `shingle`-word shingles.
 
@@ -40,7 +42,7 @@ K1, B, SHINGLE = 1.2, 0.4, 5
 THRESHOLD, OVERLAP, SHARD_ITEMS, BLOCK = 0.5, 0.8, 20_000, 32
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
-FILTER = 1 << 20
+FILTER, SHORT = 1 << 20, 512
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,16 +65,22 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(spans(prefix(words), at, at + k))
 
 
+def length_class(n: int) -> int:
+    """0 for items of up to `SHORT` words, then one more for each doubling."""
+    return max(0, (n - 1) // SHORT).bit_length()
+
+
 class Statistics:
     """What scores need to know of all items, whatever their shard."""
 
     def __init__(self, items: Iterable[tuple[object, str]]):
-        self.n, self.df, self.longest = 0, Counter(), 1
+        self.n, self.df, self.longest = 0, Counter(), Counter()
         total = 0
         for _, text in items:
             words = words_of(text or "")
             if len(words):
-                self.n, total, self.longest = self.n + 1, total + len(words), max(self.longest, len(words))
+                self.n, total, kind = self.n + 1, total + len(words), length_class(len(words))
+                self.longest[kind] = max(self.longest[kind], len(words))
                 self.df.update(np.unique(words).tolist())
         self.mean = total / self.n if self.n else 1
 
@@ -113,7 +121,8 @@ class Index:
         # essential: outside the longest prefix by impact whose sum stays below half the threshold
         self.essential = np.ones(len(terms), bool)
         self.essential[order[: int(np.searchsorted(np.cumsum(self.most[order]), threshold / 2))]] = False
-        self.longest = stats.longest
+        # the longest of all items of these items' length, so that passages do not depend on shards
+        self.longest = max([stats.longest[length_class(sum(bag.values()))] for bag in bags], default=1)
         self.flat_at = np.concatenate([[0], np.cumsum([len(x) for x in self.items])]).astype(np.int64)
         self.flat_items = np.concatenate(self.items) if terms else np.zeros(0, np.int64)
         self.flat_impacts = np.concatenate(self.impacts) if terms else np.zeros(0)
@@ -197,7 +206,7 @@ def search(index: Index, words: np.ndarray, at: np.ndarray, overlap: float) -> I
     place, term = index.lookup(words)
     if not len(place):
         return
-    half = max(32, min(index.longest, 512))
+    half = max(32, index.longest)
     text = owner(at, place)
     chunk = (place - at[text]) // half
     # passages are 2 * half words long and begin every half words; number them through all texts
@@ -247,7 +256,7 @@ def apply(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                 ids, got = batch.column(0).to_pylist(), []
                 for lo, _, data, off in pieces(pc.utf8_lower(batch.column(1))):
                     words, at = tokens(data, off)
-                    got += [(ids[lo + t], found.ids[i], s, q, a) for t, i, s, q, a in search(found, words, at, overlap)]
+                    got += [(ids[lo + t], one.ids[i], s, q, a) for one in found for t, i, s, q, a in search(one, words, at, overlap)]
                 columns = list(zip(*got, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], _arrow(item_kind)), *(pa.array(c, pa.float64()) for c in columns[2:])], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
@@ -260,11 +269,14 @@ def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string()}[kind]
 
 
-def _indexes(items: DataFrame, shard_items: int, threshold: float) -> Iterator[Index]:
+def _indexes(items: DataFrame, shard_items: int, threshold: float) -> Iterator[list[Index]]:
     rows = items.select("item_id", "text")
     stats = Statistics(rows.toLocalIterator())
     for shard in _shards(rows.toLocalIterator(), shard_items):
-        yield Index(shard, threshold=threshold, stats=stats)
+        by_length: dict[int, list[tuple]] = defaultdict(list)
+        for item, text in shard:
+            by_length[length_class(len(words_of(text or "")))].append((item, text))
+        yield [Index(alike, threshold=threshold, stats=stats) for _, alike in sorted(by_length.items())]
 
 
 def _shards(rows: Iterator, size: int) -> Iterator[list[tuple]]:
@@ -289,7 +301,8 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold:
                 texts = batch.column(batch.schema.names.index(text_col))
                 for lo, hi, data, off in pieces(pc.utf8_lower(texts)):
                     good = np.ones(hi - lo, bool)
-                    good[[t for t, *_ in search(index.value, *tokens(data, off), overlap)]] = False
+                    words, at = tokens(data, off)
+                    good[[t for one in index.value for t, *_ in search(one, words, at, overlap)]] = False
                     yield batch.slice(lo, hi - lo).filter(pa.array(good))
 
         docs = docs.mapInArrow(drop, docs.schema)

@@ -101,3 +101,16 @@ def test_scores_do_not_depend_on_shards(spark):
         rows = decontaminate.apply(df, spark.createDataFrame(order, "item_id long, text string"), overlap=0.2, shard_items=shard).collect()
         runs.append(sorted([(r.doc_id, r.item_id, round(r.score, 9)) for r in rows], key=str))
     assert runs[0] == runs[1] == runs[2] and any(s < 0.99 for *_, s in runs[0])
+
+
+def test_long_items_at_any_offset(spark):
+    r = random.Random(9)
+    vocab = ["".join(r.choice("abcdefg") for _ in range(7)) for _ in range(5000)]
+    say = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    items = [(0, say(40)), (1, say(600)), (2, say(900)), (3, say(2000)), (4, say(2000))]
+    docs = [(10 * i + k, f"{say(before)} {text} {say(700)}") for i, text in items for k, before in enumerate((0, 130, 256, 500, 777, 1999, 3001))]
+    docs.append((90, say(9000)))
+    df, table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for shard in (20_000, 2):
+        assert sorted((r.doc_id, r.item_id) for r in decontaminate.apply(df, table, shard_items=shard).collect()) == sorted((d, d // 10) for d, _ in docs[:-1])
+        assert [r.doc_id for r in decontaminate.clean(df, table, shard_items=shard).collect()] == [90]
