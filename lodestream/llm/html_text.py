@@ -26,6 +26,12 @@ WHITE = re.compile(r"\s+")
 TOKENS = re.compile(r"[^a-z0-9]+")
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
 SILENT = frozenset("head noscript template svg math canvas object select option button audio video".split())
+#: Elements that a head may hold; any other start tag, and text, ends a head that is still open.
+IN_HEAD = frozenset("head html base basefont bgsound link meta title noscript noframes style script template".split())
+#: HTML elements that end an open svg or math, and elements inside of these that may hold HTML.
+BREAKOUT = frozenset("article aside b big blockquote body br center code dd div dl dt em embed footer h1 h2 h3 h4 h5 h6 head header hr i img li main menu nav nobr ol p pre ruby s section small span strike strong sub sup table tt u ul var".split())
+FOREIGN, FOREIGN_HOLDERS = frozenset(("svg", "math")), frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\Z|[\s\"'][^\s=\"']+/\Z")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
@@ -136,13 +142,29 @@ class Page:
             self.open(tag, m[3] or "")
         self.cut()
 
+    def end_implied(self, tag: str) -> None:
+        """Closes silent elements that a start tag, or text (no tag), ends without an end tag of theirs."""
+        if tag == "body" and any(s[0] == "head" for s in self.stack) or tag not in IN_HEAD and self.stack[-1][0] == "head":
+            self.close("head")
+        if tag in BREAKOUT and self.silent:
+            for name, *_ in reversed(self.stack):
+                if name in FOREIGN_HOLDERS:
+                    break
+                if name in FOREIGN:
+                    self.close(name)
+                    break
+
     def text(self, raw: str) -> None:
+        if self.silent and self.stack[-1][0] == "head" and raw.strip():
+            self.end_implied("")
         if raw and not self.silent:
             self.parts.append(raw)
             if self.links:
                 self.linked.append(raw)
 
     def open(self, tag: str, raw: str) -> None:
+        if self.silent:
+            self.end_implied(tag)
         if tag == "br":
             self.parts.append(" ")
             return
@@ -153,6 +175,8 @@ class Page:
         if tag == "a":
             self.links += 1
         if tag in SILENT:
+            if SELF_CLOSED.search(raw):
+                return
             self.silent += 1
             self.stack.append((tag, False, False))
             return

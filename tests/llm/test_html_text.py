@@ -46,3 +46,23 @@ def test_query(spark):
     got = sorted([(r.page_id, r.url, r.n_chars) for r in out.collect()], key=str)
     assert got == sorted([(1, "u", 1), (2, None, 0), (2, None, 0), (None, "v", 499_999)], key=str)
     assert apply(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<html><head><title>t</title><meta charset=utf-8><body><article><p>p</article>", "p"),
+        ("<head><title>t</title><link rel=x href=y><article><h1>T</h1><p>p</article>", "T\n\np"),
+        ("<head><noscript><style>x</style><body><article><p>p</article>", "p"),
+        ("<head><title>t</title>words of a page without any tags at all", "words of a page without any tags at all"),
+        ("<head><script>s</script><noscript>n</noscript><title>t</title></head><body><article><p>p</article>", "p"),
+        ("<article><p>p<svg width='5'/><p>q</article>", "p\n\nq"),
+        ("<article><p>p</p><svg/><canvas id=c /><math/><p>q</article>", "p\n\nq"),
+        ("<article><p>p</p><svg viewBox='0 0 1 1' hidden/><p>q</article>", "p\n\nq"),
+        ("<article><p>p</p><svg><path d='m'/><g><p>q</article>", "p\n\nq"),
+        ("<article><p>p</p><svg><foreignObject><div>f</div></foreignObject><text>s</text></svg><p>q</article>", "p\n\nq"),
+        ("<article><p>p</p><object data=/a/>o</object><p>q</article>", "p\n\nq"),
+    ],
+)
+def test_silence_ends(source, text):
+    assert extract(source, TREE) == text
