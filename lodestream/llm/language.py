@@ -7,8 +7,9 @@ languages at this suffix and host, the host smoothed towards its domain, the dom
 suffix and the suffix towards the whole corpus, all by grouped aggregation of the texts' verdicts.
 Log evidence is added and normalised.
 
-The trigram table has a fixed number of cells and at most `MAX_LANGUAGES` languages, so what is
-broadcast is bounded. Hosts are joined by key, never broadcast; a host with a third of all rows is
+Every declared language counts. The trigram table has a fixed number of cells a language and holds
+only those that occur, so a rare language takes little of what is broadcast; each row's evidence
+has one number per language. Hosts are joined by key, never broadcast; a host with a third of all rows is
 pre-aggregated in each task, and Spark may split its side of the join.
 
 Null and empty texts give no text evidence; null or unknown declarations and hosts give none of
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .tables import keep
 from .textblock import U64, pieces
 
-CELLS, MAX_LANGUAGES, GROUPS = 1 << 15, 64, 8
+CELLS, GROUPS, HELD = 1 << 15, 8, 256
 TEMPER, MAX_EVIDENCE, SMOOTH = 0.2, 30.0, 10.0
 
 
@@ -56,27 +57,67 @@ def _lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column)
 
 
-def _counts(rows: DataFrame, languages: list[str]) -> np.ndarray:
-    """Trigram counts by language over all rows that declare one of the languages."""
-    shape = (len(languages), CELLS)
+def _counts(rows: DataFrame, languages: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By language, the trigram cells that occur in rows that declare it, and their counts."""
+    number = {x: k for k, x in enumerate(languages)}
+
+    def packed(x: np.ndarray) -> bytes:
+        return pa.compress(x.tobytes(), "zstd", asbytes=True)
+
+    def sums(columns: dict[str, list[int]], counts: list[np.ndarray]) -> dict[str, pa.Array]:
+        cells = [np.flatnonzero(c) for c in counts]
+        out = {k: pa.array(v, pa.int64()) for k, v in columns.items()}
+        out["n"] = pa.array([len(c) for c in cells], pa.int64())
+        out["cells"] = pa.array([packed(c.astype(np.uint16)) for c in cells], pa.binary())
+        out["counts"] = pa.array([packed(x[c]) for x, c in zip(counts, cells, strict=True)], pa.binary())
+        return out
+
+    def unpacked(n: int, cells: pa.Buffer, counts: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(pa.decompress(cells, 2 * n, "zstd"), np.uint16), np.frombuffer(pa.decompress(counts, 8 * n, "zstd"), np.int64)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(shape, np.int64)
+        held: dict[int, np.ndarray] = {}
+        group = TaskContext.get().partitionId() % GROUPS
+
+        def sent() -> pa.RecordBatch:
+            out = sums({"which": list(held), "part": [group] * len(held)}, list(held.values()))
+            held.clear()
+            return pa.RecordBatch.from_pydict(out)
+
         for batch in batches:
-            which = np.array([languages.index(x) for x in batch.column(0).to_pylist()])
+            which = np.array([number[x] for x in batch.column(0).to_pylist()])
             for lo, _, data, off in pieces(_lowered(batch.column(1))):
                 cells, at = trigrams(data, off)
-                owner = np.repeat(which[lo : lo + len(off) - 1], np.diff(at))
-                counts += np.bincount(owner * CELLS + cells, minlength=counts.size).reshape(shape)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId() % GROUPS], pa.int64()), "sums": pa.array([pa.compress(counts.tobytes(), "zstd", asbytes=True)], pa.binary())})
+                here = which[lo : lo + len(off) - 1]
+                seen, place = np.unique(here, return_inverse=True)
+                owner = np.repeat(place, np.diff(at))
+                order = np.argsort(owner.astype(np.uint16) if len(seen) < 1 << 16 else owner, kind="stable") if len(seen) > 1 else slice(None)
+                cells, bounds = cells[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(seen)))])
+                for k, a, b in zip(seen.tolist(), bounds, bounds[1:], strict=False):
+                    found = np.bincount(cells[a:b], minlength=CELLS)
+                    held[k] = held[k] + found if k in held else found
+                    if len(held) >= HELD:
+                        yield sent()
+        if held:
+            yield sent()
 
     def add(table: pa.Table) -> pa.Table:
-        size = shape[0] * CELLS * 8
-        total = sum(np.frombuffer(pa.decompress(x.as_buffer(), size, "zstd"), np.int64) for x in table.column("sums"))
-        return pa.table({"sums": pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary())})
-
-    parts = rows.select("declared", "text").mapInArrow(part, "part long, sums binary").groupBy("part").applyInArrow(add, "sums binary").collect()
-    return sum((np.frombuffer(pa.decompress(r.sums, shape[0] * CELLS * 8, "zstd"), np.int64) for r in parts), np.zeros(shape[0] * CELLS, np.int64)).reshape(shape)
+        total = np.zeros(CELLS, np.int64)
+        for row in zip(*(table.column(c) for c in ("n", "cells", "counts")), strict=True):
+            cells, counts = unpacked(row[0].as_py(), row[1].as_buffer(), row[2].as_buffer())
+            total[cells] += counts
+        return pa.table(sums({"which": [table.column("which")[0].as_py()]}, [total]))
+
+    kind = "n long, cells binary, counts binary"
+    parts = rows.select("declared", "text").mapInArrow(part, f"which long, part long, {kind}").groupBy("which", "part").applyInArrow(add, f"which long, {kind}")
+    totals: dict[int, np.ndarray] = {}
+    empty = np.zeros(0, np.int64)
+    for row in parts.toLocalIterator():
+        cells, counts = unpacked(row.n, row.cells, row.counts)
+        old_cells, old = totals.get(row.which, (empty, empty))
+        both, at = np.unique(np.concatenate([old_cells, cells]), return_inverse=True)
+        totals[row.which] = both.astype(np.uint16), np.bincount(at, np.concatenate([old, counts]), len(both)).astype(np.int64)
+    return [totals.get(k, (empty.astype(np.uint16), empty)) for k in range(len(languages))]
 
 
 def domain_of(host: Column) -> Column:
@@ -89,13 +130,15 @@ def apply(rows: DataFrame, id_col: str, text_col: str, declared_col: str | None
     pick = lambda c: none if c is None else F.lower(rows[c].cast("string"))
     rows = rows.select(rows[id_col].alias("id"), F.coalesce(rows[text_col].cast("string"), F.lit("")).alias("text"), F.substring_index(pick(declared_col), "-", 1).alias("declared"), pick(host_col).alias("host"), pick(suffix_col).alias("suffix"))
     known = rows.where("declared is not null and declared != ''").groupBy("declared").count()
-    languages = sorted(r.declared for r in known.orderBy(F.desc("count"), "declared").limit(MAX_LANGUAGES).collect())
+    languages = sorted(r.declared for r in known.collect())
     if not languages:
         return rows.select("id", none.alias("lang"), F.lit(None).cast("double").alias("probability"), none.alias("text_lang"), "declared", F.length("text").cast("long").alias("n_chars"))
     n = len(languages)
-    counts = _counts(rows.where(F.col("declared").isin(languages)), languages).astype(np.float64) + 0.5
-    logs = np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32)
-    table = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logs))
+    logs = []
+    for cells, counts in _counts(rows.where("declared is not null and declared != ''"), languages):
+        whole = counts.sum() + 0.5 * CELLS
+        logs.append((np.float32(np.log(0.5 / whole)), cells, np.log((counts + 0.5) / whole).astype(np.float32)))
+    table = rows.sparkSession.sparkContext.broadcast(logs)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = table.value
@@ -103,9 +146,11 @@ def apply(rows: DataFrame, id_col: str, text_col: str, declared_col: str | None
             for lo, hi, data, off in pieces(_lowered(batch.column(1))):
                 cells, at = trigrams(data, off)
                 sums = np.zeros((len(off) - 1, n))
-                for k in range(n):
+                for k, (never, some, log) in enumerate(weights):
+                    weight = np.full(CELLS, never)
+                    weight[some] = log
                     c = np.zeros(len(cells) + 1)
-                    np.cumsum(weights[cells, k], out=c[1:])
+                    np.cumsum(weight[cells], out=c[1:])
                     sums[:, k] = c[at[1:]] - c[at[:-1]]
                 sums -= sums.max(1, keepdims=True)
                 sums = np.maximum(sums * TEMPER, -MAX_EVIDENCE)
@@ -117,18 +162,18 @@ def apply(rows: DataFrame, id_col: str, text_col: str, declared_col: str | None
     texts = rows.mapInArrow(read, f"id {kind}, declared string, host string, suffix string, n_chars long, ll array<double>")
     texts = keep(texts.withColumn("e", F.transform("ll", F.exp)).withColumn("p", F.expr("transform(e, x -> x / aggregate(e, 0D, (a, b) -> a + b))")).drop("e"), "texts")
 
-    sums = [F.sum(F.col("p")[k]).alias(f"s{k}") for k in range(n)]
-    mass = lambda df, *keys: df.groupBy(*keys).agg(*sums)
-    total = mass(texts).first()
-    prior = np.array([(total[k] or 0.0) + 1.0 for k in range(n)])
+    sums = F.array(*[F.coalesce(F.sum(F.col("p")[k]), F.lit(0.0)) for k in range(n)]).alias("held")
+    mass = lambda df, *keys: df.groupBy(*keys).agg(sums)
+    prior = np.array(mass(texts).first().held) + 1.0
     prior /= prior.sum()
-    said = {r.declared: np.array([r[f"s{k}"] for k in range(n)]) for r in mass(texts.where(F.col("declared").isin(languages)), "declared").collect()}
+    said = {r.declared: np.array(r.held) for r in mass(texts.where("declared is not null and declared != ''"), "declared").collect()}
     spoken = sum(said.values(), np.zeros(n))
     # P(declared | language), smoothed towards the share of each declaration
-    declared = {d: np.log((said.get(d, np.zeros(n)) + SMOOTH / n) / (spoken + SMOOTH)) for d in languages}
-    smooth = lambda own, parent: F.array(*[(F.coalesce(F.col(f"s{k}"), F.lit(0.0)) + SMOOTH * parent[k]) / (own + SMOOTH) for k in range(n)])
-    own = sum((F.coalesce(F.col(f"s{k}"), F.lit(0.0)) for k in range(n)), F.lit(0.0))
-    root = F.array(*[F.lit(float(x)) for x in prior])
+    declared = [(x, np.log((said.get(x, np.zeros(n)) + SMOOTH / n) / (spoken + SMOOTH)).tolist()) for x in languages]
+    told = rows.sparkSession.createDataFrame(declared, "said string, d array<double>")
+    root = F.lit([float(x) for x in prior])
+    own = F.aggregate("held", F.lit(0.0), lambda a, x: a + x)
+    smooth = lambda own, parent: F.zip_with("held", parent, lambda x, p: (x + SMOOTH * p) / (own + SMOOTH))
     suffixes = mass(texts.where("suffix is not null"), "suffix").select("suffix", smooth(own, root).alias("at_suffix"))
     placed = texts.withColumn("domain", domain_of(F.col("host")))
     domains = mass(placed.where("domain != ''"), "domain", "suffix").join(suffixes, "suffix", "left").select("domain", "suffix", smooth(own, F.coalesce("at_suffix", root)).alias("at_domain"))
@@ -136,14 +181,12 @@ def apply(rows: DataFrame, id_col: str, text_col: str, declared_col: str | None
     hosts = hosts.join(suffixes, "suffix", "left").select("host", F.col("suffix").alias("host_suffix"), smooth(own, F.coalesce("at_domain", "at_suffix", root)).alias("prior"))
     hosts = keep(hosts, "hosts")
     joined = texts.join(hosts, texts["host"].eqNullSafe(hosts["host"]) & texts["suffix"].eqNullSafe(hosts["host_suffix"]) & hosts["host"].isNotNull(), "left").drop(hosts["host"]) if host_col else texts.withColumn("prior", root)
-    evidence = F.lit(None).cast("array<double>")
-    for d, logp in declared.items():
-        evidence = F.when(F.col("declared") == d, F.array(*[F.lit(float(x)) for x in logp])).otherwise(evidence)
-    zero = F.array(*[F.lit(0.0)] * n)
-    fused = joined.withColumn("d", F.coalesce(evidence, zero)).withColumn("prior", F.coalesce("prior", root))
+    zero = F.array_repeat(F.lit(0.0), n)
+    # one row per language that is declared, as small as the trigram table
+    fused = joined.join(F.broadcast(told), F.col("declared") == F.col("said"), "left").withColumn("d", F.coalesce("d", zero)).withColumn("prior", F.coalesce("prior", root))
     fused = fused.withColumn("z", F.expr("transform(ll, (x, i) -> x + d[i] + ln(prior[i]))"))
     fused = fused.withColumn("top", F.array_max("z"))
-    names = F.array(*[F.lit(x) for x in languages])
+    names = F.lit(languages)
     best = lambda c: names[(F.array_position(c, F.array_max(c)) - 1).cast("int")]
     probability = F.expr("1 / aggregate(z, 0D, (a, x) -> a + exp(x - top))")
     return fused.select("id", best(F.col("z")).alias("lang"), probability.alias("probability"), F.when(F.col("n_chars") > 2, best(F.col("ll"))).alias("text_lang"), "declared", "n_chars")

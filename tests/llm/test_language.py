@@ -46,3 +46,15 @@ def test_without_declarations_or_rows(spark):
     df = spark.createDataFrame(rows(), "id long, text string, declared string, host string, suffix string")
     assert {r.lang for r in language.apply(df, "id", "text").collect()} == {None}
     assert language.apply(df.limit(0), "id", "text", "declared", "host", "suffix").collect() == []
+
+
+def test_every_declared_language_counts(spark):
+    """Each of 90 languages has words of its own, and the rarest have the fewest rows."""
+    out = []
+    for k in range(90):
+        words = " ".join(chr(0x4E00 + 40 * k + j) * 3 for j in range(12))
+        out += [(1000 * k + i, words, f"l{chr(97 + k // 26)}{chr(97 + k % 26)}") for i in range(3 if k < 70 else 2)]
+    df = spark.createDataFrame(out, "id long, text string, declared string").repartition(3)
+    got = language.apply(df, "id", "text", "declared").collect()
+    assert len(got) == len(out) and len({r.text_lang for r in got}) == 90
+    assert all(r.text_lang == r.lang == r.declared for r in got)
