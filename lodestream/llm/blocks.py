@@ -1,10 +1,15 @@
-"""Blocks of distinct texts, and exchanges of packed fingerprints between them.
+"""Blocks of distinct texts, exchanges of packed fingerprints between them, and passages fetched from one to another.
 
 A block row holds about `BLOCK_BYTES` of distinct texts, compressed, ordered by document id. Steps
-of the deduplication operators run over whole blocks: a step sends each block's sorted
-fingerprints, packed by bucket of fingerprint order, and gets back those that other blocks hold
-too. Within a block a fingerprint is sent once, so a passage that a third of all texts share puts
-one entry per block into its bucket, however often it occurs.
+of the deduplication operators run over whole blocks. A step sends each block's sorted
+fingerprints, packed by bucket of fingerprint order; buckets are sorted one at a time, and a block
+gets back which of its fingerprints other blocks hold too and where one of these stands. Fingerprints
+only propose: the passage itself is then fetched from there and compared.
+
+Within a block a fingerprint is sent once, so a passage that a third of all texts share puts one
+entry per block into its bucket, however often it occurs. Where there are more than `MEMBERS`
+blocks, a bucket is first settled among `MEMBERS` of them at a time, and one entry of each such
+group goes on to the bucket's second round, so no group grows with the corpus.
 """
 
 from __future__ import annotations
@@ -18,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import keep
+from .tables import keep, tidy
 from .textblock import U64
 
 BLOCK_BYTES = 2 << 20
 BUCKET_ENTRIES = 1 << 20
 FLUSH = 3 << 20
+MEMBERS = 4096
 NO_ID = -(1 << 63)
 
 
@@ -39,7 +45,7 @@ class Corpus:
 def corpus(docs: DataFrame, id_col: str, text_col: str) -> Corpus:
     """Distinct texts in blocks. The text is shuffled once, by document, so copies of one text never meet in one task."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.unhex(F.md5("text")))
+    rows = rows.withColumn("key", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     ids = keep(rows.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes")), "ids")
     firsts = keep(ids.groupBy("key").agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes")).select("key", "first.doc_id", "copies", "n_bytes"), "firsts")
     n_bytes = firsts.agg(F.sum("n_bytes")).first()[0] or 0
@@ -81,6 +87,9 @@ class Block:
     data: np.ndarray
     off: np.ndarray
     found: np.ndarray  # sorted fingerprints that this block was told of
+    source: np.ndarray  # of each, a block that holds it
+    place: np.ndarray  # and where it starts there
+    more: dict  # further columns of the row
 
 
 def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -92,9 +101,13 @@ def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
             data = np.frombuffer(pa.decompress(row["blob"].as_buffer(), decompressed_size=size, codec="zstd"), np.uint8) if size else np.zeros(0, np.uint8)
             lens = np.asarray(row["lens"].values.to_numpy(), np.int64)
             keys = row["keys"].as_py()
-            told = row["found"].as_py() if "found" in names else None
-            found = np.unique(np.concatenate([unpack(x) for x in told])) if told else np.zeros(0, U64)
-            yield Block(row["block"].as_py(), row["ids"].values.to_numpy(), [keys[k : k + 16] for k in range(0, len(keys), 16)], data, np.concatenate([[0], np.cumsum(lens)]), found)
+            found, source, place = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if told := row["found"].as_py() if "found" in names else None:
+                found, first = np.unique(np.concatenate([unpack(x["fps"]) for x in told]), return_index=True)
+                source, place = (np.concatenate([unplanes(x[k], np.uint32) for x in told])[first].astype(np.int64) for k in ("source", "place"))
+            more = {k: v for k, v in row.items() if k not in ("block", "ids", "keys", "lens", "size", "blob", "found")}
+            yield Block(row["block"].as_py(), row["ids"].values.to_numpy(), [keys[k : k + 16] for k in range(0, len(keys), 16)], data, np.concatenate([[0], np.cumsum(lens)]), found, source, place, more)
+    tidy()
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -122,78 +135,159 @@ def bucket_of(values: np.ndarray, n: int) -> np.ndarray:
     return ((values >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
 
 
+def starts_of(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the row before in some column."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
 class Sender:
-    """Gathers entries of many blocks and yields them sorted and cut by bucket. `extra` columns go along with each fingerprint."""
+    """Gathers entries of many blocks and yields them sorted and cut by bucket and part. `extra` columns go along with each fingerprint."""
 
     def __init__(self, n_buckets: int, extra: dict[str, type], flush_at: int = FLUSH):
-        self.n, self.extra, self.flush_at, self.held, self.parts = n_buckets, extra, flush_at, 0, []
+        self.n, self.extra, self.flush_at, self.held, self.parts = n_buckets, extra, flush_at, 0, {}
 
-    def add(self, values: np.ndarray, **extra: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, values: np.ndarray, part: int = 0, **extra: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(values):
-            self.parts.append((values, extra))
+            self.parts.setdefault(part, []).append((values, extra))
             self.held += len(values)
             if self.held >= self.flush_at:
                 yield self.flush()
 
     def flush(self) -> pa.RecordBatch:
-        values = np.concatenate([v for v, _ in self.parts]) if self.parts else np.zeros(0, U64)
-        order = np.argsort(values)
-        values = values[order]
-        cut = np.searchsorted(bucket_of(values, self.n), np.arange(self.n + 1))
-        full = np.flatnonzero(np.diff(cut))
-        ranges = [(int(cut[b]), int(cut[b + 1])) for b in full]
-        out = {"bucket": pa.array(full, pa.int64()), "fps": pa.array([pack(values[a:b]) for a, b in ranges], pa.binary())}
-        for k, kind in self.extra.items():
-            column = np.concatenate([e[k] for _, e in self.parts])[order].astype(kind) if self.parts else np.zeros(0, kind)
-            out[k] = pa.array([planes(column[a:b]) for a, b in ranges], pa.binary())
-        self.held, self.parts = 0, []
-        return pa.RecordBatch.from_pydict(out)
+        out: dict[str, list] = {k: [] for k in ("bucket", "part", "fps", *self.extra)}
+        for part, held in self.parts.items():
+            values = np.concatenate([v for v, _ in held])
+            order = np.argsort(values)
+            values = values[order]
+            cut = np.searchsorted(bucket_of(values, self.n), np.arange(self.n + 1))
+            ranges = [(b, int(cut[b]), int(cut[b + 1])) for b in np.flatnonzero(np.diff(cut)).tolist()]
+            out["bucket"] += [b for b, _, _ in ranges]
+            out["part"] += [part] * len(ranges)
+            out["fps"] += [pack(values[a:b]) for _, a, b in ranges]
+            for k, kind in self.extra.items():
+                column = np.concatenate([e[k] for _, e in held])[order].astype(kind)
+                out[k] += [planes(column[a:b]) for _, a, b in ranges]
+        self.held, self.parts = 0, {}
+        return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k in ("bucket", "part") else pa.binary()) for k, v in out.items()})
 
 
 Emit = Callable[[Block], Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]]
+#: What goes along with a fingerprint: its block, where it starts there, and 32 bits of a second fingerprint.
+ENTRY = {"block": np.uint32, "place": np.uint32, "check": np.uint32}
 
 
-def exchange(blocks: DataFrame, emit: Emit, entries: float, pick: Callable[..., np.ndarray], extra: dict[str, type] | None = None) -> DataFrame:
+def exchange(blocks: DataFrame, n_blocks: int, emit: Emit, entries: float, later: bool = False, extra: dict[str, type] | None = None) -> DataFrame:
     """Sends each block's fingerprints to their buckets, sorts one bucket at a time and returns (block, found), packed.
 
-    `pick(values, block, **extra)` gets a bucket's entries sorted by fingerprint, then block, and says of which entries the block is told.
+    Told of a fingerprint is every block that shares it with another; with `later`, all but the first
+    by the column `doc`, block and place. A column `need` says which entries are told at all.
     """
-    extra = {"block": np.uint32} | (extra or {})
-    n_buckets = max(1, math.ceil(entries / BUCKET_ENTRIES))
+    extra = ENTRY | (extra or {})
+    n_buckets, n_parts = max(1, math.ceil(entries / BUCKET_ENTRIES)), max(1, math.ceil(n_blocks / MEMBERS))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = Sender(n_buckets, extra)
         for block in opened(batches):
             for values, more in emit(block):
-                yield from sender.add(values, block=np.full(len(values), block.number, np.uint32), **more)
+                yield from sender.add(values, block.number % n_parts, block=np.full(len(values), block.number, np.uint32), **more)
         if sender.held:
             yield sender.flush()
+        tidy()
+
+    def settle(last: bool) -> Callable[[pa.Table], pa.Table]:
+        def one(table: pa.Table) -> pa.Table:
+            values = np.concatenate([unpack(x.as_py()) for x in table.column("fps")])
+            columns = {k: np.concatenate([unplanes(x.as_py(), kind) for x in table.column(k)]) for k, kind in extra.items()}
+            order = np.lexsort((columns["place"], columns["block"], *([columns["doc"]] if "doc" in extra else []), columns["check"], values))
+            values, columns = values[order], {k: v[order] for k, v in columns.items()}
+            new = starts_of(values, columns["check"])
+            at = np.flatnonzero(new)
+            first = at[np.cumsum(new) - 1] if len(at) else at
+            size = np.diff(np.append(at, len(values)))
+            told = ~new if later else np.repeat(size > 1, size)
+            if "need" in extra:
+                told &= columns["need"] > 0
+            told = np.flatnonzero(told)
+            source = np.where(first[told] == told, told + 1, first[told])  # the first of its like, and for the first itself the second
+            to = columns["block"][told]
+            order = np.argsort(to, kind="stable")
+            told, source, to = told[order], source[order], to[order]
+            cut = np.flatnonzero(starts_of(to)).tolist()
+            ends = [*cut[1:], len(to)] if cut else []
+            out = {
+                "block": [int(to[a]) for a in cut],
+                "fps": [pack(values[told[a:b]]) for a, b in zip(cut, ends, strict=True)],
+                "source": [planes(columns["block"][source[a:b]]) for a, b in zip(cut, ends, strict=True)],
+                "place": [planes(columns["place"][source[a:b]]) for a, b in zip(cut, ends, strict=True)],
+            }
+            if not last:  # one of each goes on to the second round
+                out = {k: [*v, None] for k, v in out.items()} | {"bucket": [None] * len(cut) + [table.column("bucket")[0].as_py()]}
+                out["fps"][-1], out["place"][-1] = pack(values[at]), planes(columns["place"][at])
+                for k in extra:
+                    if k != "place":
+                        out[f"next_{k}"] = [None] * len(cut) + [planes(columns[k][at])]
+            tidy()
+            return pa.table({k: pa.array(v, pa.int64() if k in ("block", "bucket") else pa.binary()) for k, v in out.items()})
+
+        return one
+
+    schema = "bucket long, part long, fps binary, " + ", ".join(f"{k} binary" for k in extra)
+    back = "block long, fps binary, source binary, place binary"
+    dealt = blocks.mapInArrow(send, schema)
+    if n_parts == 1:
+        found = dealt.groupBy("bucket").applyInArrow(settle(True), back)
+    else:
+        more = [k for k in extra if k != "place"]
+        first = keep(dealt.groupBy("bucket", "part").applyInArrow(settle(False), back + ", bucket long, " + ", ".join(f"next_{k} binary" for k in more)), "settled")
+        rest = first.where("bucket is not null").select("bucket", "fps", "place", *[F.col(f"next_{k}").alias(k) for k in more])
+        found = first.where("bucket is null").select("block", "fps", "source", "place").unionByName(rest.groupBy("bucket").applyInArrow(settle(True), back))
+    return found.groupBy("block").agg(F.collect_list(F.struct("fps", "source", "place")).alias("found"))
+
+
+def told(blocks: DataFrame, *found: DataFrame) -> DataFrame:
+    for f in found:
+        blocks = blocks.join(f, "block", "left")
+    return blocks
+
+
+#: A passage that a block asks for: `n` places from `place` on in block `source`, to be held against its own from `here` on.
+WANT = "block long, here long, source long, place long, n long"
+SPAN = 1 << 16
+
+
+def wanted(number: int, here: np.ndarray, source: np.ndarray, place: np.ndarray, width: int, reach: int) -> pa.RecordBatch:
+    """Requests for strings of `width` places that start at `here`, in rising order, and should equal those at `place`.
+
+    Strings with the same offset that start at most `reach` apart are one passage; with a reach below the strings' true length, none crosses a text.
+    """
+    new = starts_of(source, place - here)
+    new[1:] |= np.diff(here) > reach
+    cut = np.flatnonzero(new)
+    last = np.append(cut[1:], len(here)) - 1 if len(cut) else cut
+    columns = (np.full(len(cut), number), here[cut], source[cut], place[cut], here[last] - here[cut] + width)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "here", "source", "place", "n"])
 
-    def settle(table: pa.Table) -> pa.Table:
-        values = np.concatenate([unpack(x.as_py()) for x in table.column("fps")])
-        columns = {k: np.concatenate([unplanes(x.as_py(), kind) for x in table.column(k)]) for k, kind in extra.items()}
-        order = np.lexsort((columns["block"], values))
-        values, columns = values[order], {k: v[order] for k, v in columns.items()}
-        told = np.flatnonzero(pick(values, **columns))
-        to, told = columns["block"][told], values[told]
-        order = np.argsort(to, kind="stable")
-        to, told = to[order], told[order]
-        cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
-        return pa.table({"block": pa.array(to[cut].astype(np.int64)), "found": pa.array([pack(x) for x in np.split(told, cut[1:])] if len(to) else [], pa.binary())})
-
-    schema = "bucket long, fps binary, " + ", ".join(f"{k} binary" for k in extra)
-    dealt = blocks.mapInArrow(send, schema).groupBy("bucket").applyInArrow(settle, "block long, found binary")
-    return dealt.groupBy("block").agg(F.collect_list("found").alias("found"))
-
-
-def elsewhere(values: np.ndarray, block: np.ndarray, **_: np.ndarray) -> np.ndarray:
-    """Entries whose fingerprint another entry has too."""
-    same = values[1:] == values[:-1]
-    out = np.zeros(len(values), bool)
-    out[1:] |= same
-    out[:-1] |= same
-    return out
-
-
-def told(blocks: DataFrame, found: DataFrame) -> DataFrame:
-    return blocks.join(found, "block", "left")
+
+def fetched(blocks: DataFrame, wants: DataFrame, cut: Callable[[Block, int, int], tuple[int, bytes]], label: str) -> DataFrame:
+    """(block, texts) for requests: the passages, cut by the blocks that hold them. A passage that many blocks ask for is cut once."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in opened(batches):
+            asked = block.more["asked"].as_py()
+            got = [cut(block, x["place"], x["n"]) for x in asked]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "source": pa.array([block.number] * len(asked), pa.int64()),
+                    "place": pa.array([x["place"] for x in asked], pa.int64()),
+                    "n": pa.array([x["n"] for x in asked], pa.int64()),
+                    "left": pa.array([x for x, _ in got], pa.int64()),
+                    "text": pa.array([x for _, x in got], pa.binary()),
+                }
+            )
+
+    asked = wants.select("source", "place", "n").distinct().groupBy("source", F.floor(F.col("place") / SPAN).alias("span")).agg(F.collect_list(F.struct("place", "n")).alias("asked"))
+    answers = keep(blocks.join(asked.select(F.col("source").alias("block"), "asked"), "block").mapInArrow(answer, "source long, place long, n long, left long, text binary"), f"{label}-answers")
+    return wants.join(answers, ["source", "place", "n"]).groupBy("block").agg(F.collect_list(F.struct("here", "source", "place", "n", "left", "text")).alias(label))

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textblock import LETTER, U64, owner, pieces, prefix, runs, spans
+from .textblock import U64, owner, pieces, runs, strings, windows
 
 K1, B, SHINGLE = 1.2, 0.4, 5
 THRESHOLD, OVERLAP, SHARD_ITEMS, BLOCK = 0.5, 0.8, 20_000, 32
@@ -48,7 +48,7 @@ FILTER, SHORT = 1 << 20, 512
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprint of each word and the words before each text."""
     start, end = runs(WORD[data], off)
-    return (spans(prefix(LETTER[data]), start, end) if len(data) else np.zeros(0, U64)), np.searchsorted(start, off)
+    return strings(data, start, end), np.searchsorted(start, off)
 
 
 def words_of(text: str) -> np.ndarray:
@@ -60,9 +60,7 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     """Distinct fingerprints of k-word shingles; shorter word lists are one shingle of what there is."""
     if not len(words):
         return np.zeros(0, U64)
-    k = min(k, len(words))
-    at = np.arange(len(words) - k + 1)
-    return np.unique(spans(prefix(words), at, at + k))
+    return np.unique(windows(words, min(k, len(words))))
 
 
 def length_class(n: int) -> int:

@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 
 from .blocks import BUCKET_ENTRIES, NO_ID, Sender, unpack, unplanes
 from .components import components
-from .tables import drop_kept, forget_shuffles, keep
-from .textblock import U64, Words, mix, pieces, prefix, spans
+from .tables import bounded, drop_kept, keep, tidy
+from .textblock import U64, Words, mix, pieces, windows
 
 SHINGLE, THRESHOLD, FRAGMENTS = 3, 90, 4
 CELLS, GROUPS, WORDS = 1 << 22, 8, 16
@@ -58,9 +58,9 @@ def sets(data: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.ndarray, n
     doc = words.doc[at]
     short = np.flatnonzero((count > 0) & (count < shingle))
     if len(short):
-        sums = prefix(hashes)
+        whole = [windows(hashes[words.at[d] : words.at[d + 1]], int(count[d]))[0] for d in short.tolist()]
         doc = np.concatenate([doc, short])
-        fp = np.concatenate([fp, spans(sums, words.at[short], words.at[short + 1])])
+        fp = np.concatenate([fp, mix(np.array(whole, U64) + U64(1))])  # apart from shingles of the full length
     order = np.lexsort((fp, doc))
     doc, fp = doc[order], fp[order]
     new = np.ones(len(fp), bool)
@@ -196,7 +196,7 @@ def candidates(rows: DataFrame, entries: float, threshold: int) -> DataFrame:
         raw = [np.ascontiguousarray(pairs[:, i]).tobytes() for i in (0, 1)]
         return pa.table({k: pa.array([x[i : i + 8] for i in range(0, len(x), 8)], pa.binary()) for k, x in zip(("ref_a", "ref_b"), raw, strict=True)})
 
-    schema = "bucket long, fps binary, " + ", ".join(f"{k} binary" for k in SENT)
+    schema = "bucket long, part long, fps binary, " + ", ".join(f"{k} binary" for k in SENT)
     return rows.mapInArrow(send, schema).groupBy("bucket").applyInArrow(pair, "ref_a binary, ref_b binary").distinct()
 
 
@@ -273,13 +273,12 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     """One row per input row: doc_id, n_shingles, component_id. `threshold` is a percentage."""
     if not 0 < threshold <= 100:
         raise ValueError("threshold must be a percentage")
-    spark = docs.sparkSession
+    bounded(docs.sparkSession)
     docs = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     rows = keep(described(docs, shingle, threshold), "sets")
     firsts = keep(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "firsts")
     entries = (rows.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) / 8
     stars = keep(named(candidates(rows, entries, threshold), firsts), "stars")
-    forget_shuffles(spark)
     ids = firsts.select("key", "doc_id")
     used = stars.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     members = keep(rows.join(ids.join(used, "key", "left_semi"), ["key", "doc_id"], "left_semi").select("key", "doc_id", "n", *SKETCH).distinct(), "members")
@@ -287,11 +286,9 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     left, right = sides(members)
     pairs = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(left, F.col("a") == F.col("key_a")).join(right, F.col("b") == F.col("key_b")).where(may_link(threshold))
     pairs = keep(pairs.select("a", "b"), "pairs")
-    forget_shuffles(spark)
     linked = (F.col("common") * (100 + threshold) >= threshold * (F.col("na") + F.col("nb"))).alias("linked")
     parts = _fragments_of(pairs, docs, firsts, shingle, twice)
     checked = keep(verified(pairs, parts, firsts).select("a", "b", linked, (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far")), "checked")
-    forget_shuffles(spark)
 
     def graph(links: DataFrame) -> DataFrame:
         a, b = (ids.select(F.col("key").alias(k), F.col("doc_id").alias(f"id_{k}")) for k in "ab")
@@ -303,7 +300,6 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     known = keep(stars.join(both, ["a", "b"], "left").select(F.col("a").alias("pivot"), F.col("b").alias("key"), "far", F.coalesce("linked", F.lit(False)).alias("linked")), "known")
     placed = members.join(grouped_, F.col("doc_id") == grouped_["node"], "left").withColumn("component", F.coalesce("component", "doc_id"))
     rest = keep(uncompared(known, placed, threshold).join(checked, ["a", "b"], "left_anti"), "rest")
-    forget_shuffles(spark)
     if rest.limit(1).count():
         found = keep(verified(rest, _fragments_of(rest, docs, firsts, shingle, twice), firsts).where(linked).select("a", "b"), "found")
         if found.limit(1).count():

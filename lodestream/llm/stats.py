@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .textblock import LETTER, LOWER, SPACE, U64, Words, covered, mix, owner, prefix, repeated, runs, spans, within
+from .textblock import LOWER, SPACE, U64, Words, covered, mix, owner, repeated, runs, strings, within
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -61,14 +61,13 @@ class Measured:
     def __init__(self, data: np.ndarray, off: np.ndarray):
         self.data, self.off, self.n = data, off, len(off) - 1
         self.words, self.tally = Words(data, off), Tally(data)
-        self.sums = prefix(LETTER[data])
-        self.hashes = spans(self.sums, self.words.start, self.words.end)
+        self.hashes = self.words.hashes()
         start, end = runs(data != NEWLINE, off)
         words = within(self.words.start, start, end)
         full = words > 0
         self.line_start, self.line_end, self.line_words = start[full], end[full], words[full]
         self.line_doc = owner(off, self.line_start)
-        key = spans(self.sums, self.line_start, self.line_end) + mix(self.line_doc.astype(U64) + U64(1))
+        key = strings(data, self.line_start, self.line_end) + mix(self.line_doc.astype(U64) + U64(1))
         self.line_again = np.ones(len(key), bool)
         self.line_again[np.unique(key, return_index=True)[1]] = False
 

@@ -3,21 +3,26 @@
 A window is `window` consecutive words of one text. The words of every window that also starts
 earlier (smaller id, or same text and earlier start) are removed.
 
-1. Each text's windows are represented by phrases of `phrase` words: the smallest fingerprint in
-   each window, so equal windows choose equal phrases. Phrases that recur anywhere in the corpus
-   are confirmed by an exchange of fingerprints.
-2. Each block compiles its shard of the confirmed phrases, those that its texts hold, into an
-   Aho-Corasick automaton over word codes and streams all its texts through it. Every window
-   around an occurrence is compared with the windows of all other blocks; its first occurrence in
-   the corpus is the one that stays.
-3. Each block removes the words of the windows that are not first.
-
-The automata together hold each phrase once per block that has it, so work and memory follow the
-input, and no automaton outgrows a block. Exact copies of a text are settled by their key alone.
-
-Null and empty texts have no words and lose none. Rows that repeat an id and its text get the same
-result; rows that share an id but not a text are ordered arbitrarily among themselves; a null id
-counts as the smallest. An empty table gives an empty result; other columns are ignored.
+1. Candidates. Each text's windows are represented by phrases of `phrase` words: the smallest
+   fingerprint in each window, so equal windows choose equal phrases. Phrases that recur anywhere
+   in the corpus are found by an exchange of fingerprints; the windows they represent are then
+   compared over all blocks, and those that are not the first of their like are told where the
+   first stands.
+2. Confirmed passages. Runs of such windows are asked for where they stand first, and the words
+   themselves come back: they are a block's shard of the repeated passages.
+3. Each block compiles its shard into an Aho-Corasick automaton and streams all its texts through
+   it. A passage's words go wherever the automaton finds them, except where it stands first. Only
+   these hits remove words, so equality never rests on fingerprints.
+
+The automata together hold each passage once per block that has it, so work and memory follow the
+input, and no automaton outgrows its block's texts. Exact copies of a text are settled by a
+128-bit key alone.
+
+Null and empty texts have no words and lose none. A text of any length is one unit of work: it must
+fit in a Python worker's memory some thirty times over. Rows that repeat an id and its text get the
+same result; rows that share an id but not a text are ordered arbitrarily among themselves; a null
+id counts as the smallest. An empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -31,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, corpus, elsewhere, exchange, opened, told
-from .tables import drop_kept, forget_shuffles, keep
-from .textblock import U64, Words, covered, member, repeated
+from .blocks import WANT, Block, corpus, exchange, fetched, opened, told, unpack, wanted
+from .tables import bounded, drop_kept, keep
+from .textblock import SPACE, U64, Words, covered, found, member, repeated, runs, windows
 
 WINDOW, PHRASE = 20, 6
 NOTHING = hashlib.sha256(b"").hexdigest()
@@ -66,80 +71,102 @@ def chosen(words: Words, hashes: np.ndarray, window: int, phrase: int) -> tuple[
     return take, every[take]
 
 
-def occurrences(words: Words, hashes: np.ndarray, phrases: np.ndarray, phrase: int) -> np.ndarray:
-    """Word numbers where one of the phrases (given by a start each) occurs, found by an automaton over words coded as characters."""
-    if not len(phrases):
-        return np.zeros(0, np.int64)
-    text = ((hashes % U64(0xFFFFF)).astype("<u4") + np.uint32(0x10000)).tobytes().decode("utf-32-le")
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for start in phrases.tolist():
-        automaton.add_word(text[start : start + phrase])
-    automaton.make_automaton()
-    ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64)
-    return ends - phrase + 1
-
-
 def _emit_phrases(window: int, phrase: int):
     def emit(block: Block) -> Iterator[tuple[np.ndarray, dict]]:
         words = Words(block.data, block.off)
-        yield np.unique(chosen(words, words.hashes(), window, phrase)[1]), {}
+        fps = np.unique(chosen(words, words.hashes(), window, phrase)[1])
+        none = np.zeros(len(fps), np.uint32)
+        yield fps, {"place": none, "check": none}
 
     return emit
 
 
+def doubtful(words: Words, hashes: np.ndarray, recurring: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the windows whose phrase recurs, their fingerprints, and second fingerprints."""
+    at, fp = chosen(words, hashes, window, phrase)
+    at = at[member(fp, recurring) | repeated(fp)]
+    near = covered(len(words), np.maximum(at - (window - phrase), 0), window - phrase + 1)
+    starts, full = words.windows(hashes, window)
+    take = near[starts]
+    starts = starts[take]
+    second = (windows(hashes * U64(0x9E3779B97F4A7C15) + U64(1), window)[starts] >> U64(32)).astype(np.uint32) if len(starts) else np.zeros(0, np.uint32)
+    return starts, full[take], second
+
+
 def _emit_windows(window: int, phrase: int):
     def emit(block: Block) -> Iterator[tuple[np.ndarray, dict]]:
         words = Words(block.data, block.off)
-        hashes = words.hashes()
-        at, fp = chosen(words, hashes, window, phrase)
-        known = member(fp, block.found) | repeated(fp)
-        fp, first = np.unique(fp[known], return_index=True)
-        hits = occurrences(words, hashes, at[known][first], phrase)
-        if not len(hits):
-            return
-        # the automaton's word codes are shorter than fingerprints, so each hit is confirmed by its own
-        starts, every = words.windows(hashes, phrase)
-        place = np.searchsorted(starts, hits)
-        ok = (place < len(starts)) & (starts[np.minimum(place, len(starts) - 1)] == hits)
-        hits = hits[ok][member(every[place[ok]], fp)]
-        near = covered(len(words), np.maximum(hits - (window - phrase), 0), window - phrase + 1)
-        starts, full = words.windows(hashes, window)
-        full = full[near[starts]]
-        starts = starts[near[starts]]
+        starts, full, second = doubtful(words, words.hashes(), block.found, window, phrase)
         full, first = np.unique(full, return_index=True)
-        yield full, {"doc": block.ids[words.doc[starts[first]]]}
+        yield full, {"doc": block.ids[words.doc[starts[first]]], "place": starts[first].astype(np.uint32), "check": second[first]}
 
     return emit
 
 
-def _not_first(values: np.ndarray, block: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Entries of blocks that do not hold the first occurrence."""
-    order = np.lexsort((block, doc, values))
-    first = np.ones(len(values), bool)
-    v = values[order]
-    first[1:] = v[1:] != v[:-1]
-    out = np.zeros(len(values), bool)
-    out[order] = ~first
-    return out
+def late(block: Block, recurring: np.ndarray, window: int, phrase: int) -> pa.RecordBatch:
+    """Requests for the passages of this block that stand earlier, here or elsewhere."""
+    words = Words(block.data, block.off)
+    starts, full, _ = doubtful(words, words.hashes(), recurring, window, phrase)
+    _, first, like = np.unique(full, return_index=True, return_inverse=True)
+    at = found(full, block.found)
+    source = np.where(at >= 0, block.source[at] if len(block.source) else 0, block.number)
+    place = np.where(at >= 0, block.place[at] if len(block.place) else 0, starts[first[like]] if len(first) else 0)
+    other = (source != block.number) | (place != starts)
+    out = wanted(block.number, starts[other], source[other], place[other], 1, 1)
+    # runs of window starts so far; as many words as their windows cover. Where a text repeats itself, its runs ask for the same passage once
+    here, source, place, n = (out.column(k).to_numpy() for k in (1, 2, 3, 4))
+    _, once = np.unique(np.stack([source, place, n], 1), axis=0, return_index=True)
+    columns = (np.full(len(once), block.number), here[once], source[once], place[once], n[once] + window - 1)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "here", "source", "place", "n"])
+
+
+def _passage(block: Block, place: int, n: int) -> tuple[int, bytes]:
+    """The n words from word `place` on."""
+    if "words" not in block.more:
+        block.more["words"] = Words(block.data, block.off)
+    words = block.more["words"]
+    return 0, b" ".join(block.data[words.start[place] : words.end[place + n - 1]].tobytes().split())
+
+
+def removed(joined: bytes, starts: np.ndarray, passages: dict[bytes, set[int]]) -> np.ndarray:
+    """Which words the passages cover. `joined` has a space before and after each word, `starts` where each word begins; `passages` has for each the word numbers in this block, -1 elsewhere, where it stands first."""
+    gone = np.zeros(len(starts), bool)
+    if not passages:
+        return gone
+    automaton = ahocorasick.Automaton()
+    for text, sources in passages.items():
+        automaton.add_word(f" {text.decode('latin-1')} ", (len(text), text.count(b" ") + 1, sources))
+    automaton.make_automaton()
+    hits = [(end - size, n, sources) for end, (size, n, sources) in automaton.iter(joined.decode("latin-1"))]
+    at = np.searchsorted(starts, [a for a, _, _ in hits]).tolist()
+    ok = [(a, n) for a, (_, n, sources) in zip(at, hits, strict=True) if len(sources) > 1 or a not in sources]
+    return covered(len(starts), np.array([a for a, _ in ok], np.int64), np.array([n for _, n in ok], np.int64)) if ok else gone
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE, with_text: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
+    """One row per input row: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (the words left, as they stand where nothing was removed)."""
+    bounded(docs.sparkSession)
     held = corpus(docs, id_col, text_col)
-    forget_shuffles(docs.sparkSession)
     rate = 2 / (window - phrase + 2) / 5
-    phrases = keep(exchange(held.blocks, _emit_phrases(window, phrase), held.n_bytes * rate, elsewhere), "phrases")
-    forget_shuffles(docs.sparkSession)
-    lost = keep(exchange(told(held.blocks, phrases), _emit_windows(window, phrase), held.n_bytes / 20, _not_first, {"doc": np.int64}), "windows")
-    drop_kept(phrases)
-    forget_shuffles(docs.sparkSession)
+    phrases = keep(exchange(held.blocks, held.n_blocks, _emit_phrases(window, phrase), held.n_bytes * rate), "phrases")
+    both = told(held.blocks, phrases)
+    first = keep(exchange(both, held.n_blocks, _emit_windows(window, phrase), held.n_bytes / 20, True, {"doc": np.int64}), "windows")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in opened(batches):
+            told_of = block.more["phrases"].as_py() or []
+            yield late(block, np.unique(np.concatenate([unpack(x["fps"]) for x in told_of])) if told_of else np.zeros(0, U64), window, phrase)
+
+    wants = keep(told(held.blocks, first, phrases.select("block", F.col("found").alias("phrases"))).mapInArrow(ask, WANT), "wants")
+    drop_kept(phrases, first)
+    passages = keep(fetched(held.blocks, wants, _passage, "passages"), "passages")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in opened(batches):
-            yield _cut(block, window, with_text)
+            yield _cut(block, with_text)
 
     schema = "key binary, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    done = told(held.blocks, lost).mapInArrow(cut, schema)
+    done = told(held.blocks, passages).mapInArrow(cut, schema)
     done = done.join(held.firsts.select("key", F.col("doc_id").alias("first")), "key")
     out = held.ids.select("doc_id", "key").join(done, "key", "left")
     copy = ~F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("n_words") >= window)
@@ -147,29 +174,29 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     return out.select(*columns, *([F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []))
 
 
-def _cut(block: Block, window: int, with_text: bool) -> pa.RecordBatch:
-    words = Words(block.data, block.off)
-    starts, fp = words.windows(words.hashes(), window)
-    late = member(fp, block.found)
-    twice = np.flatnonzero(repeated(fp))
-    later = np.ones(len(twice), bool)
-    later[np.unique(fp[twice], return_index=True)[1]] = False
-    late[twice[later]] = True
-    gone = covered(len(words), starts[late], window)
-    n_words, lost = words.counts(), np.concatenate([[0], np.cumsum(gone)])
-    lost = lost[words.at[1:]] - lost[words.at[:-1]]
+def _cut(block: Block, with_text: bool) -> pa.RecordBatch:
     raw = block.data.tobytes()
+    bounds = list(zip(block.off[:-1].tolist(), block.off[1:].tolist(), strict=True))
+    texts = [b" ".join(raw[a:b].split()) for a, b in bounds]
+    n_words = [t.count(b" ") + 1 if t else 0 for t in texts]
+    joined = b" " + b" \n ".join(texts) + b" "
+    data = np.frombuffer(joined, np.uint8)
+    starts = runs(~SPACE[data], np.array([0, len(data)]))[0]
+    passages: dict[bytes, set[int]] = {}
+    for x in block.more["passages"].as_py() or []:
+        passages.setdefault(x["text"], set()).add(x["place"] if x["source"] == block.number else -1)
+    gone = removed(joined, starts, passages)
+    at = np.concatenate([[0], np.cumsum(n_words)]).astype(np.int64)
+    lost = np.concatenate([[0], np.cumsum(gone)])
+    lost = lost[at[1:]] - lost[at[:-1]]
     shas, kept = [], []
-    for i, (a, b) in enumerate(zip(block.off[:-1].tolist(), block.off[1:].tolist(), strict=True)):
-        parts = raw[a:b].split()
+    for i, (text, (a, b)) in enumerate(zip(texts, bounds, strict=True)):
         if lost[i]:
-            flags = gone[words.at[i] : words.at[i + 1]].tolist()
-            parts = [x for x, f in zip(parts, flags, strict=True) if not f]
-        text = b" ".join(parts)
+            text = b" ".join(w for w, f in zip(text.split(b" "), gone[at[i] : at[i + 1]].tolist(), strict=True) if not f)
         shas.append(hashlib.sha256(text).hexdigest())
         if with_text:
             kept.append(text if lost[i] else raw[a:b])
-    columns = {"key": pa.array(block.keys, pa.binary()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array(shas)}
+    columns = {"key": pa.array(block.keys, pa.binary()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
     if with_text:
         columns["kept_text"] = pa.array([x.decode() for x in kept], pa.string())
     return pa.RecordBatch.from_pydict(columns)

@@ -7,20 +7,26 @@ The suffixes of a text are sampled at positions whose remainder modulo `PERIOD`
 cover. For any two positions i and j some shift below PERIOD brings both onto samples, so two equal
 strings of `depth` bytes hold a pair of aligned samples that agree for depth - PERIOD + 1 bytes.
 
-1. Cover-sample ranks: samples are ranked by their first depth - PERIOD + 1 bytes, one bucket of
-   the fingerprint order at a time. Only equality of ranks is needed, so a rank is a fingerprint.
-   A sample whose rank is unique cannot lie in a repeat and is forgotten.
-2. Suffixes within reach of a tied sample are the only ones left in doubt. They are sorted, again
-   one bucket at a time, by the fingerprint of their first `depth` bytes, which settles a tie that
-   is long in one step; a full prefix comparison would carry `depth` bytes per suffix instead.
-3. Each block removes the bytes its repeated strings cover.
-
-A bucket holds a bounded number of entries and a block a bounded number of bytes, so memory is
-bounded by those two, whatever the corpus. Exact copies of a text are settled by their key: all of
-a text of `depth` bytes or more is removed when it has a copy.
-
-Null counts as empty; empty and short texts lose nothing. Repeated rows are copies of each other.
-An empty table gives an empty result; other columns are ignored.
+1. Cover-sample ranks. Samples are ranked by their first depth - PERIOD + 1 bytes, one bucket at a
+   time; each sample with a tied rank is told of a neighbour of the same rank. A sample whose rank
+   is unique cannot lie in a repeat and is forgotten, and with it all suffixes that hold only such.
+2. Long ties. Tied samples with the same offset form passages. They are fetched from the
+   neighbour's text, with PERIOD - 1 bytes to either side, and compared byte by byte with the own
+   text: wherever `depth` bytes or more agree, the suffixes are resolved by their samples alone.
+3. Short ties. The suffixes within reach of a tied sample that are left are sorted, again one
+   bucket at a time, among all suffixes within such reach; those that tie are fetched and compared
+   in the same way.
+
+Buckets are ranges of fingerprints of the strings, and ranks need only say what is equal, so no
+bucket is in the order of an alphabet; only the comparisons of bytes remove anything. A bucket
+holds a bounded number of entries and a block a bounded number of bytes, so memory is bounded by
+those two, whatever the corpus. Exact copies of a text are settled by a 128-bit key: all of a text
+of `depth` bytes or more is removed when it has a copy.
+
+Null counts as empty; empty and short texts lose nothing. Strings of long texts are found tile by
+tile, but a text as a whole must fit some fifteen times into a Python worker's memory. Repeated
+rows are copies of each other. An empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -33,9 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, corpus, elsewhere, exchange, opened, told
-from .tables import drop_kept, forget_shuffles, keep
-from .textblock import LETTER, PIECE, U64, member, owner, prefix, repeated, spans
+from .blocks import WANT, Block, corpus, exchange, fetched, opened, told, wanted
+from .tables import bounded, drop_kept, keep
+from .textblock import PIECE, U64, covered, found, mix, owner, runs, windows
 
 DEPTH, PERIOD = 200, 73
 #: Powers of two modulo 73: every nonzero remainder is a difference of two of them.
@@ -43,95 +49,182 @@ COVER = sorted({pow(2, k, PERIOD) for k in range(9)})
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
-def tiles(data: np.ndarray, off: np.ndarray, reach: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Yields (first, last, sums): prefix sums that serve strings of up to `reach` bytes starting in [first, last). Bounds memory for long texts."""
+def tiles(data: np.ndarray, reach: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Yields (first, last, fingerprints of the strings of `reach` bytes that start in [first, last)). Bounds memory for long texts."""
     for a in range(0, len(data), PIECE):
         b = min(len(data), a + PIECE)
-        yield a, b, prefix(LETTER[data[a : min(len(data), b + reach)]])
+        part = data[a : min(len(data), b + reach - 1)]
+        if len(part) < reach:
+            return
+        # values of eight bytes each, then doubled up
+        eight = np.ndarray((len(part) - 7,), "<u8", part.tobytes(), 0, (1,)).copy()
+        eight *= U64(0x9E3779B97F4A7C15)
+        yield a, b, windows(mix(eight), reach - 7)
 
 
-def strings(sums: np.ndarray, first: int, starts: np.ndarray, length: int) -> np.ndarray:
-    return spans(sums, starts - first, starts - first + length)
+def fingerprints(data: np.ndarray, off: np.ndarray, length: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and fingerprints of the strings of `length` bytes inside a text, at marked places (all without marks)."""
+    starts, fps = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    for first, last, every in tiles(data, length):
+        at = np.arange(first, first + len(every)) if among is None else first + np.flatnonzero(among[first : first + len(every)])
+        at = at[at + length <= off[owner(off, at) + 1]]
+        starts.append(at)
+        fps.append(every[at - first])
+    return np.concatenate(starts), np.concatenate(fps)
 
 
 def samples(data: np.ndarray, off: np.ndarray, rank_depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of cover samples and their ranks. A text's samples are counted from its own start."""
+    """Starts of cover samples and fingerprints of what they are ranked by. A text's samples are counted from its own start."""
     cover = np.zeros(PERIOD, bool)
     cover[COVER] = True
-    starts, ranks = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
-    for first, last, sums in tiles(data, off, rank_depth):
-        at = np.arange(first, last)
-        doc = owner(off, at)
-        at = at[cover[(at - off[doc]) % PERIOD] & (at + rank_depth <= off[doc + 1])]
-        starts.append(at)
-        ranks.append(strings(sums, first, at, rank_depth))
-    return np.concatenate(starts), np.concatenate(ranks)
+    at = np.arange(len(data))
+    at -= np.repeat(off[:-1], np.diff(off))
+    at %= PERIOD
+    return fingerprints(data, off, rank_depth, cover[at])
+
+
+def first_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct fingerprints, where each comes first, and for every entry the entry of the same kind before it (-1 for the first)."""
+    order = np.argsort(fps, kind="stable")
+    s = fps[order]
+    same = np.zeros(len(s), bool)
+    same[1:] = s[1:] == s[:-1]
+    before = np.full(len(s), -1)
+    before[order[1:][same[1:]]] = order[:-1][same[1:]]
+    return s[~same], order[~same], before
 
 
 def _emit_samples(depth: int):
     def emit(block: Block) -> Iterator[tuple[np.ndarray, dict]]:
-        yield np.unique(samples(block.data, block.off, depth - PERIOD + 1)[1]), {}
+        starts, ranks = samples(block.data, block.off, depth - PERIOD + 1)
+        fps, first, _ = first_of(ranks)
+        yield fps, {"place": starts[first].astype(np.uint32), "check": np.zeros(len(fps), np.uint32)}
 
     return emit
 
 
+def tied(block: Block, starts: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which strings tie, and block and start of one of the same rank: the one before in this block, else another block's, else the next in this block."""
+    at = found(fps, block.found)
+    _, _, before = first_of(fps)
+    after = np.full(len(fps), -1)
+    after[before[before >= 0]] = np.flatnonzero(before >= 0)
+    near = np.where(before >= 0, before, np.where(at >= 0, -1, after))
+    has = (near >= 0) | (at >= 0)
+    source = np.where(near >= 0, block.number, block.source[at] if len(block.source) else 0)
+    place = np.where(near >= 0, starts[near] if len(starts) else 0, block.place[at] if len(block.place) else 0)
+    return has, source, place
+
+
+def resolved(block: Block, passages: str, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes agree with a fetched passage in a stretch of `depth` or more, and which suffixes such a stretch begins."""
+    begin, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x in block.more[passages].as_py() or []:
+        t = int(owner(block.off, np.array([x["here"]]))[0])
+        a, start = int(block.off[t]), x["here"] - x["left"]
+        text = np.frombuffer(x["text"], np.uint8)[max(0, a - start) :]
+        start = max(a, start)
+        text = text[: max(0, int(block.off[t + 1]) - start)]
+        same = np.concatenate([[False], block.data[start : start + len(text)] == text, [False]])
+        edge = np.flatnonzero(same[1:] != same[:-1])
+        long = edge[1::2] - edge[::2] >= depth
+        begin.append(start + edge[::2][long])
+        size.append((edge[1::2] - edge[::2])[long])
+    begin, size = np.concatenate(begin), np.concatenate(size)
+    return covered(len(block.data), begin, size), covered(len(block.data), begin, size - depth + 1)
+
+
 def in_reach(n: int, starts: np.ndarray, back: int) -> np.ndarray:
     """Places at most `back` before one of the starts."""
-    d = np.zeros(n + 1, np.int32)
-    np.add.at(d, np.maximum(starts - back, 0), 1)
-    np.add.at(d, starts + 1, -1)
-    return np.cumsum(d[:-1]) > 0
+    return covered(n, np.maximum(starts - back, 0), starts + 1 - np.maximum(starts - back, 0))
 
 
-def suffixes(data: np.ndarray, off: np.ndarray, among: np.ndarray | None, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and fingerprints of the depth-byte strings that start at a marked place (all places without marks)."""
-    starts, fps = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
-    for first, last, sums in tiles(data, off, depth):
-        at = np.arange(first, last) if among is None else first + np.flatnonzero(among[first:last])
-        at = at[at + depth <= off[owner(off, at) + 1]]
-        starts.append(at)
-        fps.append(strings(sums, first, at, depth))
-    return np.concatenate(starts), np.concatenate(fps)
+def _passage(margin: int):
+    def cut(block: Block, place: int, n: int) -> tuple[int, bytes]:
+        t = int(owner(block.off, np.array([place]))[0])
+        a, b = max(int(block.off[t]), place - margin), min(int(block.off[t + 1]), place + n + margin)
+        return place - a, block.data[a:b].tobytes()
+
+    return cut
+
+
+def _ask_samples(depth: int):
+    """Requests for what tied samples should equal, and the stretches of suffixes within their reach, as rows without a source."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in opened(batches):
+            starts, ranks = samples(block.data, block.off, depth - PERIOD + 1)
+            has, source, place = tied(block, starts, ranks)
+            starts = starts[has]
+            yield wanted(block.number, starts, source[has], place[has], depth - PERIOD + 1, depth - PERIOD)
+            begin, end = runs(in_reach(len(block.data), starts, PERIOD - 1), block.off)
+            columns = (np.full(len(begin), block.number), begin, np.full(len(begin), -1), begin, end - begin)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "here", "source", "place", "n"])
+
+    return ask
+
+
+def _doubtful(block: Block, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, fingerprints and second fingerprints of the suffixes within reach of a tied sample, and whether step 2 left each open."""
+    asked = block.more["doubt"].as_py() or []
+    among = covered(len(block.data), np.array([x["here"] for x in asked], np.int64), np.array([x["n"] for x in asked], np.int64))
+    if not among.any():
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.uint32), np.zeros(0, bool)
+    starts, fps = fingerprints(block.data, block.off, depth, among)
+    # 24 of the bytes themselves, mixed apart
+    eight, tail = np.ndarray((max(0, len(block.data) - 7),), "<u8", block.data.tobytes(), 0, (1,)), np.zeros(len(starts), U64)
+    for k in (depth - 8, depth // 2, 0):
+        tail = mix(tail * U64(3) + eight[starts + k])
+    return starts, fps, (tail >> U64(32)).astype(np.uint32), ~resolved(block, "passages", depth)[1][starts]
 
 
 def _emit_suffixes(depth: int):
     def emit(block: Block) -> Iterator[tuple[np.ndarray, dict]]:
-        starts, ranks = samples(block.data, block.off, depth - PERIOD + 1)
-        tied = member(ranks, block.found) | repeated(ranks)
-        if not tied.any():
-            return
-        doubt = in_reach(len(block.data), starts[tied], PERIOD - 1)
-        fps = np.sort(suffixes(block.data, block.off, doubt, depth)[1])
-        first = np.ones(len(fps), bool)
-        first[1:] = fps[1:] != fps[:-1]
-        count = np.diff(np.append(np.flatnonzero(first), len(fps)))
-        yield fps[first], {"twice": (count > 1).astype(np.uint8)}
+        starts, fps, check, still = _doubtful(block, depth)
+        distinct, first, _ = first_of(fps)
+        need = np.zeros(len(distinct), np.uint8)
+        need[np.searchsorted(distinct, fps[still])] = 1
+        yield distinct, {"place": starts[first].astype(np.uint32), "check": check[first], "need": need}
 
     return emit
 
 
-def _repeats(values: np.ndarray, block: np.ndarray, twice: np.ndarray) -> np.ndarray:
-    return elsewhere(values, block) | (twice > 0)
+def _ask_suffixes(depth: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in opened(batches):
+            starts, fps, _, still = _doubtful(block, depth)
+            has, source, place = tied(block, starts, fps)
+            has &= still
+            yield wanted(block.number, starts[has], source[has], place[has], depth, depth - 1)
+
+    return ask
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, with_text: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes)."""
     if depth < 2 * PERIOD:
         raise ValueError(f"depth must be at least {2 * PERIOD}")
+    bounded(docs.sparkSession)
     held = corpus(docs, id_col, text_col)
-    forget_shuffles(docs.sparkSession)
-    tied = keep(exchange(held.blocks, _emit_samples(depth), held.n_bytes * len(COVER) / PERIOD, elsewhere), "ranks")
-    forget_shuffles(docs.sparkSession)
-    same = keep(exchange(told(held.blocks, tied), _emit_suffixes(depth), held.n_bytes / 4, _repeats, {"twice": np.uint8}), "suffixes")
-    drop_kept(tied)
-    forget_shuffles(docs.sparkSession)
+    ranks = keep(exchange(held.blocks, held.n_blocks, _emit_samples(depth), held.n_bytes * len(COVER) / PERIOD), "ranks")
+    asked = keep(told(held.blocks, ranks).mapInArrow(_ask_samples(depth), WANT), "asked")
+    drop_kept(ranks)
+    passages = keep(fetched(held.blocks, asked.where("source >= 0"), _passage(PERIOD - 1), "passages"), "passages")
+    doubt = asked.where("source < 0").groupBy("block").agg(F.collect_list(F.struct("here", "n")).alias("doubt"))
+    doubt = keep(doubt, "doubt")
+    drop_kept(asked)
+    both = told(held.blocks, passages, doubt)
+    ties = keep(exchange(both, held.n_blocks, _emit_suffixes(depth), held.n_bytes / 4, extra={"need": np.uint8}), "ties")
+    asked = keep(told(both, ties).mapInArrow(_ask_suffixes(depth), WANT), "asked")
+    drop_kept(ties, doubt)
+    more = keep(fetched(held.blocks, asked, _passage(0), "more"), "more")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in opened(batches):
             yield _cut(block, depth, with_text)
 
     schema = "key binary, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    done = told(held.blocks, same).mapInArrow(cut, schema)
+    done = told(held.blocks, passages, more).mapInArrow(cut, schema)
     done = done.join(held.firsts.select("key", "copies"), "key")
     out = held.ids.join(done, "key", "left")
     copy = (F.col("copies") > 1) & (F.col("n_bytes") >= depth)
@@ -141,16 +234,7 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
 
 
 def _cut(block: Block, depth: int, with_text: bool) -> pa.RecordBatch:
-    gone = np.zeros(len(block.data), bool)
-    if len(block.found):
-        d = np.zeros(len(block.data) + 1, np.int32)
-        for first, last, sums in tiles(block.data, block.off, depth):
-            at = np.arange(first, last)
-            at = at[at + depth <= block.off[owner(block.off, at) + 1]]
-            at = at[member(strings(sums, first, at, depth), block.found)]
-            np.add.at(d, at, 1)
-            np.add.at(d, at + depth, -1)
-        gone = np.cumsum(d[:-1]) > 0
+    gone = resolved(block, "passages", depth)[0] | resolved(block, "more", depth)[0]
     shas, removed, spans_, kept = [], [], [], []
     for a, b in zip(block.off[:-1].tolist(), block.off[1:].tolist(), strict=True):
         lost = gone[a:b]

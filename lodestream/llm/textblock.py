@@ -4,9 +4,11 @@ Texts of an Arrow batch lie one after the other in one buffer, so words, lines a
 every text are found with a few numpy passes and no Python string is made. A word is a maximal run
 of bytes other than space and 0x09 to 0x0D; since these are ASCII, byte runs are character runs.
 
-Fingerprints are polynomials modulo 2**64 over random letter values, taken from prefix sums: equal
-strings have equal fingerprints wherever they stand, and two different ones agree with a
-probability near 2**-64.
+Fingerprints have 64 bits. That of a string of bytes is the sum, modulo 2**64, of one random number
+for each pair of a place in the string and the byte there; that of a window of values doubles
+windows up: the fingerprint of a longer window mixes those of its two halves. Neither has an
+algebraic structure by which regular strings could agree, so two different strings agree with a
+probability near 2**-64. Operators that must not rest on that compare the strings themselves.
 """
 
 from __future__ import annotations
@@ -18,11 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-PIECE = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_KEPT = 1 << 22
-_tables: dict[str, np.ndarray] = {}
+PIECE = 1 << 18
+NEAR = 64  # places of a string whose random numbers are tabulated
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -40,40 +39,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-LETTER = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-LETTER_LOWER = LETTER[LOWER]
-
-
-def _powers(kind: str, n: int) -> np.ndarray:
-    """Powers 0 to n of the base or its inverse; long tables are not kept."""
-    have = _tables.get(kind)
-    if have is None or len(have) <= n:
-        size = max(n + 1, PIECE + (1 << 16))
-        have = np.full(size, _BASE if kind == "up" else _INVERSE, U64)
-        have[0] = 1
-        np.cumprod(have, out=have)
-        if size <= _KEPT:
-            _tables[kind] = have
-    return have
-
-
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums from which `spans` takes fingerprints; values are uint64 letters."""
-    out = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * _powers("down", len(values))[: len(values)], out=out[1:])
-    return out
-
-
-def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Fingerprints of values[start:end] for arrays of starts and ends."""
-    h = sums[end] - sums[start]
-    h *= _powers("up", len(sums))[start]
-    h += (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)
-    return mix(h)
-
-
-def pieces(column: pa.Array | pa.ChunkedArray, limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _numbers(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """The random number of each place in a string and the byte there."""
+    x = place.astype(U64)
+    x <<= U64(8)
+    x += byte
+    x += U64(1)
+    x *= U64(0x9E3779B97F4A7C15)
+    return mix(x)
+
+
+_TABLE = _numbers(np.repeat(np.arange(NEAR), 256), np.tile(np.arange(256, dtype=np.uint8), NEAR))
+
+
+def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Fingerprints of data[start:end] for arrays of starts and ends in rising order that do not overlap."""
+    if not len(start):
+        return np.zeros(0, U64)
+    size = end - start
+    cut = np.cumsum(size)
+    total = int(cut[-1])
+    place = np.arange(total)
+    place -= np.repeat(cut - size, size)
+    byte = data[start[0] : end[-1]] if total == end[-1] - start[0] else data[place + np.repeat(start, size)]
+    near = place < NEAR
+    if near.all():
+        place <<= 8
+        place += byte
+        values = _TABLE[place]
+    else:
+        values = np.empty(total, U64)
+        values[near] = _TABLE[(place[near] << 8) + byte[near]]
+        values[~near] = _numbers(place[~near], byte[~near])
+    sums = np.zeros(total + 1, U64)
+    np.cumsum(values, out=sums[1:])
+    out = sums[cut] - sums[cut - size]
+    out += size.astype(U64) * U64(0xD6E8FEB86659FD93)
+    return mix(out)
+
+
+def windows(values: np.ndarray, width: int) -> np.ndarray:
+    """Fingerprints of values[i : i + width] for every i, by doubling."""
+    out, have = values, 1
+    while have < width and len(out):
+        step = min(have, width - have)
+        right = out[step:] * U64(0xD6E8FEB86659FD93)
+        right += U64(step)
+        right ^= out[: len(out) - step]
+        out, have = mix(right), have + step
+    return out[: max(0, len(values) - width + 1)]
+
+
+def pieces(column: pa.Array | pa.ChunkedArray, limit: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yields (first row, last row, bytes, offsets) with about `limit` bytes each; a longer text comes alone and whole. Null counts as empty."""
+    limit = limit or PIECE
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     if not (pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)):
@@ -123,7 +142,7 @@ class Words:
         self.start, self.end = runs(~SPACE[data], off)
         self.doc = owner(off, self.start)
         self.at = np.searchsorted(self.start, off)
-        self._letters = LETTER_LOWER if lower else LETTER
+        self._lower = lower
 
     def __len__(self) -> int:
         return len(self.start)
@@ -133,9 +152,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit fingerprint of each word."""
-        if not len(self.data):
-            return np.zeros(0, U64)
-        return spans(prefix(self._letters[self.data]), self.start, self.end)
+        return strings(LOWER[self.data] if self._lower else self.data, self.start, self.end)
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts (word numbers) and fingerprints of the k-word windows inside one text."""
@@ -143,7 +160,7 @@ class Words:
         if n < k:
             return np.zeros(0, np.int64), np.zeros(0, U64)
         at = np.flatnonzero(self.doc[: n - k + 1] == self.doc[k - 1 :])
-        return at, spans(prefix(hashes), at, at + k)
+        return at, windows(hashes, k)[at]
 
 
 def within(places: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -151,7 +168,7 @@ def within(places: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return np.searchsorted(places, end) - np.searchsorted(places, start)
 
 
-def covered(n: int, start: np.ndarray, length: int) -> np.ndarray:
+def covered(n: int, start: np.ndarray, length: int | np.ndarray) -> np.ndarray:
     """Which of n places lie in some [start, start + length)."""
     d = np.zeros(n + 1, np.int32)
     np.add.at(d, start, 1)
@@ -173,7 +190,12 @@ def repeated(keys: np.ndarray) -> np.ndarray:
 
 def member(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Which keys are in the sorted array `of`. A table of low bits settles most that are not."""
-    out = np.zeros(len(keys), bool)
+    return found(keys, of) >= 0
+
+
+def found(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The place of each key in the sorted array `of`, or -1."""
+    out = np.full(len(keys), -1)
     if not len(of) or not len(keys):
         return out
     bits = U64((1 << max(10, min(26, (16 * len(of)).bit_length()))) - 1)
@@ -182,5 +204,6 @@ def member(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
     maybe = np.flatnonzero(low[keys & bits])
     at = np.searchsorted(of, keys[maybe])
     at[at == len(of)] = 0
-    out[maybe] = of[at] == keys[maybe]
+    ok = of[at] == keys[maybe]
+    out[maybe[ok]] = at[ok]
     return out
