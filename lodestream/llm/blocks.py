@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import keep, tidy
@@ -42,10 +42,15 @@ class Corpus:
     n_bytes: int
 
 
+def text_key(text: Column) -> Column:
+    """128 bits of a text's SHA-256; null counts as empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256), 1, 32))
+
+
 def corpus(docs: DataFrame, id_col: str, text_col: str) -> Corpus:
     """Distinct texts in blocks. The text is shuffled once, by document, so copies of one text never meet in one task."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+    rows = rows.withColumn("key", text_key(F.col("text")))
     ids = keep(rows.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes")), "ids")
     firsts = keep(ids.groupBy("key").agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes")).select("key", "first.doc_id", "copies", "n_bytes"), "firsts")
     n_bytes = firsts.agg(F.sum("n_bytes")).first()[0] or 0

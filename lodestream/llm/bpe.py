@@ -10,13 +10,15 @@ case, white space dropped, `</w>` ends a word, no decoder (tokens are joined by
 with unusual characters or with special tokens are normalised and cut by the tokenizers library
 itself; for plain ones, an equivalent cut by white space and one pattern is much faster.
 
-Null and empty texts have no tokens. Repeated rows are encoded each for themselves. An empty table
-gives an empty result; other columns are ignored.
+Null and empty texts have no tokens. A word of any length is merged in n log n steps, and a text of
+any length is encoded whole, by one worker. Repeated rows are encoded each for themselves. An empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import uuid
@@ -29,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lexicon import Lexicon, build
-from .tables import keep, shared_dir
+from .tables import bounded, keep, shared_dir, tidy
 
-MAX_WORDS, MEMO, FLUSH = 1 << 16, 220_000, 400_000
+MAX_WORDS, MEMO, FLUSH, LONG = 1 << 16, 150_000, 300_000, 64
 #: Characters for which Unicode composition changes nothing and lower case is one character.
 PLAIN = re.compile("[\x00-\x1b\x20-\x84\x86-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*")
 _LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -76,6 +78,8 @@ class Vocabulary:
         parts = [ids[c] for c in word[:-1] if c in ids]
         if (last := word[-1] + self.end) in ids:
             parts.append(ids[last])
+        if len(parts) > LONG:
+            return self._merge_long(parts)
         get, none = self.merges.get, self.none
         ranks = [get(a << 20 | b, none) for a, b in zip(parts, parts[1:], strict=False)]
         while ranks:
@@ -91,6 +95,28 @@ class Vocabulary:
                 ranks[i] = get(parts[i] << 20 | parts[i + 1], none)
         return parts
 
+    def _merge_long(self, parts: list[int]) -> list[int]:
+        """The same merges from a heap of pairs, in n log n steps; parts that were merged away are -1."""
+        get, n = self.merges.get, len(parts)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(m, i, parts[i], parts[i + 1]) for i in range(n - 1) if (m := get(parts[i] << 20 | parts[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            m, i, a, b = heapq.heappop(heap)
+            j = right[i]
+            if parts[i] != a or j >= n or parts[j] != b:
+                continue  # one of the two has been merged since
+            parts[i], parts[j] = m & 0xFFFFF, -1
+            right[i] = k = right[j]
+            if k < n:
+                left[k] = i
+                if (m := get(parts[i] << 20 | parts[k])) is not None:
+                    heapq.heappush(heap, (m, i, parts[i], parts[k]))
+            h = left[i]
+            if h >= 0 and (m := get(parts[h] << 20 | parts[i])) is not None:
+                heapq.heappush(heap, (m, h, parts[h], parts[i]))
+        return [p for p in parts if p >= 0]
+
     def bytes_of(self, piece: str) -> str:
         """A piece in byte letters."""
         if piece.isascii() and piece.isprintable():
@@ -130,6 +156,11 @@ class Encoder(dict):
             self[chunk] = value
         return value
 
+    def forget(self) -> None:
+        """Empties the memo, so that a reused worker holds no more than the vocabulary and the lexicon."""
+        self.clear()
+        self.old = {}
+
     def encode(self, text: str) -> tuple[str, str]:
         """Ids and tokens of a text, joined by spaces."""
         if plain(text):
@@ -180,6 +211,7 @@ def frequent(rows: DataFrame, max_words: int) -> list[str]:
                         yield out()
         if held:
             yield out()
+        tidy()
 
     counted = keep(rows.select("text").mapInArrow(count, "word string, n long").where(F.length("word") < 64).groupBy("word").agg(F.sum("n").alias("n")), "words")
     # classes of counts, so that the driver sees a bounded histogram and then only the words it takes
@@ -225,6 +257,7 @@ def opened(name: str, spec: str) -> Encoder:
 def apply(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS, with_ids: bool = False) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded. `spec` is the vocabulary file's content."""
     spark = docs.sparkSession
+    bounded(spark)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     name = handed_out(spark, compiled(Vocabulary(spec), frequent(rows, max_words)))
     shared = spark.sparkContext.broadcast(spec)
@@ -246,6 +279,8 @@ def apply(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "t
             if with_ids:
                 columns += [pa.array(out["ids"], pa.list_(pa.int32())), pa.array(out["decoded"], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], *(["ids", "decoded"] if with_ids else [])])
+        encoder.forget()
+        tidy()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else ""))

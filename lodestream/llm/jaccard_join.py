@@ -103,6 +103,7 @@ def frequency_classes(docs: DataFrame, shingle: int) -> np.ndarray:
                 words = Words(data, off, lower=True)
                 cells, n = np.unique((words.windows(words.hashes(), shingle)[1] & U64(CELLS - 1)).astype(np.int64), return_counts=True)
                 counts[cells] += n.astype(np.uint32)
+        tidy()
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId() % GROUPS], pa.int64()), "sums": pa.array([pa.compress(counts.tobytes(), "zstd", asbytes=True)], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
@@ -138,6 +139,7 @@ def described(docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
                     [batch.column(0).slice(lo, hi - lo), binary(keys(grams, at)), pa.array(np.diff(at)), binary(np.split(first, cut[1:-1])), *[pa.array(words[:, i]) for i in range(WORDS)]],
                     names=["doc_id", "key", "n", "prefix", *SKETCH],
                 )
+        tidy()
 
     return docs.mapInArrow(describe, "doc_id long, key binary, n long, prefix binary, " + ", ".join(f"{k} long" for k in SKETCH))
 
@@ -178,6 +180,7 @@ def candidates(rows: DataFrame, entries: float, threshold: int) -> DataFrame:
             yield from sender.add(np.frombuffer(b"".join(blobs[i] for i in take), U64), ref=np.repeat(ref, count), n=np.repeat(n, count))
         if sender.held:
             yield sender.flush()
+        tidy()
 
     def pair(table: pa.Table) -> pa.Table:
         grams = np.concatenate([unpack(x.as_py()) for x in table.column("fps")])
@@ -194,6 +197,7 @@ def candidates(rows: DataFrame, entries: float, threshold: int) -> DataFrame:
                 member.append(lo + members)
         pairs = np.unique(np.stack([ref[np.concatenate(pivot)], ref[np.concatenate(member)]], 1), axis=0)
         raw = [np.ascontiguousarray(pairs[:, i]).tobytes() for i in (0, 1)]
+        tidy()
         return pa.table({k: pa.array([x[i : i + 8] for i in range(0, len(x), 8)], pa.binary()) for k, x in zip(("ref_a", "ref_b"), raw, strict=True)})
 
     schema = "bucket long, part long, fps binary, " + ", ".join(f"{k} binary" for k in SENT)
@@ -255,6 +259,7 @@ def fragments(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, shingle: in
                 values = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(grams.view(np.int64)))
                 batch_out = pa.RecordBatch.from_arrays([pa.array([named[c // FRAGMENTS] for c in cell[start].tolist()], pa.binary()), pa.array(cell[start] % FRAGMENTS, pa.int32()), values], names=["key", "part", "grams"])
                 yield batch_out.filter(pa.array(ok, pa.bool_()))
+        tidy()
 
     out = texts.mapInArrow(cut, "key binary, part int, grams array<long>")
     return out.dropDuplicates(["key", "part"]) if twice else out
@@ -319,9 +324,9 @@ def _fragments_of(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle:
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 80) -> DataFrame:
-    """One document of each component, that of the smallest id, with all its columns."""
+    """One document of each component, that of the smallest id, with all its columns. Of rows with this id, equal texts are kept once and different ones each."""
     found = keep(apply(docs, id_col, text_col, shingle, threshold), "found")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     out = docs.join(kept.withColumnRenamed("doc_id", "kept_id"), docs[id_col].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
     twice = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates([id_col]) if twice else out
+    return out.dropDuplicates([id_col, text_col]) if twice else out

@@ -7,13 +7,16 @@ partitions, so the driver gets a handful of fixed-size matrices. A fold of the t
 out of the regression, gives a histogram of raw scores; pooling adjacent violators over its bins
 gives the calibrated score.
 
+The fit takes at most `max_labels` labelled rows, drawn by a hash of their id: so many ids can be
+broadcast, and only their texts are measured twice. Every row is scored.
+
 Rows whose crc32(id as text) is a multiple of 5 are held out: their labels are never read. The
 statistics see the text alone, never the id, the labels or other columns.
 
 Null and empty texts are scored like any other, from their statistics (all zero). Repeated rows
 get equal scores; labels that repeat an id all count. Without usable labels of both kinds every
-score is 0.5. An empty table gives an empty result; other columns are ignored. A null id is never
-held out.
+score is 0.5. An empty table gives an empty result; other columns are ignored, whatever their names.
+A null id is never held out. A text of any length is measured whole, by one worker.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .stats import Measured, per_text
-from .tables import keep
+from .tables import bounded, keep, tidy
 from .textblock import pieces
 
 FEATURES = ("log_words", "word_length", "symbols", "dup_lines", "repeats", "upper", "digits", "stops", "bars", "shouts", "line_words", "distinct", "other", "spaces")
-N_COSINES, WIDTH, RIDGE, BINS, GROUPS, CUT, SEED = 128, 3.0, 1.0, 512, 8, 0.3, 11
+N_COSINES, WIDTH, RIDGE, BINS, GROUPS, CUT, SEED, MAX_LABELS = 128, 3.0, 1.0, 512, 8, 0.3, 11, 50_000
 
 
 def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -52,18 +55,27 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(1))
 
 
-def statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def drawn(labels: DataFrame, max_labels: int) -> DataFrame:
+    """(id, quality) of the usable labels outside the held-out fold; of more than `max_labels`, those of the smallest hashes of the id."""
+    known = labels.select(labels["doc_id"].alias("label_id"), labels["quality"].cast("int").alias("quality"), fold(labels["doc_id"]).cast("int").alias("fold")).where("quality in (0, 1) and fold != 0")
+    n = known.count()
+    if n > max_labels:  # a border a little below the bound, since hashes spread by chance
+        known = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 40)) < int((1 << 40) * 0.95 * max_labels / n))
+    return known
+
+
+def statistics(rows: DataFrame) -> DataFrame:
+    """(fold, quality, x) of labelled rows (text, fold, quality)."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, off in pieces(batch.column(1)):
+            for lo, hi, data, off in pieces(batch.column(0)):
                 x = features(data, off)
                 values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), values], names=["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), values], names=["fold", "quality", "x"])
+        tidy()
 
-    return rows.mapInArrow(measure, f"doc_id {kind}, x array<double>").withColumn("fold", fold(F.col("doc_id")).cast("int"))
+    return rows.select("text", "fold", "quality").mapInArrow(measure, "fold int, quality int, x array<double>")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -115,35 +127,40 @@ def _normal_equations(train: DataFrame, cosines: Cosines) -> tuple[np.ndarray, n
     return both[:, :-1], both[:, -1]
 
 
-def fitted(stats: DataFrame, labels: DataFrame, n_cosines: int, width: float, ridge: float) -> Scoring:
-    known = labels.select(labels["doc_id"], F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
-    return _fit(keep(stats.where("fold != 0").join(known, "doc_id"), "train"), n_cosines, width, ridge)
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labels: int, n_cosines: int = N_COSINES, width: float = WIDTH, ridge: float = RIDGE) -> Scoring:
+    known = drawn(labels, max_labels)
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
+    return _fit(keep(statistics(rows), "train"), n_cosines, width, ridge)
 
 
-def apply(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_cosines: int = N_COSINES, width: float = WIDTH, ridge: float = RIDGE, cut: float = CUT) -> DataFrame:
+def apply(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_cosines: int = N_COSINES, width: float = WIDTH, ridge: float = RIDGE, cut: float = CUT, max_labels: int = MAX_LABELS) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    stats = keep(statistics(docs, id_col, text_col), "statistics")
-    scoring = fitted(stats, labels, n_cosines, width, ridge)
-    kind = stats.schema["doc_id"].dataType.simpleString()
+    bounded(docs.sparkSession)
+    scoring = fitted(docs, labels, id_col, text_col, max_labels, n_cosines, width, ridge)
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = scoring(matrix(batch.column("x")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fold"), pa.array(p)], names=["doc_id", "fold", "score"])
+            for lo, hi, data, off in pieces(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(scoring(features(data, off)))], names=["doc_id", "score"])
+        tidy()
 
-    scored = stats.mapInArrow(score, f"doc_id {kind}, fold int, score double")
-    return scored.select("doc_id", (F.col("fold") == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    scored = rows.mapInArrow(score, f"doc_id {kind}, score double")
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
-def good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """The documents predicted good, with all their columns. Texts are measured again where they lie, which costs less than a join."""
-    scoring = fitted(keep(statistics(docs, id_col, text_col), "statistics"), labels, N_COSINES, WIDTH, RIDGE)
+def good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT, max_labels: int = MAX_LABELS) -> DataFrame:
+    """The documents predicted good, with all their columns."""
+    bounded(docs.sparkSession)
+    scoring = fitted(docs, labels, id_col, text_col, max_labels)
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.names.index(text_col))
             for lo, hi, data, off in pieces(texts):
                 yield batch.slice(lo, hi - lo).filter(pa.array(scoring(features(data, off)) >= cut))
+        tidy()
 
     return docs.mapInArrow(select, docs.schema)
 

@@ -6,7 +6,9 @@ text is rejected when the lines that stay hold less than `min_kept` of its words
 (too few words, too many words in 5-word windows that recur) are applied on the whole text.
 
 Null and empty texts have no words and fail the base rule. Repeated rows and ties are judged each
-on its own text. An empty table gives an empty result; further columns of the input are ignored.
+on its own text; a text of any length is judged whole, by one worker. Repeats are compared byte by
+byte, fingerprints only propose them. An empty table gives an empty result; further columns of the
+input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .stats import Measured, failing_lines, per_text
+from .tables import bounded, tidy
 from .textblock import pieces
 
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_KEPT = 10, 20, 0.5
@@ -26,6 +29,7 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_kept: float = MIN_KEPT, with_text: bool = False) -> DataFrame:
     """One row per text: base counts, base_failed, kept, n_lines_removed, n_words_removed and, if asked for, the cleaned text. Only maps: no shuffle."""
+    bounded(docs.sparkSession)
     docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -33,6 +37,7 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_k
         for batch in batches:
             for lo, hi, data, off in pieces(batch.column(1)):
                 yield _judged(batch.column(0).slice(lo, hi - lo), data, off, min_kept, with_text)
+        tidy()
 
     schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines_removed long, n_words_removed long"
     return docs.mapInArrow(judge, schema + (", cleaned string" if with_text else ""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 from .textblock import LOWER, SPACE, U64, Words, covered, mix, owner, repeated, runs, strings, within
@@ -68,17 +70,55 @@ class Measured:
         self.line_start, self.line_end, self.line_words = start[full], end[full], words[full]
         self.line_doc = owner(off, self.line_start)
         key = strings(data, self.line_start, self.line_end) + mix(self.line_doc.astype(U64) + U64(1))
-        self.line_again = np.ones(len(key), bool)
-        self.line_again[np.unique(key, return_index=True)[1]] = False
+        self.line_again = np.zeros(len(key), bool)
+        alike = np.flatnonzero(repeated(key))  # only these are compared, by their bytes
+        raw, seen = data.tobytes() if len(alike) else b"", set()
+        for i, d, a, b in zip(alike.tolist(), self.line_doc[alike].tolist(), self.line_start[alike].tolist(), self.line_end[alike].tolist(), strict=True):
+            line = d, raw[a:b]
+            self.line_again[i] = line in seen
+            seen.add(line)
+
+    def repeated_windows(self, k: int) -> np.ndarray:
+        """Starts of the k-word windows that occur twice or more in their text. Fingerprints propose; words decide."""
+        words = self.words
+        at, fp = words.windows(self.hashes, k)
+        key = fp + mix(words.doc.astype(U64) + U64(1))[at]
+        _, first, like = np.unique(key, return_index=True, return_inverse=True)
+        other = first[like] != np.arange(len(at))
+        here, there = at[other], at[first[like[other]]]
+        if not all(same_strings(self.data, words.start[here + j], words.end[here + j], words.start[there + j], words.end[there + j]).all() for j in range(k)):
+            return self._repeated_windows_by_word(at, k)
+        twice = np.zeros(len(at), bool)
+        twice[other] = True
+        twice[first[like[other]]] = True
+        return at[twice]
+
+    def _repeated_windows_by_word(self, at: np.ndarray, k: int) -> np.ndarray:
+        raw, words = self.data.tobytes(), self.words
+        each = [raw[a:b] for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True)]
+        keys = [(words.doc[i], *each[i : i + k]) for i in at.tolist()]
+        count = Counter(keys)
+        return at[np.array([count[x] > 1 for x in keys], bool)]
+
+
+def same_strings(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether data[start:end] equals data[other:other_end], for arrays of bounds."""
+    size = end - start
+    same = size == other_end - other
+    size = np.where(same, size, 0)
+    cut = np.cumsum(size)
+    if len(cut) and cut[-1]:
+        step = np.arange(cut[-1]) - np.repeat(cut - size, size)
+        differ = data[np.repeat(start, size) + step] != data[np.repeat(other, size) + step]
+        same[np.repeat(np.arange(len(size)), size)[differ]] = False
+    return same
 
 
 def per_text(m: Measured) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and further counts of each text."""
     a, b, words = m.off[:-1], m.off[1:], m.words
     salt = mix(words.doc.astype(U64) + U64(1))
-    at, window = words.windows(m.hashes, 5)
-    twice = repeated(window + salt[at])
-    again = np.flatnonzero(covered(len(words), at[twice], 5))
+    again = np.flatnonzero(covered(len(words), m.repeated_windows(5), 5))
     first = np.unique(m.hashes + salt, return_index=True)[1]
     return {
         "n_words": words.counts(),

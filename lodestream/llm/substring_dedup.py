@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import WANT, Block, corpus, exchange, fetched, opened, told, unpack, wanted
+from .blocks import WANT, Block, corpus, exchange, fetched, opened, text_key, told, unpack, wanted
 from .tables import bounded, drop_kept, keep
 from .textblock import SPACE, U64, Words, covered, found, member, repeated, runs, windows
 
@@ -144,7 +144,7 @@ def removed(joined: bytes, starts: np.ndarray, passages: dict[bytes, set[int]])
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE, with_text: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (the words left, as they stand where nothing was removed)."""
+    """One row per input row: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (the words left, as they stand where nothing was removed) and the text's key."""
     bounded(docs.sparkSession)
     held = corpus(docs, id_col, text_col)
     rate = 2 / (window - phrase + 2) / 5
@@ -170,10 +170,20 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     done = done.join(held.firsts.select("key", F.col("doc_id").alias("first")), "key")
     out = held.ids.select("doc_id", "key").join(done, "key", "left")
     copy = ~F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("n_words") >= window)
-    columns = ["doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(copy, F.lit(NOTHING)).otherwise(F.col("kept_sha256")).alias("kept_sha256")]
+    columns = [*(["key"] if with_text else []), "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(copy, F.lit(NOTHING)).otherwise(F.col("kept_sha256")).alias("kept_sha256")]
     return out.select(*columns, *([F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []))
 
 
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+    """The documents with their repeated passages cut out and all other columns as they were; rows of which nothing is left go, rows without words stay."""
+    done = apply(docs, id_col, text_col, window, phrase, True).where("n_words = 0 or n_removed < n_words")
+    done = done.dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("kept_text").alias("_text"))
+    rest = docs.select(*[c for c in docs.columns if c != text_col], docs[id_col].cast("long").alias("_doc"), F.isnull(docs[text_col]).alias("_null"), text_key(docs[text_col]).alias("_own"))
+    whole = rest.join(done, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
+    text = F.when(~F.col("_null"), F.col("_text")).alias(text_col)
+    return whole.select(*[text if c == text_col else c for c in docs.columns])
+
+
 def _cut(block: Block, with_text: bool) -> pa.RecordBatch:
     raw = block.data.tobytes()
     bounds = list(zip(block.off[:-1].tolist(), block.off[1:].tolist(), strict=True))
