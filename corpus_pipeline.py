@@ -27,10 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes words of 20-word windows that occur earlier; a document of which nothing is left goes."""
-    done = substring_dedup.apply(docs, with_text=True).where("n_words = 0 or n_removed < n_words").select(F.col("doc_id").alias("kept_id"), "kept_text")
-    rest = docs.drop("text", "n_chars")
-    whole = rest.join(done, rest["doc_id"].eqNullSafe(done["kept_id"])).withColumnRenamed("kept_text", "text").withColumn("n_chars", F.char_length("text").cast("long"))
-    return whole.select(*docs.columns)
+    return substring_dedup.cleaned(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +47,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("benchmark", benchmark),
     ("tokens", tokens),
 ]
-#: SQL can express neither the classifier nor the tokenizer; tests hold every stage against brute force.
+#: SQL can express neither the classifier nor the tokenizer; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
