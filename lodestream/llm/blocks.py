@@ -23,21 +23,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import keep, tidy
+from .tables import drop_kept, keep, keep_bucketed, tidy
 from .textblock import U64
 
 BLOCK_BYTES = 2 << 20
 BUCKET_ENTRIES = 1 << 20
 FLUSH = 3 << 20
-MEMBERS = 4096
+MEMBERS, MAX_BUCKETS = 4096, 100_000
 NO_ID = -(1 << 63)
 
 
 @dataclass
 class Corpus:
     ids: DataFrame  # doc_id, key: every row
-    firsts: DataFrame  # key, doc_id, copies, n_bytes: one row per distinct text
-    blocks: DataFrame  # block, ids, keys, lens, size, blob
+    blocks: DataFrame  # block, ids, keys, lens, copies, size, blob: distinct texts with their smallest id
     n_blocks: int
     n_bytes: int
 
@@ -56,28 +55,30 @@ def corpus(docs: DataFrame, id_col: str, text_col: str) -> Corpus:
     n_bytes = firsts.agg(F.sum("n_bytes")).first()[0] or 0
     n_blocks = max(1, math.ceil(n_bytes / BLOCK_BYTES))
     block = F.pmod(F.xxhash64("doc_id", "key"), F.lit(n_blocks)).alias("block")
-    both = rows.select(block, "doc_id", "key", "text").unionByName(firsts.select(block, "doc_id", "key", F.lit(None).cast("string").alias("text")))
-    blocks = keep(both.groupBy("block").applyInArrow(_pack, "block long, ids array<long>, keys binary, lens array<long>, size long, blob binary"), "blocks", "none")
-    return Corpus(ids, firsts, blocks, n_blocks, n_bytes)
+    both = rows.select(block, "doc_id", "key", "text", F.lit(0).cast("long").alias("copies")).unionByName(firsts.select(block, "doc_id", "key", F.lit(None).cast("string").alias("text"), "copies"))
+    packed = both.groupBy("block").applyInArrow(_pack, "block long, ids array<long>, keys binary, lens array<long>, copies array<long>, size long, blob binary")
+    blocks = keep_bucketed(packed, "blocks", "block", max(1, min(MAX_BUCKETS, math.ceil(n_blocks / 4))))
+    drop_kept(firsts)
+    return Corpus(ids, blocks, n_blocks, n_bytes)
 
 
 def _pack(table: pa.Table) -> pa.Table:
     ids, keys, texts = table.column("doc_id").to_pylist(), table.column("key").to_pylist(), table.column("text")
-    wanted = {(i, k) for i, k, none in zip(ids, keys, texts.is_null().to_pylist(), strict=True) if none}
+    wanted = {(i, k): c for i, k, none, c in zip(ids, keys, texts.is_null().to_pylist(), table.column("copies").to_pylist(), strict=True) if none}
     rows = []
     for n, pair in enumerate(zip(ids, keys, strict=True)):
         if pair in wanted and texts[n].is_valid:
-            wanted.discard(pair)
-            rows.append((NO_ID if pair[0] is None else pair[0], pair[1], n))
+            rows.append((NO_ID if pair[0] is None else pair[0], pair[1], n, wanted.pop(pair)))
     rows.sort()
-    raw = [texts[n].as_py().encode() for _, _, n in rows]
+    raw = [texts[n].as_py().encode() for _, _, n, _ in rows]
     data = b"".join(raw)
     return pa.table(
         {
             "block": pa.array([table.column("block")[0].as_py()] if rows else [], pa.int64()),
-            "ids": pa.array([[i for i, _, _ in rows]] if rows else [], pa.list_(pa.int64())),
-            "keys": pa.array([b"".join(k for _, k, _ in rows)] if rows else [], pa.binary()),
+            "ids": pa.array([[r[0] for r in rows]] if rows else [], pa.list_(pa.int64())),
+            "keys": pa.array([b"".join(r[1] for r in rows)] if rows else [], pa.binary()),
             "lens": pa.array([[len(x) for x in raw]] if rows else [], pa.list_(pa.int64())),
+            "copies": pa.array([[r[3] for r in rows]] if rows else [], pa.list_(pa.int64())),
             "size": pa.array([len(data)] if rows else [], pa.int64()),
             "blob": pa.array([pa.compress(data, codec="zstd", asbytes=True)] if rows else [], pa.binary()),
         }

@@ -11,7 +11,8 @@ posting lists, which returns every item at or above the threshold. Passages are
 long as the items they are for: items of over `SHORT` words are indexed apart, by doubling length,
 and have longer passages of their own. Each such item's question and
 answer (the lines before the last, and the last; the whole text if it has one line) are compared
-with the passage by `shingle`-word shingles.
+with the passage by `shingle`-word shingles: both must be there, or the item as a whole with at
+least a part of its answer.
 
 Items are indexed in shards of at most `shard_items`, so the broadcast index is bounded; a larger
 test set takes more passes. Their number, mean length and the words' item counts are those of all
@@ -21,7 +22,8 @@ read, never shuffled.
 Words are maximal runs of ASCII letters, digits and bytes from 0x80 on, in lower case. Null and
 empty texts and items match nothing; an item with fewer words than a shingle is compared as one
 shingle. Repeated rows are matched each for themselves; equal items match together. Empty tables
-give an empty result; other columns are ignored.
+give an empty result; other columns are ignored, whatever their names. A text of any length is cut
+into passages by one worker.
 """
 
 from __future__ import annotations
@@ -232,7 +234,7 @@ def search(index: Index, words: np.ndarray, at: np.ndarray, overlap: float) -> I
 
         for item, score in found:
             question, answer, whole = (share(x) for x in index.parts[item])
-            if (whole >= overlap or min(question, answer) >= overlap) and score > best.get((t, item), (0.0,))[0]:
+            if (min(question, answer) >= overlap or whole >= overlap and answer > 0) and score > best.get((t, item), (0.0,))[0]:
                 best[t, item] = score, question, answer
     for (t, item), (score, question, answer) in sorted(best.items()):
         yield t, item, score, question, answer

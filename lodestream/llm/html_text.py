@@ -1,25 +1,31 @@
 """Main text of web pages: flat text blocks, neighbour features and a learned decision tree.
 
 A page is cut into flat blocks at block-level tags. Each block has its word count and link density
-and those of its neighbours, whether it stands in the article or main element, whether it stands
-in page furniture (by tag, role, class or id), and whether it is a heading. A decision tree, grown
-on the small labelled table below, keeps or drops each block.
+and those of its neighbours, whether it stands in the article or main element, how surely it stands
+in page furniture (1 by tag, role, or as reader comments; 0.5 where only a class, an id or a form
+hints at it), and whether it is a heading. A decision tree, grown on the small labelled table
+below, keeps or drops each block. An article or main element ends the hints around it: a page whose
+body, form or wrapper is named like a sidebar still has its article.
 
 Null and empty pages give an empty text. Markup that is cut off, unclosed or out of order is read
-as far as it goes. Repeated rows are extracted each for themselves. An empty table gives an empty
-result; other columns are ignored.
+as far as it goes, and in one pass: the work for a page follows its length, however deep it nests.
+Long pages are read whole. Repeated rows are extracted each for themselves. An empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import bounded, tidy
+
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\s*=\s*\"[^\"]*\"|\s*=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WHITE = re.compile(r"\s+")
@@ -34,11 +40,13 @@ FOREIGN, FOREIGN_HOLDERS = frozenset(("svg", "math")), frozenset("foreignobject
 SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\Z|[\s\"'][^\s=\"']+/\Z")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-FURNITURE_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
-FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-#: Parts of class and id names that mark page furniture.
+FURNITURE_TAGS = frozenset("nav header footer aside menu dialog".split())
+FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
+#: Names of what readers wrote.
+COMMENT_NAMES = frozenset("comment comments respond replies thread disqus discussion reviews".split())
+#: Parts of class and id names that hint at page furniture.
 FURNITURE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments respond replies cookie cookies consent gdpr notice notices alert disclaimer footer login signup masthead menu modal nav navbar navigation newsletter"
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert disclaimer footer login signup masthead menu modal nav navbar navigation newsletter"
     " pager pagination popup overlay promo promotion related recommended share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget skip".split()
 )
 OPEN_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -46,27 +54,32 @@ OPEN_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: words, link density, words before, density before, words after, density after, place (1 in article or main, 0 outside of one, 0.5 no such element), furniture, heading; kept
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place", "furniture", "heading")
 TABLE = (
-    ((6, 1.0, 0, 0.0, 5, 1.0, 0, 1, 0), 0), ((1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), 0), ((2, 1.0, 1, 1.0, 9, 0.0, 0, 1, 0), 0), ((9, 0.0, 2, 1.0, 8, 0.0, 0, 1, 0), 0), ((30, 0.1, 60, 0.0, 0, 0.0, 0, 1, 0), 0),
-    ((12, 0.0, 40, 0.0, 0, 0.0, 0, 1, 0), 0), ((25, 0.0, 60, 0.0, 70, 0.0, 1, 1, 0), 0), ((60, 0.0, 50, 0.0, 12, 0.0, 1, 1, 0), 0), ((4, 0.0, 80, 0.0, 30, 0.0, 1, 1, 1), 0), ((3, 0.5, 40, 0.0, 3, 0.5, 1, 1, 0), 0),
-    ((90, 0.0, 10, 0.0, 50, 0.0, 0.5, 1, 0), 0), ((15, 0.0, 3, 1.0, 4, 1.0, 0.5, 1, 0), 0), ((40, 0.0, 30, 0.0, 0, 0.0, 0.5, 1, 0), 0), ((2, 1.0, 2, 1.0, 2, 1.0, 0.5, 1, 0), 0), ((5, 0.0, 0, 0.0, 3, 1.0, 0.5, 1, 1), 0),
-    ((8, 0.0, 9, 0.0, 60, 0.0, 1, 0, 1), 1), ((60, 0.0, 8, 0.0, 45, 0.0, 1, 0, 0), 1), ((45, 0.05, 60, 0.0, 1, 0.0, 1, 0, 0), 1), ((1, 0.0, 45, 0.0, 80, 0.0, 1, 0, 0), 1), ((2, 0.0, 30, 0.0, 12, 0.0, 1, 0, 0), 1),
-    ((200, 0.0, 9, 0.0, 5, 0.0, 1, 0, 0), 1), ((10, 0.3, 40, 0.0, 20, 0.0, 1, 0, 0), 1), ((3, 0.0, 50, 0.0, 40, 0.0, 1, 0, 1), 1), ((4, 1.0, 70, 0.0, 35, 0.0, 1, 0, 0), 1), ((7, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0), 1), ((30, 0.6, 30, 0.0, 30, 0.2, 1, 0, 0), 1),
-    ((9, 0.0, 4, 1.0, 8, 0.0, 0, 0, 0), 0), ((40, 0.0, 2, 0.0, 8, 0.0, 0, 0, 0), 0), ((14, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0), 0), ((3, 1.0, 3, 1.0, 50, 0.0, 0, 0, 0), 0), ((5, 0.0, 3, 1.0, 6, 0.0, 0, 0, 1), 0), ((90, 0.0, 0, 0.0, 5, 0.0, 0, 0, 0), 0),
-    ((60, 0.0, 8, 0.0, 45, 0.0, 0.5, 0, 0), 1), ((45, 0.1, 60, 0.0, 50, 0.0, 0.5, 0, 0), 1), ((25, 0.0, 45, 0.0, 3, 1.0, 0.5, 0, 0), 1), ((12, 0.0, 45, 0.0, 40, 0.0, 0.5, 0, 0), 1), ((7, 0.0, 2, 1.0, 60, 0.0, 0.5, 0, 1), 1), ((16, 0.0, 0, 0.0, 0, 0.0, 0.5, 0, 0), 1),
-    ((4, 0.0, 30, 0.0, 25, 0.0, 0.5, 0, 0), 1), ((3, 1.0, 3, 1.0, 3, 1.0, 0.5, 0, 0), 0), ((1, 1.0, 0, 0.0, 2, 1.0, 0.5, 0, 0), 0), ((8, 0.9, 40, 0.0, 3, 1.0, 0.5, 0, 0), 0), ((20, 0.8, 4, 1.0, 5, 1.0, 0.5, 0, 0), 0), ((3, 0.0, 2, 1.0, 2, 1.0, 0.5, 0, 0), 0),
-    ((2, 0.0, 0, 0.0, 3, 1.0, 0.5, 0, 0), 0), ((6, 0.0, 40, 0.0, 0, 0.0, 0.5, 0, 0), 1), ((35, 0.0, 6, 1.0, 20, 0.0, 0.5, 0, 0), 1),
-    ((1, 1.0, 1, 1.0, 18, 0.0, 0.5, 0, 0), 0), ((2, 1.0, 3, 1.0, 60, 0.0, 0.5, 0, 0), 0), ((4, 1.0, 60, 0.0, 40, 0.0, 0.5, 0, 0), 0), ((3, 0.9, 0, 0.0, 30, 0.0, 0.5, 0, 0), 0), ((12, 1.0, 5, 0.0, 9, 0.0, 0.5, 0, 0), 0),
+    # an article: title, byline, paragraphs of all lengths, lists, single links
+    ((8, 0.0, 1, 1.0, 60, 0.0, 1, 0, 1), 1), ((3, 0.0, 2, 1.0, 30, 0.0, 1, 0, 1), 1), ((4, 0.5, 9, 0.0, 70, 0.0, 1, 0, 0), 1), ((60, 0.0, 8, 0.0, 45, 0.0, 1, 0, 0), 1), ((45, 0.05, 60, 0.0, 1, 0.0, 1, 0, 0), 1), ((300, 0.0, 9, 0.0, 5, 0.0, 1, 0, 0), 1),
+    ((3, 0.0, 50, 0.0, 40, 0.0, 1, 0, 1), 1), ((1, 0.0, 45, 0.0, 80, 0.0, 1, 0, 0), 1), ((2, 0.0, 30, 0.0, 12, 0.0, 1, 0, 0), 1), ((10, 0.3, 40, 0.0, 20, 0.0, 1, 0, 0), 1), ((6, 0.5, 5, 0.4, 7, 0.5, 1, 0, 0), 1), ((4, 1.0, 70, 0.0, 35, 0.0, 1, 0, 0), 1),
+    ((7, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0), 1), ((30, 0.6, 30, 0.0, 30, 0.2, 1, 0, 0), 1), ((12, 0.0, 70, 0.0, 4, 1.0, 1, 0, 0), 1), ((1, 0.0, 1, 1.0, 1, 0.0, 1, 0, 0), 1), ((2, 0.0, 6, 1.0, 3, 0.0, 1, 0, 0), 1), ((1, 0.0, 3, 0.0, 3, 1.0, 1, 0, 0), 1), ((1, 1.0, 0, 0.0, 0, 0.0, 1, 0, 0), 1), ((1, 1.0, 1, 0.0, 1, 0.0, 1, 0, 0), 1), ((2, 1.0, 90, 0.0, 0, 0.0, 1, 0, 0), 1),
+    ((60, 0.0, 0, 0.0, 3, 1.0, 1, 0, 0), 1), ((200, 0.0, 1, 1.0, 5, 1.0, 1, 0, 0), 1), ((12, 0.0, 0, 0.0, 4, 1.0, 1, 0, 0), 1), ((90, 0.1, 0, 0.0, 3, 1.0, 0.5, 0, 0), 1), ((25, 0.0, 2, 1.0, 4, 1.0, 0.5, 0, 0), 1), ((5, 0.0, 0, 0.0, 4, 1.0, 1, 0, 1), 1), ((6, 0.0, 2, 1.0, 5, 1.0, 1, 0, 0), 1), ((1, 0.0, 0, 0.0, 2, 1.0, 1, 0, 0), 1),
+    # runs of links at an article's end or start: further reading, tags, tables of contents
+    ((5, 1.0, 6, 1.0, 5, 1.0, 1, 0, 0), 0), ((7, 1.0, 70, 0.0, 6, 1.0, 1, 0, 0), 0), ((3, 1.0, 4, 1.0, 60, 0.0, 1, 0, 0), 0), ((6, 0.9, 5, 1.0, 0, 0.0, 1, 0, 0), 0), ((1, 1.0, 2, 1.0, 1, 1.0, 1, 0, 0), 0), ((12, 1.0, 11, 1.0, 9, 1.0, 1, 0, 0), 0), ((4, 1.0, 9, 0.0, 5, 1.0, 1, 0, 0), 0), ((2, 1.0, 3, 0.9, 8, 0.0, 1, 0, 0), 0),
+    # hints of furniture inside an article: adverts, sign-ups and notices are short, a wrapper's paragraphs are not
+    ((7, 0.0, 60, 0.0, 50, 0.0, 1, 0.5, 0), 0), ((25, 0.0, 60, 0.0, 70, 0.0, 1, 0.5, 0), 0), ((3, 1.0, 50, 0.0, 60, 0.0, 1, 0.5, 0), 0), ((30, 0.1, 60, 0.0, 0, 0.0, 1, 0.5, 0), 0), ((4, 0.0, 80, 0.0, 20, 0.0, 1, 0.5, 1), 0), ((1, 0.0, 5, 0.0, 7, 0.0, 1, 0.5, 0), 0),
+    ((90, 0.0, 60, 0.0, 80, 0.0, 1, 0.5, 0), 1), ((64, 0.02, 50, 0.0, 70, 0.0, 1, 0.5, 0), 1), ((120, 0.0, 20, 0.0, 40, 0.0, 1, 0.5, 0), 1), ((80, 0.6, 60, 0.0, 40, 0.7, 1, 0.5, 0), 0), ((90, 0.9, 40, 0.0, 3, 1.0, 1, 0.5, 0), 0),
+    # furniture without doubt, of all lengths
+    ((6, 1.0, 0, 0.0, 5, 1.0, 0, 1, 0), 0), ((1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), 0), ((2, 1.0, 1, 1.0, 9, 0.0, 0, 1, 0), 0), ((30, 0.1, 60, 0.0, 0, 0.0, 0, 1, 0), 0), ((12, 0.0, 40, 0.0, 0, 0.0, 0, 1, 0), 0), ((25, 0.0, 60, 0.0, 70, 0.0, 1, 1, 0), 0), ((60, 0.0, 50, 0.0, 12, 0.0, 1, 1, 0), 0), ((4, 0.0, 80, 0.0, 30, 0.0, 1, 1, 1), 0),
+    ((3, 0.5, 40, 0.0, 3, 0.5, 1, 1, 0), 0), ((150, 0.0, 90, 0.0, 120, 0.0, 1, 1, 0), 0), ((90, 0.0, 10, 0.0, 50, 0.0, 0.5, 1, 0), 0), ((15, 0.0, 3, 1.0, 4, 1.0, 0.5, 1, 0), 0), ((2, 1.0, 2, 1.0, 2, 1.0, 0.5, 1, 0), 0), ((5, 0.0, 0, 0.0, 3, 1.0, 0.5, 1, 1), 0), ((200, 0.0, 60, 0.0, 60, 0.0, 0.5, 1, 0), 0), ((1, 0.0, 30, 0.0, 40, 0.0, 1, 1, 0), 0),
+    # outside of the article of a page that has one
+    ((9, 0.0, 4, 1.0, 8, 0.0, 0, 0, 0), 0), ((40, 0.0, 2, 0.0, 8, 0.0, 0, 0, 0), 0), ((14, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0), 0), ((3, 1.0, 3, 1.0, 50, 0.0, 0, 0, 0), 0), ((5, 0.0, 3, 1.0, 6, 0.0, 0, 0, 1), 0), ((90, 0.0, 0, 0.0, 5, 0.0, 0, 0, 0), 0), ((120, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0), 0), ((9, 0.0, 2, 1.0, 8, 0.0, 0, 0.5, 0), 0), ((70, 0.0, 30, 0.0, 40, 0.0, 0, 0.5, 0), 0),
+    # pages without an article element: paragraphs, headings and lists among running text
+    ((60, 0.0, 8, 0.0, 45, 0.0, 0.5, 0, 0), 1), ((45, 0.1, 60, 0.0, 50, 0.0, 0.5, 0, 0), 1), ((25, 0.0, 45, 0.0, 3, 1.0, 0.5, 0, 0), 1), ((12, 0.0, 45, 0.0, 40, 0.0, 0.5, 0, 0), 1), ((7, 0.0, 2, 1.0, 60, 0.0, 0.5, 0, 1), 1), ((16, 0.0, 0, 0.0, 0, 0.0, 0.5, 0, 0), 1), ((7, 0.0, 0, 0.0, 0, 0.0, 0.5, 0, 0), 1),
+    ((4, 0.0, 30, 0.0, 25, 0.0, 0.5, 0, 0), 1), ((6, 0.0, 40, 0.0, 0, 0.0, 0.5, 0, 0), 1), ((35, 0.0, 6, 1.0, 20, 0.0, 0.5, 0, 0), 1), ((18, 0.0, 1, 1.0, 18, 0.0, 0.5, 0, 0), 1),
+    # and their menus, link lists and stray labels
+    ((3, 1.0, 3, 1.0, 3, 1.0, 0.5, 0, 0), 0), ((1, 1.0, 0, 0.0, 2, 1.0, 0.5, 0, 0), 0), ((8, 0.9, 40, 0.0, 3, 1.0, 0.5, 0, 0), 0), ((20, 0.8, 4, 1.0, 5, 1.0, 0.5, 0, 0), 0), ((3, 0.0, 2, 1.0, 2, 1.0, 0.5, 0, 0), 0), ((2, 0.0, 0, 0.0, 3, 1.0, 0.5, 0, 0), 0), ((1, 1.0, 1, 1.0, 18, 0.0, 0.5, 0, 0), 0),
+    ((2, 1.0, 3, 1.0, 60, 0.0, 0.5, 0, 0), 0), ((4, 1.0, 60, 0.0, 40, 0.0, 0.5, 0, 0), 0), ((3, 0.9, 0, 0.0, 30, 0.0, 0.5, 0, 0), 0), ((12, 1.0, 5, 0.0, 9, 0.0, 0.5, 0, 0), 0),
+    ((1, 1.0, 0, 0.0, 1, 1.0, 0.5, 0, 0), 0), ((5, 1.0, 0, 0.0, 5, 1.0, 0.5, 0, 0), 0), ((9, 1.0, 30, 0.0, 0, 0.0, 0.5, 0, 0), 0), ((1, 1.0, 1, 0.0, 1, 0.0, 0.5, 0, 0), 0), ((2, 1.0, 0, 0.0, 40, 0.0, 0.5, 0, 0), 0), ((1, 1.0, 0, 0.0, 0, 0.0, 0.5, 0, 0), 0),
+    # hints there: long running text outweighs a name
+    ((60, 0.0, 70, 0.0, 80, 0.0, 0.5, 0.5, 0), 1), ((45, 0.0, 8, 0.0, 90, 0.0, 0.5, 0.5, 0), 1), ((100, 0.1, 60, 0.0, 0, 0.0, 0.5, 0.5, 0), 1), ((20, 0.0, 60, 0.0, 3, 1.0, 0.5, 0.5, 0), 0), ((9, 0.0, 2, 1.0, 60, 0.0, 0.5, 0.5, 0), 0), ((12, 0.0, 70, 0.0, 0, 0.0, 0.5, 0.5, 0), 0), ((5, 1.0, 3, 1.0, 4, 1.0, 0.5, 0.5, 0), 0), ((45, 0.8, 20, 0.9, 30, 0.7, 0.5, 0.5, 0), 0),
 )
 
-#: Furniture is dropped and article blocks are kept whatever their size and neighbours: the same labels on a grid of the other features.
-GRID = tuple(
-    ((words, links, before, 0.5 if before < 9 else 0.0, after, 0.5 if after < 9 else 0.0, place, furniture, heading), int(place == 1 and not furniture))
-    for words, links in ((1, 0.0), (4, 1.0), (12, 0.2), (60, 0.0), (300, 0.0))
-    for before in (0, 6, 50)
-    for after in (0, 6, 50)
-    for place, furniture, heading in ((1, 0, 0), (1, 0, 1), (1, 1, 0), (0, 0, 0), (0, 1, 0), (0.5, 1, 0))
-)
-
 
 class Tree:
     """A binary decision tree grown by Gini impurity until its leaves are pure."""
@@ -100,23 +113,35 @@ def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)}
 
 
-def is_furniture(tag: str, raw: str, in_article: bool) -> bool:
+def furniture_of(tag: str, raw: str, in_article: bool) -> float:
+    """1 for page furniture and reader comments, 0.5 for a hint at it, else 0."""
+    if tag in ("html", "body"):
+        return 0
     if tag in FURNITURE_TAGS:
-        return True
+        return 0 if tag == "header" and in_article else 1
+    hint = 0.5 if tag in ("form", "fieldset") else 0
     if not raw.strip():
-        return False
+        return hint
     a = attributes(raw)
     names = set(TOKENS.split(f"{a.get('class', '')} {a.get('id', '')}".lower()))
     hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-    return bool(names & FURNITURE_NAMES) or "header" in names and not in_article or a.get("role", "").lower() in FURNITURE_ROLES or hidden
+    if hidden or a.get("role", "").lower() in FURNITURE_ROLES or names & COMMENT_NAMES and not (tag == "article" and "has" in names):
+        return 1
+    return 0.5 if names & FURNITURE_NAMES or "header" in names and not in_article else hint
 
 
 class Page:
-    """Flat blocks of one page: text, words, words in links, in article, furniture, heading."""
+    """Flat blocks of one page: text, words, words in links, in article, furniture, heading.
+
+    Open elements are counted by name and by kind, so that a tag costs the same however many are open.
+    """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, int, int, bool, bool, bool]] = []
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, furniture, article
+        self.blocks: list[tuple[str, int, int, bool, float, bool]] = []
+        self.stack: list[tuple[str, float, bool, int]] = []  # tag, furniture, article, hints that an article has set aside
+        self.open_tags: Counter[str] = Counter()
+        self.foreign: list[str] = []  # open svg, math and what may hold HTML inside of them
+        self.sure, self.hints, self.articles = 0, 0, 0
         self.parts: list[str] = []
         self.linked: list[str] = []
         self.links, self.silent, self.heading = 0, 0, False
@@ -142,17 +167,36 @@ class Page:
             self.open(tag, m[3] or "")
         self.cut()
 
+    def push(self, tag: str, furniture: float, article: bool) -> None:
+        aside = 0
+        if article and furniture < 1:
+            aside, self.hints = self.hints, 0
+        self.stack.append((tag, furniture, article, aside))
+        self.open_tags[tag] += 1
+        self.sure += furniture == 1
+        self.hints += furniture == 0.5
+        self.articles += article
+        self.silent += tag in SILENT
+        if tag in FOREIGN or tag in FOREIGN_HOLDERS:
+            self.foreign.append(tag)
+
+    def pop(self) -> str:
+        tag, furniture, article, aside = self.stack.pop()
+        self.open_tags[tag] -= 1
+        self.sure -= furniture == 1
+        self.hints += aside - (furniture == 0.5)
+        self.articles -= article
+        self.silent -= tag in SILENT
+        if tag in FOREIGN or tag in FOREIGN_HOLDERS:
+            self.foreign.pop()
+        return tag
+
     def end_implied(self, tag: str) -> None:
         """Closes silent elements that a start tag, or text (no tag), ends without an end tag of theirs."""
-        if tag == "body" and any(s[0] == "head" for s in self.stack) or tag not in IN_HEAD and self.stack[-1][0] == "head":
+        if tag == "body" and self.open_tags["head"] or tag not in IN_HEAD and self.stack[-1][0] == "head":
             self.close("head")
-        if tag in BREAKOUT and self.silent:
-            for name, *_ in reversed(self.stack):
-                if name in FOREIGN_HOLDERS:
-                    break
-                if name in FOREIGN:
-                    self.close(name)
-                    break
+        if tag in BREAKOUT and self.silent and self.foreign and self.foreign[-1] in FOREIGN:
+            self.close(self.foreign[-1])
 
     def text(self, raw: str) -> None:
         if self.silent and self.stack[-1][0] == "head" and raw.strip():
@@ -177,22 +221,21 @@ class Page:
         if tag in SILENT:
             if SELF_CLOSED.search(raw):
                 return
-            self.silent += 1
-            self.stack.append((tag, False, False))
+            self.push(tag, 0, False)
             return
-        furniture = is_furniture(tag, raw, any(s[2] for s in self.stack))
+        furniture = furniture_of(tag, raw, self.articles > 0)
         if tag in INLINE and not furniture:
             return
         self.cut()
         article = tag in ("article", "main")
-        if article and not furniture:  # an unclosed menu does not swallow the article
+        if article and furniture < 1:  # an unclosed menu does not swallow the article
             while self.stack and self.stack[-1][0] in ("nav", "ul", "ol", "header"):
-                self.stack.pop()
-            self.has_article |= not any(s[1] for s in self.stack)
+                self.pop()
+            self.has_article |= not self.sure
         if tag in OPEN_HEADINGS:
             self.heading = True
         if tag not in ("p", "li", "dt", "dd", "tr", "td", "th") or furniture:
-            self.stack.append((tag, furniture, article))
+            self.push(tag, furniture, article)
 
     def close(self, tag: str) -> None:
         if tag == "a":
@@ -201,20 +244,18 @@ class Page:
             self.cut()
         if tag in OPEN_HEADINGS:
             self.heading = False
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                if tag in INLINE:
-                    self.cut()
-                self.silent -= sum(s[0] in SILENT for s in self.stack[i:])
-                del self.stack[i:]
-                return
+        if self.open_tags[tag]:
+            if tag in INLINE:
+                self.cut()
+            while self.pop() != tag:
+                pass
 
     def cut(self) -> None:
         if self.parts:
             text = clean("".join(self.parts))
             if text:
                 linked = len(clean(" ".join(self.linked)).split()) if self.linked else 0
-                self.blocks.append((text, len(text.split()), linked, any(s[2] for s in self.stack), any(s[1] for s in self.stack), self.heading))
+                self.blocks.append((text, len(text.split()), linked, self.articles > 0, 1.0 if self.sure else 0.5 if self.hints else 0.0, self.heading))
             self.parts, self.linked = [], []
 
     def features(self) -> list[tuple[float, ...]]:
@@ -239,13 +280,15 @@ def extract(source: str | None, tree: Tree) -> str:
 
 def apply(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
+    bounded(pages.sparkSession)
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].cast("string").alias("html"))
 
     def main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = Tree(TABLE + GRID)
+        tree = Tree(TABLE)
         for batch in batches:
             texts = pa.array([extract(x.as_py(), tree) for x in batch.column(2)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["page_id", "url", "text"])
+        tidy()
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.mapInArrow(main_text, f"page_id {kinds['page_id']}, url {kinds['url']}, text string").withColumn("n_chars", F.char_length("text").cast("long"))

@@ -10,7 +10,7 @@ global order of n-grams. Texts with equal sets are one node. Two nodes link when
    exactness needs. It only serves to keep n-grams of very common passages out of step 2.
 2. Candidates. Linked sets of n n-grams share one among the first n - ceil(n * threshold / 100) + 1
    of each in this order, so only these prefixes are exchanged. Members of an n-gram's group are
-   paired with one pivot at a time, the smallest first, not with each other.
+   paired with one pivot for each window of sizes, not with each other.
 3. Verification. A parity sketch of 1024 bits bounds the difference of two sets from below and
    drops pairs that cannot link. The other sets are cut into `FRAGMENTS` vertical fragments of the
    order of fingerprints; each fragment's overlap is counted on its own and summed per pair.
@@ -41,12 +41,12 @@ from pyspark.sql import functions as F
 
 from .blocks import BUCKET_ENTRIES, NO_ID, Sender, unpack, unplanes
 from .components import components
-from .tables import bounded, drop_kept, keep, tidy
+from .tables import bounded, drop_kept, ends_shuffles, keep, tidy
 from .textblock import U64, Words, mix, pieces, windows
 
 SHINGLE, THRESHOLD, FRAGMENTS = 3, 90, 4
 CELLS, GROUPS, WORDS = 1 << 22, 8, 16
-SENT = {"ref": np.uint64, "n": np.uint32}
+SENT = {"ref": np.uint64, "n": np.uint32, "rank": np.uint32}
 SKETCH = tuple(f"k{i}" for i in range(WORDS))
 
 
@@ -144,17 +144,20 @@ def described(docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
     return docs.mapInArrow(describe, "doc_id long, key binary, n long, prefix binary, " + ", ".join(f"{k} long" for k in SKETCH))
 
 
-def star(n: np.ndarray, threshold: int) -> Iterator[tuple[int, np.ndarray]]:
+def star(n: np.ndarray, rank: np.ndarray, threshold: int) -> Iterator[tuple[int, np.ndarray]]:
     """Pivots of a group sorted by size, each with all members of a fitting size.
 
-    A pivot is the first member that is too large for the pivot before it. Any two members that fit
-    each other both fit the pivot of the larger one, so they have a pivot in common.
+    The sizes are cut into windows, each beginning with the first size too large for the window
+    before. A window's pivot is the member that has the n-gram earliest in its order: of near copies
+    the one with the fewest n-grams of its own, and so the same one for most of their n-grams. Any
+    two members that fit each other are both members of the pivot of the larger one's window.
     """
     p = 0
     while p < len(n):
         low, high = int(np.searchsorted(n, -(-n[p] * threshold // 100))), int(np.searchsorted(n, n[p] * 100 // threshold, "right"))
         if high - low > 1:
-            yield p, np.concatenate([np.arange(low, p), np.arange(p + 1, high)])
+            pivot = p + int(np.argmin(rank[p:high]))
+            yield pivot, np.concatenate([np.arange(low, pivot), np.arange(pivot + 1, high)])
         p = high
 
 
@@ -177,22 +180,23 @@ def candidates(rows: DataFrame, entries: float, threshold: int) -> DataFrame:
             take = list({k: i for i, k in enumerate(named_) if blobs[i]}.values())  # copies in one batch are sent once
             count = np.array([len(blobs[i]) // 8 for i in take], np.int64)
             ref, n = np.frombuffer(b"".join(named_[i][:8] for i in take), U64), batch.column(name("n")).to_numpy()[take]
-            yield from sender.add(np.frombuffer(b"".join(blobs[i] for i in take), U64), ref=np.repeat(ref, count), n=np.repeat(n, count))
+            rank = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            yield from sender.add(np.frombuffer(b"".join(blobs[i] for i in take), U64), ref=np.repeat(ref, count), n=np.repeat(n, count), rank=rank)
         if sender.held:
             yield sender.flush()
         tidy()
 
     def pair(table: pa.Table) -> pa.Table:
         grams = np.concatenate([unpack(x.as_py()) for x in table.column("fps")])
-        ref, n = (np.concatenate([unplanes(x.as_py(), SENT[k]) for x in table.column(k)]) for k in ("ref", "n"))
+        ref, n, rank = (np.concatenate([unplanes(x.as_py(), SENT[k]) for x in table.column(k)]) for k in ("ref", "n", "rank"))
         order = np.lexsort((ref, n, grams))
-        grams, ref, n = grams[order], ref[order], n[order].astype(np.int64)
+        grams, ref, n, rank = grams[order], ref[order], n[order].astype(np.int64), rank[order]
         new = np.ones(len(grams), bool)
         new[1:] = (grams[1:] != grams[:-1]) | (ref[1:] != ref[:-1])
-        grams, ref, n = grams[new], ref[new], n[new]
+        grams, ref, n, rank = grams[new], ref[new], n[new], rank[new]
         pivot, member = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in grouped(grams):
-            for p, members in star(n[lo:hi], threshold):
+            for p, members in star(n[lo:hi], rank[lo:hi], threshold):
                 pivot.append(np.full(len(members), lo + p))
                 member.append(lo + members)
         pairs = np.unique(np.stack([ref[np.concatenate(pivot)], ref[np.concatenate(member)]], 1), axis=0)
@@ -243,7 +247,7 @@ def named(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
 def fragments(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, shingle: int, twice: bool) -> DataFrame:
     """(key, part, grams) of the wanted sets, each from the one text that stands for it. `twice`: ids repeat."""
     rows = firsts.join(wanted, "key", "left_semi").select("key", "doc_id")
-    texts = docs.join(rows, docs["doc_id"].eqNullSafe(rows["doc_id"])).select("key", "text")
+    texts = docs.join(rows.hint("merge"), docs["doc_id"].eqNullSafe(rows["doc_id"])).select("key", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,8 +278,14 @@ def verified(pairs: DataFrame, parts: DataFrame, sizes: DataFrame) -> DataFrame:
     return total.join(na, "a").join(nb, "b")
 
 
+@ends_shuffles
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id. `threshold` is a percentage."""
+    return _found(docs, id_col, text_col, shingle, threshold)[0]
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The result and the kept tables that it reads."""
     if not 0 < threshold <= 100:
         raise ValueError("threshold must be a percentage")
     bounded(docs.sparkSession)
@@ -316,17 +326,20 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     out = rows.select("doc_id", "key", F.col("n").alias("n_shingles")).join(labels, "key", "left")
     clean = lambda c: F.when(c != NO_ID, c)
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(clean(F.col("doc_id")).alias("doc_id"), "n_shingles", clean(alone).alias("component_id"))
+    return out.select(clean(F.col("doc_id")).alias("doc_id"), "n_shingles", clean(alone).alias("component_id")), [rows, firsts, grouped_]
 
 
 def _fragments_of(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int, twice: bool) -> DataFrame:
     return keep(fragments(docs, firsts, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), shingle, twice), "fragments")
 
 
+@ends_shuffles
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 80) -> DataFrame:
     """One document of each component, that of the smallest id, with all its columns. Of rows with this id, equal texts are kept once and different ones each."""
-    found = keep(apply(docs, id_col, text_col, shingle, threshold), "found")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    out = docs.join(kept.withColumnRenamed("doc_id", "kept_id"), docs[id_col].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    out, used = _found(docs, id_col, text_col, shingle, threshold)
+    found = keep(out, "found")
+    drop_kept(*used)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    out = docs.join(kept.hint("merge"), docs[id_col].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
     twice = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return out.dropDuplicates([id_col, text_col]) if twice else out

@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import WANT, Block, corpus, exchange, fetched, opened, text_key, told, unpack, wanted
-from .tables import bounded, drop_kept, keep
+from .blocks import NO_ID, WANT, Block, corpus, exchange, fetched, opened, text_key, told, unpack, wanted
+from .tables import bounded, drop_kept, ends_shuffles, keep
 from .textblock import SPACE, U64, Words, covered, found, member, repeated, runs, windows
 
 WINDOW, PHRASE = 20, 6
@@ -143,8 +143,8 @@ def removed(joined: bytes, starts: np.ndarray, passages: dict[bytes, set[int]])
     return covered(len(starts), np.array([a for a, _ in ok], np.int64), np.array([n for _, n in ok], np.int64)) if ok else gone
 
 
-def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE, with_text: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (the words left, as they stand where nothing was removed) and the text's key."""
+def _distinct(docs: DataFrame, id_col: str, text_col: str, window: int, phrase: int, with_text: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key) of all rows, and for each distinct text: key, first (its smallest id) and what is left of it."""
     bounded(docs.sparkSession)
     held = corpus(docs, id_col, text_col)
     rate = 2 / (window - phrase + 2) / 5
@@ -165,23 +165,30 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         for block in opened(batches):
             yield _cut(block, with_text)
 
-    schema = "key binary, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    done = told(held.blocks, passages).mapInArrow(cut, schema)
-    done = done.join(held.firsts.select("key", F.col("doc_id").alias("first")), "key")
-    out = held.ids.select("doc_id", "key").join(done, "key", "left")
-    copy = ~F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("n_words") >= window)
-    columns = [*(["key"] if with_text else []), "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(copy, F.lit(NOTHING)).otherwise(F.col("kept_sha256")).alias("kept_sha256")]
+    schema = "key binary, first long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    return held.ids, told(held.blocks, passages).mapInArrow(cut, schema)
+
+
+@ends_shuffles
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE, with_text: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (the words left, as they stand where nothing was removed)."""
+    ids, done = _distinct(docs, id_col, text_col, window, phrase, with_text)
+    out = ids.select("doc_id", "key").join(done, "key", "left")
+    copy = ~F.coalesce("doc_id", F.lit(NO_ID)).eqNullSafe(F.col("first")) & (F.col("n_words") >= window)
+    columns = ["doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(copy, F.lit(NOTHING)).otherwise(F.col("kept_sha256")).alias("kept_sha256")]
     return out.select(*columns, *([F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []))
 
 
+@ends_shuffles
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """The documents with their repeated passages cut out and all other columns as they were; rows of which nothing is left go, rows without words stay."""
-    done = apply(docs, id_col, text_col, window, phrase, True).where("n_words = 0 or n_removed < n_words")
-    done = done.dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("kept_text").alias("_text"))
-    rest = docs.select(*[c for c in docs.columns if c != text_col], docs[id_col].cast("long").alias("_doc"), F.isnull(docs[text_col]).alias("_null"), text_key(docs[text_col]).alias("_own"))
-    whole = rest.join(done, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
-    text = F.when(~F.col("_null"), F.col("_text")).alias(text_col)
-    return whole.select(*[text if c == text_col else c for c in docs.columns])
+    _, done = _distinct(docs, id_col, text_col, window, phrase, True)
+    done = done.where("n_words = 0 or n_removed < n_words").select("key", "first", "n_words", "kept_text")
+    # the other columns travel in one struct, so that none of their names meets those of the result
+    rest = docs.select(F.struct(docs[id_col].cast("long").alias("id"), F.isnull(docs[text_col]).alias("none"), *[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]).alias("row"), text_key(docs[text_col]).alias("own"))
+    whole = rest.join(done, F.col("own") == F.col("key")).where((F.coalesce("row.id", F.lit(NO_ID)) == F.col("first")) | (F.col("n_words") < window))
+    text = F.when(~F.col("row.none"), F.col("kept_text"))
+    return whole.select(*[(text if c == text_col else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def _cut(block: Block, with_text: bool) -> pa.RecordBatch:
@@ -206,7 +213,7 @@ def _cut(block: Block, with_text: bool) -> pa.RecordBatch:
         shas.append(hashlib.sha256(text).hexdigest())
         if with_text:
             kept.append(text if lost[i] else raw[a:b])
-    columns = {"key": pa.array(block.keys, pa.binary()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
+    columns = {"key": pa.array(block.keys, pa.binary()), "first": pa.array(block.ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
     if with_text:
         columns["kept_text"] = pa.array([x.decode() for x in kept], pa.string())
     return pa.RecordBatch.from_pydict(columns)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import WANT, Block, corpus, exchange, fetched, opened, told, wanted
-from .tables import bounded, drop_kept, keep
+from .tables import bounded, drop_kept, ends_shuffles, keep
 from .textblock import PIECE, U64, covered, found, mix, owner, runs, windows
 
 DEPTH, PERIOD = 200, 73
@@ -200,6 +200,7 @@ def _ask_suffixes(depth: int):
     return ask
 
 
+@ends_shuffles
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, with_text: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes)."""
     if depth < 2 * PERIOD:
@@ -223,9 +224,8 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         for block in opened(batches):
             yield _cut(block, depth, with_text)
 
-    schema = "key binary, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    schema = "key binary, copies long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     done = told(held.blocks, passages, more).mapInArrow(cut, schema)
-    done = done.join(held.firsts.select("key", "copies"), "key")
     out = held.ids.join(done, "key", "left")
     copy = (F.col("copies") > 1) & (F.col("n_bytes") >= depth)
     pick = lambda name, value: F.when(copy, value).otherwise(F.col(name)).alias(name)
@@ -244,7 +244,7 @@ def _cut(block: Block, depth: int, with_text: bool) -> pa.RecordBatch:
         shas.append(hashlib.sha256(rest).hexdigest())
         if with_text:
             kept.append(rest)
-    columns = {"key": pa.array(block.keys, pa.binary()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans_, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
+    columns = {"key": pa.array(block.keys, pa.binary()), "copies": block.more["copies"].values, "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans_, pa.int64()), "kept_sha256": pa.array(shas, pa.string())}
     if with_text:
         columns["kept"] = pa.array(kept, pa.binary())
     return pa.RecordBatch.from_pydict(columns)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +66,26 @@ def keep(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_bucketed(df: DataFrame, label: str, by: str, n: int) -> DataFrame:
+    """Like `keep`, in n buckets by a column: joins on it then move only the other side. The table is external and temporary; its name is dropped with the session."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    with _set(spark, _CLEANUP, "true"):
+        df.write.format("parquet").option("compression", "uncompressed").option("parquet.block.size", ROW_GROUP_BYTES).option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, by).saveAsTable(name)
+    return spark.table(name)
+
+
+def ends_shuffles(apply: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators that run steps of their own: shuffle files of a step are deleted when it has ended. What the operator returns is run later, under the session's own setting."""
+
+    @wraps(apply)
+    def inside(docs: DataFrame, *a: object, **b: object) -> DataFrame:
+        with _set(docs.sparkSession, _CLEANUP, "true"):
+            return apply(docs, *a, **b)
+
+    return inside
+
+
 def drop_kept(*frames: DataFrame) -> None:
     """Deletes tables that `keep` wrote."""
     for df in frames:

@@ -72,3 +72,17 @@ def test_query(spark, spec, corpus_rows):
         decoded = library.decode(want, skip_special_tokens=False)
         assert (out[i].n_tokens, out[i].ids_sha256, out[i].decoded_sha256, out[i].ids, out[i].decoded) == (len(want), sha(" ".join(map(str, want))), sha(decoded), want, decoded)
     assert bpe.apply(df.limit(0), spec).collect() == []
+
+
+def test_long_words_are_merged_as_the_library_does(spec):
+    import time
+
+    r = random.Random(3)
+    library = Tokenizer.from_file(PATH)
+    encoder = bpe.Encoder(bpe.Vocabulary(spec), None)
+    for text in ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000)), "a" * 5000, "ab" * 2500, "the" * 1500]:
+        assert [int(i) for i in encoder.encode(text)[0].split()] == library.encode(text, add_special_tokens=False).ids
+    began = time.time()
+    text = "".join(r.choice("etaoinshrdlu") for _ in range(1_000_000))
+    assert len(encoder.encode(text)[0]) > 1_000_000
+    assert time.time() - began < 60

@@ -1,12 +1,12 @@
 import pytest
 
-from lodestream.llm.html_text import GRID, TABLE, Page, Tree, apply, extract
+from lodestream.llm.html_text import TABLE, Page, Tree, apply, extract
 
-TREE = Tree(TABLE + GRID)
+TREE = Tree(TABLE)
 
 
 def test_tree_fits_its_table():
-    assert all(TREE(x) == bool(y) for x, y in TABLE + GRID)
+    assert all(TREE(x) == bool(y) for x, y in TABLE)
 
 
 @pytest.mark.parametrize(
@@ -66,3 +66,44 @@ def test_query(spark):
 )
 def test_silence_ends(source, text):
     assert extract(source, TREE) == text
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<body class='right-sidebar'><article><p>{p}</p></article>",
+        "<body class='single has-comments'><article><p>{p}</p></article>",
+        "<form action=x><div><article><p>{p}</p></article></div></form>",
+        "<div class='social-page'><article><p>{p}</p></article></div>",
+        "<div class='social-page'><p>{p}</p><p>{p}</p></div>",
+    ],
+)
+def test_names_around_an_article_do_not_empty_it(source):
+    p = "a paragraph of running text with quite a number of words in it, enough of them to be taken for what a page is about and not for a label, a notice or a button of it, and then a few words more"
+    assert extract(source.format(p=p), TREE) == "\n\n".join([p] * source.count("{p}"))
+
+
+def test_titles_comments_and_link_lists():
+    assert extract("<article><header><h1>Title</h1></header><p>text</p></article>", TREE) == "Title\n\ntext"
+    assert extract("<article><p>text</p></article><div class='thread'><article><p>a reader wrote this</p></article></div>", TREE) == "text"
+    links = "".join(f"<li><a href={i}>Further reading {i}</a></li>" for i in range(5))
+    long = "words " * 60
+    assert extract(f"<article><p>{long}</p><ul>{links}</ul></article>", TREE) == long.strip()
+
+
+def test_density_decides():
+    """Without link densities, or without neighbours, the verdicts are others."""
+    pages = ["<article><p>" + "words " * 60 + "</p>" + "".join(f"<li><a>See {i} too</a></li>" for i in range(4)), "<div><a>One of the menu</a></div><div>Two</div><div><a>Three of the menu</a></div><div>" + "w " * 40 + "</div>"]
+    for source in pages:
+        found = Page(source).features()
+        whole = [TREE(x) for x in found]
+        assert whole != [TREE((x[0], 0.0, x[2], 0.0, x[4], 0.0, *x[6:])) for x in found]
+
+
+def test_nesting_is_read_in_one_pass():
+    import time
+
+    began = time.time()
+    assert extract("<article>" + "<div>" * 100_000 + "deep" + "</b></div>" * 100_000, TREE) == "deep"
+    assert extract("<article><svg>" + "<g>" * 50_000 + "<p>out", TREE) == "out"
+    assert time.time() - began < 20
