@@ -265,10 +265,12 @@ SPAN = 1 << 16
 
 
 def wanted(number: int, here: np.ndarray, source: np.ndarray, place: np.ndarray, width: int, reach: int) -> pa.RecordBatch:
-    """Requests for strings of `width` places that start at `here`, in rising order, and should equal those at `place`.
+    """Requests for strings of `width` places that start at `here`, and should equal those at `place`.
 
     Strings with the same offset that start at most `reach` apart are one passage; with a reach below the strings' true length, none crosses a text.
     """
+    order = np.lexsort((here, place - here, source))
+    here, source, place = here[order], source[order], place[order]
     new = starts_of(source, place - here)
     new[1:] |= np.diff(here) > reach
     cut = np.flatnonzero(new)

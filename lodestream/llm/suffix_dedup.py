@@ -148,6 +148,18 @@ def _passage(margin: int):
     return cut
 
 
+def longest(asked: pa.RecordBatch, n_bytes: int) -> pa.RecordBatch:
+    """The longest passages first, without those that lie within others: of a text that many share, each sample may be told of another neighbour. What is left out here, step 3 settles."""
+    here, n = asked.column("here").to_numpy(), asked.column("n").to_numpy()
+    seen, take = np.zeros(n_bytes, bool), np.zeros(len(here), bool)
+    for i in np.argsort(-n, kind="stable").tolist():
+        a, b = here[i], here[i] + n[i]
+        if not seen[a:b].all():
+            take[i] = True
+            seen[max(0, a - PERIOD + 1) : b + PERIOD - 1] = True
+    return asked.filter(pa.array(take))
+
+
 def _ask_samples(depth: int):
     """Requests for what tied samples should equal, and the stretches of suffixes within their reach, as rows without a source."""
 
@@ -156,7 +168,7 @@ def _ask_samples(depth: int):
             starts, ranks = samples(block.data, block.off, depth - PERIOD + 1)
             has, source, place = tied(block, starts, ranks)
             starts = starts[has]
-            yield wanted(block.number, starts, source[has], place[has], depth - PERIOD + 1, depth - PERIOD)
+            yield longest(wanted(block.number, starts, source[has], place[has], depth - PERIOD + 1, depth - PERIOD), len(block.data))
             begin, end = runs(in_reach(len(block.data), starts, PERIOD - 1), block.off)
             columns = (np.full(len(begin), block.number), begin, np.full(len(begin), -1), begin, end - begin)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "here", "source", "place", "n"])
