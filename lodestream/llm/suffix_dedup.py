@@ -64,12 +64,14 @@ def tiles(data: np.ndarray, reach: int) -> Iterator[tuple[int, int, np.ndarray]]
 
 def fingerprints(data: np.ndarray, off: np.ndarray, length: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Starts and fingerprints of the strings of `length` bytes inside a text, at marked places (all without marks)."""
+    among = np.ones(len(data), bool) if among is None else among.copy()
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        among[max(a, b - length + 1) : b] = False
     starts, fps = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
     for first, last, every in tiles(data, length):
-        at = np.arange(first, first + len(every)) if among is None else first + np.flatnonzero(among[first : first + len(every)])
-        at = at[at + length <= off[owner(off, at) + 1]]
-        starts.append(at)
-        fps.append(every[at - first])
+        at = np.flatnonzero(among[first : first + len(every)])
+        starts.append(first + at)
+        fps.append(every[at])
     return np.concatenate(starts), np.concatenate(fps)
 
 
@@ -84,14 +86,18 @@ def samples(data: np.ndarray, off: np.ndarray, rank_depth: int) -> tuple[np.ndar
 
 
 def first_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct fingerprints, where each comes first, and for every entry the entry of the same kind before it (-1 for the first)."""
-    order = np.argsort(fps, kind="stable")
+    """Distinct fingerprints, one entry of each, and for every entry the entry of the same kind before it (-1 for the first)."""
+    order = np.argsort(fps)
     s = fps[order]
-    same = np.zeros(len(s), bool)
-    same[1:] = s[1:] == s[:-1]
+    again = np.zeros(len(s) + 1, bool)
+    again[1:-1] = s[1:] == s[:-1]
     before = np.full(len(s), -1)
-    before[order[1:][same[1:]]] = order[:-1][same[1:]]
-    return s[~same], order[~same], before
+    some = np.sort(order[again[:-1] | again[1:]])  # only these need their order of places
+    kinds = fps[some]
+    by = np.argsort(kinds, kind="stable")
+    same = kinds[by[1:]] == kinds[by[:-1]]
+    before[some[by[1:][same]]] = some[by[:-1][same]]
+    return s[~again[:-1]], order[~again[:-1]], before
 
 
 def _emit_samples(depth: int):
@@ -116,20 +122,35 @@ def tied(block: Block, starts: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray,
     return has, source, place
 
 
+def listed(block: Block, name: str, *fields: str) -> list[pa.Array]:
+    """The fields of a list of structs that this block's row has."""
+    rows = block.more[name]
+    if not rows.is_valid:
+        return [pa.array([], pa.binary() if f == "text" else pa.int64()) for f in fields]
+    columns = dict(zip((f.name for f in rows.values.type), rows.values.flatten(), strict=True))
+    return [columns[f] for f in fields]
+
+
 def resolved(block: Block, passages: str, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Which bytes agree with a fetched passage in a stretch of `depth` or more, and which suffixes such a stretch begins."""
+    here, left, text = listed(block, passages, "here", "left", "text")
+    here, left = here.to_numpy(), left.to_numpy()
     begin, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for x in block.more[passages].as_py() or []:
-        t = int(owner(block.off, np.array([x["here"]]))[0])
-        a, start = int(block.off[t]), x["here"] - x["left"]
-        text = np.frombuffer(x["text"], np.uint8)[max(0, a - start) :]
-        start = max(a, start)
-        text = text[: max(0, int(block.off[t + 1]) - start)]
-        same = np.concatenate([[False], block.data[start : start + len(text)] == text, [False]])
-        edge = np.flatnonzero(same[1:] != same[:-1])
-        long = edge[1::2] - edge[::2] >= depth
-        begin.append(start + edge[::2][long])
-        size.append((edge[1::2] - edge[::2])[long])
+    for k in range(0, len(here), 1024):
+        part = text.slice(k, 1024)
+        _, offsets, raw = part.buffers()
+        off = np.frombuffer(offsets, np.int32)[part.offset : part.offset + len(part) + 1].astype(np.int64)
+        start, t = here[k : k + 1024] - left[k : k + 1024], owner(block.off, here[k : k + 1024])
+        cut = np.maximum(0, block.off[t] - start)
+        n = np.maximum(0, np.minimum(np.diff(off), block.off[t + 1] - start) - cut)
+        start, bounds = start + cut, np.concatenate([[0], np.cumsum(n)])
+        own = np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], n)
+        same = block.data[own] == np.frombuffer(raw, np.uint8)[own + np.repeat(off[:-1] + cut - start, n)]
+        a, b = runs(same, bounds)
+        long = b - a >= depth
+        a, b = a[long], b[long]
+        begin.append(own[a])
+        size.append(b - a)
     begin, size = np.concatenate(begin), np.concatenate(size)
     return covered(len(block.data), begin, size), covered(len(block.data), begin, size - depth + 1)
 
@@ -176,27 +197,32 @@ def _ask_samples(depth: int):
     return ask
 
 
-def _doubtful(block: Block, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, fingerprints and second fingerprints of the suffixes within reach of a tied sample, and whether step 2 left each open."""
-    asked = block.more["doubt"].as_py() or []
-    among = covered(len(block.data), np.array([x["here"] for x in asked], np.int64), np.array([x["n"] for x in asked], np.int64))
+def _doubtful(block: Block, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and fingerprints of the suffixes within reach of a tied sample, and whether step 2 left each open."""
+    among = covered(len(block.data), *(x.to_numpy() for x in listed(block, "doubt", "here", "n")))
     if not among.any():
-        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.uint32), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, bool)
     starts, fps = fingerprints(block.data, block.off, depth, among)
-    # 24 of the bytes themselves, mixed apart
-    eight, tail = np.ndarray((max(0, len(block.data) - 7),), "<u8", block.data.tobytes(), 0, (1,)), np.zeros(len(starts), U64)
+    return starts, fps, ~resolved(block, "passages", depth)[1][starts]
+
+
+def second(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """A second fingerprint, of 32 bits, from 24 of a string's bytes."""
+    eight, out = np.ndarray((max(0, len(data) - 7),), "<u8", data.tobytes(), 0, (1,)), np.zeros(len(starts), U64)
     for k in (depth - 8, depth // 2, 0):
-        tail = mix(tail * U64(3) + eight[starts + k])
-    return starts, fps, (tail >> U64(32)).astype(np.uint32), ~resolved(block, "passages", depth)[1][starts]
+        out *= U64(0x9E3779B97F4A7C15)
+        out ^= out >> U64(29)
+        out += eight[starts + k]
+    return (mix(out) >> U64(32)).astype(np.uint32)
 
 
 def _emit_suffixes(depth: int):
     def emit(block: Block) -> Iterator[tuple[np.ndarray, dict]]:
-        starts, fps, check, still = _doubtful(block, depth)
+        starts, fps, still = _doubtful(block, depth)
         distinct, first, _ = first_of(fps)
         need = np.zeros(len(distinct), np.uint8)
         need[np.searchsorted(distinct, fps[still])] = 1
-        yield distinct, {"place": starts[first].astype(np.uint32), "check": check[first], "need": need}
+        yield distinct, {"place": starts[first].astype(np.uint32), "check": second(block.data, starts[first], depth), "need": need}
 
     return emit
 
@@ -204,7 +230,7 @@ def _emit_suffixes(depth: int):
 def _ask_suffixes(depth: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in opened(batches):
-            starts, fps, _, still = _doubtful(block, depth)
+            starts, fps, still = _doubtful(block, depth)
             has, source, place = tied(block, starts, fps)
             has &= still
             yield wanted(block.number, starts[has], source[has], place[has], depth, depth - 1)

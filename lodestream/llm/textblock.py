@@ -84,9 +84,11 @@ def windows(values: np.ndarray, width: int) -> np.ndarray:
     while have < width and len(out):
         step = min(have, width - have)
         right = out[step:] * U64(0xD6E8FEB86659FD93)
-        right += U64(step)
-        right ^= out[: len(out) - step]
-        out, have = mix(right), have + step
+        right += out[: len(out) - step]
+        right ^= right >> U64(32)
+        right *= U64(0x9E3779B97F4A7C15)
+        right ^= right >> U64(29)
+        out, have = right, have + step
     return out[: max(0, len(values) - width + 1)]
 
 
@@ -170,9 +172,8 @@ def within(places: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
 
 def covered(n: int, start: np.ndarray, length: int | np.ndarray) -> np.ndarray:
     """Which of n places lie in some [start, start + length)."""
-    d = np.zeros(n + 1, np.int32)
-    np.add.at(d, start, 1)
-    np.add.at(d, start + length, -1)
+    d = np.bincount(start, minlength=n + 1)
+    d -= np.bincount(start + length, minlength=n + 1)
     return np.cumsum(d[:-1]) > 0
 
 
