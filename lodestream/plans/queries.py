@@ -686,9 +686,9 @@ def resize_geometry(spark, d):
 
 
 @query("""SELECT event_id, CAST(i AS INT) AS frame, CAST(round(least(value / 7 + i * CASE WHEN k > 1 THEN greatest(k / 8.0 - 1 / 8.0, 0) / (k - 1) ELSE 0 END, value) * 1000) AS BIGINT) AS ms
-FROM (SELECT event_id, value, CASE WHEN 16 / 8.0 > value THEN greatest(1, CAST(floor(value * 8.0) AS INT)) ELSE 16 END AS k FROM events WHERE event_id % 20 = 0), range(16) r(i) WHERE i < k""")
+FROM (SELECT event_id, value, CASE WHEN 16 / 8.0 > value THEN greatest(1, CAST(floor(value * 8.0) AS INT)) ELSE 16 END AS k FROM events), range(16) r(i) WHERE i < k""")
 def frame_grid(spark, d):
-    df = read(spark, d, "events").where("event_id % 20 = 0").withColumn("k", media.frame_count(F.col("value"), F.lit(8.0), 16))
+    df = read(spark, d, "events").withColumn("k", media.frame_count(F.col("value"), F.lit(8.0), 16))
     times = media.frame_times(F.col("value") / 7, F.lit(8.0), F.col("k"), F.col("value"))
     return df.select("event_id", F.posexplode(times).alias("frame", "t")).select("event_id", "frame", F.round(F.col("t") * 1000).cast("long").alias("ms"))
 
@@ -701,9 +701,9 @@ def crop_interval(spark, d):
     return read(spark, d, "part").select("p_partkey", F.round(c["start"] * 1000).cast("long").alias("start_ms"), F.round(c["end"] * 1000).cast("long").alias("end_ms"))
 
 
-@query("SELECT vec_id, CAST(i - 1 AS INT) AS place, CAST(round(1000 * CASE WHEN i <= len(embedding) THEN embedding[CAST(i AS INT)]::DOUBLE ELSE 0 END) AS BIGINT) AS x FROM embeddings, range(1, 71) r(i) WHERE vec_id % 10 = 0")
+@query("SELECT vec_id, CAST(i - 1 AS INT) AS place, CAST(round(1000 * CASE WHEN i <= len(embedding) THEN embedding[CAST(i AS INT)]::DOUBLE ELSE 0 END) AS BIGINT) AS x FROM embeddings, range(1, 71) r(i)")
 def pad_or_trim(spark, d):
-    df = read(spark, d, "embeddings").where("vec_id % 10 = 0")
+    df = read(spark, d, "embeddings")
     padded = media.pad_or_trim(F.col("embedding"), 70)
     return df.select("vec_id", F.posexplode(padded).alias("place", "v")).select("vec_id", "place", F.round(F.col("v").cast("double") * 1000).cast("long").alias("x"))
 
@@ -729,12 +729,12 @@ def audio_mono(spark, d):
     return read(spark, d, "embeddings").select("vec_id", F.round(m[0] * 1000).cast("long").alias("first"), media.is_silent(F.col("embedding"), 0.2).alias("silent"))
 
 
-@query("SELECT vec_id, CAST(i AS INT) AS token, CAST(round(1000 * CASE WHEN i <= 2 AND i < 4 THEN embedding[CAST(i * 16 + 1 AS INT)]::DOUBLE ELSE 0 END) AS BIGINT) AS x FROM embeddings, range(6) r(i) WHERE vec_id % 5 = 0")
+@query("SELECT vec_id, CAST(i AS INT) AS token, CAST(round(1000 * CASE WHEN i <= 2 AND i < 4 THEN embedding[CAST(i * 16 + 1 AS INT)]::DOUBLE ELSE 0 END) AS BIGINT) AS x FROM embeddings, range(6) r(i)")
 def pad_tokens(spark, d):
     e = F.transform("embedding", lambda x: x.cast("double"))
     tokens = F.array(*[F.slice(e, i * 16 + 1, 16) for i in range(4)])
     padded = media.pad_tokens(tokens, F.lit(2), 6, 16)
-    df = read(spark, d, "embeddings").where("vec_id % 5 = 0").select("vec_id", F.posexplode(padded).alias("token", "v"))
+    df = read(spark, d, "embeddings").select("vec_id", F.posexplode(padded).alias("token", "v"))
     return df.select("vec_id", "token", F.round(F.col("v")[0] * 1000).cast("long").alias("x"))
 
 
@@ -751,7 +751,7 @@ def sample_latent(spark, d):
 
 @query(f"""SELECT DISTINCT o_orderkey AS data_id, c_name AS data_url, n_name AS caption, r_name AS audio_caption, p_name AS embedding, s_name AS other FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
 JOIN region ON r_regionkey = n_regionkey JOIN part ON CAST(split_part('part.' || CAST(p_partkey AS VARCHAR), '.', 2) AS BIGINT) = l_partkey JOIN supplier ON CAST(split_part('supp.' || CAST(s_suppkey AS VARCHAR), '.', 2) AS BIGINT) = l_suppkey
-ORDER BY {order_sql(11, 'data_id', 'embedding', 'other')} LIMIT 1000""")
+ORDER BY {order_sql(11, 'data_id', 'embedding', 'other')}""")
 def audio_captions_shape(spark, d):
     t = lambda n: read(spark, d, n)
     stem = lambda prefix, c: F.get(F.split(F.concat(F.lit(f"{prefix}."), F.col(c).cast("string")), "[.]"), F.lit(1)).cast("long")
@@ -759,7 +759,7 @@ def audio_captions_shape(spark, d):
     df = df.join(t("region"), F.col("r_regionkey") == F.col("n_regionkey")).join(t("part"), stem("part", "p_partkey") == F.col("l_partkey")).join(t("supplier"), stem("supp", "s_suppkey") == F.col("l_suppkey"))
     named = {"o_orderkey": "data_id", "c_name": "data_url", "n_name": "caption", "r_name": "audio_caption", "p_name": "embedding", "s_name": "other"}
     df = df.select(*[F.col(a).alias(b) for a, b in named.items()]).distinct()
-    return ordering.first_rows(df, 1000, 11, "data_id", "embedding", "other")
+    return ordering.shuffled(df, 11, "data_id", "embedding", "other")
 
 
 @query("""WITH best AS (SELECT l_orderkey, l_partkey, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey, l_suppkey, l_linenumber, l_extendedprice) <= 1),
@@ -808,18 +808,18 @@ def _streamed(spark, d, name, run, mode="append"):
     return spark.read.schema(made.schema).parquet(f"{base}/out")
 
 
-@query("SELECT CAST(count(DISTINCT user_id) AS BIGINT) AS n_users FROM events")
+@query("SELECT user_id, CAST(1 AS BIGINT) AS n_kept FROM events GROUP BY user_id")
 def stream_dedup(spark, d):
     from ..streaming import state
 
     out = _streamed(spark, d, "events", lambda s: state.dedup_stream(s.select("user_id", "ts"), ["user_id"], "ts", "40 days"))
-    return out.agg(F.countDistinct("user_id").alias("n_users"))
+    return out.groupBy("user_id").agg(F.count("*").alias("n_kept"))
 
 
-@query("""SELECT user_id, doc_id AS evicted FROM (SELECT a.user_id, a.event_id AS doc_id FROM (SELECT user_id, event_id, CAST(value AS BIGINT) AS size, sum(CAST(value AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS usage FROM events WHERE user_id < 20) a
-JOIN (SELECT user_id, sum(CAST(value AS BIGINT)) AS total FROM events WHERE user_id < 20 GROUP BY 1) t ON a.user_id = t.user_id WHERE t.total > a.usage - a.size + 200)""".replace("CAST(value AS BIGINT)", "CAST(floor(value) AS BIGINT)"))
+@query("""SELECT user_id, doc_id AS evicted FROM (SELECT a.user_id, a.event_id AS doc_id FROM (SELECT user_id, event_id, CAST(value AS BIGINT) AS size, sum(CAST(value AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS usage FROM events) a
+JOIN (SELECT user_id, sum(CAST(value AS BIGINT)) AS total FROM events GROUP BY 1) t ON a.user_id = t.user_id WHERE t.total > a.usage - a.size + 200)""".replace("CAST(value AS BIGINT)", "CAST(floor(value) AS BIGINT)"))
 def stateful_cache_stream(spark, d):
     from ..streaming import state
 
-    rows = lambda s: s.where("user_id < 20").select("user_id", "event_id", F.floor("value").alias("size"))
+    rows = lambda s: s.select("user_id", "event_id", F.floor("value").alias("size"))
     return _streamed(spark, d, "events", lambda s: state.cache_stream(rows(s), "user_id", "event_id", "event_id", "size", 200)).select("user_id", "evicted")

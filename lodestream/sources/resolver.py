@@ -17,13 +17,13 @@ from ..functions import paths
 
 LIST_FILE = "split_file_paths.txt"
 FORMATS = ("csv", "json", "parquet")
-#: Extensions of each kind of sample; the latent kinds share one set.
-_LATENT = (".pkl", ".npy", ".npz", ".pt", ".safetensors")
+#: Extensions of each kind of sample; the latent kinds share one set.
+_LATENT = (".pkl", ".pt", ".ckpt", ".npy", ".npz", ".h5", ".hdf5", ".safetensors")
 EXTENSIONS = {
     "IMAGE": (".jpg", ".jpeg", ".png", ".webp", ".bmp", ".gif", ".tiff"),
-    "VIDEO": (".mp4", ".avi", ".mov", ".mkv", ".webm", ".m4v"),
+    "VIDEO": (".mp4", ".avi", ".mov", ".mkv", ".webm", ".m4v", ".mpg", ".mpeg", ".wmv", ".flv", ".3gp", ".3g2"),
     "AUDIO": (".wav", ".mp3", ".flac", ".ogg", ".m4a", ".aac"),
-    "TEXT": (".txt",),
+    "TEXT": (".txt", ".json", ".csv", ".xml", ".md", ".html", ".pdf", ".docx", ".rtf"),
 } | dict.fromkeys(("IMAGE_LATENT", "VIDEO_LATENT", "AUDIO_LATENT", "TEXT_LATENT"), _LATENT)
 
 
