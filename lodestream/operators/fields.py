@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from pathlib import Path
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -172,12 +174,23 @@ def identity(df: DataFrame) -> DataFrame:
 
 
 def load_files(df: DataFrame, column: str, output: str, text: bool = False) -> DataFrame:
-    """Contents of the files that a column names, as bytes or text: one distributed read joined by path."""
-    spark = df.sparkSession
-    folders = [r[0] for r in df.select(F.regexp_replace(F.col(f"`{column}`"), "[^/]*$", "")).distinct().collect()]
-    if not folders:
-        return df.withColumn(output, F.lit(None).cast("string" if text else "binary"))
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    content = F.col("content").cast("string") if text else F.col("content")
-    files = spark.read.format("binaryFile").load(folders).select(plain(F.col("path")).alias("_path"), content.alias(output))
-    return df.join(files, plain(F.col(f"`{column}`")) == F.col("_path"), "left").drop("_path")
+    """Contents of the files that a column names, as bytes or text; null where there is no such file.
+
+    Each row's file is fetched by the task that holds the row, so only named files are read and no
+    list of paths reaches the driver. Paths are local ones or file: URLs on a file system that all
+    executors share; a row's file must fit its worker's memory.
+    """
+    kind = "string" if text else "binary"
+
+    @F.pandas_udf(kind)
+    def contents(paths: pd.Series) -> pd.Series:
+        def one(path: str | None) -> str | bytes | None:
+            try:
+                data = Path("/" + path.split(":", 1)[1].lstrip("/") if path.startswith("file:") else path).read_bytes() if path else None
+            except FileNotFoundError:
+                return None
+            return data.decode("utf-8", "replace") if text and data is not None else data
+
+        return paths.map(one)
+
+    return df.withColumn(output, contents(F.col(f"`{column}`")))

@@ -8,10 +8,14 @@ single task but one row per file.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 POS = "_pos"
+#: Files that a scan names one by one; a scan of more reads the table and places all rows.
+NAMED_FILES = 4096
 
 
 def file_counts(df: DataFrame) -> DataFrame:
@@ -45,6 +49,32 @@ def take_positions(df: DataFrame, wanted: DataFrame, position: str = POS) -> Dat
     return df.join(wanted.select(F.col(position)), position)
 
 
+def _of_files(df: DataFrame, spans: DataFrame, position: str) -> DataFrame:
+    """The rows of the given files (file, start) with their positions. Spark drops the other files from the scan by the filter on the path."""
+    few = spans.select("file", "start").limit(NAMED_FILES + 1).collect()
+    if len(few) > NAMED_FILES:
+        return with_position(df, position)
+    path = F.col("_metadata.file_path")
+    starts = df.sparkSession.createDataFrame(few, "_file string, _start long")
+    placed = df.where(path.isin([r.file for r in few])).select("*", path.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    placed = placed.join(F.broadcast(starts), "_file")  # at most NAMED_FILES rows
+    return placed.withColumn(position, F.col("_start") + F.col("_row")).drop("_file", "_start", "_row")
+
+
+def scan_slice(df: DataFrame, start: int, end: int, step: int = 1, position: str = POS) -> DataFrame:
+    """Rows at start, start + step, ... before end of a table read from files, with their position. Only files that the slice touches are read."""
+    spans = offsets(file_counts(df)).where((F.col("start") < end) & (F.col("start") + F.col("n") > start))
+    return slice_scan(_of_files(df, spans, position), start, end, step, position)
+
+
+def scan_rows(df: DataFrame, wanted: Sequence[int], position: str = POS) -> DataFrame:
+    """Rows at the wanted positions of a table read from files, each once. Only files that hold one are read."""
+    wanted = sorted({int(p) for p in wanted})
+    asked = F.array(*[F.lit(p) for p in wanted]).cast("array<bigint>")
+    spans = offsets(file_counts(df)).where(F.exists(asked, lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("n"))))
+    return _of_files(df, spans, position).where(F.col(position).isin(wanted))
+
+
 def rank_bounds(n: int, rank: int, ranks: int, nodes: int = 1, interleaved: bool = False, within_node: bool = False, tail: str = "drop") -> tuple[int, int, int]:
     """(start, end, step) of one consumer. `within_node`: every node has an index of its own. tail: "drop" leaves n % ranks rows unread, "balance" gives them to the first consumers."""
     if within_node:

@@ -10,9 +10,9 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import path_key
 from ..functions.scalars import parse_bytes
@@ -37,16 +37,21 @@ def run_sql(df: DataFrame, sql: str) -> DataFrame:
 
 
 def run_sql_per_chunk(df: DataFrame, sql: str, chunk: int, schema: str, order: str = position.POS) -> DataFrame:
-    """A query whose limits, orders and aggregates hold inside each chunk of `chunk` positions. Every chunk is one bounded group, queried by DuckDB."""
+    """A query whose limits, orders and aggregates hold inside each chunk of `chunk` positions.
 
-    def query(dataframe: pd.DataFrame) -> pd.DataFrame:
-        import duckdb
-
-        with duckdb.connect() as db:
-            db.register("dataframe", dataframe.sort_values(order).drop(columns="_chunk"))
-            return db.execute(sql).df()
-
-    return df.withColumn("_chunk", F.floor(F.col(order) / chunk)).groupBy("_chunk").applyInPandas(query, schema)
+    The query becomes a lateral subquery of the chunks, which Spark turns into windows and groups
+    partitioned by chunk. A limit without an order takes any rows of the chunk. The result is cast
+    to the schema.
+    """
+    view = f"index_{uuid.uuid4().hex}"
+    df.withColumn("_chunk", F.floor(F.col(order) / chunk)).createOrReplaceTempView(view)
+    columns = ", ".join(f"`{c}`" for c in df.columns)
+    rows = f"(SELECT {columns} FROM {view} WHERE _chunk = _chunks._chunk)"
+    try:
+        out = df.sparkSession.sql(f"SELECT _rows.* FROM (SELECT DISTINCT _chunk FROM {view}) AS _chunks, LATERAL ({to_spark(sql, rows)}) AS _rows")
+    finally:
+        df.sparkSession.catalog.dropTempView(view)
+    return out.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in T.StructType.fromDDL(schema)])
 
 
 def process_index(df: DataFrame, sql: str | None = None, shuffle_seed: int | None = None, keys: Sequence[str] = (), max_size: int | None = None, columns: Sequence[str] | None = None) -> DataFrame:
@@ -97,6 +102,7 @@ class StreamingSource:
     epoch: int = 0
     sample_in_epoch: int = 0
     _index: DataFrame | None = field(default=None, repr=False)
+    _stored: DataFrame | None = field(default=None, repr=False)
 
     def __post_init__(self):
         if self.data_type is not None:
@@ -126,21 +132,27 @@ class StreamingSource:
             else:
                 df = process_index(df, self.sql, None, [self.key], self.max_size, self.columns_to_keep)
             # written in key order: positions follow the key and stay as they are for every later job
-            self._index = position.with_position(materialize(df.orderBy(F.col(f"`{self.key}`")), "index"))
+            self._stored = materialize(df.orderBy(F.col(f"`{self.key}`")), "index")
+            self._index = position.with_position(self._stored)
         return self._index
 
+    @property
+    def stored(self) -> DataFrame:
+        """The index as it was written, for scans of a part of it."""
+        _ = self.index
+        return self._stored
+
     def __len__(self) -> int:
         return self.index.count()
 
     def order(self, rank: int = 0, ranks: int = 1, epoch: int | None = None, tail: str = "drop") -> DataFrame:
         """This consumer's rows with their `place` in the epoch. Unaligned consumers each see everything in an order of their own."""
         epoch = self.epoch if epoch is None else epoch
-        mine = self.index
         if not self.unaligned:
             start, end, step = position.rank_bounds(len(self), rank, ranks, tail=tail)
-            mine = position.slice_scan(mine, start, end, step).withColumn("_local", F.col(position.POS) - start)
+            mine = position.scan_slice(self.stored, start, end, step).withColumn("_local", F.col(position.POS) - start)
         else:
-            mine = mine.withColumn("_local", F.col(position.POS))
+            mine = self.index.withColumn("_local", F.col(position.POS))
         return ordering.epoch_order(mine, self.shuffle_seed, epoch, rank, "_local").drop("_local")
 
     def plan(self, rank: int = 0, ranks: int = 1) -> DataFrame:
@@ -191,8 +203,7 @@ class StreamingSource:
             if not left:
                 break
             asked = {i: wanted[i] if attempt == 0 else int(hashlib.md5(f"{seed}-{attempt}-{wanted[i]}".encode()).hexdigest()[:8], 16) % n for i in left}
-            table = self.spark.createDataFrame([(p,) for p in set(asked.values())], f"{position.POS} long")
-            df = position.take_positions(self.index, table)
+            df = position.scan_rows(self.stored, list(asked.values()))
             df = chain(df, self.before_fetch).withColumn(SAMPLE_KEY, F.col(f"`{self.key}`"))
             if self.fetch_columns:
                 df = self._fetched(df)

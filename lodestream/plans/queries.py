@@ -85,18 +85,17 @@ _LINES = "(SELECT *, row_number() OVER () - 1 AS pos FROM lineitem)"
 
 @query(f"SELECT pos, l_orderkey, l_quantity FROM {_LINES} WHERE pos >= 1000 AND pos < 3000")
 def parquet_slice(spark, d):
-    return position.slice_scan(positioned(spark, d, "lineitem"), 1000, 3000).select(F.col("_pos").alias("pos"), "l_orderkey", "l_quantity")
+    return position.scan_slice(read(spark, d, "lineitem"), 1000, 3000).select(F.col("_pos").alias("pos"), "l_orderkey", "l_quantity")
 
 
 @query(f"SELECT pos, l_orderkey, l_quantity FROM {_LINES} WHERE pos >= 17 AND pos < 5000 AND (pos - 17) % 7 = 0")
 def parquet_slice_step(spark, d):
-    return position.slice_scan(positioned(spark, d, "lineitem"), 17, 5000, 7).select(F.col("_pos").alias("pos"), "l_orderkey", "l_quantity")
+    return position.scan_slice(read(spark, d, "lineitem"), 17, 5000, 7).select(F.col("_pos").alias("pos"), "l_orderkey", "l_quantity")
 
 
 @query(f"SELECT pos, l_orderkey FROM {_LINES} WHERE pos IN (0, 5, 99, 1234, 5999)")
 def random_access(spark, d):
-    wanted = spark.createDataFrame([(p,) for p in (0, 5, 99, 1234, 5999)], "_pos long")
-    return position.take_positions(positioned(spark, d, "lineitem"), wanted).select(F.col("_pos").alias("pos"), "l_orderkey")
+    return position.scan_rows(read(spark, d, "lineitem"), (0, 5, 99, 1234, 5999)).select(F.col("_pos").alias("pos"), "l_orderkey")
 
 
 _ORDERS = "(SELECT *, row_number() OVER () - 1 AS pos, (SELECT count(*) FROM orders) AS n FROM orders)"
@@ -118,9 +117,9 @@ def rank_slices_interleaved(spark, d):
 
 @query(f"SELECT pos, o_orderkey FROM {_ORDERS} WHERE pos >= 3 * (n // 8) + least(3, n % 8) AND pos < 4 * (n // 8) + least(4, n % 8)")
 def partition_scan_balanced(spark, d):
-    df = positioned(spark, d, "orders")
+    df = read(spark, d, "orders")
     start, end, step = position.rank_bounds(df.count(), 3, 8, tail="balance")
-    return position.slice_scan(df, start, end, step).select(F.col("_pos").alias("pos"), "o_orderkey")
+    return position.scan_slice(df, start, end, step).select(F.col("_pos").alias("pos"), "o_orderkey")
 
 
 @query("""WITH c AS (SELECT c_nationkey AS key, count(*) AS n FROM customer GROUP BY 1),
