@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def center_crop(width: Column, height: Column, aspect: Column | float) -> Column:
@@ -74,11 +77,22 @@ def pad_tokens(tokens: Column, end: Column, n: int, width: int) -> Column:
     return F.concat(kept, F.array_repeat(zero, F.greatest(F.lit(n) - F.size(tokens), F.lit(0))))
 
 
-def loudest_window(samples: Column, window: int) -> Column:
-    """0-based start of the window with the largest mean absolute value; the first of equal ones. Every start counts, 0 too."""
-    starts = F.sequence(F.lit(0), F.size(samples) - window)
-    sums = F.transform(starts, lambda s: F.aggregate(F.slice(samples, s + 1, F.lit(window)), F.lit(0.0), lambda a, x: a + F.abs(x)))
-    return F.when(F.size(samples) >= window, (F.array_position(sums, F.array_max(sums)) - 1).cast("int"))
+@F.pandas_udf(T.IntegerType())
+def _loudest(samples: pd.Series, windows: pd.Series) -> pd.Series:
+    def one(values: np.ndarray | None, window: int) -> int | None:
+        if values is not None and len(values) and isinstance(values[0], np.ndarray):
+            values = np.abs(np.stack(values)).mean(axis=0)
+        if values is None or len(values) < window or window < 1:
+            return None
+        sums = np.concatenate([[0.0], np.cumsum(np.abs(np.asarray(values, float)))])
+        return int(np.argmax(sums[window:] - sums[:-window]))
+
+    return pd.Series([one(v, w) for v, w in zip(samples, windows, strict=True)], dtype="Int32")
+
+
+def loudest_window(samples: Column, window: int | Column) -> Column:
+    """0-based start of the window with the largest mean absolute value, of one channel or of an array of them; the first of equal ones. Every start counts, 0 too. Prefix sums, which built-in array functions cannot do in linear time."""
+    return _loudest(samples, (window if isinstance(window, Column) else F.lit(window)).cast("int"))
 
 
 def is_silent(samples: Column, threshold: float) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from pathlib import Path
 from typing import Any
 
@@ -127,8 +127,12 @@ def merge_struct(df: DataFrame, source: str, on_conflict: str = "error", cleanup
     return df.select(*base, *[F.col(f"`{source}`")[n].alias(n) for n in take])
 
 
-def encode_classes(df: DataFrame, source: str, output: str, classes: Sequence[str] | DataFrame, strict: bool = True) -> DataFrame:
-    """Class names to ids: a short list inline, a table (name, id) by join, which Spark broadcasts only while it is small."""
+def encode_classes(df: DataFrame, source: str, output: str, classes: Sequence[str] | DataFrame | Callable[[Column], Column], strict: bool = True) -> DataFrame:
+    """Class names to ids: a short list inline, a table (name, id) by join, which Spark broadcasts only while it is small, or a function from column to column (a built-in expression or a pandas UDF)."""
+    if callable(classes):
+        found = classes(F.col(f"`{source}`"))
+        unknown = F.raise_error(F.concat(F.lit("unknown class "), F.col(f"`{source}`").cast("string")))
+        return df.withColumn(output, F.coalesce(found, unknown) if strict else found)
     if not isinstance(classes, DataFrame):
         return df.withColumn(output, values.encode(F.col(f"`{source}`"), classes, strict))
     table = classes.select(F.col("name").alias("_name"), F.col("id").alias(output))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import path_key
-from ..functions.scalars import parse_bytes
+from ..functions.scalars import parse_bytes, worker_budget
 from ..operators import fields, ordering, position
 from ..operators.cache import eviction, fetch, fetch_plan
 from ..operators.transforms import Transform, chain
@@ -182,9 +182,10 @@ class StreamingSource:
             df = df.withColumn(c, F.col(f"_at_{c}")).drop(f"_at_{c}")
         return df
 
-    def resident(self, rank: int = 0, ranks: int = 1) -> DataFrame:
-        """Which samples a cache of the limit's size holds, sample by sample."""
-        return eviction(self.samples(rank, ranks), "place", DISK_USAGE, self.cache_limit)
+    def resident(self, rank: int = 0, ranks: int = 1, nodes: int | None = None) -> DataFrame:
+        """Which samples a cache of the limit's size holds, sample by sample. With `nodes`, the limit is a node's and each of its consumers has an equal share."""
+        limit = self.cache_limit if nodes is None else worker_budget(self.cache_limit, ranks, nodes)
+        return eviction(self.samples(rank, ranks), "place", DISK_USAGE, limit)
 
     def iterate(self, rank: int = 0, ranks: int = 1, epochs: int | None = 1) -> Iterator[Row]:
         """Rows in order, one partition at a time on the driver, advancing the progress; endless with epochs None."""

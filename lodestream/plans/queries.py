@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import media, paths, values
-from ..functions.scalars import mixed_seed
-from ..operators import cache, fields, mixing, ordering, position, splits, transforms
-from ..sources import resolver
+from ..functions import decode, media, paths, values
+from ..functions.scalars import mixed_seed, normalize_ratios, parse_bytes, ratios_to_counts
+from ..operators import cache, fields, mixing, nearest, ordering, position, splits, transforms
+from ..sources import resolver, sinks
+from ..sources.shared import shared_dir
 from . import index
 from .dialect import to_spark
 
@@ -392,12 +395,8 @@ def params_cross_join(spark, d):
 ORDER BY abs(epoch_us(p.ts) - epoch_us(e.ts)), p.event_id LIMIT 1) AS nearest FROM events e WHERE e.event_type = 'click'""")
 def nearest_in_tolerance(spark, d):
     events = read(spark, d, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    width = 3_600_000_000
-    left = events.where("event_type = 'click'").withColumn("cell", F.explode(F.array(*[F.floor(F.col("t") / width) + i for i in (-1, 0, 1)])))
-    right = events.where("event_type = 'purchase'").select("user_id", F.floor(F.col("t") / width).alias("cell"), F.col("event_id").alias("other"), F.col("t").alias("u"))
-    near = left.join(right, ["user_id", "cell"]).where(F.abs(F.col("t") - F.col("u")) <= width)
-    best = near.groupBy("event_id").agg(F.min_by("other", F.struct(F.abs(F.col("t") - F.col("u")), "other")).alias("nearest"))
-    return events.where("event_type = 'click'").select("event_id").join(best, "event_id", "left")
+    clicks, purchases = events.where("event_type = 'click'"), events.where("event_type = 'purchase'")
+    return nearest.nearest_join(clicks, purchases, ["user_id"], "t", "t", 3_600_000_000, "event_id", "event_id").select("event_id", "nearest")
 
 
 # --- aggregates, windows, sets ------------------------------------------------------------------
@@ -822,3 +821,102 @@ def stateful_cache_stream(spark, d):
 
     rows = lambda s: s.select("user_id", "event_id", F.floor("value").alias("size"))
     return _streamed(spark, d, "events", lambda s: state.cache_stream(rows(s), "user_id", "event_id", "event_id", "size", 200)).select("user_id", "evicted")
+
+
+# --- stored sources, sinks and datasets ---------------------------------------------------------
+
+
+def fresh(spark: SparkSession, label: str) -> str:
+    """A new folder for a query's files."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 3 < 2")
+def source_list_file(spark, d):
+    """Three index files named by a list file; only the first two are asked for."""
+    docs, folder = read(spark, d, "documents").select("doc_id", "lang", "n_chars"), fresh(spark, "listed")
+    for i in range(3):
+        docs.where(F.col("doc_id") % 3 == i).write.parquet(f"{folder}/{i}.parquet")
+    spark.createDataFrame([(f"{folder}/{i}.parquet",) for i in (2, 0, 1)] + [("",)], "path string").coalesce(1).write.text(f"{folder}/split_file_paths.txt")
+    return resolver.resolve(spark, f"{folder}/split_file_paths.txt", max_files=2)
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer")
+def source_wildcard_csv(spark, d):
+    """CSV files in folders below, found by a wildcard, with inferred types."""
+    customers, folder = read(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"), fresh(spark, "csv")
+    for i in range(2):
+        sinks.save_csv(customers.where(F.col("c_custkey") % 2 == i), f"{folder}/part{i}", single=i == 0)
+    return resolver.resolve(spark, f"{folder}/*.csv").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", F.col("c_nationkey").cast("long").alias("c_nationkey"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")
+def source_json_array(spark, d):
+    """A document that is one JSON array of records."""
+    path = f"{fresh(spark, 'json')}.json"
+    read(spark, d, "nation").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("value")).write.text(path)  # 25 rows
+    return resolver.resolve(spark, path).select("n_nationkey", "n_name")
+
+
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders QUALIFY pos >= 900 AND pos < 1300")
+def saved_index_slice(spark, d):
+    """An index saved with its position; the slice is a pushed filter on it."""
+    ranked = position.with_position(index.materialize(read(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey"), "ranked"), "pos")
+    return position.slice_scan(sinks.save_index(ranked, fresh(spark, "index"), position="pos"), 900, 1300, position="pos")
+
+
+@query(f"SELECT c_custkey, row_number() OVER (ORDER BY {order_sql(SEED, 'c_custkey')}) <= least(n // 5, 40) AS validation FROM customer, (SELECT count(*) AS n FROM customer)")
+def saved_validation(spark, d):
+    """Both written parts; a second save without `recompute` leaves them alone."""
+    customers, path = read(spark, d, "customer").select("c_custkey"), fresh(spark, "split")
+    sinks.save_with_validation(customers, path, ["c_custkey"], 0.2, 40, SEED)
+    sinks.save_with_validation(customers.limit(0), path, ["c_custkey"], 0.2, 40, SEED, recompute=False)
+    return spark.read.parquet(path).withColumn("validation", F.lit(False)).unionByName(spark.read.parquet(f"{path}-val").withColumn("validation", F.lit(True)))
+
+
+@query(f"""WITH x AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, count(*) OVER () // 3 AS n FROM orders)
+SELECT o_orderkey, place FROM (SELECT o_orderkey, row_number() OVER (ORDER BY md5(concat_ws('-', '{mixed_seed(SEED, 1, 1)}', CAST(pos - n AS VARCHAR))), pos) - 1 AS place FROM x WHERE pos >= n AND pos < 2 * n)
+WHERE place >= 100""")
+def dataset_resume(spark, d):
+    """The second of three consumers in the second epoch, resumed after 100 samples."""
+    source = index.StreamingSource(spark, f"{d}/orders.parquet", key="o_orderkey", shuffle_seed=SEED, columns_to_keep=["o_orderkey"])
+    source.load_state_dict({"epoch": 1, "sample_in_epoch": 100})
+    return source.plan(1, 3).select("o_orderkey", F.col("place").cast("long").alias("place"))
+
+
+@query("""WITH s AS (SELECT c_mktsegment AS name, count(*) AS n FROM customer GROUP BY 1), r AS (SELECT name, n / sum(n) OVER () AS ratio FROM s)
+SELECT name, round(ratio, 9) AS ratio, CAST(greatest(round_even(ratio / min(ratio) OVER (), 0), 1) AS BIGINT) AS turns FROM r""")
+def segment_ratios(spark, d):
+    """Streams in proportion to the customers of each segment: ratios and turns of one meta-iteration."""
+    sizes = read(spark, d, "customer").groupBy("c_mktsegment").count().orderBy("c_mktsegment").collect()  # five segments
+    ratios = normalize_ratios([r["count"] for r in sizes])
+    rows = [(r.c_mktsegment, round(x, 9), n) for r, x, n in zip(sizes, ratios, ratios_to_counts(ratios), strict=True)]
+    return spark.createDataFrame(rows, "name string, ratio double, turns long")
+
+
+@query("SELECT unit, CAST(amount * 1024 ** power AS BIGINT) AS bytes FROM (VALUES ('2kb', 2, 1), ('1.5MB', 1.5, 2), ('3gb', 3, 3), ('123', 123, 0), ('7b', 7, 0), ('0.25tb', 0.25, 4)) t(unit, amount, power)")
+def byte_sizes(spark, d):
+    return spark.createDataFrame([(u, parse_bytes(u)) for u in ("2kb", "1.5MB", "3gb", "123", "7b", "0.25tb")], "unit string, bytes long")
+
+
+@query("""SELECT vec_id, 8000 AS rate, len(embedding) AS n_samples, CAST(list_sum(list_transform(embedding, lambda x: floor(x::DOUBLE * 1000))) AS BIGINT) AS total FROM embeddings""")
+def decode_wav(spark, d):
+    """Vectors written as the 16-bit samples of WAV files and decoded again."""
+    n = F.size("embedding")
+    word = lambda v: F.lpad(F.hex(v.bitwiseAND(0xFFFF)), 4, "0")
+    swapped = F.transform("embedding", lambda x: F.concat(F.substring(word(F.floor(x.cast("double") * 1000)), 3, 2), F.substring(word(F.floor(x.cast("double") * 1000)), 1, 2)))
+    number = lambda v, size: F.array_join(F.transform(F.sequence(F.lit(size - 1), F.lit(0), F.lit(-1)), lambda i: F.substring(F.lpad(F.hex(v), 2 * size, "0"), 2 * i + 1, F.lit(2))), "")
+    text = lambda s: F.lit(s.encode().hex())
+    header = F.concat(text("RIFF"), number(36 + 2 * n, 4), text("WAVEfmt "), F.lit("10000000" "0100" "0100"), number(F.lit(8000), 4), number(F.lit(16000), 4), F.lit("0200" "1000"), text("data"), number(2 * n, 4))
+    audio = read(spark, d, "embeddings").select("vec_id", decode.decode_audio(F.unhex(F.concat(header, F.array_join(swapped, "")))).alias("a"))
+    total = F.aggregate(F.col("a.channels")[0], F.lit(0.0), lambda s, x: s + F.round(x.cast("double") * 32768))
+    return audio.select("vec_id", "a.rate", F.size(F.col("a.channels")[0]).cast("long").alias("n_samples"), total.cast("long").alias("total"))
+
+
+@query("""SELECT o_orderkey, (SELECT l_linenumber FROM lineitem WHERE l_orderkey = o_orderkey AND abs((l_linenumber - 1) / 4.0::DOUBLE - (o_orderkey % 9 / 4.0::DOUBLE + 0.05::DOUBLE)) <= 0.126::DOUBLE
+ORDER BY abs((l_linenumber - 1) / 4.0::DOUBLE - (o_orderkey % 9 / 4.0::DOUBLE + 0.05::DOUBLE)), l_linenumber LIMIT 1) AS frame FROM orders""")
+def seek_frames(spark, d):
+    """Lines as frames of four a second; every order asks for the frame at one time."""
+    frames = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("clip"), "l_linenumber", nearest.index_time(F.col("l_linenumber") - 1, 4.0).alias("pts"))
+    requests = read(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").alias("clip"), (F.col("o_orderkey") % 9 / 4.0 + 0.05).alias("time"))
+    return nearest.seek_frames(requests, frames, "clip", "o_orderkey", "time", "l_linenumber", "pts", nearest.exact_tolerance(4.0), strict=False).select("o_orderkey", "frame")
