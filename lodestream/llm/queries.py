@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, html_text, jaccard_join, language, quality_model, quality_rules, substring_dedup, suffix_dedup, url_filter
+from .oracle import ORACLE as ORACLE
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,4 +93,3 @@ QUERIES: dict[str, Query] = {
     "op10_url_filter": op10_url_filter,
     "pipeline": pipeline,
 }
-ORACLE: dict[str, str] = {}

@@ -24,9 +24,9 @@ BAR[list(b"|>")] = True
 TAIL = np.zeros(256, bool)
 TAIL[0x80:0xC0] = True  # second and later bytes of a character
 NEWLINE = 10
-#: Ends of a sentence for a line's last character; the longer ones are the last byte of a closing quote or an ellipsis.
+#: Ends of a sentence for a line's last character, of one byte; `ended` adds closing quotes and the ellipsis.
 TERMINAL = np.zeros(256, bool)
-TERMINAL[list(b".!?:;\"')]}\xbb\x9d\xa6")] = True
+TERMINAL[list(b".!?:;\"')]}")] = True
 OTHER = ~LETTERS & ~SPACE & ~TAIL
 #: Phrases that only page furniture has, in lower case.
 BOILERPLATE = (
@@ -138,6 +138,12 @@ def per_text(m: Measured) -> dict[str, np.ndarray]:
     }
 
 
+def ended(data: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether the character before each end closes a sentence: `TERMINAL`, \u00bb, \u201d or \u2026."""
+    last, before, lead = (data[end - i] for i in (1, 2, 3))
+    return TERMINAL[last] | (before == 0xC2) & (last == 0xBB) | (lead == 0xE2) & (before == 0x80) & ((last == 0x9D) | (last == 0xA6))
+
+
 def failing_lines(m: Measured) -> np.ndarray:
     """A code for each line with words: 0 good, 1 navigation, 2 symbols, 3 shouting, 4 fragment, 5 boilerplate, 6 repeated."""
     start, end, n_words = m.line_start, m.line_end, m.line_words
@@ -145,7 +151,7 @@ def failing_lines(m: Measured) -> np.ndarray:
     if not len(start):
         return code
     bars, symbols, stops, shouts, letters, upper = (m.tally(k, start, end) for k in ("bar", "symbol", "stop", "shout", "letters", "upper"))
-    last = m.data[m.words.end[np.searchsorted(m.words.start, end) - 1] - 1]
+    closed = ended(m.data, m.words.end[np.searchsorted(m.words.start, end) - 1])
     code[m.line_again] = 6
     low = LOWER[m.data].tobytes()
     for phrase in BOILERPLATE:
@@ -155,7 +161,7 @@ def failing_lines(m: Measured) -> np.ndarray:
             if i >= 0 and at + len(phrase) <= end[i]:
                 code[i] = 5
             at = low.find(phrase, at + 1)
-    code[(n_words < 4) & ~TERMINAL[last] & (stops == 0)] = 4
+    code[(n_words < 4) & ~closed & (stops == 0)] = 4
     code[(n_words >= 4) & ((upper * 10 > letters * 7) & (letters > 0) | (shouts * 2 > n_words))] = 3
     code[symbols * 5 > n_words] = 2
     code[(bars >= 3) & (bars * 5 > n_words)] = 1
