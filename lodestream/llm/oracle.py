@@ -65,9 +65,25 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 2 * (n_words - n_words_removed) >= n_words AS kept,
 CAST(n_lines_removed AS BIGINT) AS n_lines_removed, CAST(n_words_removed AS BIGINT) AS n_words_removed FROM base"""
 
+FILTER_AUDIT = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part, {WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+label AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+failed AS (SELECT part, coalesce(quality, 0) = 1 AS good, coalesce(toxic, 0) = 1 AS toxic, MAP {{'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text), 'D': regexp_matches(text, '[#$%&*|]'),
+  'E': coalesce(doc.doc_id > min(doc.doc_id) OVER (PARTITION BY text), false)}} AS f FROM doc LEFT JOIN label ON label.doc_id = doc.doc_id),
+each AS (SELECT part, good, toxic, [x for x in ['A', 'B', 'C', 'D', 'E'] if f[x]] AS fails, count(*) AS n FROM failed GROUP BY ALL),
+perm AS (SELECT '' AS o UNION ALL SELECT o || x FROM perm, unnest(['A', 'B', 'C', 'D', 'E']) t(x) WHERE NOT contains(o, x)),
+step AS (SELECT o AS filter_order, s AS step, o[s] AS x, string_split(o[:s - 1], '') AS before FROM perm, range(1, 6) r(s) WHERE length(o) = 5),
+told AS (SELECT part, filter_order, step, x, sum(CASE WHEN NOT list_contains(fails, x) AND NOT list_has_any(fails, before) THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN list_contains(fails, x) AND NOT list_has_any(fails, before) THEN n ELSE 0 END) AS removed, sum(CASE WHEN list_contains(fails, x) AND list_has_any(fails, before) THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN fails = [x] THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN good AND list_contains(fails, x) AND NOT list_has_any(fails, before) THEN n ELSE 0 END) AS good_lost,
+  sum(CASE WHEN toxic AND list_contains(fails, x) AND NOT list_has_any(fails, before) THEN n ELSE 0 END) AS toxic_lost FROM each, step GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM told"""
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op2_suffix_dedup": SUFFIX_DEDUP,
     "op3_jaccard_join": JACCARD_JOIN,
     "op7_quality_rules": QUALITY_RULES,
+    "op13_filter_audit": FILTER_AUDIT,
 }
