@@ -80,10 +80,50 @@ told AS (SELECT part, filter_order, step, x, sum(CASE WHEN NOT list_contains(fai
 SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
 CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM told"""
 
+#: CRC-32 of hexadecimal bytes `h`, by the table of the reflected polynomial.
+_CRC_TABLE = "SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))"
+_CRC = "xor(list_reduce([CAST('0x' || b AS BIGINT) for b in regexp_extract_all({h}, '..')], lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+_HASHED = "CAST('0x' || substr(md5({parts}), 1, 13) AS BIGINT)"
+
+
+def _shards(levels: int) -> str:
+    """A k-d tree of so many levels, each halving the bytes of every node along its widest dimension."""
+    dims = [f"coalesce({_HASHED.format(parts=c)}::DOUBLE, -1)" for c in ("source", "lang")] + ["coalesce(CASE WHEN n_chars >= 0 THEN log2(1 + n_chars) ELSE n_chars END, -1)", "coalesce(doc_id::DOUBLE, -1)"]
+    sql = f"""WITH tab AS MATERIALIZED ({_CRC_TABLE}),
+doc AS (SELECT *, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+crc AS (SELECT doc_id, lang, source, n_chars, size, {_CRC.format(h="h")} AS crc FROM doc, tab),
+copied AS (SELECT *, row_number() OVER (PARTITION BY doc_id, size, crc, source, lang, n_chars) - 1 AS copy FROM crc),
+n0 AS (SELECT doc_id, size, crc, [{", ".join(dims)}] AS c, {_HASHED.format(parts="concat_ws('|', doc_id, size, crc, source, lang, n_chars, doc_id, copy)")} AS tie, 1 AS node FROM copied),
+width AS (SELECT [{", ".join(f"max(c[{i}]) - min(c[{i}])" for i in range(1, 5))}] AS w FROM n0)"""
+    for k in range(levels):
+        ratios = ", ".join(f"CASE WHEN any_value(w)[{i}] > 0 THEN (max(c[{i}]) - min(c[{i}])) / any_value(w)[{i}] ELSE 0 END" for i in range(1, 5))
+        sql += f""",
+d{k} AS (SELECT node, r.dim, r.total FROM (SELECT node, sum(size) AS total, [{ratios}] AS e FROM n{k}, width GROUP BY node), LATERAL (SELECT list_position(e, list_max(e)) AS dim, total) r),
+b{k} AS (SELECT n{k}.*, total, sum(size) OVER (PARTITION BY node ORDER BY c[dim], tie) - size AS before FROM n{k} JOIN d{k} USING (node)),
+n{k + 1} AS (SELECT doc_id, size, crc, c, tie, 2 * node + CASE WHEN 2 * (total // 2 - before) >= size THEN 0 ELSE 1 END AS node FROM b{k})"""
+    return f"""{sql}
+SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'bytes' AS law, CAST(node - {2**levels} AS INTEGER) AS shard, row_number() OVER (PARTITION BY node ORDER BY tie, doc_id, crc, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM n{levels}"""
+
+
+PREFIX_TRIE = f"""
+WITH tab AS MATERIALIZED ({_CRC_TABLE}),
+turn AS (SELECT conv_id AS c, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (SELECT c, list(t ORDER BY pos) AS ts, hex(encode(CAST(c AS VARCHAR))) AS h FROM turn GROUP BY c),
+told AS (SELECT conv.c, conv.ts, {_CRC.format(h="conv.h")} % 9 AS h, coalesce(donor.ts, []) AS theirs FROM conv CROSS JOIN tab LEFT JOIN conv AS donor ON donor.c = conv.c - conv.c % 5),
+again AS (SELECT c, list_concat(theirs[1:h], ts[h + 1:]) AS ts FROM told),
+prefix AS (SELECT c, d, ts[1:d] AS p, d = len(ts) AS ends, octet_length(encode(CASE WHEN d > 0 THEN ts[d].text ELSE '' END)) AS bytes FROM again, LATERAL unnest(range(0, len(ts) + 1)) r(d)),
+node AS (SELECT p, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) * (count(*) - 1) AS own, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM prefix GROUP BY p),
+child AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+below AS (SELECT p[1:d] AS p, sum(own) AS saved_tokens, sum(CASE WHEN n_children IS NULL THEN 1 ELSE 0 END) AS n_leaves FROM node LEFT JOIN child USING (p), LATERAL unnest(range(0, depth + 1)) r(d) GROUP BY 1)
+SELECT node.conv_id, CAST(node.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, node.ends_sha256
+FROM node JOIN below USING (p) LEFT JOIN child USING (p) LEFT JOIN node AS up ON up.p = node.p[1:node.depth - 1] AND node.depth > 0"""
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op2_suffix_dedup": SUFFIX_DEDUP,
     "op3_jaccard_join": JACCARD_JOIN,
     "op7_quality_rules": QUALITY_RULES,
+    "op11_kd_shards": _shards(4),
+    "op12_prefix_trie": PREFIX_TRIE,
     "op13_filter_audit": FILTER_AUDIT,
 }

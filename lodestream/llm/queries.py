@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, filter_audit, html_text, jaccard_join, language, quality_model, quality_rules, substring_dedup, suffix_dedup, url_filter
+from . import bpe, decontaminate, filter_audit, html_text, jaccard_join, kd_shards, language, prefix_trie, quality_model, quality_rules, substring_dedup, suffix_dedup, url_filter
 from .oracle import ORACLE as ORACLE
 from .tables import table
 
@@ -73,6 +73,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.apply(table(spark, sf_dir, "pages"))
 
 
+def op11_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.apply(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.apply(table(spark, sf_dir, "conversations"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -95,6 +103,8 @@ QUERIES: dict[str, Query] = {
     "language_of_pages": language_of_pages,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
+    "op11_kd_shards": op11_kd_shards,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }
