@@ -13,20 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-POS = "_pos"
-#: Files that a scan names one by one; a scan of more reads the table and places all rows.
-NAMED_FILES = 4096
-
-
-def file_counts(df: DataFrame) -> DataFrame:
-    """(file, n) of a table read from files."""
-    return df.select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count("*").alias("n"))
-
-
-def offsets(counts: DataFrame, key: str = "file", n: str = "n") -> DataFrame:
-    """Adds `start`, the rows of all smaller keys. One row per file or chunk goes through the window, never a data row."""
-    before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("start", F.coalesce(F.sum(n).over(before), F.lit(0)).cast("long"))
+from ..sources import rowgroups
+from ..sources.rowgroups import POS, file_counts, offsets
 
 
 def with_position(df: DataFrame, column: str = POS) -> DataFrame:
@@ -49,30 +37,30 @@ def take_positions(df: DataFrame, wanted: DataFrame, position: str = POS) -> Dat
     return df.join(wanted.select(F.col(position)), position)
 
 
-def _of_files(df: DataFrame, spans: DataFrame, position: str) -> DataFrame:
-    """The rows of the given files (file, start) with their positions. Spark drops the other files from the scan by the filter on the path."""
-    few = spans.select("file", "start").limit(NAMED_FILES + 1).collect()
-    if len(few) > NAMED_FILES:
-        return with_position(df, position)
-    path = F.col("_metadata.file_path")
-    starts = df.sparkSession.createDataFrame(few, "_file string, _start long")
-    placed = df.where(path.isin([r.file for r in few])).select("*", path.alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    placed = placed.join(F.broadcast(starts), "_file")  # at most NAMED_FILES rows
-    return placed.withColumn(position, F.col("_start") + F.col("_row")).drop("_file", "_start", "_row")
-
-
 def scan_slice(df: DataFrame, start: int, end: int, step: int = 1, position: str = POS) -> DataFrame:
-    """Rows at start, start + step, ... before end of a table read from files, with their position. Only files that the slice touches are read."""
-    spans = offsets(file_counts(df)).where((F.col("start") < end) & (F.col("start") + F.col("n") > start))
-    return slice_scan(_of_files(df, spans, position), start, end, step, position)
+    """Rows at start, start + step, ... before end of a table read from files, with their position. Only the row groups that the slice touches are read, in any number of files."""
+    if step < 1:
+        raise ValueError("step must be positive")
+    if not rowgroups.readable(df):
+        return slice_scan(with_position(df, position), start, end, step, position)
+    touched = offsets(file_counts(df)).where((F.col("start") < end) & (F.col("start") + F.col("n") > start))
+    tasks = max(1, -(-(end - start) // rowgroups.ROWS_PER_TASK))
+    found = rowgroups.read(rowgroups.slice_pieces(rowgroups.footers(touched, tasks), start, end, step), df.schema, tasks)
+    return found.drop(rowgroups.TAG).withColumnRenamed(POS, position)
 
 
 def scan_rows(df: DataFrame, wanted: Sequence[int], position: str = POS) -> DataFrame:
-    """Rows at the wanted positions of a table read from files, each once. Only files that hold one are read."""
+    """Rows at the wanted positions of a table read from files, each once. Only row groups that hold one are read."""
     wanted = sorted({int(p) for p in wanted})
+    if not rowgroups.readable(df):
+        return with_position(df, position).where(F.col(position).isin(wanted))
     asked = F.array(*[F.lit(p) for p in wanted]).cast("array<bigint>")
-    spans = offsets(file_counts(df)).where(F.exists(asked, lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("n"))))
-    return _of_files(df, spans, position).where(F.col(position).isin(wanted))
+    inside = lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("n"))
+    touched = offsets(file_counts(df)).where(F.exists(asked, inside))
+    groups = rowgroups.footers(touched, min(len(wanted), rowgroups._tasks(df)) or 1).withColumn("_at", F.filter(asked, inside)).where(F.size("_at") > 0)
+    pieces = F.transform("_at", lambda p: rowgroups._piece(p, p + 1)).alias("pieces")
+    found = rowgroups.read(groups.select("file", "grp", "start", pieces), df.schema, min(len(wanted), rowgroups._tasks(df)) or 1)
+    return found.drop(rowgroups.TAG).withColumnRenamed(POS, position)
 
 
 def rank_bounds(n: int, rank: int, ranks: int, nodes: int = 1, interleaved: bool = False, within_node: bool = False, tail: str = "drop") -> tuple[int, int, int]:
@@ -127,10 +115,13 @@ def chunks(n: int, rank: int, ranks: int, chunk: int, tail: str = "drop") -> lis
 
 
 def chunk_table(spark: SparkSession, n: int, ranks: int, chunk: int, seed: int | None = None, epoch: int = 0) -> DataFrame:
-    """(rank, chunk_id, start, end, place): every consumer's chunks in the order in which it reads them."""
+    """(rank, chunk_id, start, end, place): every consumer's chunks in the order in which it reads them. Chunks are equal; what does not fill them is not read."""
     from .ordering import hash_order
 
-    rows = [(r, i, a, b) for r in range(ranks) for i, (a, b) in enumerate(chunks(n, r, ranks, chunk))]
-    df = spark.createDataFrame(rows, "rank long, chunk_id long, start long, end long")
+    each = n // ranks
+    pieces = -(-each // chunk) if each else 0
+    size = each // pieces if pieces else 0
+    df = spark.range(ranks * pieces).select(F.expr(f"id div {max(1, pieces)}").alias("rank"), (F.col("id") % max(1, pieces)).alias("chunk_id"))
+    df = df.withColumn("start", F.col("rank") * each + F.col("chunk_id") * size).withColumn("end", F.col("start") + size)
     order = [F.col("chunk_id")] if seed is None else hash_order(seed, F.lit(epoch), F.col("rank"), F.col("chunk_id"))
     return df.withColumn("place", F.row_number().over(Window.partitionBy("rank").orderBy(*order)) - 1)

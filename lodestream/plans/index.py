@@ -10,16 +10,17 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import path_key
-from ..functions.scalars import parse_bytes, worker_budget
+from ..functions.scalars import mixed_seed, parse_bytes, worker_budget
 from ..operators import fields, ordering, position
 from ..operators.cache import eviction, fetch, fetch_plan
 from ..operators.transforms import Transform, chain
 from ..sources.resolver import data_type, resolve
+from ..sources.rowgroups import TAG, LazyIndex
 from ..sources.shared import materialize
 from .dialect import to_spark
 
@@ -36,22 +37,31 @@ def run_sql(df: DataFrame, sql: str) -> DataFrame:
         df.sparkSession.catalog.dropTempView(view)
 
 
-def run_sql_per_chunk(df: DataFrame, sql: str, chunk: int, schema: str, order: str = position.POS) -> DataFrame:
+def run_sql_per_chunk(df: DataFrame, sql: str, chunk: int, schema: str, order: str = position.POS, n: int | None = None) -> DataFrame:
     """A query whose limits, orders and aggregates hold inside each chunk of `chunk` positions.
 
     The query becomes a lateral subquery of the chunks, which Spark turns into windows and groups
     partitioned by chunk. A limit without an order takes any rows of the chunk. The result is cast
-    to the schema.
+    to the schema. Where the table has n rows with positions 0 to n - 1, the chunks follow from n;
+    otherwise they are the distinct chunks of its rows.
     """
-    view = f"index_{uuid.uuid4().hex}"
-    df.withColumn("_chunk", F.floor(F.col(order) / chunk)).createOrReplaceTempView(view)
-    columns = ", ".join(f"`{c}`" for c in df.columns)
-    rows = f"(SELECT {columns} FROM {view} WHERE _chunk = _chunks._chunk)"
+    chunks = None if n is None else df.sparkSession.range(-(-n // chunk)).withColumnRenamed("id", "_chunk")
+    return sql_by(df.withColumn("_chunk", F.floor(F.col(order) / chunk)), sql, schema, df.columns, chunks).drop("_chunk")
+
+
+def sql_by(df: DataFrame, sql: str, schema: str, columns: Sequence[str], chunks: DataFrame | None = None) -> DataFrame:
+    """(_chunk and the schema's columns): a query run by itself over the rows of each `_chunk`, of which it sees the columns."""
+    view, listed = f"index_{uuid.uuid4().hex}", f"chunks_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(view)
+    (df.select("_chunk").distinct() if chunks is None else chunks).createOrReplaceTempView(listed)
+    names = ", ".join(f"`{c}`" for c in columns)
+    rows = f"(SELECT {names} FROM {view} WHERE _chunk = _chunks._chunk)"
     try:
-        out = df.sparkSession.sql(f"SELECT _rows.* FROM (SELECT DISTINCT _chunk FROM {view}) AS _chunks, LATERAL ({to_spark(sql, rows)}) AS _rows")
+        out = df.sparkSession.sql(f"SELECT _chunks._chunk AS _chunk, _rows.* FROM {listed} AS _chunks, LATERAL ({to_spark(sql, rows)}) AS _rows")
     finally:
         df.sparkSession.catalog.dropTempView(view)
-    return out.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in T.StructType.fromDDL(schema)])
+        df.sparkSession.catalog.dropTempView(listed)
+    return out.select("_chunk", *[F.col(f"`{f.name}`").cast(f.dataType) for f in T.StructType.fromDDL(schema)])
 
 
 def process_index(df: DataFrame, sql: str | None = None, shuffle_seed: int | None = None, keys: Sequence[str] = (), max_size: int | None = None, columns: Sequence[str] | None = None) -> DataFrame:
@@ -75,7 +85,12 @@ def _ordered(sql: str | None) -> bool:
 
 @dataclass
 class StreamingSource:
-    """A dataset over an index source: ordered by seed and epoch, sliced for consumers, fetched, transformed, resumable."""
+    """A dataset over an index source: ordered by seed and epoch, sliced for consumers, fetched, transformed, resumable.
+
+    With `lazy`, a Parquet index is used where it is: no sort, no rewrite, only a map of its row
+    groups. Consumers then read their share in chunks of `chunk_size`, chunks and the rows of each
+    in seeded order, and a query holds per chunk.
+    """
 
     spark: SparkSession
     src: str
@@ -90,6 +105,7 @@ class StreamingSource:
     max_size: int | None = None
     columns_to_keep: Sequence[str] | None = None
     max_files: int | None = None
+    lazy: bool = False
     fetch_columns: Sequence[str] = ()
     dst: str | None = None
     allow_missing_columns: bool = False
@@ -103,6 +119,7 @@ class StreamingSource:
     sample_in_epoch: int = 0
     _index: DataFrame | None = field(default=None, repr=False)
     _stored: DataFrame | None = field(default=None, repr=False)
+    _lazy: LazyIndex | None = field(default=None, repr=False)
 
     def __post_init__(self):
         if self.data_type is not None:
@@ -113,6 +130,8 @@ class StreamingSource:
             raise ValueError("sql_scope must be global or chunk")
         if self.sql_scope == "chunk" and (self.chunk_size < 100 or not self.sql_schema):
             raise ValueError("a query per chunk needs a schema and chunks of 100 rows or more")
+        if self.lazy and (self.columns_to_keep is not None or self.sql and self.sql_scope != "chunk"):
+            raise ValueError("a lazy index takes queries per chunk only, and no columns_to_keep")
         if self.shuffle_seed is not None and self.shuffle_seed < -1:
             raise ValueError("shuffle_seed must be -1 (random) or more")
         if self.shuffle_seed == -1:
@@ -124,10 +143,12 @@ class StreamingSource:
     @property
     def index(self) -> DataFrame:
         """The index with a position, after query, limit and pruning."""
+        if self.lazy:
+            return self.lazy_index.slice(0, self.lazy_index.n)
         if self._index is None:
             df = resolve(self.spark, self.src, self.data_type, self.max_files)
             if self.sql and self.sql_scope == "chunk":
-                df = run_sql_per_chunk(position.with_position(df), self.sql, self.chunk_size, self.sql_schema)
+                df = run_sql_per_chunk(position.with_position(df), self.sql, self.chunk_size, self.sql_schema, n=df.count())
                 df = process_index(df, None, None, [self.key], self.max_size, self.columns_to_keep)
             else:
                 df = process_index(df, self.sql, None, [self.key], self.max_size, self.columns_to_keep)
@@ -142,12 +163,44 @@ class StreamingSource:
         _ = self.index
         return self._stored
 
+    @property
+    def lazy_index(self) -> LazyIndex:
+        if self._lazy is None:
+            self._lazy = LazyIndex.of(resolve(self.spark, self.src, self.data_type, self.max_files), self.max_size)
+        return self._lazy
+
     def __len__(self) -> int:
-        return self.index.count()
+        return self.lazy_index.n if self.lazy else self.index.count()
+
+    def chunks(self, rank: int = 0, ranks: int = 1, epoch: int | None = None) -> DataFrame:
+        """(chunk_id, lo, hi, tag) of a consumer's chunks of a lazy index; tag is the place of a chunk's first row in the epoch. Unaligned consumers share all chunks, each in an order of its own."""
+        part, parts = (0, 1) if self.unaligned else (rank, ranks)
+        each = self.lazy_index.n // parts
+        pieces = -(-each // self.chunk_size)
+        size = each // pieces if pieces else 0
+        df = self.spark.range(pieces).withColumnRenamed("id", "chunk_id")
+        order = [F.col("chunk_id")] if self.shuffle_seed is None else ordering.hash_order(mixed_seed(self.shuffle_seed, self.epoch if epoch is None else epoch, rank), F.col("chunk_id"))
+        df = df.withColumn("tag", (F.row_number().over(Window.orderBy(*order)) - 1) * F.lit(size).cast("long"))  # one row per chunk
+        lo = F.lit(part * each) + F.col("chunk_id") * size
+        return df.select("chunk_id", lo.alias("lo"), (lo + size).alias("hi"), "tag")
+
+    def _lazy_order(self, rank: int, ranks: int, epoch: int, after: int) -> DataFrame:
+        """Rows with their place. Chunks that end before `after` are not read."""
+        lazy, seed = self.lazy_index, self.shuffle_seed
+        chunks = self.chunks(rank, ranks, epoch)
+        rows = lazy.chunks(chunks.where(F.col("tag") + F.col("hi") - F.col("lo") > after)).withColumnRenamed(TAG, "_chunk")
+        by = position.POS
+        if self.sql:
+            rows, by = sql_by(rows, self.sql, self.sql_schema, lazy.df.columns), self.key
+        order = [F.col(f"`{by}`")] if seed is None else ordering.hash_order(mixed_seed(seed, epoch, rank), F.col(f"`{by}`"))
+        inside = Window.partitionBy("_chunk").orderBy(*order)  # at most chunk_size rows
+        return rows.withColumn("place", F.col("_chunk") + F.row_number().over(inside) - 1).drop("_chunk")
 
     def order(self, rank: int = 0, ranks: int = 1, epoch: int | None = None, tail: str = "drop") -> DataFrame:
         """This consumer's rows with their `place` in the epoch. Unaligned consumers each see everything in an order of their own."""
         epoch = self.epoch if epoch is None else epoch
+        if self.lazy:
+            return self._lazy_order(rank, ranks, epoch, 0)
         if not self.unaligned:
             start, end, step = position.rank_bounds(len(self), rank, ranks, tail=tail)
             mine = position.scan_slice(self.stored, start, end, step).withColumn("_local", F.col(position.POS) - start)
@@ -157,7 +210,8 @@ class StreamingSource:
 
     def plan(self, rank: int = 0, ranks: int = 1) -> DataFrame:
         """What is left of the epoch after the saved progress, before fetching."""
-        return chain(self.order(rank, ranks).where(F.col("place") >= self.sample_in_epoch), self.before_fetch)
+        order = self._lazy_order(rank, ranks, self.epoch, self.sample_in_epoch) if self.lazy else self.order(rank, ranks)
+        return chain(order.where(F.col("place") >= self.sample_in_epoch), self.before_fetch)
 
     def samples(self, rank: int = 0, ranks: int = 1) -> DataFrame:
         """Samples with their key and type columns, fetched and transformed."""
@@ -204,7 +258,7 @@ class StreamingSource:
             if not left:
                 break
             asked = {i: wanted[i] if attempt == 0 else int(hashlib.md5(f"{seed}-{attempt}-{wanted[i]}".encode()).hexdigest()[:8], 16) % n for i in left}
-            df = position.scan_rows(self.stored, list(asked.values()))
+            df = self.lazy_index.rows(self.spark.createDataFrame([(p,) for p in set(asked.values())], f"{position.POS} long")) if self.lazy else position.scan_rows(self.stored, list(asked.values()))
             df = chain(df, self.before_fetch).withColumn(SAMPLE_KEY, F.col(f"`{self.key}`"))
             if self.fetch_columns:
                 df = self._fetched(df)
