@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, values
+from ..sources.shared import materialize
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -89,28 +90,36 @@ def eviction(df: DataFrame, order: str, size: str, limit: int | None, group: Seq
 
     After each arrival the oldest samples leave until the total is at most the limit, so sample j
     leaves at the first n with C(n) - C(j - 1) > limit, for prefix sums C. C is summed in two
-    levels, per chunk of the order and then over chunks, and the first n is found by merging the
-    arrivals and the departures on one axis, both split by C; None is no limit.
+    levels, per chunk of the order and then over chunks. Arrivals (at C) and departures (at the C
+    that they wait for) are merged on one axis, dealt by range to tasks of about 2 * chunk rows
+    whatever the limit and the sizes, and each departure takes the next arrival: inside its range,
+    or else the first arrival of a later range, the state that is carried over the borders, of one
+    row per range. None is no limit.
     """
     keys = list(group)
     sums = prefix_sums(df.withColumn("_chunk", F.floor(F.col(order) / chunk)), "_chunk", order, size, keys, "usage").drop("_chunk")
+    kind = df.schema[order].dataType
     if limit is None:
-        return sums.withColumn("evicted_at", F.lit(None).cast(df.schema[order].dataType)).withColumn("resident", F.lit(True))
-    # a departure needs the first arrival with usage > (usage before it) + limit
-    arrive = sums.select(*keys, F.col("usage").alias("at"), F.col(order).alias("n"), F.lit(0).alias("kind"), F.lit(None).cast(df.schema[order].dataType).alias("j"))
-    leave = sums.select(*keys, (F.col("usage") - F.col(size) + limit).alias("at"), F.lit(None).cast(df.schema[order].dataType).alias("n"), F.lit(1).alias("kind"), F.col(order).alias("j"))
-    span = max(1, limit)
-    axis = arrive.unionByName(leave).withColumn("_cell", F.floor(F.col("at") / span))
-    inside = Window.partitionBy(*keys, "_cell").orderBy("at", "kind", "n", "j")
-    after = inside.rowsBetween(1, Window.unboundedFollowing)
-    here = axis.withColumn("hit", F.first(F.when(F.col("kind") == 0, F.col("n")), ignorenulls=True).over(after))
-    firsts = axis.where("kind = 0").groupBy(*keys, "_cell").agg(F.min_by("n", F.struct("at", "n")).alias("first"))
-    later = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(1, Window.unboundedFollowing)
-    cells = axis.select(*keys, "_cell").distinct().join(firsts, [*keys, "_cell"], "left").withColumn("next", F.first("first", ignorenulls=True).over(later))
-    found = here.where("kind = 1").join(cells.select(*keys, "_cell", "next"), [*keys, "_cell"]).select(*keys, F.col("j").alias(order), F.coalesce("hit", "next").alias("evicted_at"))
+        return sums.withColumn("evicted_at", F.lit(None).cast(kind)).withColumn("resident", F.lit(True))
+    sums = materialize(sums, "usage")
+    axis = _axis(sums, keys, order, size, limit, max(1, -(-sums.count() // chunk)))
+    inside = Window.partitionBy(*keys, "_range").orderBy("at", "kind", "id").rowsBetween(1, Window.unboundedFollowing)
+    here = axis.withColumn("_hit", F.first(F.when(F.col("kind") == 0, F.col("id")), ignorenulls=True).over(inside)).where("kind = 1")
+    borders = axis.groupBy(*keys, "_range").agg(F.min_by(F.when(F.col("kind") == 0, F.col("id")), F.when(F.col("kind") == 0, F.struct("at", "id"))).alias("_first"))
+    later = Window.partitionBy(*keys).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    borders = borders.select(*keys, "_range", F.first("_first", ignorenulls=True).over(later).alias("_next"))
+    found = here.join(borders, [*keys, "_range"]).select(*keys, F.col("id").alias(order), F.coalesce("_hit", "_next").alias("evicted_at"))
     return sums.join(found, [*keys, order]).withColumn("resident", F.col("evicted_at").isNull())
 
 
+def _axis(sums: DataFrame, keys: Sequence[str], order: str, size: str, limit: int, ranges: int) -> DataFrame:
+    """Arrivals (kind 0) and departures (kind 1) in ranges of about equal numbers. A departure needs the first arrival with usage > (usage before it) + limit."""
+    arrive = sums.select(*keys, F.col("usage").alias("at"), F.lit(0).alias("kind"), F.col(order).alias("id"))
+    leave = sums.select(*keys, (F.col("usage") - F.col(size) + limit).alias("at"), F.lit(1).alias("kind"), F.col(order).alias("id"))
+    dealt = arrive.unionByName(leave).repartitionByRange(ranges, *keys, "at", "kind", "id")
+    return materialize(dealt.withColumn("_range", F.spark_partition_id()), "axis")  # written, so that a range stays what it is
+
+
 def prefix_sums(df: DataFrame, chunk: str, order: str, size: str, group: Sequence[str] = (), output: str = "total") -> DataFrame:
     """Inclusive prefix sums in an order whose chunks are consecutive ranges: per chunk, then over the chunks' sums."""
     keys = list(group)

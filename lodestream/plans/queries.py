@@ -922,4 +922,5 @@ def seek_frames(spark, d):
     return nearest.seek_frames(requests, frames, "clip", "o_orderkey", "time", "l_linenumber", "pts", nearest.exact_tolerance(4.0), strict=False).select("o_orderkey", "frame")
 
 
-from . import lazy_queries as lazy_queries  # noqa: E402  registers its queries
+from . import lazy_queries as lazy_queries  # noqa: E402  these register queries of their own
+from . import state_queries as state_queries  # noqa: E402

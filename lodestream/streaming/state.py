@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -56,6 +58,75 @@ def cache_stream(df: DataFrame, group: str, key: str, order: str, size: str, lim
     return df.groupBy(group).applyInPandasWithState(step, f"{group} {group_kind}, evicted {kind}, evicted_at {order_kind}", f"usage long, held array<struct<key:{kind},size:long>>", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Events of `resident_stream`.
+ADMIT, SKIP, EVICT = "admit", "skip", "evict"
+
+
+def resident_stream(df: DataFrame, group: str, key: str, order: str, size: str, limit: int) -> DataFrame:
+    """Samples admitted to a first-in first-out cache per group, each key once while it is held: (group, key, order, event).
+
+    A key that the cache holds is skipped; a key that was evicted is admitted again. After an
+    admission the oldest leave until the sizes sum to at most the limit, a sample larger than that
+    at once; `order` of an eviction is the arrival that causes it. Rows of a micro-batch are taken in
+    order. State is what is held (a queue by number, and the keys), each entry read and written by
+    itself; it needs Spark's RocksDB state store, see `rocksdb`.
+    """
+    kinds = dict(df.dtypes)
+
+    class Resident(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.ends = handle.getValueState("ends", "head long, tail long, usage long")
+            self.queue = handle.getMapState("queue", "seq long", f"key {kinds[key]}, size long")
+            self.keys = handle.getMapState("keys", f"key {kinds[key]}", "seq long")
+
+        def handleInputRows(self, name: tuple, frames: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+            rows = pd.concat(list(frames)).sort_values([order, key], kind="stable")
+            head, tail, usage = (int(x) for x in self.ends.get()) if self.ends.exists() else (0, 0, 0)
+            before, fresh, gone, out = tail, {}, set(), []
+            held: dict[Any, bool] = {}  # keys of earlier batches that were looked up
+            for k, o, n in zip(rows[key].tolist(), rows[order].tolist(), rows[size].tolist(), strict=True):
+                if k not in held and k not in gone:
+                    held[k] = before > 0 and self.keys.containsKey((k,))
+                if held.get(k):
+                    out.append((k, o, SKIP))
+                    continue
+                fresh[tail] = (k, int(n))
+                held[k], tail, usage = True, tail + 1, usage + int(n)
+                gone.discard(k)
+                out.append((k, o, ADMIT))
+                while head < tail and usage > limit:
+                    old, freed = fresh.pop(head) if head >= before else self.queue.getValue((head,))
+                    if head < before:
+                        self.queue.removeKey((head,))
+                        self.keys.removeKey((old,))
+                    held[old], head, usage = False, head + 1, usage - int(freed)
+                    gone.add(old)
+                    out.append((old, o, EVICT))
+            for seq, (k, n) in fresh.items():
+                self.queue.updateValue((seq,), (k, n))
+                self.keys.updateValue((k,), (seq,))
+            self.ends.update((head, tail, usage))
+            yield pd.DataFrame({group: [name[0]] * len(out), key: [x[0] for x in out], order: [x[1] for x in out], "event": [x[2] for x in out]})
+
+        def close(self) -> None:
+            pass
+
+    schema = f"{group} {kinds[group]}, {key} {kinds[key]}, {order} {kinds[order]}, event string"
+    return df.groupBy(group).transformWithStateInPandas(Resident(), schema, "append", "none")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB, as `resident_stream` needs."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(setting, None)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(setting) if old is None else spark.conf.set(setting, old)
+
+
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a stream over what is there now into Parquet; run again, it goes on where it stopped."""
     df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
