@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..streaming import state
-from .queries import fresh, query, read
+from ..sources.rowgroups import LazyIndex
+from ..streaming import chunks, state
+from .lazy_queries import _chunks_sql
+from .queries import SEED, fresh, query, read
 
 _ARRIVALS = "SELECT l_suppkey AS consumer, l_partkey AS part, l_orderkey * 10 + l_linenumber AS place, CAST(l_quantity AS BIGINT) AS size FROM lineitem"
 _LIMIT = 400
@@ -31,3 +34,29 @@ def resident_dedup_stream(spark, d):
         made = state.resident_stream(state.read_stream(spark, f"{base}/in", lines.schema, max_files=1), "consumer", "part", "place", "size", _LIMIT)
         state.run_available(made, f"{base}/out", f"{base}/checkpoint")
     return spark.read.schema(made.schema).parquet(f"{base}/out")
+
+
+_EPOCH = lambda e: f"SELECT CAST({e} AS BIGINT) AS epoch, tag, o_orderkey, tag // (3 * size) AS batch FROM (WITH {_chunks_sql('orders', 350, 1, 2, e)} SELECT y.*, size FROM y, m)"
+
+
+@query(f"{_EPOCH(0)} UNION ALL {_EPOCH(1)}")
+def chunk_stream_epochs(spark, d):
+    """Two epochs of a consumer's chunks, at most three a micro-batch, stopped after the first batch and restarted from its checkpoint."""
+    base, lazy = fresh(spark, "chunks"), LazyIndex.of(read(spark, d, "orders"))
+
+    def run(available: bool) -> None:
+        rows = chunks.chunk_stream(spark, lazy, 350, 1, 2, SEED, epochs=2, per_trigger=3, checkpoint=f"{base}/checkpoint")
+        written = rows.select(F.col("_epoch").alias("epoch"), F.col("_tag").alias("tag"), "o_orderkey")
+        save = lambda df, i: df.withColumn("no", F.lit(i)).write.mode("overwrite").parquet(f"{base}/out/batch={i}")
+        writer = written.writeStream.foreachBatch(save).option("checkpointLocation", f"{base}/checkpoint")
+        stream = (writer.trigger(availableNow=True) if available else writer).start()
+        try:
+            stream.awaitTermination() if available else stream.processAllAvailable()
+        finally:
+            stream.stop()
+
+    run(True)  # what may be admitted at the start: one batch
+    run(False)
+    done = spark.read.parquet(f"{base}/out")
+    first = Window.partitionBy("epoch")
+    return done.select("epoch", "tag", "o_orderkey", (F.col("no") - F.min("no").over(first)).cast("long").alias("batch"))

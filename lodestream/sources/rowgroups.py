@@ -87,6 +87,31 @@ def footers(files: DataFrame, tasks: int | None = None) -> DataFrame:
     return files.select("file", "start").repartition(tasks or _tasks(files), "file").mapInArrow(groups, "file string, grp long, start long, n long")
 
 
+def read_group(arrow: pa.Schema, file: str, grp: int, start: int, pieces: list[dict]) -> Iterator[pa.RecordBatch]:
+    """The rows of a group's pieces in Arrow batches, with position and tag, on whatever machine this runs."""
+    pieces = sorted(pieces, key=lambda p: p["lo"])
+    lo, hi, step, tag = (np.array([p[k] for p in pieces], dtype=np.int64) for k in ("lo", "hi", "step", "tag"))
+    with _open(file) as f:
+        have = set(f.schema_arrow.names)
+        at, last = start, int(hi.max())
+        for batch in f.iter_batches(BATCH_ROWS, row_groups=[grp], columns=[n for n in arrow.names if n in have]):
+            if at >= last:
+                break
+            end = at + batch.num_rows
+            picked, tags = [], []
+            for k in np.flatnonzero((lo < end) & (hi > at)):
+                first = lo[k] if lo[k] >= at else lo[k] - (lo[k] - at) // step[k] * step[k]
+                places = np.arange(first, min(hi[k], end), step[k])
+                picked.append(places)
+                tags.append(np.full(len(places), tag[k]))
+            wanted = np.concatenate(picked) if picked else np.empty(0, dtype=np.int64)
+            if len(wanted):
+                taken = batch.take(pa.array(wanted - at))
+                columns = [taken.column(c.name).cast(c.type) if c.name in have else _from_path(file, c, len(wanted)) for c in arrow]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(wanted), pa.array(np.concatenate(tags))], names=[*arrow.names, POS, TAG])
+            at = end
+
+
 def read(groups: DataFrame, schema: T.StructType, tasks: int) -> DataFrame:
     """The rows of every group's pieces, with their position and the piece's tag.
 
@@ -95,33 +120,10 @@ def read(groups: DataFrame, schema: T.StructType, tasks: int) -> DataFrame:
     """
     arrow = to_arrow_schema(schema)
 
-    def rows(file: str, grp: int, start: int, pieces: list[dict]) -> Iterator[pa.RecordBatch]:
-        pieces = sorted(pieces, key=lambda p: p["lo"])
-        lo, hi, step, tag = (np.array([p[k] for p in pieces], dtype=np.int64) for k in ("lo", "hi", "step", "tag"))
-        with _open(file) as f:
-            have = set(f.schema_arrow.names)
-            at, last = start, int(hi.max())
-            for batch in f.iter_batches(BATCH_ROWS, row_groups=[grp], columns=[n for n in arrow.names if n in have]):
-                if at >= last:
-                    break
-                end = at + batch.num_rows
-                picked, tags = [], []
-                for k in np.flatnonzero((lo < end) & (hi > at)):
-                    first = lo[k] if lo[k] >= at else lo[k] - (lo[k] - at) // step[k] * step[k]
-                    places = np.arange(first, min(hi[k], end), step[k])
-                    picked.append(places)
-                    tags.append(np.full(len(places), tag[k]))
-                wanted = np.concatenate(picked) if picked else np.empty(0, dtype=np.int64)
-                if len(wanted):
-                    taken = batch.take(pa.array(wanted - at))
-                    columns = [taken.column(c.name).cast(c.type) if c.name in have else _from_path(file, c, len(wanted)) for c in arrow]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(wanted), pa.array(np.concatenate(tags))], names=[*arrow.names, POS, TAG])
-                at = end
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                yield from rows(r["file"], r["grp"], r["start"], r["pieces"])
+                yield from read_group(arrow, r["file"], r["grp"], r["start"], r["pieces"])
 
     out = T.StructType([*schema.fields, T.StructField(POS, T.LongType()), T.StructField(TAG, T.LongType())])
     return groups.select("file", "grp", "start", F.col("pieces").cast(_PIECES).alias("pieces")).repartition(tasks, "file", "grp").mapInArrow(run, out)
@@ -156,6 +158,15 @@ def piece_join(groups: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return both.groupBy("file", "grp", "start").agg(F.collect_list(_piece(lo, hi, 1, F.col("tag"))).alias("pieces"))
 
 
+def groups_of(table: str, lo: int, hi: int) -> list[dict]:
+    """The row groups of a stored map that touch lo to hi - 1, read by whoever asks; the map is sorted, so statistics skip most of it."""
+    import pyarrow.dataset as ds
+
+    fs, inside = pafs.FileSystem.from_uri(table) if ":" in table.split("/", 1)[0] else (pafs.LocalFileSystem(), table)
+    found = ds.dataset(inside, filesystem=fs, format="parquet").to_table(filter=(ds.field("start") < hi) & (ds.field("start") + ds.field("n") > lo))
+    return found.to_pylist()
+
+
 @dataclass
 class LazyIndex:
     """An index that stays where it is: its files are neither sorted nor rewritten, only their row groups are mapped."""

@@ -78,3 +78,32 @@ def test_dedup_while_resident(spark, tmp_path):
     again = [x for x in want if x[3] == state.ADMIT]
     assert len(again) > len({x[:2] for x in again})  # keys that came back
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").find("RocksDB") < 0
+
+
+def test_chunks_are_admitted_few_at_a_time(spark, tmp_path):
+    """No batch holds more than its chunks; a stream that is stopped amid an epoch goes on from its checkpoint; order and places are the dataset's."""
+    from lodestream.plans.index import StreamingSource
+    from lodestream.sources.rowgroups import LazyIndex
+    from lodestream.streaming.chunks import chunk_stream
+
+    spark.range(0, 1000, 1, 3).write.option("parquet.block.size", 1024).parquet(str(tmp_path / "t"))
+    lazy = LazyIndex.of(spark.read.parquet(str(tmp_path / "t")))
+    batches = {}
+
+    def run(available, **more):
+        rows = chunk_stream(spark, lazy, 60, 1, 3, seed=8, epoch=2, per_trigger=2, checkpoint=str(tmp_path / "c"), **more)
+        writer = rows.writeStream.foreachBatch(lambda df, i: batches.__setitem__(i, [tuple(r) for r in df.collect()])).option("checkpointLocation", str(tmp_path / "c"))
+        stream = (writer.trigger(availableNow=True) if available else writer).start()
+        stream.awaitTermination() if available else stream.processAllAvailable()
+        stream.stop()
+
+    run(True)
+    assert len(batches) == 1 and len(batches[0]) == 2 * 55
+    run(False)
+    assert len(batches) == 3 and all(len(b) <= 2 * 55 for b in batches.values())
+    source = StreamingSource(spark, str(tmp_path / "t" / "*.parquet"), "TEXT", key="id", shuffle_seed=8, lazy=True, chunk_size=60)
+    want = [(r.lo, r.tag) for r in source.chunks(1, 3, 2).orderBy("tag").collect()]
+    rows = [r for i in sorted(batches) for r in batches[i]]
+    assert sorted({(min(p for _, p, t, _ in rows if t == tag), tag) for _, _, tag, _ in rows}, key=lambda x: x[1]) == want
+    assert len(rows) == len({r[1] for r in rows}) == 330 and {r[3] for r in rows} == {2}
+    assert [t // 110 for t in sorted({r[2] for r in rows})] == [0, 0, 1, 1, 2, 2]
