@@ -64,10 +64,11 @@ def hard_crop_ok(start: Column, end: Column, clip: Column, duration: Column) ->
     return (end - start >= clip) & (start >= 0) & (end <= duration)
 
 
-def pad_or_trim(values: Column, n: int, fill: Column | float = 0.0) -> Column:
+def pad_or_trim(values: Column, n: int | Column, fill: Column | float = 0.0) -> Column:
     """Exactly n elements: trimmed, or padded on the right."""
     fill = fill if isinstance(fill, Column) else F.lit(float(fill)).cast("float")
-    return F.concat(F.slice(values, 1, n), F.array_repeat(fill, F.greatest(F.lit(n) - F.size(values), F.lit(0))))
+    n = n if isinstance(n, Column) else F.lit(n)
+    return F.concat(F.slice(values, F.lit(1), n), F.array_repeat(fill, F.greatest(n - F.size(values), F.lit(0))))
 
 
 def pad_tokens(tokens: Column, end: Column, n: int, width: int) -> Column:

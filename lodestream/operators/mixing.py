@@ -7,6 +7,7 @@ stream by (stream, batch number modulo the number of batches).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -136,8 +137,38 @@ def pick_streams(steps: DataFrame, streams: Sequence[StreamOptions], seed: int =
     return steps.withColumn("stream", out)
 
 
-def accumulate(steps: DataFrame, streams: Sequence[StreamOptions]) -> DataFrame:
-    """One row per batch: a step of R rounds gives R of them, with R - 1 to 0 rounds left, and `use`, the stream's running batch number.
+def groups_before(kind: str, counts: Mapping[int, int], step: int, seed: int = 42) -> dict[int, int] | None:
+    """Steps of each group before a step, in closed form: whole meta-iterations times the counts, and a part of one. None for the random schedule, which has none."""
+    if kind == "random":
+        return None
+    size = sum(counts.values())
+    whole, part = divmod(step, size)
+    order = meta_order(counts, kind == "consecutive_interleaved")
+    if kind in ("random_order", "fixed_random_order"):
+        turn = whole if kind == "random_order" else 0
+        order = [order[i] for i in sorted(range(size), key=lambda i: (hashlib.md5(f"{seed}-{turn}-{i}".encode()).hexdigest(), i))]
+    return {g: n * whole + order[:part].count(g) for g, n in counts.items()}
+
+
+def uses_before(spark: SparkSession, streams: Sequence[StreamOptions], step: int, kind: str, counts: Mapping[int, int], ratios: Mapping[int, float] | None = None, seed: int = 42, rank: int = 0) -> dict[str, int]:
+    """Batches of each stream before a step, without replaying the schedule: a group of one stream has its group's count; what a draw decides is counted by tasks, one sum per stream."""
+    rounds = {s.name: s.num_accum_rounds for s in active(streams)}
+    members: dict[int, list[StreamOptions]] = {}
+    for s in active(streams):
+        members.setdefault(s.mixing_group_id, []).append(s)
+    closed = groups_before(kind, counts, step, seed)
+    out = dict.fromkeys(rounds, 0)
+    if closed is not None:
+        out |= {m[0].name: closed[g] * rounds[m[0].name] for g, m in members.items() if len(m) == 1}
+    drawn = [g for g, m in members.items() if closed is None or len(m) > 1]
+    if drawn and step:
+        steps = schedule(spark, step, kind, counts, ratios, seed).where(F.col("group").isin(drawn))
+        out |= {r.stream: r.n * rounds[r.stream] for r in pick_streams(steps, streams, seed, rank).groupBy("stream").agg(F.count("*").alias("n")).collect()}
+    return out
+
+
+def accumulate(steps: DataFrame, streams: Sequence[StreamOptions], before: Mapping[str, int] | None = None) -> DataFrame:
+    """One row per batch: a step of R rounds gives R of them, with R - 1 to 0 rounds left, and `use`, the stream's running batch number, on from `before`.
 
     Batch numbers are a running count per stream over the schedule, which has one row per step and
     no payload; it is summed in ranges of steps, so no window spans a whole stream.
@@ -148,6 +179,8 @@ def accumulate(steps: DataFrame, streams: Sequence[StreamOptions]) -> DataFrame:
     for s in active(streams):
         rounds = F.when(F.col("stream") == s.name, F.lit(s.num_accum_rounds)).otherwise(rounds)
     counted = prefix_sums(steps.withColumn("_rounds", rounds).withColumn("_chunk", F.floor(F.col("step") / 100_000)), "_chunk", "step", "_rounds", ["stream"], "_upto").drop("_chunk")
+    for name, n in (before or {}).items():
+        counted = counted.withColumn("_upto", F.when(F.col("stream") == name, F.col("_upto") + n).otherwise(F.col("_upto")))
     rows = counted.where("_rounds > 0").withColumn("_left", F.explode(F.sequence(F.lit(0), F.col("_rounds") - 1)))
     return rows.select("step", "group", "stream", (F.col("_rounds") - 1 - F.col("_left")).alias("rounds_left"), (F.col("_upto") - F.col("_rounds") + F.col("_left")).cast("long").alias("use"))
 

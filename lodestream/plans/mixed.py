@@ -6,7 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from ..operators import mixing
 from .index import StreamingSource, load_mixed_state, mixed_state
@@ -28,11 +28,15 @@ class MixedLoader:
             raise ValueError("sources and streams must have the same names")
         self.counts, self.ratios = mixing.mixing_groups(self.streams, self.precision)
 
+    def _spark(self) -> SparkSession:
+        return next(iter(self.sources.values())).spark
+
     def steps(self, n: int, rank: int = 0) -> DataFrame:
-        """(step, group, stream, rounds_left, use) from the first step on, so that a resumed run counts each stream's batches alike."""
-        spark = next(iter(self.sources.values())).spark
-        planned = mixing.schedule(spark, self.step + n, self.schedule, self.counts, self.ratios, self.seed)
-        return mixing.accumulate(mixing.pick_streams(planned, self.streams, self.seed, rank), self.streams).where(f"step >= {self.step}")
+        """(step, group, stream, rounds_left, use) of the next n steps. What each stream has used before is skipped, not replayed."""
+        spark = self._spark()
+        before = mixing.uses_before(spark, self.streams, self.step, self.schedule, self.counts, self.ratios, self.seed, rank)
+        planned = mixing.schedule(spark, n, self.schedule, self.counts, self.ratios, self.seed, self.step)
+        return mixing.accumulate(mixing.pick_streams(planned, self.streams, self.seed, rank), self.streams, before)
 
     def batches(self, n: int, rank: int = 0, ranks: int = 1) -> DataFrame:
         """Rows of the next n steps, with step, stream, rounds_left, batch and slot columns."""
