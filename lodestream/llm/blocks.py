@@ -10,6 +10,11 @@ Within a block a fingerprint is sent once, so a passage that a third of all text
 entry per block into its bucket, however often it occurs. Where there are more than `MEMBERS`
 blocks, a bucket is first settled among `MEMBERS` of them at a time, and one entry of each such
 group goes on to the bucket's second round, so no group grows with the corpus.
+
+A row of an exchange holds `ROW_ENTRIES` entries or more however many buckets there are: a task
+gathers `FLUSH` entries and cuts them into at most FLUSH / ROW_ENTRIES buckets. Beyond that number
+buckets are dealt in two levels: first in ranges of buckets, then each range, which one task reads in
+a stream, is gathered again and cut into its own buckets. Either level moves packed rows.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from .textblock import U64
 
 BLOCK_BYTES = 2 << 20
 BUCKET_ENTRIES = 1 << 20
-FLUSH = 3 << 20
+FLUSH, ROW_ENTRIES = 3 << 20, 150
 MEMBERS, MAX_BUCKETS = 4096, 100_000
 NO_ID = -(1 << 63)
 
@@ -168,8 +173,9 @@ class Sender:
             values = np.concatenate([v for v, _ in held])
             order = np.argsort(values)
             values = values[order]
-            cut = np.searchsorted(bucket_of(values, self.n), np.arange(self.n + 1))
-            ranges = [(b, int(cut[b]), int(cut[b + 1])) for b in np.flatnonzero(np.diff(cut)).tolist()]
+            bucket = bucket_of(values, self.n)
+            cut = np.flatnonzero(starts_of(bucket))
+            ranges = list(zip(bucket[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(values)], strict=True))
             out["bucket"] += [b for b, _, _ in ranges]
             out["part"] += [part] * len(ranges)
             out["fps"] += [pack(values[a:b]) for _, a, b in ranges]
@@ -180,6 +186,34 @@ class Sender:
         return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k in ("bucket", "part") else pa.binary()) for k, v in out.items()})
 
 
+def coarse(n_buckets: int) -> int:
+    """Buckets of the first level: as many as there are, up to the number that keeps rows full."""
+    return min(n_buckets, FLUSH // ROW_ENTRIES)
+
+
+def refined(sent: DataFrame, n_buckets: int, extra: dict[str, type]) -> DataFrame:
+    """Rows of the first level, cut into the buckets of the second where there is one."""
+    if coarse(n_buckets) == n_buckets:
+        return sent
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender, last = Sender(n_buckets, extra), None
+        for batch in batches:
+            columns = {k: batch.column(batch.schema.names.index(k)) for k in batch.schema.names}
+            for i in range(batch.num_rows):
+                bucket = columns["bucket"][i].as_py()
+                if bucket != last and sender.held:
+                    yield sender.flush()
+                last = bucket
+                more = {k: unplanes(columns[k][i].as_py(), kind) for k, kind in extra.items()}
+                yield from sender.add(unpack(columns["fps"][i].as_py()), columns["part"][i].as_py(), **more)
+        if sender.held:
+            yield sender.flush()
+        tidy()
+
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(split, sent.schema)
+
+
 Emit = Callable[[Block], Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]]
 #: What goes along with a fingerprint: its block, where it starts there, and 32 bits of a second fingerprint.
 ENTRY = {"block": np.uint32, "place": np.uint32, "check": np.uint32}
@@ -193,9 +227,10 @@ def exchange(blocks: DataFrame, n_blocks: int, emit: Emit, entries: float, later
     """
     extra = ENTRY | (extra or {})
     n_buckets, n_parts = max(1, math.ceil(entries / BUCKET_ENTRIES)), max(1, math.ceil(n_blocks / MEMBERS))
+    first_level = coarse(n_buckets)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(n_buckets, extra)
+        sender = Sender(first_level, extra)
         for block in opened(batches):
             for values, more in emit(block):
                 yield from sender.add(values, block.number % n_parts, block=np.full(len(values), block.number, np.uint32), **more)
@@ -242,7 +277,7 @@ def exchange(blocks: DataFrame, n_blocks: int, emit: Emit, entries: float, later
 
     schema = "bucket long, part long, fps binary, " + ", ".join(f"{k} binary" for k in extra)
     back = "block long, fps binary, source binary, place binary"
-    dealt = blocks.mapInArrow(send, schema)
+    dealt = refined(blocks.mapInArrow(send, schema), n_buckets, extra)
     if n_parts == 1:
         found = dealt.groupBy("bucket").applyInArrow(settle(True), back)
     else:

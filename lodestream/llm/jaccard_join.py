@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BUCKET_ENTRIES, NO_ID, Sender, unpack, unplanes
+from .blocks import BUCKET_ENTRIES, NO_ID, Sender, coarse, refined, unpack, unplanes
 from .components import components
 from .tables import bounded, drop_kept, ends_shuffles, keep, tidy
 from .textblock import U64, Words, mix, pieces, windows
@@ -124,7 +124,7 @@ def keys(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """doc_id, key, n, sketch and prefix of every text."""
+    """doc_id, text_key, key, n, sketch and prefix of every text of (doc_id, text, text_key)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, shingle))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,12 +136,12 @@ def described(docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
                 words = sketches(grams, at).view(np.int64)
                 binary = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), binary(keys(grams, at)), pa.array(np.diff(at)), binary(np.split(first, cut[1:-1])), *[pa.array(words[:, i]) for i in range(WORDS)]],
-                    names=["doc_id", "key", "n", "prefix", *SKETCH],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), binary(keys(grams, at)), pa.array(np.diff(at)), binary(np.split(first, cut[1:-1])), *[pa.array(words[:, i]) for i in range(WORDS)]],
+                    names=["doc_id", "text_key", "key", "n", "prefix", *SKETCH],
                 )
         tidy()
 
-    return docs.mapInArrow(describe, "doc_id long, key binary, n long, prefix binary, " + ", ".join(f"{k} long" for k in SKETCH))
+    return docs.mapInArrow(describe, "doc_id long, text_key long, key binary, n long, prefix binary, " + ", ".join(f"{k} long" for k in SKETCH))
 
 
 def star(n: np.ndarray, rank: np.ndarray, threshold: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -171,9 +171,10 @@ def grouped(sigs: np.ndarray) -> Iterator[tuple[int, int]]:
 def candidates(rows: DataFrame, entries: float, threshold: int) -> DataFrame:
     """Pairs (pivot, member) of references to verify; a reference is the first half of a key."""
     n_buckets = max(1, math.ceil(entries * 2 / BUCKET_ENTRIES))
+    first_level = coarse(n_buckets)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(n_buckets, SENT)
+        sender = Sender(first_level, SENT)
         for batch in batches:
             name = batch.schema.names.index
             blobs, named_ = batch.column(name("prefix")).to_pylist(), batch.column(name("key")).to_pylist()
@@ -205,7 +206,7 @@ def candidates(rows: DataFrame, entries: float, threshold: int) -> DataFrame:
         return pa.table({k: pa.array([x[i : i + 8] for i in range(0, len(x), 8)], pa.binary()) for k, x in zip(("ref_a", "ref_b"), raw, strict=True)})
 
     schema = "bucket long, part long, fps binary, " + ", ".join(f"{k} binary" for k in SENT)
-    return rows.mapInArrow(send, schema).groupBy("bucket").applyInArrow(pair, "ref_a binary, ref_b binary").distinct()
+    return refined(rows.mapInArrow(send, schema), n_buckets, SENT).groupBy("bucket").applyInArrow(pair, "ref_a binary, ref_b binary").distinct()
 
 
 def may_link(threshold: int) -> Column:
@@ -245,9 +246,12 @@ def named(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def fragments(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, shingle: int, twice: bool) -> DataFrame:
-    """(key, part, grams) of the wanted sets, each from the one text that stands for it. `twice`: ids repeat."""
-    rows = firsts.join(wanted, "key", "left_semi").select("key", "doc_id")
-    texts = docs.join(rows.hint("merge"), docs["doc_id"].eqNullSafe(rows["doc_id"])).select("key", "text")
+    """(key, part, grams) of the wanted sets, each from the one text that stands for it. `twice`: ids repeat.
+
+    Texts are found by id and a hash of the text, so rows that share an id meet only equal texts.
+    """
+    rows = firsts.join(wanted, "key", "left_semi").select("key", "doc_id", "text_key")
+    texts = docs.join(rows.hint("merge"), ["doc_id", "text_key"]).select("key", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,8 +294,9 @@ def _found(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold:
         raise ValueError("threshold must be a percentage")
     bounded(docs.sparkSession)
     docs = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
     rows = keep(described(docs, shingle, threshold), "sets")
-    firsts = keep(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "firsts")
+    firsts = keep(rows.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("n").alias("n")).select("key", "first.*", "n"), "firsts")
     entries = (rows.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) / 8
     stars = keep(named(candidates(rows, entries, threshold), firsts), "stars")
     ids = firsts.select("key", "doc_id")

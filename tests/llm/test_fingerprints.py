@@ -1,6 +1,7 @@
 """Regular strings on which fingerprints with an algebraic structure collide, and groups of blocks settled in two rounds."""
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import test_quality_rules
 import test_substring_dedup
 import test_suffix_dedup
 
-from lodestream.llm import jaccard_join, quality_rules, substring_dedup
+from lodestream.llm import blocks, jaccard_join, quality_rules, substring_dedup, suffix_dedup
 from lodestream.llm.stats import same_strings
 from lodestream.llm.textblock import pieces, strings, windows
 
@@ -87,3 +88,36 @@ def test_repeated_and_copied_rows_of_cleaned_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, key string").withColumnRenamed("key", "kept_text")
     got = sorted([tuple(r) for r in substring_dedup.cleaned(df).collect()], key=str)
     assert got == sorted([(None, passage, "w"), (1, "a", "x"), (1, "a", "x"), (2, "b", "y"), (4, "short text", "u"), (5, "short text", "v"), (6, None, "n"), (7, "", "e"), (1, "other text", "o")], key=str)
+
+
+@pytest.mark.parametrize("n_buckets", [3_000, 117_000, 1_200_000])
+def test_rows_stay_full_at_any_number_of_buckets(n_buckets):
+    """Both levels of an exchange: at least 100 entries a row and less than a second for a million of them, nothing lost."""
+    r = np.random.default_rng(1)
+
+    def timed(buckets, values):
+        sender, began, rows = blocks.Sender(buckets, blocks.ENTRY), time.process_time(), []
+        for part in np.array_split(values, 12):
+            rows += list(sender.add(part, block=np.zeros(len(part)), place=np.arange(len(part)), check=np.zeros(len(part))))
+        rows += [sender.flush()] if sender.held else []
+        took = time.process_time() - began
+        assert len(values) / sum(b.num_rows for b in rows) >= 100 and took < len(values) / 1e6
+        return rows
+
+    first = blocks.coarse(n_buckets)
+    values = r.integers(0, 1 << 64, 3 << 20, dtype=np.uint64)
+    rows = timed(first, values)
+    assert sum(len(blocks.unpack(x.as_py())) for b in rows for x in b.column("fps")) == len(values)
+    if first < n_buckets:  # one range of buckets, gathered from many tasks
+        width = (1 << 64) // first
+        timed(n_buckets, r.integers(7 * width, 8 * width, 3 << 20, dtype=np.uint64))
+
+
+def test_two_levels_find_the_same(spark, corpus_rows, monkeypatch):
+    df = spark.createDataFrame(corpus_rows, "doc_id long, text string")
+    told = lambda: [sorted((tuple(r) for r in op(df).collect()), key=str) for op in (substring_dedup.apply, suffix_dedup.apply, jaccard_join.apply)]
+    one = told()
+    monkeypatch.setattr(blocks, "BUCKET_ENTRIES", 500)
+    monkeypatch.setattr(jaccard_join, "BUCKET_ENTRIES", 500)
+    monkeypatch.setattr(blocks, "ROW_ENTRIES", blocks.FLUSH // 3)
+    assert blocks.coarse(40) == 3 and told() == one

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -99,3 +100,19 @@ def test_fitting_members_have_a_common_pivot():
 
 def test_empty(spark):
     assert jaccard_join.apply(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_many_near_copies_without_an_id(spark):
+    """Rows that share an id meet only their own text: the work grows with the rows, not with their square."""
+    r = random.Random(1)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for k in range(3000):
+        words = list(base)
+        words[60] = f"changed{k}"
+        rows.append((None, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = jaccard_join.apply(df).collect()
+    assert len(got) == 3000 and {x.n_shingles for x in got} == {118} and {x.component_id for x in got} == {None}
+    assert time.time() - began < 120
