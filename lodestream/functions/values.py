@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,3 +76,22 @@ def weighted_pick(u: Column, weights: Sequence[Column]) -> Column:
     for i, upto, w in reversed(picks):
         out = F.when((w > 0) & (u * total < upto), F.lit(i)).otherwise(out)
     return F.when(total > 0, out)
+
+
+def byte_size(text: Column) -> Column:
+    """Bytes of a size such as 1024, 123b or 1.5kb (kb to eb, powers of 1024, any case); null stays null (no limit), anything else is an error."""
+    low = F.lower(F.trim(text))
+    units = ("kb", "mb", "gb", "tb", "pb", "eb")
+    at = F.array_position(F.array(*[F.lit(u) for u in units]), F.right(low, F.lit(2))).cast("int") - 1
+    power = F.get(F.array(*[F.lit(1024.0**i) for i in range(1, 7)]), at)
+    whole, part = F.regexp_extract(low, r"^(\d+)b?$", 1), F.regexp_extract(low, r"^(\d+\.?\d*|\.\d+)\s*[kmgtpe]b$", 1)
+    bad = F.raise_error(F.concat(F.lit("not a byte size: "), text)).cast("long")
+    return F.when(text.isNull(), F.lit(None).cast("long")).when(whole != "", whole.cast("long")).when(part != "", F.floor(part.cast("double") * power).cast("long")).otherwise(bad)
+
+
+def ratios(df: DataFrame, size: str) -> DataFrame:
+    """Adds each row's `ratio` of the whole and its `turns`: how often it counts if the smallest positive ratio counts once, halves to even. One row per stream."""
+    whole = Window.partitionBy()
+    told = df.withColumn("ratio", F.col(size) / F.sum(size).over(whole))
+    least = F.min(F.when(F.col("ratio") > 0, F.col("ratio"))).over(whole)
+    return told.withColumn("turns", F.when(F.col("ratio") > 0, F.greatest(F.bround(F.col("ratio") / least), F.lit(1.0))).otherwise(0).cast("long"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import coprime, mixed_seed
+from ..functions.scalars import coprime, mixed_seed, offset
 
 
 def hash_order(seed: int, *keys: Column) -> list[Column]:
@@ -31,7 +31,7 @@ def affine(position: Column, n: int, seed: int) -> Column:
     """Where a position goes under (a * i + b) mod n: a bijection computed row by row."""
     if n * n >= 1 << 63:
         raise ValueError("n is too large for 64-bit products")
-    return (position * coprime(seed, n) + (seed ^ 0xDEADBEEF) % n) % n
+    return (position * coprime(seed, n) + offset(seed, n)) % n
 
 
 def affine_split(n: int, splits: int, split: int) -> tuple[int, int]:
@@ -41,7 +41,7 @@ def affine_split(n: int, splits: int, split: int) -> tuple[int, int]:
 
 
 def inverse_affine(target: Column, n: int, seed: int) -> Column:
-    a, b = coprime(seed, n), (seed ^ 0xDEADBEEF) % n
+    a, b = coprime(seed, n), offset(seed, n)
     return (target - b + n) % n * (pow(a, -1, n) if n > 1 else 0) % n
 
 

@@ -134,3 +134,13 @@ def split_words_udtf(spark: SparkSession, name: str = "split_words") -> None:
 def sql_function(spark: SparkSession, name: str, arguments: str, returns: str, body: str) -> None:
     """A temporary SQL function; Catalyst inlines it."""
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {returns} RETURN {body}")
+
+
+def table_function(spark: SparkSession, name: str, generator: Callable[..., Iterable[tuple]], schema: str) -> None:
+    """Registers a user's generator as a table function: SQL calls it by name, for each row after LATERAL; it gets the arguments' values and yields rows of the schema."""
+
+    class Function:
+        def eval(self, *arguments: Any) -> Iterator[tuple]:
+            yield from generator(*arguments)
+
+    spark.udtf.register(name, F.udtf(Function, returnType=schema))

@@ -8,6 +8,7 @@ import secrets
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
@@ -208,6 +209,11 @@ class StreamingSource:
             mine = self.index.withColumn("_local", F.col(position.POS))
         return ordering.epoch_order(mine, self.shuffle_seed, epoch, rank, "_local").drop("_local")
 
+    def repeated(self, epochs: int, rank: int = 0, ranks: int = 1) -> DataFrame:
+        """This consumer's rows of several epochs from the present one on, each in its own order, with `epoch` and `place`."""
+        parts = [self.order(rank, ranks, e).withColumn("epoch", F.lit(e).cast("long")) for e in range(self.epoch, self.epoch + epochs)]
+        return reduce(DataFrame.unionByName, parts)
+
     def plan(self, rank: int = 0, ranks: int = 1) -> DataFrame:
         """What is left of the epoch after the saved progress, before fetching."""
         order = self._lazy_order(rank, ranks, self.epoch, self.sample_in_epoch) if self.lazy else self.order(rank, ranks)

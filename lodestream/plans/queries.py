@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import decode, media, paths, values
-from ..functions.scalars import mixed_seed, normalize_ratios, parse_bytes, ratios_to_counts
+from ..functions.scalars import mixed_seed, normalize_ratios, ratios_to_counts
 from ..operators import cache, fields, mixing, nearest, ordering, position, splits, transforms
 from ..sources import resolver, sinks
 from ..sources.shared import shared_dir
@@ -70,13 +70,13 @@ _AFFINE = f"""WITH n AS (SELECT count(*) AS n FROM lineitem),
 a AS (SELECT min(x) AS a FROM (SELECT 2 * {SEED} + 1 + 2 * i AS x FROM range(10000) r(i)), n WHERE gcd(x, n) = 1)"""
 
 
-@query(f"{_AFFINE} SELECT i AS pos, (i * (a % n) + {SEED ^ 0xDEADBEEF} % n) % n AS target FROM range((SELECT n FROM n)) r(i), a, n")
+@query(f"{_AFFINE} SELECT i AS pos, (i * (a % n) + {mixed_seed(SEED, 0, 0)} % n) % n AS target FROM range((SELECT n FROM n)) r(i), a, n")
 def affine_permutation(spark, d):
     n = read(spark, d, "lineitem").count()
     return spark.range(n).select(F.col("id").alias("pos"), ordering.affine(F.col("id"), n, SEED).alias("target"))
 
 
-@query(f"{_AFFINE} SELECT i AS pos, (i * (a % n) + {SEED ^ 0xDEADBEEF} % n) % n AS target FROM range((SELECT n FROM n)) r(i), a, n WHERE i >= 6 * (n // 7)")
+@query(f"{_AFFINE} SELECT i AS pos, (i * (a % n) + {mixed_seed(SEED, 0, 0)} % n) % n AS target FROM range((SELECT n FROM n)) r(i), a, n WHERE i >= 6 * (n // 7)")
 def affine_last_split(spark, d):
     n = read(spark, d, "lineitem").count()
     start, end = ordering.affine_split(n, 7, 6)
@@ -149,7 +149,7 @@ QUALIFY row_number() OVER (PARTITION BY pos // 4000 ORDER BY l_quantity DESC, po
 def chunk_scoped_sql(spark, d):
     df = positioned(spark, d, "lineitem").select(F.col("_pos").alias("pos"), "l_quantity")
     sql = "SELECT pos, l_quantity FROM dataframe WHERE l_quantity > 30 ORDER BY l_quantity DESC, pos LIMIT 5"
-    return index.run_sql_per_chunk(df, sql, 4000, "pos long, l_quantity double", "pos")
+    return index.run_sql_per_chunk(df, sql, 4000, "pos long, l_quantity double", "pos", n=df.count())
 
 
 @query("""SELECT r AS rank, i AS chunk_id, r * (n // 4) + i * ((n // 4) // p) AS start, r * (n // 4) + (i + 1) * ((n // 4) // p) AS "end"
@@ -158,7 +158,7 @@ def chunk_plan(spark, d):
     return position.chunk_table(spark, read(spark, d, "orders").count(), 4, 700, SEED).select("rank", "chunk_id", "start", "end")
 
 
-@query(f"""SELECT e AS epoch, c_custkey, row_number() OVER (PARTITION BY e ORDER BY md5(concat_ws('-', CAST((5 * 1000003 + e * 1000037 + 2 * 1000039) % 4294967296 AS VARCHAR), CAST(pos AS VARCHAR))), pos) - 1 AS place
+@query(f"""SELECT e AS epoch, c_custkey, row_number() OVER (PARTITION BY e ORDER BY md5(concat_ws('-', CASE e WHEN 0 THEN '{mixed_seed(5, 0, 2)}' ELSE '{mixed_seed(5, 1, 2)}' END, CAST(pos AS VARCHAR))), pos) - 1 AS place
 FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer), range(2) r(e)""")
 def epoch_orders(spark, d):
     df = index.materialize(read(spark, d, "customer").select("c_custkey").orderBy("c_custkey"), "customers")
@@ -185,8 +185,8 @@ def resume_offset(spark, d):
 
 @query("SELECT e AS epoch, count(*) AS n_rows, CAST(sum(s_suppkey) AS BIGINT) AS key_sum FROM supplier, range(4) r(e) GROUP BY 1")
 def repeated_epochs(spark, d):
-    df = read(spark, d, "supplier").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
-    return df.groupBy("epoch").agg(F.count("*").alias("n_rows"), F.sum("s_suppkey").alias("key_sum"))
+    source = index.StreamingSource(spark, f"{d}/supplier.parquet", key="s_suppkey", shuffle_seed=SEED, lazy=True, chunk_size=100)
+    return source.repeated(4).groupBy("epoch").agg(F.count("*").alias("n_rows"), F.sum("s_suppkey").alias("key_sum"))
 
 
 # --- sources and paths ------------------------------------------------------------------------
@@ -506,39 +506,55 @@ def regex_any_match(spark, d):
 
 # --- mixing -----------------------------------------------------------------------------------
 
-_COUNTS = {0: 2, 1: 3, 2: 4}
-_RATIOS = {0: 0.2, 1: 0.3, 2: 0.5}
-_CYCLE = lambda order: f"SELECT i AS step, ([{', '.join(map(str, order))}])[CAST(i % {len(order)} AS INT) + 1] AS \"group\" FROM range(1000) r(i)"
+#: Groups are the orders' states, in proportion to their numbers; there are as many steps as customers.
+_GROUPS = """g AS (SELECT row_number() OVER (ORDER BY o_orderstatus) - 1 AS grp, count(*) AS n FROM orders GROUP BY o_orderstatus),
+c AS (SELECT grp, n, CAST(greatest(round_even(n / min(n) OVER (), 0), 1) AS BIGINT) AS k, n / sum(n) OVER () AS ratio FROM g),
+e AS (SELECT grp, j, row_number() OVER (ORDER BY grp, j) - 1 AS place, row_number() OVER (ORDER BY j, grp) - 1 AS turn, count(*) OVER () AS size FROM c, range(100000) r(j) WHERE j < k),
+i AS (SELECT row_number() OVER () - 1 AS i FROM customer)"""
 
 
-@query(_CYCLE([0, 0, 1, 1, 1, 2, 2, 2, 2]))
+def _groups(spark, d):
+    """Turns and ratios of the groups, one number each, and the number of steps."""
+    sizes = [r["count"] for r in read(spark, d, "orders").groupBy("o_orderstatus").count().orderBy("o_orderstatus").collect()]
+    ratios = normalize_ratios(sizes)
+    return dict(enumerate(ratios_to_counts(ratios))), dict(enumerate(ratios)), read(spark, d, "customer").count()
+
+
+@query(f'WITH {_GROUPS} SELECT i AS step, CAST(grp AS INT) AS "group" FROM i JOIN e ON place = i % size')
 def schedule_consecutive(spark, d):
-    return mixing.schedule(spark, 1000, "consecutive", _COUNTS)
+    counts, _, n = _groups(spark, d)
+    return mixing.schedule(spark, n, "consecutive", counts)
 
 
-@query(_CYCLE([0, 1, 2, 0, 1, 2, 1, 2, 2]))
+@query(f'WITH {_GROUPS} SELECT i AS step, CAST(grp AS INT) AS "group" FROM i JOIN e ON turn = i % size')
 def schedule_interleaved(spark, d):
-    return mixing.schedule(spark, 1000, "consecutive_interleaved", _COUNTS)
+    counts, _, n = _groups(spark, d)
+    return mixing.schedule(spark, n, "consecutive_interleaved", counts)
 
 
 def _shuffled_sql(turn: str) -> str:
-    return f"""SELECT m * 9 + row_number() OVER (PARTITION BY m ORDER BY md5(concat_ws('-', '{SEED}', {turn}, CAST(j AS VARCHAR))), j) - 1 AS step, ([0, 0, 1, 1, 1, 2, 2, 2, 2])[CAST(j AS INT) + 1] AS "group"
-FROM range(100) a(m), range(9) b(j)"""
+    return f"""WITH {_GROUPS}, m AS (SELECT DISTINCT i // size AS m FROM i, e),
+o AS (SELECT m * size + row_number() OVER (PARTITION BY m ORDER BY md5(concat_ws('-', '{SEED}', {turn}, CAST(place AS VARCHAR))), place) - 1 AS step, grp FROM m, e)
+SELECT step, CAST(grp AS INT) AS "group" FROM o WHERE step < (SELECT count(*) FROM i)"""
 
 
 @query(_shuffled_sql("CAST(m AS VARCHAR)"))
 def schedule_random_order(spark, d):
-    return mixing.schedule(spark, 900, "random_order", _COUNTS, seed=SEED)
+    counts, _, n = _groups(spark, d)
+    return mixing.schedule(spark, n, "random_order", counts, seed=SEED)
 
 
 @query(_shuffled_sql("'0'"))
 def schedule_fixed_random_order(spark, d):
-    return mixing.schedule(spark, 900, "fixed_random_order", _COUNTS, seed=SEED)
+    counts, _, n = _groups(spark, d)
+    return mixing.schedule(spark, n, "fixed_random_order", counts, seed=SEED)
 
 
-@query(f"SELECT i AS step, CASE WHEN u < 0.2 THEN 0 WHEN u < 0.5 THEN 1 ELSE 2 END AS \"group\" FROM (SELECT i, {uniform_sql(f"'{SEED}'", 'CAST(i AS VARCHAR)')} AS u FROM range(2000) r(i))")
+@query(f"""WITH {_GROUPS}, w AS (SELECT grp, sum(ratio) OVER (ORDER BY grp) AS upto FROM c), u AS (SELECT i, {uniform_sql(f"'{SEED}'", 'CAST(i AS VARCHAR)')} AS u FROM i)
+SELECT i AS step, CAST((SELECT min(grp) FROM w WHERE u < upto) AS INT) AS "group" FROM u""")
 def schedule_weighted(spark, d):
-    return mixing.schedule(spark, 2000, "random", {}, _RATIOS, SEED)
+    counts, ratios, n = _groups(spark, d)
+    return mixing.schedule(spark, n, "random", counts, ratios, SEED)
 
 
 def _streams():
@@ -549,19 +565,20 @@ _STEPS = f"""SELECT i AS step, g AS "group", CASE WHEN g = 1 THEN 'documents' WH
 FROM (SELECT i, ([0, 1, 0, 0])[CAST(i % 4 AS INT) + 1] AS g, {uniform_sql(f"'{SEED}-0'", 'CAST(i AS VARCHAR)')} AS u FROM range(400) r(i))"""
 
 
-def _uses(spark):
+def _uses(spark, steps=400):
     streams = _streams()
     counts, ratios = mixing.mixing_groups(streams)
-    return mixing.accumulate(mixing.pick_streams(mixing.schedule(spark, 400, "consecutive_interleaved", counts, ratios, SEED), streams, SEED), streams)
+    return mixing.accumulate(mixing.pick_streams(mixing.schedule(spark, steps, "consecutive_interleaved", counts, ratios, SEED), streams, SEED), streams)
 
 
 _UNROLLED = f"""SELECT step, "group", stream, CAST(k - 1 - j AS INT) AS rounds_left, CAST(upto - k + j AS BIGINT) AS use
 FROM (SELECT *, sum(k) OVER (PARTITION BY stream ORDER BY step) AS upto FROM (SELECT *, CASE WHEN stream = 'events' THEN 2 ELSE 1 END AS k FROM ({_STEPS}))), range(2) b(j) WHERE j < k"""
 
 
-@query(_UNROLLED)
+@query(_UNROLLED.replace("range(400)", "range((SELECT count(*) FROM customer))"))
 def accumulation_rounds(spark, d):
-    return _uses(spark)
+    """As many steps as there are customers."""
+    return _uses(spark, read(spark, d, "customer").count())
 
 
 @query(f"""WITH u AS ({_UNROLLED}),
@@ -887,16 +904,34 @@ def dataset_resume(spark, d):
 @query("""WITH s AS (SELECT c_mktsegment AS name, count(*) AS n FROM customer GROUP BY 1), r AS (SELECT name, n / sum(n) OVER () AS ratio FROM s)
 SELECT name, round(ratio, 9) AS ratio, CAST(greatest(round_even(ratio / min(ratio) OVER (), 0), 1) AS BIGINT) AS turns FROM r""")
 def segment_ratios(spark, d):
-    """Streams in proportion to the customers of each segment: ratios and turns of one meta-iteration."""
-    sizes = read(spark, d, "customer").groupBy("c_mktsegment").count().orderBy("c_mktsegment").collect()  # five segments
-    ratios = normalize_ratios([r["count"] for r in sizes])
-    rows = [(r.c_mktsegment, round(x, 9), n) for r, x, n in zip(sizes, ratios, ratios_to_counts(ratios), strict=True)]
-    return spark.createDataFrame(rows, "name string, ratio double, turns long")
+    """Streams in proportion to the customers of each segment: ratios and turns of one meta-iteration, from sums over the segments."""
+    sizes = read(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("name")).count()
+    told = values.ratios(sizes, "count")
+    return told.select("name", F.round("ratio", 9).alias("ratio"), "turns")
 
 
-@query("SELECT unit, CAST(amount * 1024 ** power AS BIGINT) AS bytes FROM (VALUES ('2kb', 2, 1), ('1.5MB', 1.5, 2), ('3gb', 3, 3), ('123', 123, 0), ('7b', 7, 0), ('0.25tb', 0.25, 4)) t(unit, amount, power)")
+@query("""SELECT p_partkey, CASE WHEN m < 5 THEN CAST(floor(amount * 1024 ** m) AS BIGINT) ELSE CAST(p_size AS BIGINT) END AS bytes
+FROM (SELECT p_partkey, p_size, p_partkey % 7 AS m, CASE WHEN p_partkey % 7 IN (0, 5, 6) THEN p_size ELSE p_size + 0.25 * (p_partkey % 4) END AS amount FROM part)""")
 def byte_sizes(spark, d):
-    return spark.createDataFrame([(u, parse_bytes(u)) for u in ("2kb", "1.5MB", "3gb", "123", "7b", "0.25tb")], "unit string, bytes long")
+    """Sizes written with every kind of unit, read as columns."""
+    kind = F.col("p_partkey") % 7
+    unit = F.get(F.array(*[F.lit(u) for u in ("b", "kb", "MB", "gB", " TB", "", " ")]), kind.cast("int"))
+    fraction = F.get(F.array(*[F.lit(x) for x in ("", ".25", ".5", ".75")]), (F.col("p_partkey") % 4).cast("int"))
+    text = F.concat(F.col("p_size").cast("string"), F.when(kind.isin(0, 5, 6), "").otherwise(fraction), unit)
+    return read(spark, d, "part").select("p_partkey", values.byte_size(text).alias("bytes"))
+
+
+@query("""SELECT p_partkey, i AS place, CASE WHEN i = 1 THEN p_name ELSE p_name || ' ' || CAST(i AS VARCHAR) END AS caption FROM part, range(1, 10) r(i) WHERE i <= 1 + p_partkey % 3""")
+def own_table_function(spark, d):
+    """A user's generator, registered under a name and called from SQL for every row."""
+
+    def captions(name: str, n: int):
+        for i in range(1, n + 1):
+            yield i, name if i == 1 else f"{name} {i}"
+
+    transforms.table_function(spark, "captions_of", captions, "place long, caption string")
+    read(spark, d, "part").createOrReplaceTempView("parts_to_caption")
+    return spark.sql("SELECT p_partkey, c.place, c.caption FROM parts_to_caption, LATERAL captions_of(p_name, CAST(1 + p_partkey % 3 AS INT)) AS c")
 
 
 @query("""SELECT vec_id, 8000 AS rate, len(embedding) AS n_samples, CAST(list_sum(list_transform(embedding, lambda x: floor(x::DOUBLE * 1000))) AS BIGINT) AS total FROM embeddings""")

@@ -60,7 +60,7 @@ def conversations():
     return rows
 
 
-@pytest.mark.parametrize("shard_rows", [1, 40, prefix_trie.SHARD_ROWS])
+@pytest.mark.parametrize("shard_rows", [12, 60, prefix_trie.SHARD_ROWS])
 def test_equal_with_any_shards(spark, conversations, shard_rows):
     """Whether no node is heavy, some are or all with more than one turn below them, nodes and rollups are the same."""
     assert found(spark, conversations, shard_rows) == brute(conversations)

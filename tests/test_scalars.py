@@ -59,7 +59,7 @@ def test_coprime(seed, n):
 
 def test_affine_is_a_bijection_and_splits_cover():
     for n, seed in ((100_000, 123), (10_000, 1337), (1, 5), (2, 0)):
-        a, b = scalars.coprime(seed, n), (seed ^ 0xDEADBEEF) % n
+        a, b = scalars.coprime(seed, n), scalars.offset(seed, n)
         assert len({(a * i + b) % n for i in range(n)}) == n
     ranges = [ordering.affine_split(10_003, 10, s) for s in range(10)]
     assert ranges[0] == (0, 1000) and ranges[-1] == (9000, 10_003)
