@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, values
+from ..sources.files import open_stream
 from ..sources.shared import materialize
 
 
@@ -43,13 +44,13 @@ def byte_totals(plan: DataFrame, size: str) -> DataFrame:
 
 
 def copy_file(url: str, destination: str, retries: int = 3) -> int:
-    """Copies one local file through a temporary name, so that a reader never sees half of it; returns its size."""
-    source = url.removeprefix("file://")
+    """Copies a file of any scheme that `sources.files` opens to a path, through a temporary name, so that a reader never sees half of it; returns its size."""
     for attempt in range(retries + 1):
         part = f"{destination}.{uuid.uuid4().hex}.part"
         try:
             os.makedirs(os.path.dirname(destination), exist_ok=True)
-            shutil.copyfile(source, part)
+            with open_stream(url) as source, open(part, "wb") as copy:
+                shutil.copyfileobj(source, copy, 1 << 20)
             os.replace(part, destination)
             return os.path.getsize(destination)
         except OSError:

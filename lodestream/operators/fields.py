@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from pathlib import Path
 from typing import Any
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import values
+from ..sources.files import read_bytes
 
 
 class FieldError(ValueError):
@@ -181,8 +181,8 @@ def load_files(df: DataFrame, column: str, output: str, text: bool = False) -> D
     """Contents of the files that a column names, as bytes or text; null where there is no such file.
 
     Each row's file is fetched by the task that holds the row, so only named files are read and no
-    list of paths reaches the driver. Paths are local ones or file: URLs on a file system that all
-    executors share; a row's file must fit its worker's memory.
+    list of paths reaches the driver. Paths are URLs of any scheme that `sources.files` opens, or local
+    ones on a file system that all executors share; a row's file must fit its worker's memory.
     """
     kind = "string" if text else "binary"
 
@@ -190,7 +190,7 @@ def load_files(df: DataFrame, column: str, output: str, text: bool = False) -> D
     def contents(paths: pd.Series) -> pd.Series:
         def one(path: str | None) -> str | bytes | None:
             try:
-                data = Path("/" + path.split(":", 1)[1].lstrip("/") if path.startswith("file:") else path).read_bytes() if path else None
+                data = read_bytes(path) if path else None
             except FileNotFoundError:
                 return None
             return data.decode("utf-8", "replace") if text and data is not None else data

@@ -960,4 +960,5 @@ def seek_frames(spark, d):
 from . import lazy_queries as lazy_queries  # noqa: E402  these register queries of their own
 from . import media_queries as media_queries  # noqa: E402
 from . import shape_queries as shape_queries  # noqa: E402
+from . import source_queries as source_queries  # noqa: E402
 from . import state_queries as state_queries  # noqa: E402
