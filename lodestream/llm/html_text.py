@@ -3,8 +3,8 @@
 A page is cut into flat blocks at block-level tags. Each block has its word count and link density
 and those of its neighbours, whether it stands in the article or main element, how surely it stands
 in page furniture (1 by tag, role, or as reader comments; 0.5 where only a class, an id or a form
-hints at it), and whether it is a heading. A decision tree, grown on the small labelled table
-below, keeps or drops each block. An article or main element ends the hints around it: a page whose
+hints at it), whether it is a heading, and whether it is a list item. A decision tree, grown on the small
+labelled tables below, in part blocks of the generator's pages, keeps or drops each block. An article or main element ends the hints around it: a page whose
 body, form or wrapper is named like a sidebar still has its article.
 
 Null and empty pages give an empty text. Markup that is cut off, unclosed or out of order is read
@@ -51,16 +51,47 @@ FURNITURE_NAMES = frozenset(
 )
 OPEN_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-#: words, link density, words before, density before, words after, density after, place (1 in article or main, 0 outside of one, 0.5 no such element), furniture, heading; kept
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place", "furniture", "heading")
-TABLE = (
+#: Parts of names, and names of attributes, that stand for readers' words and for adverts however they are spelt.
+COMMENT_PART = re.compile(r"comment(?!ar)|disqus")
+ADVERT_PART = re.compile(r"^ads?(?:[sbuvzc](?:lot|ox|anner|lock|nit|iew|one|ontainer|ense|pace))?s?$|^advert|^sponsor")
+ADVERT_ATTRIBUTE = re.compile(r"^data-(?:ads?(?:$|-)|ad(?:unit|slot|client|zone)|advert|google-query)")
+
+#: words, link density, words before, density before, words after, density after, place (1 in article or main, 0 outside of one, 0.5 no such element), furniture, heading, list item; kept
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place", "furniture", "heading", "item")
+#: Blocks of the generator's pages (page, block, features without the last, kept), read after the names and elements that tell an article from the rest were taken out of them: there only words and links decide.
+PAGES = (
+    (0, 17, (1, 0, 61, 0, 1, 0, 0.5, 0, 0), 1), (0, 18, (1, 0, 1, 0, 48, 0, 0.5, 0, 0), 1), (0, 34, (2, 0, 64, 0, 5, 0, 0.5, 0, 0), 1), (1, 15, (1, 0, 31, 0, 94, 0, 0.5, 0, 0), 1), (2, 20, (2, 0, 12, 0, 19, 0, 0.5, 0, 0), 1),
+    (3, 0, (1, 1, 0, 0, 1, 1, 0.5, 0, 0), 0), (3, 1, (1, 1, 1, 1, 1, 1, 0.5, 0, 0), 0), (3, 2, (1, 1, 1, 1, 1, 1, 0.5, 0, 0), 0), (3, 3, (1, 1, 1, 1, 1, 1, 0.5, 0, 0), 0), (3, 4, (1, 1, 1, 1, 8, 0, 0.5, 0, 0), 0),
+    (3, 6, (14, 0, 8, 0, 35, 0, 0.5, 0, 1), 1), (3, 7, (35, 0, 14, 0, 17, 0, 0.5, 0, 0), 1), (3, 8, (17, 0, 35, 0, 49, 0, 0.5, 0, 0), 1), (3, 9, (49, 0, 17, 0, 143, 0, 0.5, 0, 0), 1), (3, 10, (143, 0, 49, 0, 11, 0, 0.5, 0, 0), 1),
+    (5, 7, (2, 0, 11, 0, 2, 0, 0.5, 0, 1), 1), (5, 8, (2, 0, 2, 0, 32, 0, 0.5, 0, 0), 1), (6, 13, (1, 0, 12, 0, 161, 0, 0.5, 0, 0), 1), (10, 11, (2, 0, 20, 0, 53, 0, 0.5, 0, 0), 1), (10, 16, (3, 0, 1, 0, 43, 0, 0.5, 0, 0), 1),
+    (17, 0, (1, 1, 0, 0, 1, 1, 0.5, 0, 0), 0), (17, 1, (1, 1, 1, 1, 1, 1, 0.5, 0, 0), 0), (17, 2, (1, 1, 1, 1, 1, 1, 0.5, 0, 0), 0), (17, 3, (1, 1, 1, 1, 1, 1, 0.5, 0, 0), 0), (17, 4, (1, 1, 1, 1, 1, 1, 0.5, 0, 0), 0),
+    (17, 5, (1, 1, 1, 1, 9, 0, 0.5, 0, 0), 0), (17, 7, (4, 0, 9, 0, 4, 0, 0.5, 0, 1), 1), (17, 8, (4, 0, 4, 0, 28, 0, 0.5, 0, 0), 1), (17, 9, (28, 0, 4, 0, 55, 0, 0.5, 0, 0), 1), (17, 10, (55, 0, 28, 0, 7, 0, 0.5, 0, 0), 1),
+    (17, 11, (7, 0, 55, 0, 10, 0, 0.5, 0, 0), 1), (17, 12, (10, 0, 7, 0, 4, 0, 0.5, 0, 0), 1), (17, 13, (4, 0, 10, 0, 8, 0, 0.5, 0, 0), 1), (17, 14, (8, 0, 4, 0, 17, 0, 0.5, 0, 0), 1), (17, 15, (17, 0, 8, 0, 23, 0, 0.5, 0, 0), 1),
+    (17, 16, (23, 0, 17, 0, 113, 0, 0.5, 0, 0), 1), (17, 17, (113, 0, 23, 0, 44, 0, 0.5, 0, 0), 1), (17, 18, (44, 0, 113, 0, 17, 0, 0.5, 0, 0), 1), (17, 19, (17, 0, 44, 0, 1, 0, 0.5, 0, 0), 1),
+    (17, 20, (1, 0, 17, 0, 8, 0, 0.5, 0, 0), 1), (17, 21, (8, 0, 1, 0, 60, 0, 0.5, 0, 0), 1), (17, 22, (60, 0, 8, 0, 8, 0, 0.5, 0, 0), 1), (17, 23, (8, 0, 60, 0, 9, 0, 0.5, 0, 0), 1), (17, 24, (9, 0, 8, 0, 12, 0, 0.5, 0, 0), 1),
+    (18, 7, (1, 0, 9, 0, 1, 0, 0.5, 0, 1), 1), (18, 8, (1, 0, 1, 0, 5, 0, 0.5, 0, 0), 1), (19, 12, (3, 0, 195, 0, 10, 0, 0.5, 0, 0), 1), (20, 10, (3, 0, 49, 0, 40, 0, 0.5, 0, 0), 1), (21, 7, (2, 0, 10, 0, 2, 0, 0.5, 0, 1), 1),
+    (24, 16, (2, 0, 9, 0, 45, 0, 0.5, 0, 0), 1), (27, 13, (2, 0, 22, 0, 139, 0, 0.5, 0, 0), 1), (28, 5, (3, 0, 12, 0, 3, 0, 0.5, 0, 1), 1), (29, 0, (1, 1, 0, 0, 1, 1, 0.5, 0, 0), 0), (29, 1, (1, 1, 1, 1, 1, 1, 0.5, 0, 0), 0),
+    (29, 2, (1, 1, 1, 1, 1, 1, 0.5, 0, 0), 0), (29, 3, (1, 1, 1, 1, 1, 1, 0.5, 0, 0), 0), (29, 4, (1, 1, 1, 1, 1, 1, 0.5, 0, 0), 0), (29, 5, (1, 1, 1, 1, 4, 0, 0.5, 0, 0), 0), (29, 7, (7, 0, 4, 0, 96, 0, 0.5, 0, 1), 1),
+    (29, 8, (96, 0, 7, 0, 2, 0, 0.5, 0, 0), 1), (29, 9, (2, 0, 96, 0, 2, 0, 0.5, 0, 0), 1), (29, 10, (2, 0, 2, 0, 2, 0, 0.5, 0, 0), 1), (29, 11, (2, 0, 2, 0, 2, 0, 0.5, 0, 0), 1), (29, 12, (2, 0, 2, 0, 2, 0, 0.5, 0, 0), 1),
+    (29, 13, (2, 0, 2, 0, 2, 0, 0.5, 0, 0), 1), (29, 14, (2, 0, 2, 0, 2, 0, 0.5, 0, 0), 1), (29, 15, (2, 0, 2, 0, 2, 0, 0.5, 0, 0), 1), (29, 16, (2, 0, 2, 0, 2, 0, 0.5, 0, 0), 1), (29, 17, (2, 0, 2, 0, 2, 0, 0.5, 0, 0), 1),
+    (29, 18, (2, 0, 2, 0, 2, 0, 0.5, 0, 0), 1), (29, 19, (2, 0, 2, 0, 2, 0, 0.5, 0, 0), 1), (29, 20, (2, 0, 2, 0, 2, 0, 0.5, 0, 0), 1), (29, 21, (2, 0, 2, 0, 2, 0, 0.5, 0, 0), 1), (29, 22, (2, 0, 2, 0, 2, 0, 0.5, 0, 0), 1),
+    (29, 23, (2, 0, 2, 0, 2, 0, 0.5, 0, 0), 1), (29, 24, (2, 0, 2, 0, 2, 0, 0.5, 0, 0), 1), (29, 25, (2, 0, 2, 0, 2, 0, 0.5, 0, 0), 1), (29, 26, (2, 0, 2, 0, 39, 0, 0.5, 0, 0), 1), (29, 27, (39, 0, 2, 0, 9, 0, 0.5, 0, 0), 1),
+    (35, 9, (1, 0, 46, 0, 173, 0, 0.5, 0, 0), 1), (36, 12, (2, 0, 45, 0, 7, 0, 0.5, 0, 0), 1), (41, 0, (1, 1, 0, 0, 1, 1, 0.5, 0, 0), 0), (41, 1, (1, 1, 1, 1, 1, 1, 0.5, 0, 0), 0), (41, 2, (1, 1, 1, 1, 1, 1, 0.5, 0, 0), 0),
+    (41, 3, (1, 1, 1, 1, 1, 1, 0.5, 0, 0), 0), (41, 4, (1, 1, 1, 1, 1, 1, 0.5, 0, 0), 0), (41, 5, (1, 1, 1, 1, 4, 0, 0.5, 0, 0), 0), (41, 7, (10, 0, 4, 0, 23, 0, 0.5, 0, 1), 1), (41, 8, (23, 0, 10, 0, 4, 0, 0.5, 0, 0), 1),
+    (41, 9, (4, 0, 23, 0, 1, 0, 0.5, 0, 0), 1), (41, 10, (1, 0, 4, 0, 253, 0, 0.5, 0, 0), 1), (41, 11, (253, 0, 1, 0, 19, 0, 0.5, 0, 0), 1), (41, 12, (19, 0, 253, 0, 11, 0, 0.5, 0, 0), 1), (41, 13, (11, 0, 19, 0, 11, 0, 0.5, 0, 0), 1),
+    (41, 14, (11, 0, 11, 0, 36, 0, 0.5, 0, 0), 1), (41, 15, (36, 0, 11, 0, 4, 0, 0.5, 0, 0), 1), (41, 16, (4, 0, 36, 0, 13, 0, 0.5, 0, 0), 1), (41, 17, (13, 0, 4, 0, 1, 0, 0.5, 0, 0), 1), (41, 18, (1, 0, 13, 0, 10, 0, 0.5, 0, 0), 1),
+    (41, 19, (10, 0, 1, 0, 8, 0, 0.5, 0, 0), 1), (43, 6, (2, 0, 4, 0, 2, 0, 0.5, 0, 1), 1), (45, 7, (1, 0, 8, 0, 1, 0, 0.5, 0, 1), 1), (46, 13, (3, 0, 9, 0, 15, 0, 0.5, 0, 0), 1), (47, 16, (1, 0, 61, 0, 1, 0, 0.5, 0, 0), 1),
+    (49, 7, (2, 0, 12, 0, 2, 0, 0.5, 0, 1), 1), (51, 7, (1, 0, 35, 0, 44, 0, 0.5, 0, 0), 1), (53, 12, (2, 0, 15, 0, 11, 0, 0.5, 0, 0), 1), (55, 9, (3, 0, 10, 0, 84, 0, 0.5, 0, 0), 1), (58, 12, (2, 0, 87, 0, 12, 0, 0.5, 0, 0), 1),
+    (59, 13, (2, 0, 22, 0, 139, 0, 0.5, 0, 0), 1),
+)
+WRITTEN = (
     # an article: title, byline, paragraphs of all lengths, lists, single links
     ((8, 0.0, 1, 1.0, 60, 0.0, 1, 0, 1), 1), ((3, 0.0, 2, 1.0, 30, 0.0, 1, 0, 1), 1), ((4, 0.5, 9, 0.0, 70, 0.0, 1, 0, 0), 1), ((60, 0.0, 8, 0.0, 45, 0.0, 1, 0, 0), 1), ((45, 0.05, 60, 0.0, 1, 0.0, 1, 0, 0), 1), ((300, 0.0, 9, 0.0, 5, 0.0, 1, 0, 0), 1),
     ((3, 0.0, 50, 0.0, 40, 0.0, 1, 0, 1), 1), ((1, 0.0, 45, 0.0, 80, 0.0, 1, 0, 0), 1), ((2, 0.0, 30, 0.0, 12, 0.0, 1, 0, 0), 1), ((10, 0.3, 40, 0.0, 20, 0.0, 1, 0, 0), 1), ((6, 0.5, 5, 0.4, 7, 0.5, 1, 0, 0), 1), ((4, 1.0, 70, 0.0, 35, 0.0, 1, 0, 0), 1),
     ((7, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0), 1), ((30, 0.6, 30, 0.0, 30, 0.2, 1, 0, 0), 1), ((12, 0.0, 70, 0.0, 4, 1.0, 1, 0, 0), 1), ((1, 0.0, 1, 1.0, 1, 0.0, 1, 0, 0), 1), ((2, 0.0, 6, 1.0, 3, 0.0, 1, 0, 0), 1), ((1, 0.0, 3, 0.0, 3, 1.0, 1, 0, 0), 1), ((1, 1.0, 0, 0.0, 0, 0.0, 1, 0, 0), 1), ((1, 1.0, 1, 0.0, 1, 0.0, 1, 0, 0), 1), ((2, 1.0, 90, 0.0, 0, 0.0, 1, 0, 0), 1),
     ((60, 0.0, 0, 0.0, 3, 1.0, 1, 0, 0), 1), ((200, 0.0, 1, 1.0, 5, 1.0, 1, 0, 0), 1), ((12, 0.0, 0, 0.0, 4, 1.0, 1, 0, 0), 1), ((90, 0.1, 0, 0.0, 3, 1.0, 0.5, 0, 0), 1), ((25, 0.0, 2, 1.0, 4, 1.0, 0.5, 0, 0), 1), ((5, 0.0, 0, 0.0, 4, 1.0, 1, 0, 1), 1), ((6, 0.0, 2, 1.0, 5, 1.0, 1, 0, 0), 1), ((1, 0.0, 0, 0.0, 2, 1.0, 1, 0, 0), 1),
-    # runs of links at an article's end or start: further reading, tags, tables of contents
-    ((5, 1.0, 6, 1.0, 5, 1.0, 1, 0, 0), 0), ((7, 1.0, 70, 0.0, 6, 1.0, 1, 0, 0), 0), ((3, 1.0, 4, 1.0, 60, 0.0, 1, 0, 0), 0), ((6, 0.9, 5, 1.0, 0, 0.0, 1, 0, 0), 0), ((1, 1.0, 2, 1.0, 1, 1.0, 1, 0, 0), 0), ((12, 1.0, 11, 1.0, 9, 1.0, 1, 0, 0), 0), ((4, 1.0, 9, 0.0, 5, 1.0, 1, 0, 0), 0), ((2, 1.0, 3, 0.9, 8, 0.0, 1, 0, 0), 0),
+    # a paragraph of links or a linked sentence of an article stays
+    ((3, 1.0, 60, 0.0, 50, 0.0, 1, 0, 0), 1), ((3, 1.0, 60, 0.0, 4, 1.0, 1, 0, 0), 1), ((4, 1.0, 3, 1.0, 60, 0.0, 1, 0, 0), 1), ((6, 1.0, 5, 1.0, 4, 1.0, 1, 0, 0), 1), ((8, 1.0, 70, 0.0, 6, 1.0, 1, 0, 0), 1), ((5, 1.0, 4, 1.0, 0, 0.0, 1, 0, 0), 1), ((12, 1.0, 9, 1.0, 11, 1.0, 1, 0, 0), 1), ((2, 1.0, 2, 1.0, 8, 0.0, 1, 0, 0), 1),
     # hints of furniture inside an article: adverts, sign-ups and notices are short, a wrapper's paragraphs are not
     ((7, 0.0, 60, 0.0, 50, 0.0, 1, 0.5, 0), 0), ((25, 0.0, 60, 0.0, 70, 0.0, 1, 0.5, 0), 0), ((3, 1.0, 50, 0.0, 60, 0.0, 1, 0.5, 0), 0), ((30, 0.1, 60, 0.0, 0, 0.0, 1, 0.5, 0), 0), ((4, 0.0, 80, 0.0, 20, 0.0, 1, 0.5, 1), 0), ((1, 0.0, 5, 0.0, 7, 0.0, 1, 0.5, 0), 0),
     ((90, 0.0, 60, 0.0, 80, 0.0, 1, 0.5, 0), 1), ((64, 0.02, 50, 0.0, 70, 0.0, 1, 0.5, 0), 1), ((120, 0.0, 20, 0.0, 40, 0.0, 1, 0.5, 0), 1), ((80, 0.6, 60, 0.0, 40, 0.7, 1, 0.5, 0), 0), ((90, 0.9, 40, 0.0, 3, 1.0, 1, 0.5, 0), 0),
@@ -79,6 +110,13 @@ TABLE = (
     # hints there: long running text outweighs a name
     ((60, 0.0, 70, 0.0, 80, 0.0, 0.5, 0.5, 0), 1), ((45, 0.0, 8, 0.0, 90, 0.0, 0.5, 0.5, 0), 1), ((100, 0.1, 60, 0.0, 0, 0.0, 0.5, 0.5, 0), 1), ((20, 0.0, 60, 0.0, 3, 1.0, 0.5, 0.5, 0), 0), ((9, 0.0, 2, 1.0, 60, 0.0, 0.5, 0.5, 0), 0), ((12, 0.0, 70, 0.0, 0, 0.0, 0.5, 0.5, 0), 0), ((5, 1.0, 3, 1.0, 4, 1.0, 0.5, 0.5, 0), 0), ((45, 0.8, 20, 0.9, 30, 0.7, 0.5, 0.5, 0), 0),
 )
+#: List items: runs of links at an article's end or start (further reading, tags, tables of contents), and lists that are text.
+LISTED = (
+    ((5, 1.0, 6, 1.0, 5, 1.0, 1, 0, 0), 0), ((7, 1.0, 70, 0.0, 6, 1.0, 1, 0, 0), 0), ((3, 1.0, 4, 1.0, 60, 0.0, 1, 0, 0), 0), ((6, 0.9, 5, 1.0, 0, 0.0, 1, 0, 0), 0), ((1, 1.0, 2, 1.0, 1, 1.0, 1, 0, 0), 0), ((12, 1.0, 11, 1.0, 9, 1.0, 1, 0, 0), 0), ((4, 1.0, 9, 0.0, 5, 1.0, 1, 0, 0), 0), ((2, 1.0, 3, 0.9, 8, 0.0, 1, 0, 0), 0),
+    ((6, 0.0, 40, 0.0, 5, 0.0, 1, 0, 0), 1), ((3, 0.0, 4, 0.0, 2, 0.0, 1, 0, 0), 1), ((1, 0.0, 1, 0.0, 1, 0.0, 1, 0, 0), 1), ((12, 0.3, 9, 0.0, 10, 0.2, 1, 0, 0), 1), ((40, 0.1, 30, 0.0, 60, 0.0, 1, 0, 0), 1), ((1, 1.0, 60, 0.0, 50, 0.0, 1, 0, 0), 1), ((5, 0.0, 6, 0.0, 60, 0.0, 0.5, 0, 0), 1), ((9, 0.1, 30, 0.0, 8, 0.0, 0.5, 0, 0), 1),
+    ((1, 1.0, 1, 1.0, 1, 1.0, 0.5, 0, 0), 0), ((3, 1.0, 0, 0.0, 2, 1.0, 0.5, 0, 0), 0), ((2, 1.0, 3, 1.0, 60, 0.0, 0.5, 0, 0), 0), ((4, 1.0, 70, 0.0, 5, 1.0, 0.5, 0, 0), 0), ((2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0), 0), ((8, 0.0, 60, 0.0, 3, 1.0, 0, 0, 0), 0), ((3, 1.0, 2, 1.0, 2, 1.0, 1, 1, 0), 0), ((9, 0.0, 4, 0.0, 7, 0.0, 1, 1, 0), 0), ((5, 1.0, 4, 1.0, 6, 1.0, 1, 0.5, 0), 0), ((9, 0.0, 60, 0.0, 8, 0.0, 1, 0.5, 0), 0),
+)
+TABLE = (*(((*x, 0), y) for x, y in WRITTEN), *(((*x, 0), y) for _, _, x, y in PAGES), *(((*x, 1), y) for x, y in LISTED))
 
 
 class Tree:
@@ -124,10 +162,12 @@ def furniture_of(tag: str, raw: str, in_article: bool) -> float:
         return hint
     a = attributes(raw)
     names = set(TOKENS.split(f"{a.get('class', '')} {a.get('id', '')}".lower()))
+    comments = names & COMMENT_NAMES or any(COMMENT_PART.search(n) for n in names)
+    advert = any(ADVERT_PART.search(n) for n in names) or any(ADVERT_ATTRIBUTE.search(k) for k in a)
     hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-    if hidden or a.get("role", "").lower() in FURNITURE_ROLES or names & COMMENT_NAMES and not (tag == "article" and "has" in names):
+    if hidden or a.get("role", "").lower() in FURNITURE_ROLES or comments and not (tag == "article" and "has" in names):
         return 1
-    return 0.5 if names & FURNITURE_NAMES or "header" in names and not in_article else hint
+    return 0.5 if names & FURNITURE_NAMES or advert or "header" in names and not in_article else hint
 
 
 class Page:
@@ -137,14 +177,14 @@ class Page:
     """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, int, int, bool, float, bool]] = []
+        self.blocks: list[tuple[str, int, int, bool, float, bool, bool]] = []
         self.stack: list[tuple[str, float, bool, int]] = []  # tag, furniture, article, hints that an article has set aside
         self.open_tags: Counter[str] = Counter()
         self.foreign: list[str] = []  # open svg, math and what may hold HTML inside of them
         self.sure, self.hints, self.articles = 0, 0, 0
         self.parts: list[str] = []
         self.linked: list[str] = []
-        self.links, self.silent, self.heading = 0, 0, False
+        self.links, self.silent, self.heading, self.item = 0, 0, False, False
         self.has_article = False
         at = 0
         while True:
@@ -234,6 +274,8 @@ class Page:
             self.has_article |= not self.sure
         if tag in OPEN_HEADINGS:
             self.heading = True
+        if tag in ("li", "ul", "ol"):
+            self.item = tag == "li"
         if tag not in ("p", "li", "dt", "dd", "tr", "td", "th") or furniture:
             self.push(tag, furniture, article)
 
@@ -244,6 +286,8 @@ class Page:
             self.cut()
         if tag in OPEN_HEADINGS:
             self.heading = False
+        if tag in ("li", "ul", "ol"):
+            self.item = False
         if self.open_tags[tag]:
             if tag in INLINE:
                 self.cut()
@@ -255,15 +299,15 @@ class Page:
             text = clean("".join(self.parts))
             if text:
                 linked = len(clean(" ".join(self.linked)).split()) if self.linked else 0
-                self.blocks.append((text, len(text.split()), linked, self.articles > 0, 1.0 if self.sure else 0.5 if self.hints else 0.0, self.heading))
+                self.blocks.append((text, len(text.split()), linked, self.articles > 0, 1.0 if self.sure else 0.5 if self.hints else 0.0, self.heading, self.item))
             self.parts, self.linked = [], []
 
     def features(self) -> list[tuple[float, ...]]:
         flat = [(n, min(1.0, links / n)) for _, n, links, *_ in self.blocks]
         out = []
-        for i, (_, _, _, article, furniture, heading) in enumerate(self.blocks):
+        for i, (_, _, _, article, furniture, heading, item) in enumerate(self.blocks):
             before, after = flat[i - 1] if i else (0, 0.0), flat[i + 1] if i + 1 < len(flat) else (0, 0.0)
-            out.append((*flat[i], *before, *after, float(article) if self.has_article else 0.5, float(furniture), float(heading)))
+            out.append((*flat[i], *before, *after, float(article) if self.has_article else 0.5, float(furniture), float(heading), float(item)))
         return out
 
 

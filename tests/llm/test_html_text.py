@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from lodestream.llm.html_text import TABLE, Page, Tree, apply, extract
@@ -107,3 +109,36 @@ def test_nesting_is_read_in_one_pass():
     assert extract("<article>" + "<div>" * 100_000 + "deep" + "</b></div>" * 100_000, TREE) == "deep"
     assert extract("<article><svg>" + "<g>" * 50_000 + "<p>out", TREE) == "out"
     assert time.time() - began < 20
+
+
+LONG = "a paragraph of running text with quite a number of words in it to be kept by its size " * 4
+
+
+@pytest.mark.parametrize(
+    ("source", "kept"),
+    [
+        (f"<div><h1>T</h1><p>Short one.</p><p>{LONG}</p><p>By Jane Doe</p></div>", ["T", "Short one.", LONG.strip(), "By Jane Doe"]),
+        (f"<article><p>{LONG}</p><p><a>One</a> <a>Two</a> <a>Three</a></p><p><a>Read it all here</a></p><p>{LONG}</p></article>", [LONG.strip(), "One Two Three", "Read it all here", LONG.strip()]),
+        (f"<article><p>{LONG}</p><ul class='usercomment-list'><li>A reader</li></ul><div id='postComments2'>Another</div></article>", [LONG.strip()]),
+        (f"<article><p>{LONG}</p><div class='adslot'>Buy this</div><div class='ads-top'>Buy it</div><p data-ad='1'>Buy that</p><div data-ad-slot=3>Now</div><div class='sponsored-box'>Or this</div></article>", [LONG.strip()]),
+        (f"<article><p>{LONG}</p><div class='address' data-address='x'>12 Road</div><div class='commentary'>A view</div><p class='advice adapted'>Be kind</p></article>", [LONG.strip(), "12 Road", "A view", "Be kind"]),
+        (f"<article><p>{LONG}</p><ol><li>First take flour</li><li>Then <a>water</a></li></ol></article>", [LONG.strip(), "First take flour", "Then water"]),
+        (f"<ul><li><a>Home</a><li><a>News</a></ul><div>{LONG}</div><ul><li>First take flour</li><li>Then water</li></ul><p>{LONG}</p>", [LONG.strip(), "First take flour", "Then water", LONG.strip()]),
+    ],
+)
+def test_short_and_linked_blocks_stay_and_names_are_read_in_parts(source, kept):
+    assert extract(source, TREE).split("\n\n") == kept
+
+
+def test_pages_stripped_of_their_semantics(spark, sf_dir):
+    """With article, menu and footer elements turned into plain boxes and no names, every block of the article is still found, and no menu."""
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    for source in pages:
+        plain = re.sub(r'(<(?:div|p|ul)) class="[^"]*"', r"\1", re.sub(r"<(/?)(?:article|nav|footer|aside|header|main|section)\b[^>]*>", r"<\1div>", source))
+        told, bare = Page(source), Page(plain)
+        assert [b[0] for b in told.blocks] == [b[0] for b in bare.blocks]
+        for x, y in zip(told.features(), bare.features(), strict=True):
+            if x[6] == 1 and x[7] == 0:
+                assert TREE(y)
+            elif y[1] == 1:
+                assert not TREE(y)
