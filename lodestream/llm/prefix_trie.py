@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import bounded, keep
+from .tables import bounded, drop_kept, keep
 
 #: Turns of the largest subtree that one task holds, and rows that it gathers before it builds.
 SHARD_ROWS, GATHER_ROWS = 10_000, 50_000
@@ -220,11 +220,14 @@ def trie(conversations: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     convs, rows = keep(convs, "conversations"), keep(paths(rows), "paths")
     root = F.lit(0).cast("long")
     ending = convs.where("length = 0").select(root.alias("p1"), root.alias("p2"), "id")
-    done, totals, merged, level, chains = [], [], False, rows, rows
+    done, totals, merged, level, chains, used = [], [], False, rows, rows, [told, convs, rows]
     while True:
         heavy, marked = _split(level, shard_rows)
         any_heavy = not heavy.isEmpty()
-        marked = keep(marked, "marked") if any_heavy else marked
+        used.append(heavy)
+        if any_heavy:
+            marked = keep(marked, "marked")
+            used.append(marked)
         light = marked.where(~F.col("heavy")).withColumn("up", F.coalesce("up", F.lit(-1).cast("long")))
         nodes = keep(shards(light.select("id", "depth", "length", "bytes", *PATH, *ABOVE, *SHARD, "up", *(("n", "first", "leaves", "saved", "kids") if merged else ())), merged), "nodes")
         done.append(nodes.withColumn("merged", F.lit(merged)))
@@ -241,7 +244,8 @@ def trie(conversations: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         chains = chains.select("id", "depth", *PATH).join(known.select(F.col("first").alias("id")).distinct(), "id")
         level = chains.join(known.drop("depth"), PATH)
         level = keep(level.withColumn("length", F.max("depth").over(Window.partitionBy("id"))), "upper")
-        merged = True
+        used += [known, level]
+        chains, merged = level, True
     ends = keep(_ends(ending), "ends")
     every = done[0]
     for more in done[1:]:
@@ -258,6 +262,7 @@ def trie(conversations: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     ended = ends.where(at_root).agg(F.coalesce(F.max("ends_sha256"), F.lit(EMPTY_SHA)).alias("sha")).first()
     row = (all_.least, 0, None, all_.n, up.kids, up.leaves if up.kids else 1, up.saved, ended.sha)
     kinds = dict(x.split() for x in _NODE.split(", "))
+    drop_kept(*used)
     top = conversations.sparkSession.range(1 if all_.n else 0).select(*(F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, kinds.items(), strict=True)))
     return every.select(*kinds).unionByName(top)
 
