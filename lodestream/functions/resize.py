@@ -94,7 +94,7 @@ def fit(image: Column, height: int, width: int, crop: bool = True, allow_vertica
     `choices` are resolutions (height, width) with probabilities; one of those that are not larger
     than the source is drawn by key and seed, if there is any.
     """
-    from .media import center_crop, target_resolution
+    from .media import center_crop
 
     h, w = image["height"], image["width"]
     wanted = F.struct(F.lit(height).alias("h"), F.lit(width).alias("w"))
