@@ -70,4 +70,4 @@ def test_run_and_registry(spark):
     out = queries.QUERIES["pipeline"](spark, D)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
     assert out.count() > 50
-    assert sorted(k for k in queries.QUERIES if k.startswith("op")) == sorted(f"op{n}_{x}" for n, x in enumerate(["substring_dedup", "suffix_dedup", "jaccard_join", "html_text", "quality_model", "bpe", "quality_rules", "language", "decontaminate", "url_filter"], 1))
+    assert sorted(k for k in queries.QUERIES if k.startswith("op")) == sorted(f"op{n}_{x}" for n, x in enumerate(["substring_dedup", "suffix_dedup", "jaccard_join", "html_text", "quality_model", "bpe", "quality_rules", "language", "decontaminate", "url_filter", "kd_shards", "prefix_trie", "filter_audit"], 1))
