@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter
+
 import numpy as np
 
 from lodestream.llm import language
@@ -58,3 +62,77 @@ def test_every_declared_language_counts(spark):
     got = language.apply(df, "id", "text", "declared").collect()
     assert len(got) == len(out) and len({r.text_lang for r in got}) == 90
     assert all(r.text_lang == r.lang == r.declared for r in got)
+
+
+def plain(rows, n_smooth=language.SMOOTH):
+    """The posterior of every row by loops over all the other rows: counts, shares and sums without the row itself."""
+
+    def cells(text):
+        b = (text or "").lower().encode()
+        return [(((b[i] * 0x9E3779B1) & 0xFFFFFFFF) ^ ((b[i + 1] * 0x85EBCA77) & 0xFFFFFFFF) ^ ((b[i + 2] * 0xC2B2AE3D) & 0xFFFFFFFF)) >> 17 for i in range(len(b) - 2)]
+
+    told = [(d or "").lower().split("-")[0] or None for _, _, d, _, _ in rows]
+    langs = sorted({d for d in told if d})
+    grams = [cells(t) for _, t, _, _, _ in rows]
+    ps, lls = [], []
+    for i in range(len(rows)):
+        score = []
+        for lang in langs:
+            seen = [c for j in range(len(rows)) if told[j] == lang and j != i for c in grams[j]]
+            held = Counter(seen)
+            score.append(sum(math.log((held[c] + 0.5) / (len(seen) + 0.5 * language.CELLS)) for c in grams[i]))
+        ll = [max(language.TEMPER * (x - max(score)), -language.MAX_EVIDENCE) for x in score]
+        lls.append(ll)
+        ps.append([math.exp(x) / sum(map(math.exp, ll)) for x in ll])
+    places = []
+    for _, _, _, host, suffix in rows:
+        host, suffix = host and host.lower(), suffix and suffix.lower()
+        parts = (host or "").split(".")
+        domain = ".".join(parts[-2:]) if len(parts) > 1 and all(parts[-2:]) else None
+        places.append([(), suffix, domain and (domain, suffix), host and (host, suffix)])
+    out = []
+    for i in range(len(rows)):
+        others = [j for j in range(len(rows)) if j != i]
+        prior = [1 / len(langs)] * len(langs)
+        for level in range(4):
+            if places[i][level] is not None:
+                here = [ps[j] for j in others if places[j][level] == places[i][level]]
+                prior = [(sum(p[k] for p in here) + n_smooth * prior[k]) / (len(here) + n_smooth) for k in range(len(langs))]
+        z = []
+        for k in range(len(langs)):
+            d = 0.0
+            if told[i]:
+                same, any_ = (sum(ps[j][k] for j in others if ok(told[j])) for ok in (lambda x: x == told[i], bool))
+                d = math.log((same + n_smooth / len(langs)) / (any_ + n_smooth))
+            z.append(lls[i][k] + d + math.log(prior[k]))
+        total = sum(math.exp(x - max(z)) for x in z)
+        out.append((rows[i][0], langs[z.index(max(z))], 1 / total, langs[lls[i].index(0.0)] if len(rows[i][1] or "") > 2 else None))
+    return out
+
+
+def test_equals_loops_over_the_other_rows(spark):
+    r = random.Random(3)
+    words = {"en": "the cat and dog house bird".split(), "de": "der hund und die katze vogel".split(), "fr": "le chat et la maison oiseau".split()}
+    made = []
+    for i in range(70):
+        lang = r.choice(sorted(words))
+        text = " ".join(r.choice(words[lang if r.random() < 0.85 else r.choice(sorted(words))]) for _ in range(r.choice([0, 1, 2, 5, 12])))
+        suffix = r.choice([None, "com", lang])
+        host = r.choice([None, "a", f"h{r.randrange(3)}.site.{suffix or 'net'}", "h1.Other.com"])
+        made.append((i, r.choice([text, text, text, None]), r.choice([lang, lang, lang.upper() + "-x", None, "", r.choice(sorted(words))]), host, suffix))
+    made += [(70, "x" * 20_000, "fr", "alone.org", "org"), (71, "ab", "en", None, None), (72, "the", "it", "h1.site.com", "com")]
+    df = spark.createDataFrame(made, "id long, text string, declared string, host string, suffix string").repartition(3)
+    got = {x.id: x for x in language.apply(df, "id", "text", "declared", "host", "suffix").collect()}
+    assert len(got) == len(made)
+    for i, lang, probability, text_lang in plain(made):
+        assert abs(got[i].probability - probability) < 1e-9, i
+        assert (got[i].lang, got[i].text_lang) == (lang, text_lang), i
+
+
+def test_no_row_is_evidence_for_itself(spark):
+    """Whatever a row alone with its declaration and at its host declares, its words do not become that language's."""
+    for alone in ("de", "xx"):
+        more = [(300, "the cat and the dog are in the house with the bird", alone, "alone.net", "net")]
+        df = spark.createDataFrame(rows() + more, "id long, text string, declared string, host string, suffix string")
+        out = {x.id: x for x in language.apply(df, "id", "text", "declared", "host", "suffix").collect()}
+        assert (out[300].text_lang, out[300].lang) == ("en", "en")
