@@ -86,17 +86,21 @@ def image_pixels(data: bytes) -> np.ndarray:
         return np.asarray(image.convert("RGB"))
 
 
+def pcm_samples(raw: bytes, width: int) -> np.ndarray:
+    """PCM samples of 1 (unsigned), 2, 3 or 4 bytes as floats from -1 to 1."""
+    data = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    if width == 1:
+        return data[:, 0].astype(np.float32) / 128 - 1
+    wide = np.zeros((len(data), 4), np.uint8)
+    wide[:, 4 - width :] = data
+    return (wide.view("<i4")[:, 0] / 2.0**31).astype(np.float32)
+
+
 def wav_channels(data: bytes) -> tuple[int, np.ndarray]:
     """Sample rate and channels x samples from -1 to 1 of a PCM file of 8, 16, 24 or 32 bits."""
     with wave.open(io.BytesIO(data)) as w:
         rate, channels, width = w.getframerate(), w.getnchannels(), w.getsampwidth()
-        raw = np.frombuffer(w.readframes(w.getnframes()), np.uint8).reshape(-1, width)
-    if width == 1:
-        values = raw[:, 0].astype(np.float32) / 128 - 1
-    else:
-        wide = np.zeros((len(raw), 4), np.uint8)
-        wide[:, 4 - width :] = raw
-        values = (wide.view("<i4")[:, 0] / 2.0**31).astype(np.float32)
+        values = pcm_samples(w.readframes(w.getnframes()), width)
     return rate, values.reshape(-1, channels).T
 
 

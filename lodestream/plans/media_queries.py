@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import latents, resize, signal
+from ..functions import latents, resize, signal, video
 from ..operators import mixing, nearest, position
 from . import index
 from .queries import _UNROLLED, SEED, _streams, query, read
@@ -121,3 +123,46 @@ def mix_streams_resumed(spark, d):
     before = mixing.uses_before(spark, streams, 250, "consecutive_interleaved", counts, ratios, SEED)
     steps = mixing.pick_streams(mixing.schedule(spark, 150, "consecutive_interleaved", counts, ratios, SEED, 250), streams, SEED)
     return mixing.mix(mixing.accumulate(steps, streams, before), parts).select("step", "stream", "rounds_left", "slot", "id")
+
+
+def _avi(rows: DataFrame) -> DataFrame:
+    """Adds `content`: an AVI file of a second, the vector's bytes as 4 frames of 2 x 2 pixels (rows from the bottom, blue first, two bytes to fill a row) and again as 64 samples of sound."""
+    chunk = lambda name, body: name + struct.pack("<I", len(body)) + body
+    shown = chunk(b"strh", b"vids" + bytes(16) + struct.pack("<IIII", 1, 4, 0, 4) + bytes(20)) + chunk(b"strf", struct.pack("<IiiHH", 40, 2, 2, 1, 24) + bytes(24))
+    heard = chunk(b"strh", b"auds" + bytes(52)) + chunk(b"strf", struct.pack("<HHIIHH", 1, 1, 64, 64, 1, 8))
+    head = chunk(b"LIST", b"hdrl" + chunk(b"avih", bytes(56)) + chunk(b"LIST", b"strl" + shown) + chunk(b"LIST", b"strl" + heard))
+    hexed = lambda raw: F.lit(raw.hex())
+    part = lambda i: F.array_join(F.transform(F.slice("embedding", 16 * i + 1, 16), lambda v: _byte(F.floor((v.cast("double") + 1) * 127))), "")
+    size = struct.pack("<I", 16)
+    body = [x for i in range(4) for x in (hexed(b"00db" + size), part(i), hexed(b"01wb" + size), part(i))]
+    movie = b"LIST" + struct.pack("<I", 4 + 8 * 24) + b"movi"
+    return rows.withColumn("content", F.unhex(F.concat(hexed(b"RIFF" + struct.pack("<I", 4 + len(head) + 12 + 8 * 24) + b"AVI " + head + movie), *body)))
+
+
+@query("""WITH b AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor((v::DOUBLE + 1) * 127) AS BIGINT) & 255) AS b, CASE vec_id % 3 WHEN 2 THEN 1 ELSE 0 END AS f, CASE vec_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 19 END AS lo, CASE vec_id % 3 WHEN 0 THEN 32 WHEN 1 THEN 35 ELSE 51 END AS hi FROM embeddings)
+SELECT vec_id, CAST(f AS INT) AS first_frame, CAST(f + 1 AS INT) AS last_frame, CAST(b[16 * (f + 1) + 11] AS INT) AS red, CAST(list_sum(b[16 * f + 1:16 * f + 6]) + list_sum(b[16 * f + 9:16 * f + 14]) + list_sum(b[16 * f + 17:16 * f + 22]) + list_sum(b[16 * f + 25:16 * f + 30]) AS BIGINT) AS light,
+CAST(hi - lo AS BIGINT) AS n_samples, CAST(list_sum(b[lo + 1:hi]) AS BIGINT) AS sound FROM b""")
+def video_clips(spark, d):
+    """Clips of two frames, with their sound, around an interval of every vector's video: widened, moved into the video, sought and decoded."""
+    begin = F.col("vec_id") % 3 * F.lit(0.25)
+    crop = F.struct(begin.alias("start"), (begin + 0.1).alias("end"))
+    files = _avi(read(spark, d, "embeddings").select("vec_id", "embedding"))
+    clips = video.with_clip(files, "content", 2, audio="audio", crop=crop, soft=True)
+    text = F.hex("video.pixels")
+    byte = lambda i: F.conv(F.substring(text, 2 * i + F.lit(1), F.lit(2)), 16, 10).cast("long")
+    light = F.aggregate(F.sequence(F.lit(0), F.lit(23)), F.lit(0).cast("long"), lambda a, i: a + byte(i))
+    heard = F.col("audio.channels")[0]
+    sound = F.aggregate(heard, F.lit(0.0), lambda a, x: a + F.round((x.cast("double") + 1) * 128)).cast("long")
+    numbers = F.col("video.numbers")
+    return clips.select("vec_id", numbers[0].alias("first_frame"), numbers[1].alias("last_frame"), byte(F.lit(12)).cast("int").alias("red"), light.alias("light"), F.size(heard).cast("long").alias("n_samples"), sound.alias("sound"))
+
+
+@query("""WITH near AS (SELECT s, i, arg_min(k, [abs(k / 4.0::DOUBLE - i * s / 4.0::DOUBLE), k]) AS frame FROM (VALUES (0, 0.25::DOUBLE), (1, 0.5::DOUBLE), (2, 1.0::DOUBLE), (3, 2.0::DOUBLE)) v(m, s), range(4) r(i), range(4) f(k) WHERE i < least(4, floor(4 / s)) GROUP BY s, i),
+seen AS (SELECT s, count(DISTINCT frame) AS shown FROM near GROUP BY s)
+SELECT vec_id, 4.0::DOUBLE AS fps, 4 AS frames, 2 AS width, 2 AS height, 1.0::DOUBLE AS duration, 64 AS rate, CAST(shown AS INT) AS shown FROM embeddings JOIN seen ON s = 0.25::DOUBLE * 2 ** (vec_id % 4)""")
+def video_speeds(spark, d):
+    """What every vector's video says of itself, and how many different frames a clip at another speed shows."""
+    files = _avi(read(spark, d, "embeddings").select("vec_id", "embedding")).withColumn("i", video.video_info(F.col("content")))
+    speed = F.lit(0.25) * F.pow(F.lit(2.0), F.col("vec_id") % 4)
+    clips = video.with_clip(files, "content", 4, speedup=speed, real_duration=F.col("i.duration"), real_fps=F.col("i.fps"), allow_shorter=True)
+    return clips.select("vec_id", "i.fps", "i.frames", "i.width", "i.height", "i.duration", "i.rate", F.size(F.array_distinct("video.numbers")).alias("shown"))
