@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, filter_audit, html_text, jaccard_join, kd_shards, language, prefix_trie, quality_model, quality_rules, substring_dedup, suffix_dedup, url_filter
 from .oracle import ORACLE as ORACLE
-from .tables import table
+from .tables import keep, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,13 +56,14 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages: the markup's lang attribute, the address suffix and the host; the text is the extracted main text."""
+    """Pages: the markup's lang attribute, the address suffix and the host; the text is the extracted main text. Pages are extracted once and kept, their other evidence beside their id, so that no row is joined by it."""
     pages = table(spark, sf_dir, "pages")
     declared = F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z]+)", 1).alias("declared")
     host = url_filter.parts(F.col("url"))[0].alias("host")
-    told = pages.select("page_id", host, declared).withColumn("suffix", F.regexp_extract("host", r"([^.]+)$", 1))
-    texts = html_text.apply(pages).select("page_id", "text").join(told, "page_id")
-    return language.apply(texts, "page_id", "text", "declared", "host", "suffix").withColumnRenamed("id", "page_id")
+    told = pages.select(F.struct(F.col("page_id").alias("id"), host, declared).alias("page"), "url", "html")
+    texts = html_text.apply(told, "page").select("page_id.id", "page_id.host", "page_id.declared", "text")
+    texts = keep(texts.withColumn("suffix", F.regexp_extract("host", r"([^.]+)$", 1)), "page_texts")
+    return language.apply(texts, "id", "text", "declared", "host", "suffix").withColumnRenamed("id", "page_id")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
