@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 
 from lodestream.llm import quality_model
@@ -41,3 +43,39 @@ def test_odd_rows(spark, corpus_rows):
     assert {r.score for r in quality_model.apply(df, one).collect()} == {0.5}
     assert quality_model.apply(df.limit(0), labels).collect() == []
     assert quality_model.good(df, labels).columns == df.columns
+
+
+def test_equals_a_plain_fit(spark):
+    """Scores of every document against one matrix of all training rows, least squares and a simple monotone fit, without Spark."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    train = [(r.doc_id, r.quality, zlib.crc32(str(r.doc_id).encode()) % 5) for r in labels.collect()]
+    train = [x for x in train if x[2] and x[0] in texts]
+
+    def measured(ids):
+        out = []
+        for i in ids:
+            data = np.frombuffer((texts[i] or "").encode(), np.uint8)
+            out.append(quality_model.features(data, np.array([0, len(data)]))[0])
+        return np.array(out)
+
+    x, y, fold = measured([t[0] for t in train]), np.array([t[1] for t in train]), np.array([t[2] for t in train])
+    fit = fold != 4
+    cosines = quality_model.Cosines(x[fit].mean(0), x[fit].std(0), quality_model.N_COSINES, quality_model.WIDTH, quality_model.SEED)
+    phi = cosines(x[fit])
+    # ridge regression as least squares with one more row per weight
+    beta = np.linalg.lstsq(np.concatenate([phi, np.sqrt(quality_model.RIDGE) * np.eye(phi.shape[1])]), np.concatenate([2.0 * y[fit] - 1, np.zeros(phi.shape[1])]), rcond=None)[0]
+    raw = lambda z: np.clip((cosines(z) @ beta + 1) / 2, 0, 1)
+    bins = np.minimum((raw(x[~fit]) * quality_model.BINS).astype(int), quality_model.BINS - 1)
+    at = np.unique(bins)
+    share = [y[~fit][bins == b] for b in at]
+    # the isotonic fit in its min-max form: the largest mean over starts up to here of the smallest mean over ends from here on
+    mean = lambda a, b: np.concatenate(share[a : b + 1]).mean()
+    to = [max(min(mean(a, b) for b in range(k, len(at))) for a in range(k + 1)) for k in range(len(at))]
+    ids = sorted(texts)
+    score = raw(measured(ids))
+    want = np.clip(0.98 * np.interp(score, (at + 0.5) / quality_model.BINS, to) + 0.02 * score, 0, 1)
+    got = {r.doc_id: r.score for r in quality_model.apply(docs, labels).collect()}
+    assert len(got) == len(ids)
+    assert np.allclose([got[i] for i in ids], want, atol=1e-6)
