@@ -18,10 +18,10 @@ from ..sources.rowgroups import POS, file_counts, offsets
 
 
 def with_position(df: DataFrame, column: str = POS) -> DataFrame:
-    """Adds the global position to a Parquet table. The offsets (one row per file) are joined by file, which Spark broadcasts while they are small."""
+    """Adds the global position to a Parquet table. The offsets are broadcast (one row per file, less than Spark's own list of files): a shuffle by file would bring each file's rows into one task."""
     start = offsets(file_counts(df)).select(F.col("file").alias("_file"), "start")
     numbered = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return numbered.join(start, "_file").withColumn(column, F.col("start") + F.col("_row")).drop("_file", "_row", "start")
+    return numbered.join(F.broadcast(start), "_file").withColumn(column, F.col("start") + F.col("_row")).drop("_file", "_row", "start")
 
 
 def slice_scan(df: DataFrame, start: int, end: int, step: int = 1, position: str = POS) -> DataFrame:

@@ -64,6 +64,20 @@ def test_positions_over_many_files(spark, tmp_path):
     assert [r.id for r in position.slice_scan(saved, 25, 35, 5).orderBy("_pos").collect()] == [25, 200]
 
 
+def test_positions_are_not_shuffled_by_file(spark, tmp_path):
+    """Else all rows of one large file meet in one task, whatever the planner thinks of the offsets' size."""
+    spark.range(0, 900, 1, 3).write.parquet(str(tmp_path / "t"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = position.with_position(spark.read.parquet(str(tmp_path / "t")))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert [r._pos for r in df.orderBy("_pos").collect()] == list(range(900))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_schedules(spark):
     counts = {0: 2, 1: 3, 2: 4}
     run = lambda kind, n=18, **o: [r.group for r in mixing.schedule(spark, n, kind, counts, {0: 0.2, 1: 0.3, 2: 0.5}, **o).orderBy("step").collect()]
