@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import materialize
+from .shared import bounded, materialize
 
 POS, TAG = "_pos", "_tag"
 #: Rows that one task is asked to read, and rows that are decoded at once.
 ROWS_PER_TASK, BATCH_ROWS = 250_000, 65_536
+#: Positions of a group that one row of a request may hold.
+BLOCK = 4096
 _PIECES = "array<struct<lo:long,hi:long,step:long,tag:long>>"
 
 
@@ -122,13 +124,57 @@ def read(groups: DataFrame, schema: T.StructType, tasks: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
                 yield from read_group(arrow, r["file"], r["grp"], r["start"], r["pieces"])
 
     out = T.StructType([*schema.fields, T.StructField(POS, T.LongType()), T.StructField(TAG, T.LongType())])
     return groups.select("file", "grp", "start", F.col("pieces").cast(_PIECES).alias("pieces")).repartition(tasks, "file", "grp").mapInArrow(run, out)
 
 
+def blocks(groups: DataFrame, asked: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
+    """(file, grp, start, block, at): the distinct positions `lo` within their group, at most `block` in a row, so that no row follows the size of a group."""
+    there = groups.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("n") - 1) / width)))).select("start", "n", "_cell")
+    both = there.join(asked.withColumn("_cell", F.floor(F.col("lo") / width)), "_cell").where((F.col("lo") >= F.col("start")) & (F.col("lo") < F.col("start") + F.col("n")))
+    at = (F.col("lo") - F.col("start")).cast("int")
+    found = both.groupBy("start", F.floor(at / block).alias("block")).agg(F.array_sort(F.collect_list(at)).alias("at"))
+    return found.join(groups.select("file", "grp", "start"), "start")
+
+
+def read_blocks(asked: DataFrame, schema: T.StructType, tasks: int) -> DataFrame:
+    """The rows of every group's blocks, with their position. A group's blocks arrive in order, so it is decoded once while they pass by."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, source, rows, batch, first = None, None, None, None, 0
+        try:
+            for b in batches:
+                for i in range(b.num_rows):
+                    file, grp, start, at = b.column("file")[i].as_py(), b.column("grp")[i].as_py(), b.column("start")[i].as_py(), b.column("at")[i].values.to_numpy()
+                    if key != (file, grp):
+                        if source is not None:
+                            source.close()
+                        key, source, batch, first = (file, grp), _open(file), None, 0
+                        have = set(source.schema_arrow.names)
+                        rows = source.iter_batches(BATCH_ROWS, row_groups=[grp], columns=[n for n in arrow.names if n in have])
+                    while len(at):
+                        while batch is None or at[0] >= first + batch.num_rows:
+                            first += 0 if batch is None else batch.num_rows
+                            batch = next(rows)
+                        here = at[: np.searchsorted(at, first + batch.num_rows)]
+                        at = at[len(here) :]
+                        taken = batch.take(pa.array(here - first))
+                        columns = [taken.column(c.name).cast(c.type) if c.name in have else _from_path(file, c, len(here)) for c in arrow]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(here.astype(np.int64) + start)], names=[*arrow.names, POS])
+        finally:
+            if source is not None:
+                source.close()
+
+    bounded(asked.sparkSession)
+    dealt = asked.select("file", "grp", "start", "block", "at").repartition(tasks, "file", "grp").sortWithinPartitions("file", "grp", "block")
+    return dealt.mapInArrow(run, T.StructType([*schema.fields, T.StructField(POS, T.LongType())]))
+
+
 def _from_path(file: str, column: pa.Field, n: int) -> pa.Array:
     value = next((unquote(x.split("=", 1)[1]) for x in file.split("/") if x.startswith(f"{column.name}=")), None)
     return pa.array([None if value == "__HIVE_DEFAULT_PARTITION__" else value] * n, pa.string()).cast(column.type)
@@ -199,7 +245,7 @@ class LazyIndex:
     def rows(self, wanted: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         """Rows at the positions in column `_pos`, each once, for any number of them."""
         asked = wanted.where((F.col(POS) >= 0) & (F.col(POS) < self.n)).select(F.col(POS).cast("long").alias("lo")).distinct()
-        return read(piece_join(self.groups, asked.select("lo", (F.col("lo") + 1).alias("hi"), F.lit(0).alias("tag")), self._width()), self._schema(columns), _tasks(wanted)).drop(TAG)
+        return read_blocks(blocks(self.groups, asked, self._width()), self._schema(columns), _tasks(wanted))
 
     def chunks(self, wanted: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         """Rows of chunks (lo, hi, tag) with the tag of their chunk. Chunks may overlap."""

@@ -7,9 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes that go to a Python worker at once.
+BATCH_BYTES = 8 << 20
 _own: list[str] = []
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, so that a worker's memory does not follow the length of rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir. Where none is set, a temporary folder, in local mode only: executors elsewhere would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)

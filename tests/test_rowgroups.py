@@ -113,3 +113,16 @@ def test_lazy_dataset(spark, tmp_path):
     assert [r.id for r in make().take([5, 999, 5])] == [5, 999, 5]
     with pytest.raises(ValueError, match="lazy"):
         make(sql="SELECT * FROM dataframe")
+
+
+def test_requests_do_not_follow_the_size_of_a_group(spark, tmp_path):
+    """Positions come in blocks of bounded size; a group is read over several blocks and decoded batches, an empty request gives nothing."""
+    for i, n in enumerate((150_000, 20_000)):
+        spark.range(i * 10**6, i * 10**6 + n).coalesce(1).write.mode("append").parquet(str(tmp_path / "t" / f"k={i}"))
+    lazy = rowgroups.LazyIndex.of(spark.read.parquet(str(tmp_path / "t")))
+    asked = spark.range(0, 180_000, 3).select(F.col("id").alias("lo"))
+    sizes = [r.n for r in rowgroups.blocks(lazy.groups, asked, lazy._width()).select(F.size("at").alias("n")).collect()]
+    assert max(sizes) <= rowgroups.BLOCK and sum(sizes) == -(-170_000 // 3)
+    got = lazy.rows(asked.union(asked).select(F.col("lo").alias("_pos"))).collect()
+    assert sorted((r._pos, r.id, r.k) for r in got) == [(p, p if p < 150_000 else 10**6 + p - 150_000, int(p >= 150_000)) for p in range(0, 170_000, 3)]
+    assert lazy.rows(asked.where("lo < 0").select(F.col("lo").alias("_pos"))).count() == 0
