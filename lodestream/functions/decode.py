@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..sources.shared import batched_udf
 IMAGE = "height int, width int, pixels binary"
 AUDIO = "rate int, channels array<array<float>>"
 #: Fixed values of the PNG format: samples per pixel of each colour type.
@@ -128,7 +129,7 @@ def decode_image(content: Column, planar: bool = False, strict: bool = True) ->
 
     run = _each(one, ("height", "width", "pixels"), strict)
 
-    @F.pandas_udf(IMAGE)
+    @batched_udf(IMAGE)
     def decoded(contents: pd.Series) -> pd.DataFrame:
         return run(contents)
 
@@ -149,7 +150,7 @@ def decode_audio(content: Column, strict: bool = True) -> Column:
 
     run = _each(one, ("rate", "channels"), strict)
 
-    @F.pandas_udf(AUDIO)
+    @batched_udf(AUDIO)
     def decoded(contents: pd.Series) -> pd.DataFrame:
         return run(contents)
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..sources.shared import batched_udf
 TENSORS = "map<string, struct<shape:array<int>,values:array<float>>>"
 #: Names of the number formats of safetensors; BF16 is the upper half of a float.
 _FORMATS = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "BF16": "<u2", "I64": "<i8", "I32": "<i4", "I16": "<i2", "I8": "<i1", "U8": "<u1", "BOOL": "<u1"}
@@ -67,7 +68,7 @@ def tensors_of(data: bytes) -> dict[str, np.ndarray]:
 def load_tensors(content: Column, strict: bool = True) -> Column:
     """Map of name to shape and values (row by row) of a file's contents; null for what cannot be read, unless `strict`."""
 
-    @F.pandas_udf(TENSORS)
+    @batched_udf(TENSORS)
     def run(contents: pd.Series) -> pd.Series:
         out = []
         for c in contents:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..sources.shared import batched_udf
 from .decode import IMAGE
 from .values import hash_uniform, weighted_pick
 
@@ -70,7 +71,7 @@ def crop_resize(image: Column, box: Column, height: Column | int, width: Column
     if kernel != "nearest" and kernel not in KERNELS:
         raise ValueError(f"kernel must be nearest or one of {sorted(KERNELS)}")
 
-    @F.pandas_udf(IMAGE)
+    @batched_udf(IMAGE)
     def run(images: pd.DataFrame, boxes: pd.DataFrame, heights: pd.Series, widths: pd.Series) -> pd.DataFrame:
         rows = []
         for h, w, raw, left, top, right, bottom, new_h, new_w in zip(images["height"], images["width"], images["pixels"], boxes["left"], boxes["top"], boxes["right"], boxes["bottom"], heights, widths, strict=True):

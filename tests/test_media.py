@@ -6,6 +6,7 @@ import math
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,13 @@ def test_clip_latents(spark):
     tensor = spark.createDataFrame([(5, (list(a.shape), a.ravel().tolist()), (list(a.shape), [-200.0] * 48), (list(a.shape), [0.0] * 48))], "k int, m struct<shape:array<int>,values:array<float>>, v struct<shape:array<int>,values:array<float>>, w struct<shape:array<int>,values:array<float>>")
     row = tensor.select(latents.take_frames(F.col("m"), F.array(F.lit(3), F.lit(1))).alias("t"), latents.sample_clip(F.col("m"), F.col("v"), F.array(F.lit(1)), F.col("k")).alias("s"), latents.sample_clip(F.col("m"), F.col("w"), F.array(F.lit(1)), F.col("k")).alias("n")).first()
     assert row.t == [*a[3].ravel(), *a[1].ravel()] and np.allclose(row.s, a[1].ravel()) and 0.2 < np.std(np.array(row.n) - a[1].ravel()) < 3
+
+
+def test_long_rows_come_in_small_batches(spark):
+    """Workers get sound by bytes: with batches of 10,000 rows they would hold 80 MB of these at once, and copies of it."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = spark.range(0, 400, 1, 1).select(F.array(F.array_repeat(F.lit(0.5).cast("float"), 50_000)).alias("c"))
+    signal.loudness(F.col("c"), F.lit(8000))
+    held = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    sizes = [r.n for r in rows.mapInArrow(held, "n long").collect()]
+    assert sum(sizes) >= 400 * 200_000 and max(sizes) < 10 << 20
