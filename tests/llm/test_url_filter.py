@@ -139,3 +139,16 @@ def test_verdicts_equal_brute_force(spark):
         assert got[i].p_allow == pytest.approx(chance, abs=1e-3)
         if abs(chance - 0.5) > 1e-3 or not whole(u):
             assert got[i].verdict == (ruled(*parse(u))[1] or ("allow" if chance >= 0.5 else "block"))
+
+
+def test_every_labelled_url_counts(spark):
+    """More than 20,000 distinct URLs of a verdict: the counts are those of all that are not held out, none is drawn."""
+    from pyspark.sql import functions as F
+
+    texts = spark.range(0, 26_000).select((F.col("id") % 26 > 0).alias("good"), F.concat(F.lit("a"), F.col("id").cast("string")).alias("text"))
+    pairs, contexts = url_filter.counts_of(texts, 1)
+    start = pairs.where("context = '\x02' and char = 'a'").first()
+    assert (start.n_good, start.n_bad) == (25_000, 1_000)
+    whole = contexts.where("context = ''").first()
+    chars = texts.groupBy("good").agg(F.sum(F.length("text") + 1).alias("n")).collect()
+    assert {r.good: r.n for r in chars} == {True: whole.all_good, False: whole.all_bad} and whole.kinds_good == 12
