@@ -27,12 +27,12 @@ def resident_dedup_stream(spark, d):
     lines = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("consumer"), F.col("l_partkey").alias("part"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"), F.col("l_quantity").cast("long").alias("size"))
     base = fresh(spark, "resident")
     borders = lines.select(F.percentile_approx("place", [0.3, 0.7]).alias("p")).first().p
-    for lo, hi in zip([None, *borders], [*borders, None], strict=True):
+    for lo, hi in zip([None, *borders], [*borders, None], strict=True):  # each part is what has arrived since the last run
         part = lines if lo is None else lines.where(F.col("place") >= lo)
-        (part if hi is None else part.where(F.col("place") < hi)).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    with state.rocksdb(spark):
-        made = state.resident_stream(state.read_stream(spark, f"{base}/in", lines.schema, max_files=1), "consumer", "part", "place", "size", _LIMIT)
-        state.run_available(made, f"{base}/out", f"{base}/checkpoint")
+        (part if hi is None else part.where(F.col("place") < hi)).write.mode("append").parquet(f"{base}/in")
+        with state.rocksdb(spark):
+            made = state.resident_stream(state.read_stream(spark, f"{base}/in", lines.schema), "consumer", "part", "place", "size", _LIMIT)
+            state.run_available(made, f"{base}/out", f"{base}/checkpoint")
     return spark.read.schema(made.schema).parquet(f"{base}/out")
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import islice
 from typing import Any
 
 import pandas as pd
@@ -60,6 +62,8 @@ def cache_stream(df: DataFrame, group: str, key: str, order: str, size: str, lim
 
 #: Events of `resident_stream`.
 ADMIT, SKIP, EVICT = "admit", "skip", "evict"
+#: Entries of a queue that are read and written together.
+BLOCK = 1024
 
 
 def resident_stream(df: DataFrame, group: str, key: str, order: str, size: str, limit: int) -> DataFrame:
@@ -68,43 +72,47 @@ def resident_stream(df: DataFrame, group: str, key: str, order: str, size: str,
     A key that the cache holds is skipped; a key that was evicted is admitted again. After an
     admission the oldest leave until the sizes sum to at most the limit, a sample larger than that
     at once; `order` of an eviction is the arrival that causes it. Rows of a micro-batch are taken in
-    order. State is what is held (a queue by number, and the keys), each entry read and written by
-    itself; it needs Spark's RocksDB state store, see `rocksdb`.
+    order. State is what is held, a queue in blocks of `BLOCK` entries: a micro-batch reads a group's
+    blocks once, writes those that it changed and removes those that are used up, so no row costs a
+    call to the state store. It needs Spark's RocksDB state store, see `rocksdb`.
     """
     kinds = dict(df.dtypes)
 
     class Resident(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.ends = handle.getValueState("ends", "head long, tail long, usage long")
-            self.queue = handle.getMapState("queue", "seq long", f"key {kinds[key]}, size long")
-            self.keys = handle.getMapState("keys", f"key {kinds[key]}", "seq long")
+            self.queue = handle.getMapState("queue", "block long", f"first long, keys array<{kinds[key]}>, sizes array<long>")
 
         def handleInputRows(self, name: tuple, frames: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
             rows = pd.concat(list(frames)).sort_values([order, key], kind="stable")
             head, tail, usage = (int(x) for x in self.ends.get()) if self.ends.exists() else (0, 0, 0)
-            before, fresh, gone, out = tail, {}, set(), []
-            held: dict[Any, bool] = {}  # keys of earlier batches that were looked up
+            old, before = set(range(head // BLOCK, -(-tail // BLOCK))) if head < tail else set(), tail
+            queue: deque[tuple[Any, int]] = deque()
+            for b in sorted(old):
+                first, names, sizes = self.queue.getValue((b,))
+                queue.extend(list(zip(names, sizes, strict=True))[max(0, head - first) :])
+            held, out = {k for k, _ in queue}, []
             for k, o, n in zip(rows[key].tolist(), rows[order].tolist(), rows[size].tolist(), strict=True):
-                if k not in held and k not in gone:
-                    held[k] = before > 0 and self.keys.containsKey((k,))
-                if held.get(k):
+                if k in held:
                     out.append((k, o, SKIP))
                     continue
-                fresh[tail] = (k, int(n))
-                held[k], tail, usage = True, tail + 1, usage + int(n)
-                gone.discard(k)
+                queue.append((k, int(n)))
+                held.add(k)
+                tail, usage = tail + 1, usage + int(n)
                 out.append((k, o, ADMIT))
-                while head < tail and usage > limit:
-                    old, freed = fresh.pop(head) if head >= before else self.queue.getValue((head,))
-                    if head < before:
-                        self.queue.removeKey((head,))
-                        self.keys.removeKey((old,))
-                    held[old], head, usage = False, head + 1, usage - int(freed)
-                    gone.add(old)
-                    out.append((old, o, EVICT))
-            for seq, (k, n) in fresh.items():
-                self.queue.updateValue((seq,), (k, n))
-                self.keys.updateValue((k,), (seq,))
+                while queue and usage > limit:
+                    gone, freed = queue.popleft()
+                    held.discard(gone)
+                    head, usage = head + 1, usage - int(freed)
+                    out.append((gone, o, EVICT))
+            kept = set(range(head // BLOCK, -(-tail // BLOCK))) if head < tail else set()
+            for b in old - kept:
+                self.queue.removeKey((b,))
+            for b in kept:
+                if (b + 1) * BLOCK > before:  # holds new entries
+                    first = max(head, b * BLOCK)
+                    part = list(islice(queue, first - head, min(tail, (b + 1) * BLOCK) - head))
+                    self.queue.updateValue((b,), (first, [k for k, _ in part], [n for _, n in part]))
             self.ends.update((head, tail, usage))
             yield pd.DataFrame({group: [name[0]] * len(out), key: [x[0] for x in out], order: [x[1] for x in out], "event": [x[2] for x in out]})
 

@@ -80,6 +80,22 @@ def test_dedup_while_resident(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").find("RocksDB") < 0
 
 
+def test_queue_of_several_blocks(spark, tmp_path, monkeypatch):
+    """Blocks that stay, are filled up, shortened, used up and come back empty; state is called per block, not per row."""
+    monkeypatch.setattr(state, "BLOCK", 4)
+    r = random.Random(6)
+    kind, rows = "g long, k long, o long, n long", []
+    with state.rocksdb(spark):
+        for part in range(5):
+            new = [(r.randrange(2), r.randrange(60), part * 100 + o, 50 if part == 3 and o > 90 else r.choice([0, 1, 2])) for o in range(100)]
+            rows += new
+            spark.createDataFrame(new, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            made = state.resident_stream(state.read_stream(spark, str(tmp_path / "in"), kind), "g", "k", "o", "n", 25)
+            state.run_available(made, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    want = sorted(resident(rows, 25))
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
+
+
 def test_chunks_are_admitted_few_at_a_time(spark, tmp_path):
     """No batch holds more than its chunks; a stream that is stopped amid an epoch goes on from its checkpoint; order and places are the dataset's."""
     from lodestream.plans.index import StreamingSource
