@@ -349,3 +349,16 @@ def test_streams(spark, tmp_path):
     assert state.merge_progress({"epoch": 1, "sample_in_epoch": 0}, {"epoch": 0, "sample_in_epoch": 9})["epoch"] == 1
     got = state.progress(spark.createDataFrame([("a", 1), ("a", 4)], "consumer string, place long"), "consumer").first()
     assert got.sample_in_epoch == 5
+
+
+@pytest.mark.parametrize("name", ["chunk_scoped_topk", "chunk_scoped_sql"])
+def test_queries_per_chunk_are_not_shuffled_by_file(spark, sf_dir, name):
+    from lodestream.plans.queries import QUERIES
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [_file" in plan and "SortMergeJoin [_file" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
