@@ -54,6 +54,7 @@ class ChunkReader(DataSourceStreamReader):
         self.first = {"epoch": int(options["epoch"]), "chunk": int(options["chunk"])}
         self.last_epoch = self.first["epoch"] + self.epochs
         self.at = _last_offset(options.get("checkpoint")) or self.first
+        self.ordered: tuple[int, list[int]] | None = None  # the order of the epoch that is being planned
 
     def initialOffset(self) -> dict:
         return self.first
@@ -72,9 +73,14 @@ class ChunkReader(DataSourceStreamReader):
         if start == end:
             return []
         first = start["chunk"] if start["epoch"] == end["epoch"] else 0
-        order = chunk_order(self.pieces, self.seed, end["epoch"], self.rank)
+        if self.ordered is None or self.ordered[0] != end["epoch"]:
+            self.ordered = end["epoch"], chunk_order(self.pieces, self.seed, end["epoch"], self.rank)
+        order = self.ordered[1]
         return [Chunk(self.start + order[k] * self.size, self.start + (order[k] + 1) * self.size, k * self.size, end["epoch"]) for k in range(first, end["chunk"])]
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"ordered": None}  # tasks need no order
+
     def read(self, chunk: Chunk) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(T.StructType(self.schema.fields[: -len(EXTRA)]))
         for g in groups_of(self.table, chunk.lo, chunk.hi):

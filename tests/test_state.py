@@ -123,3 +123,19 @@ def test_chunks_are_admitted_few_at_a_time(spark, tmp_path):
     assert sorted({(min(p for _, p, t, _ in rows if t == tag), tag) for _, _, tag, _ in rows}, key=lambda x: x[1]) == want
     assert len(rows) == len({r[1] for r in rows}) == 330 and {r[3] for r in rows} == {2}
     assert [t // 110 for t in sorted({r[2] for r in rows})] == [0, 0, 1, 1, 2, 2]
+
+
+def test_chunk_order_is_made_once_an_epoch(monkeypatch):
+    """Not for every micro-batch, which made planning quadratic in the chunks."""
+    from pyspark.sql import types as T
+
+    from lodestream.streaming import chunks
+
+    made, plain = [], chunks.chunk_order
+    monkeypatch.setattr(chunks, "chunk_order", lambda *a: made.append(a) or plain(*a))
+    told = {"groups": "", "start": "0", "size": "10", "pieces": "30", "rank": "0", "epochs": "2", "per_trigger": "3", "seed": "7", "epoch": "0", "chunk": "0"}
+    reader, at, seen = chunks.ChunkReader(T.StructType(), told), {"epoch": 0, "chunk": 0}, []
+    while (end := reader.latestOffset()) != at:
+        seen += [(c.epoch, c.lo // 10) for c in reader.partitions(at, end)]
+        at = end
+    assert seen == [(e, i) for e in range(2) for i in plain(30, 7, e, 0)] and len(made) == 2
