@@ -14,7 +14,7 @@ from ..functions import decode, media, paths, values
 from ..functions.scalars import mixed_seed, normalize_ratios, ratios_to_counts
 from ..operators import cache, fields, mixing, nearest, ordering, position, splits, transforms
 from ..sources import resolver, sinks
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, spread
 from . import index
 from .dialect import to_spark
 
@@ -769,6 +769,7 @@ JOIN region ON r_regionkey = n_regionkey JOIN part ON CAST(split_part('part.' ||
 ORDER BY {order_sql(11, 'data_id', 'embedding', 'other')}""")
 def audio_captions_shape(spark, d):
     t = lambda n: read(spark, d, n)
+    spread(spark, t("lineitem").count())
     stem = lambda prefix, c: F.get(F.split(F.concat(F.lit(f"{prefix}."), F.col(c).cast("string")), "[.]"), F.lit(1)).cast("long")
     df = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     df = df.join(t("region"), F.col("r_regionkey") == F.col("n_regionkey")).join(t("part"), stem("part", "p_partkey") == F.col("l_partkey")).join(t("supplier"), stem("supp", "s_suppkey") == F.col("l_suppkey"))
@@ -813,7 +814,7 @@ def _streamed(spark, d, name, run, mode="append"):
     """Runs a stream over a table into the shared folder and reads what it wrote."""
     import uuid
 
-    from ..sources.shared import shared_dir
+    from ..sources.shared import shared_dir, spread
     from ..streaming import state
 
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"

@@ -351,6 +351,22 @@ def test_streams(spark, tmp_path):
     assert got.sample_in_epoch == 5
 
 
+def test_shuffles_begin_with_more_partitions_for_more_rows(spark):
+    from lodestream.sources.shared import PARTITION_ROWS, spread
+
+    setting = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.conf.unset(setting)
+    try:
+        spread(spark, 4 * PARTITION_ROWS)
+        assert spark.conf.get(setting, None) is None
+        spread(spark, 40 * PARTITION_ROWS + 1)
+        assert spark.conf.get(setting) == "41"
+        spread(spark, 9 * PARTITION_ROWS)
+        assert spark.conf.get(setting) == "41"
+    finally:
+        spark.conf.unset(setting)
+
+
 @pytest.mark.parametrize("name", ["chunk_scoped_topk", "chunk_scoped_sql"])
 def test_queries_per_chunk_are_not_shuffled_by_file(spark, sf_dir, name):
     from lodestream.plans.queries import QUERIES
