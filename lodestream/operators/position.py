@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from ..sources import rowgroups
 from ..sources.rowgroups import POS, file_counts, offsets
 
+#: Rows that one task takes of a table dealt by chunk. Up to 240 million rows that is 200 partitions at most, which Spark's shuffle writes without holding rows.
+CHUNKED_ROWS = 1_200_000
+
 
 def with_position(df: DataFrame, column: str = POS) -> DataFrame:
     """Adds the global position to a Parquet table. The offsets are broadcast (one row per file, less than Spark's own list of files): a shuffle by file would bring each file's rows into one task."""
@@ -24,6 +27,12 @@ def with_position(df: DataFrame, column: str = POS) -> DataFrame:
     return numbered.join(F.broadcast(start), "_file").withColumn(column, F.col("start") + F.col("_row")).drop("_file", "_row", "start")
 
 
+def by_chunk(df: DataFrame, chunk: int, n: int, position: str = POS, column: str = "_chunk") -> DataFrame:
+    """Adds the chunk of `chunk` positions that a row of n is in, and deals the rows by chunk: windows and groups of a chunk then sort `CHUNKED_ROWS` rows a task, not those of a whole file split or row group."""
+    tasks = max(rowgroups._tasks(df), -(-n // CHUNKED_ROWS))  # a number that is asked for: adaptive execution would join partitions again
+    return df.withColumn(column, F.floor(F.col(position) / chunk)).repartition(tasks, column)
+
+
 def slice_scan(df: DataFrame, start: int, end: int, step: int = 1, position: str = POS) -> DataFrame:
     """Rows at start, start + step, ... before end."""
     if step < 1:

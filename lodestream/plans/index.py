@@ -43,11 +43,13 @@ def run_sql_per_chunk(df: DataFrame, sql: str, chunk: int, schema: str, order: s
 
     The query becomes a lateral subquery of the chunks, which Spark turns into windows and groups
     partitioned by chunk. A limit without an order takes any rows of the chunk. The result is cast
-    to the schema. Where the table has n rows with positions 0 to n - 1, the chunks follow from n;
-    otherwise they are the distinct chunks of its rows.
+    to the schema. Where the table has n rows with positions 0 to n - 1, the chunks follow from n
+    and the rows are dealt by chunk; otherwise they are the distinct chunks of its rows.
     """
-    chunks = None if n is None else df.sparkSession.range(-(-n // chunk)).withColumnRenamed("id", "_chunk")
-    return sql_by(df.withColumn("_chunk", F.floor(F.col(order) / chunk)), sql, schema, df.columns, chunks).drop("_chunk")
+    if n is None:
+        return sql_by(df.withColumn("_chunk", F.floor(F.col(order) / chunk)), sql, schema, df.columns).drop("_chunk")
+    chunks = df.sparkSession.range(-(-n // chunk)).withColumnRenamed("id", "_chunk")
+    return sql_by(position.by_chunk(df, chunk, n, order), sql, schema, df.columns, chunks).drop("_chunk")
 
 
 def sql_by(df: DataFrame, sql: str, schema: str, columns: Sequence[str], chunks: DataFrame | None = None) -> DataFrame:

@@ -139,7 +139,8 @@ def balanced_bounds(spark, d):
 @query(f"""SELECT CAST(pos // 5000 AS BIGINT) AS chunk, pos, l_extendedprice FROM {_LINES}
 QUALIFY row_number() OVER (PARTITION BY pos // 5000 ORDER BY l_extendedprice DESC, pos) <= 3""")
 def chunk_scoped_topk(spark, d):
-    df = positioned(spark, d, "lineitem").select(F.col("_pos").alias("pos"), "l_extendedprice").withColumn("chunk", F.floor(F.col("pos") / 5000))
+    df = positioned(spark, d, "lineitem").select(F.col("_pos").alias("pos"), "l_extendedprice")
+    df = position.by_chunk(df, 5000, read(spark, d, "lineitem").count(), "pos", "chunk")
     w = Window.partitionBy("chunk").orderBy(F.desc("l_extendedprice"), "pos")
     return df.withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("chunk", "pos", "l_extendedprice")
 

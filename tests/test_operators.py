@@ -378,3 +378,27 @@ def test_queries_per_chunk_are_not_shuffled_by_file(spark, sf_dir, name):
         assert "BroadcastHashJoin [_file" in plan and "SortMergeJoin [_file" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize(("name", "column", "least", "limit", "chunk"), [("chunk_scoped_topk", "l_extendedprice", 0, 3, 5000), ("chunk_scoped_sql", "l_quantity", 30, 5, 4000)])
+def test_queries_per_chunk_sort_a_bounded_number_of_rows(spark, tmp_path, monkeypatch, name, column, least, limit, chunk):
+    """One row group cannot be split among tasks, so nothing is sorted before the rows are dealt by chunk."""
+    import pandas as pd
+
+    from lodestream.plans.queries import QUERIES
+
+    n = 60_000
+    table = pd.DataFrame({"l_quantity": [float(i * 7919 % 50) for i in range(n)], "l_extendedprice": [float(i * 104_729 % 9973) for i in range(n)]})
+    table.to_parquet(tmp_path / "lineitem.parquet", index=False, row_group_size=n)
+    monkeypatch.setattr(position, "CHUNKED_ROWS", 10_000, raising=False)
+    df = QUERIES[name](spark, str(tmp_path))
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = next(i for i, line in enumerate(lines) if "hashpartitioning(chunk" in line or "hashpartitioning(_chunk" in line)
+    assert ", 6), REPARTITION_BY_NUM" in lines[dealt]
+    assert not any("WindowGroupLimit" in line or "Sort [chunk" in line or "Sort [_chunk" in line for line in lines[dealt:])
+    expected = set()
+    for start in range(0, n, chunk):
+        rows = [(-v, p) for p, v in zip(range(start, start + chunk), table[column][start : start + chunk], strict=True) if v > least or not least]
+        expected |= {(p, -v) for v, p in sorted(rows)[:limit]}
+    got = [(r.pos, r[column]) for r in df.collect()]
+    assert len(got) == len(expected) and set(got) == expected
