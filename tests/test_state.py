@@ -139,3 +139,59 @@ def test_chunk_order_is_made_once_an_epoch(monkeypatch):
         seen += [(c.epoch, c.lo // 10) for c in reader.partitions(at, end)]
         at = end
     assert seen == [(e, i) for e in range(2) for i in plain(30, 7, e, 0)] and len(made) == 2
+
+
+@pytest.mark.parametrize("pieces, lanes, first, per_task", [(30, 4, 0, 1), (31, 4, 17, 2), (2, 5, 1, 3), (0, 2, 0, 1), (7, 1, 3, 9)])
+def test_lanes_share_the_micro_batches_of_an_epoch(pieces, lanes, first, per_task):
+    """Together they hand out what one stream does: the same batches of at most three chunks, none twice, in two epochs; also from amid an epoch, and with lanes that have nothing to do."""
+    from pyspark.sql import types as T
+
+    from lodestream.streaming import chunks
+
+    def batches(lane, lanes):
+        told = {"groups": "", "start": "0", "size": "10", "pieces": pieces, "rank": "0", "epochs": "2", "per_trigger": "3", "seed": "7", "epoch": "4", "chunk": first // 3 * 3, "per_task": per_task, "lane": lane, "lanes": lanes}
+        reader, found = chunks.ChunkReader(T.StructType(), {k: str(v) for k, v in told.items()}), []
+        at = reader.initialOffset()
+        while (end := reader.latestOffset()) != at:
+            tasks = reader.partitions(at, end)
+            assert all(len(t.parts) <= per_task for t in tasks)
+            found.append([(c.epoch, c.tag, c.lo, c.hi) for t in tasks for c in t.parts])
+            at = end
+        return found
+
+    whole = batches(0, 1)
+    assert sorted(b for lane in range(lanes) for b in batches(lane, lanes)) == sorted(whole)
+    assert all(len(b) <= 3 and len({c[0] for c in b}) == 1 for b in whole) and sum(map(len, whole)) == max(0, 2 * pieces - first // 3 * 3)
+    if pieces == 30:
+        assert [len(batches(lane, lanes)) for lane in range(lanes)] == [4, 6, 4, 6]
+
+
+def test_lanes_go_on_from_their_checkpoints(spark, tmp_path):
+    """Two streams at once, stopped after a batch each: chosen columns, small chunks in one task, every chunk of both epochs once."""
+    from lodestream.sources.rowgroups import LazyIndex
+    from lodestream.streaming import chunks
+
+    spark.range(0, 1000, 1, 3).selectExpr("id", "id * 2 AS twice").write.parquet(str(tmp_path / "t"))
+    lazy, found, setting = LazyIndex.of(spark.read.parquet(str(tmp_path / "t"))), {}, "spark.sql.streaming.checkpointFileManagerClass"
+
+    def start(lane, available):
+        rows = chunks.chunk_stream(spark, lazy, 60, 1, 3, seed=8, epochs=2, per_trigger=2, checkpoint=str(tmp_path / f"c{lane}"), columns=["twice"], lane=lane, lanes=2)
+        assert rows.columns == ["twice", "_pos", "_tag", "_epoch"]
+        save = lambda df, i: found.__setitem__((lane, i), (df.rdd.getNumPartitions(), [tuple(r) for r in df.collect()]))
+        writer = rows.writeStream.foreachBatch(save).option("checkpointLocation", str(tmp_path / f"c{lane}"))
+        return (writer.trigger(availableNow=True) if available else writer).start()
+
+    before = spark.conf.get(setting, None)
+    for available in (True, False):
+        with chunks.plain_checkpoints(spark):
+            streams = [start(lane, available) for lane in range(2)]
+        for s in streams:
+            s.awaitTermination() if available else s.processAllAvailable()
+            s.stop()
+        assert spark.conf.get(setting, None) == before
+        assert not available or sorted(found) == [(0, 0), (1, 0)]
+    assert sorted(found) == [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2), (1, 3)]
+    assert all(tasks == 1 and len(rows) == 110 for tasks, rows in found.values())
+    rows = [r for _, rows in found.values() for r in rows]
+    assert sorted((r[3], r[1]) for r in rows) == [(e, p) for e in range(2) for p in range(333, 663)] and all(r[0] == 2 * r[1] for r in rows)
+    assert [sorted({r[2] // 110 for r in found[k][1]}) for k in sorted(found)] == [[0], [0], [1], [2], [1], [2]]
